@@ -29,14 +29,14 @@ def max_of(cols: Sequence[Column]) -> Column:
     return F.greatest(*cols) if len(cols) > 1 else cols[0]
 
 
-def mean_of(cols: Sequence[Column]) -> Column:
-    n = count_of(cols)
+def mean_of(cols: Sequence[Column], n: Column | None = None) -> Column:
+    n = count_of(cols) if n is None else n
     return F.when(n > 0, total_of(cols) / n)
 
 
-def median_of(cols: Sequence[Column]) -> Column:
+def median_of(cols: Sequence[Column], n: Column | None = None) -> Column:
     """Middle value, or the mean of the middle two."""
-    n = count_of(cols)
+    n = count_of(cols) if n is None else n
     ordered = F.sort_array(F.array(*[c.cast("double") for c in cols]))  # NULLs come first
     first = F.lit(len(cols)) - n  # number of NULLs
     low = F.get(ordered, first + F.floor((n - 1) / 2).cast("int"))
@@ -44,23 +44,27 @@ def median_of(cols: Sequence[Column]) -> Column:
     return F.when(n > 0, (low + high) / 2)
 
 
-def sample_sd_of(cols: Sequence[Column]) -> Column:
-    """Sample standard deviation; NULL for fewer than two values."""
-    n, mean = count_of(cols), mean_of(cols)
+def sample_sd_of(cols: Sequence[Column], n: Column | None = None, mean: Column | None = None) -> Column:
+    """Sample standard deviation; NULL for fewer than two values.
+
+    Pass ``n`` and ``mean`` where they are columns already, to keep the expression small.
+    """
+    n = count_of(cols) if n is None else n
+    mean = mean_of(cols) if mean is None else mean
     squares = total_of([(c - mean) * (c - mean) for c in cols])
     return F.when(n > 1, F.sqrt(squares / (n - 1)))
 
 
-def cv_of(cols: Sequence[Column]) -> Column:
-    """Standard deviation over mean; NULL for fewer than two values or mean 0."""
-    mean = mean_of(cols)
-    return F.when(mean != 0, sample_sd_of(cols) / mean)
+def mad_of(cols: Sequence[Column], n: Column | None = None, median: Column | None = None) -> Column:
+    """Median of the distances from the median; NULL for fewer than two values."""
+    n = count_of(cols) if n is None else n
+    median = median_of(cols) if median is None else median
+    return F.when(n > 1, median_of([F.abs(c - median) for c in cols], n))
 
 
-def mad_of(cols: Sequence[Column]) -> Column:
-    """Median of the distances from the median; NULL for fewer than two values."""
-    middle = median_of(cols)
-    return F.when(count_of(cols) > 1, median_of([F.abs(c - middle) for c in cols]))
+def cv_of(mean: Column, sd: Column) -> Column:
+    """Coefficient of variation: deviation over mean; NULL for mean 0."""
+    return F.when(mean != 0, sd / mean)
 
 
 def latest_of(cols: Sequence[Column]) -> Column:

@@ -275,27 +275,34 @@ def volatility_metrics(wide: WidePanel, scope: str = "TERMINAL", min_n: int = 1)
         *COMBO, *[wide.scope_rank(y, scope).alias(f"y{y}") for y in years]
     )
     cols = [F.col(f"y{y}") for y in years]
-    n = stats.count_of(cols)
     moves = _moves(cols)
-    return frame.filter(n >= max(min_n, 1)).select(
-        *COMBO,
-        F.lit(scope).alias("round_scope"),
-        n.alias("observation_count"),
-        stats.values_array([F.when(c.isNotNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("years_observed"),
-        stats.values_array([F.when(c.isNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("missing_years"),
-        stats.mean_of(cols).alias("mean"),
-        stats.median_of(cols).alias("median"),
-        stats.sample_sd_of(cols).alias("standard_deviation"),
-        stats.cv_of(cols).alias("coefficient_of_variation"),
-        stats.mad_of(cols).alias("mad"),
-        stats.min_of(cols).alias("min_rank"),
-        stats.max_of(cols).alias("max_rank"),
-        (stats.max_of(cols) - stats.min_of(cols)).alias("rank_range"),
-        stats.values_array([b - a for a, b in moves]).alias("sequential_absolute_movements"),
-        stats.values_array(
-            [F.when(a.isNotNull() & b.isNotNull(), relative_move(a, b)) for a, b in moves]
-        ).alias("sequential_relative_movements"),
-        data_quality(n).alias("volatility_data_quality"),
+    n, mean, median = F.col("observation_count"), F.col("mean"), F.col("median")
+    # each step uses columns of the step before, which keeps the expressions short
+    return (
+        frame.withColumn("observation_count", stats.count_of(cols))
+        .filter(n >= max(min_n, 1))
+        .withColumns({"mean": stats.mean_of(cols, n), "median": stats.median_of(cols, n)})
+        .withColumn("standard_deviation", stats.sample_sd_of(cols, n, mean))
+        .select(
+            *COMBO,
+            F.lit(scope).alias("round_scope"),
+            "observation_count",
+            stats.values_array([F.when(c.isNotNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("years_observed"),
+            stats.values_array([F.when(c.isNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("missing_years"),
+            "mean",
+            "median",
+            "standard_deviation",
+            stats.cv_of(mean, F.col("standard_deviation")).alias("coefficient_of_variation"),
+            stats.mad_of(cols, n, median).alias("mad"),
+            stats.min_of(cols).alias("min_rank"),
+            stats.max_of(cols).alias("max_rank"),
+            (stats.max_of(cols) - stats.min_of(cols)).alias("rank_range"),
+            stats.values_array([b - a for a, b in moves]).alias("sequential_absolute_movements"),
+            stats.values_array(
+                [F.when(a.isNotNull() & b.isNotNull(), relative_move(a, b)) for a, b in moves]
+            ).alias("sequential_relative_movements"),
+            data_quality(n).alias("volatility_data_quality"),
+        )
     )
 
 

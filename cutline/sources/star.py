@@ -214,6 +214,92 @@ class Star:
             )
         )
 
+    # provenance and operation, from the event stream -----------------------
+
+    def aliases(self) -> DataFrame:
+        """Two spellings of each college."""
+        spellings = F.array("original_name", F.concat_ws(", ", "college_name", "location"))
+        return self.colleges().select(
+            "college_id", F.explode(spellings).alias("alias"), F.lit("REGISTRY").alias("source")
+        )
+
+    def sources(self) -> DataFrame:
+        """One source per user; it was last checked when its user last viewed something."""
+        user = F.col("user_id")
+        return (
+            self.table("events")
+            .groupBy("user_id")
+            .agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last_checked_at"))
+            .select(
+                user.cast("string").alias("source_id"),
+                F.when(user % 3 != 0, F.format_string("SRC-%d", user)).alias("source_code"),
+                F.format_string("Source %d", user).alias("title"),
+                (user % 17 != 0).alias("is_enabled"),
+                (user % 24 + 1).cast("int").alias("check_frequency_hours"),
+                "last_checked_at",
+            )
+        )
+
+    def versions(self) -> DataFrame:
+        """One document version per event."""
+        kind = F.col("event_type")
+        return self.table("events").select(
+            F.col("event_id").cast("string").alias("source_version_id"),
+            F.col("user_id").cast("string").alias("source_id"),
+            F.concat_ws(" ", F.lit("Document"), "event_id").alias("source_title"),
+            F.sha2("props", 256).alias("content_hash"),
+            F.when(kind == "purchase", "PUBLISHED")
+            .when(kind == "view", "PARSED")
+            .when(kind == "click", "DOWNLOADED")
+            .when(kind == "signup", "DISCOVERED")
+            .otherwise("REJECTED")
+            .alias("processing_status"),
+            F.col("ts").alias("created_at"),
+        )
+
+    def reviews(self) -> DataFrame:
+        """Failed arrivals go to review; the larger values still wait."""
+        return self.table("events").filter(F.col("event_type") == "error").select(
+            F.col("event_id").cast("string").alias("item_id"),
+            F.col("user_id").cast("string").alias("source_id"),
+            F.concat(F.lit("doc-"), F.get_json_object("props", "$.k")).alias("document_url"),
+            F.concat(F.lit("value "), F.col("value").cast("decimal(12,2)").cast("string")).alias("failure_reason"),
+            F.when(F.col("value") >= 150, "PENDING_REVIEW")
+            .when(F.col("value") >= 50, "APPROVED")
+            .otherwise("REJECTED")
+            .alias("status"),
+            F.col("ts").alias("created_at"),
+        )
+
+    def errors(self) -> DataFrame:
+        """Validation errors: one per failed arrival, graded by its value."""
+        return self.table("events").filter(F.col("event_type") == "error").select(
+            F.col("event_id").cast("string").alias("source_version_id"),
+            F.when(F.col("value") >= 100, "CRITICAL").when(F.col("value") >= 20, "ERROR")
+            .otherwise("WARNING").alias("severity"),
+        )
+
+    def runs(self) -> DataFrame:
+        """One ingestion run per day."""
+        failed = F.count_if(F.col("event_type") == "error")
+        return (
+            self.table("events")
+            .groupBy(F.to_date("ts").alias("day"))
+            .agg(
+                F.min("ts").alias("started_at"),
+                F.max("ts").alias("finished_at"),
+                F.count_distinct("user_id").alias("source_count"),
+                F.count_if(F.col("event_type") == "purchase").alias("published_count"),
+                failed.alias("rejected_count"),
+                F.when(failed * 5 < F.count(F.lit(1)), "SUCCESS")
+                .when(failed * 4 < F.count(F.lit(1)), "PARTIAL_SUCCESS")
+                .otherwise("FAILED")
+                .alias("status"),
+            )
+            .select(F.date_format("day", "yyyy-MM-dd").alias("run_id"), "started_at", "finished_at",
+                    "status", "source_count", "published_count", "rejected_count")
+        )
+
     # the panel ------------------------------------------------------------
 
     def panel(self, **filters) -> DataFrame:
