@@ -462,8 +462,255 @@ SELECT *, CASE WHEN left_rows = right_rows THEN 'MATCH' ELSE 'MISMATCH' END AS v
     }
 
 
+_MODELS = ["NULL", *[f"'{m}'" for m in (
+    "MODEL_A_LATEST_HISTORICAL", "MODEL_B_PREVIOUS_YEAR", "MODEL_C_HISTORICAL_MEAN", "MODEL_D_HISTORICAL_MEDIAN",
+    "MODEL_E_RECENT_MEDIAN", "MODEL_F_PRECEDING_ROUND", "MODEL_G1_ADDITIVE_MOVEMENT",
+    "MODEL_G2_MULTIPLICATIVE_MOVEMENT", "MODEL_H_HYBRID")]]
+
+REQUESTS = f"""
+reqs AS (
+  SELECT record_id AS request_id,
+         CASE WHEN source_version_id = 'v1' AND CAST(college_id AS INTEGER) % 29 = 0 THEN 'X' ELSE '' END
+         || college_id AS college_id,
+         CASE WHEN source_version_id = 'v1' AND branch_id = 'SMALL' AND academic_year = 1997 THEN 'TINY'
+              ELSE branch_id END AS raw_branch_id, academic_year,
+         CASE round_code WHEN 'MOCK' THEN 'TERMINAL' ELSE round_code END AS round, category_code AS category,
+         CASE WHEN branch_id = 'LARGE' OR (branch_id = 'MEDIUM' AND academic_year = 2001) THEN 'ARCHITECTURE'
+              WHEN branch_id = 'ECONOMY' AND academic_year = 2000 THEN 'DESIGN' ELSE 'ENGINEERING' END AS program_type,
+         ([{', '.join(_MODELS)}])[1 + (CAST(college_id AS INTEGER) + academic_year) % 10] AS model,
+         CASE WHEN source_version_id = 'v1' AND CAST(college_id AS INTEGER) % 31 = 0 THEN 0 ELSE opening_rank END
+         AS candidate_rank
+  FROM cutoffs),
+checked AS (
+  SELECT r.*, coalesce(b.canonical_branch_id, r.raw_branch_id) AS branch_id, b.program_type AS own_program,
+    CASE WHEN c.college_id IS NULL THEN 'UNKNOWN_COLLEGE' WHEN b.branch_id IS NULL THEN 'UNKNOWN_BRANCH'
+         WHEN r.program_type NOT IN ('ENGINEERING', 'ARCHITECTURE') THEN 'UNSUPPORTED_PROGRAM'
+         WHEN b.program_type <> r.program_type THEN 'PROGRAM_MISMATCH'
+         WHEN category NOT IN ('GM', 'KKR') THEN 'UNSUPPORTED_CATEGORY'
+         WHEN round = 'KKR_SPECIAL' THEN 'SPECIAL_ROUND'
+         WHEN r.program_type = 'ARCHITECTURE' AND round NOT IN ('R1', 'TERMINAL') THEN 'ROUND_NOT_APPLICABLE'
+         WHEN academic_year < 1996 THEN 'YEAR_BEFORE_BASELINE' END AS error_code
+  FROM reqs r LEFT JOIN colleges c USING (college_id) LEFT JOIN branches b ON b.branch_id = r.raw_branch_id),
+series AS (
+  SELECT round_code AS family, * EXCLUDE (round_code, round_number) FROM cells WHERE round_code IN ('R1', 'R3')
+  UNION ALL SELECT 'TERMINAL', * EXCLUDE (round_code) FROM finals),
+moves AS (
+  SELECT CAST(t AS INTEGER) AS academic_year, a.program_type, a.category, median(b.closing_rank - a.closing_rank) AS move,
+         median((b.closing_rank - a.closing_rank) / CAST(a.closing_rank AS DOUBLE)) AS rel
+  FROM range(1995, 2002) r(t) JOIN cells a ON a.academic_year < t AND a.round_code = 'R1'
+  JOIN cells b ON b.academic_year = a.academic_year AND b.round_code = 'R3' AND b.college_id = a.college_id
+   AND b.branch_id = a.branch_id AND b.category = a.category GROUP BY ALL)"""
+
+SCORING = f"""
+asked AS (
+  SELECT *, CASE WHEN round IN ('R1', 'R3') THEN round ELSE 'TERMINAL' END AS family FROM checked WHERE {{where}}),
+past AS (
+  SELECT request_id, count(s.closing_rank) AS n, CAST(arg_max(s.closing_rank, s.academic_year) AS DOUBLE) AS latest,
+         max(s.academic_year) AS latest_year, avg(s.closing_rank) AS mean, median(s.closing_rank) AS med,
+         CAST(max(s.closing_rank) FILTER (s.academic_year = a.academic_year - 1) AS DOUBLE) AS prev,
+         CAST((list(s.closing_rank ORDER BY s.academic_year DESC))[2] AS DOUBLE) AS second
+  FROM asked a LEFT JOIN series s ON s.family = a.family AND s.college_id = a.college_id AND s.branch_id = a.branch_id
+   AND s.category = a.category AND s.academic_year < a.academic_year GROUP BY request_id),
+known AS (
+  SELECT a.*, p.* EXCLUDE (request_id), CAST(c.closing_rank AS DOUBLE) AS pre, coalesce(m.move, 0) AS move, coalesce(m.rel, 0) AS rel
+  FROM asked a JOIN past p USING (request_id)
+  LEFT JOIN cells c ON c.college_id = a.college_id AND c.branch_id = a.branch_id AND c.category = a.category
+   AND c.academic_year = a.academic_year
+   AND c.round_code = CASE a.family WHEN 'R3' THEN 'R1' WHEN 'TERMINAL' THEN 'R3' END
+  LEFT JOIN moves m ON m.academic_year = a.academic_year AND m.program_type = a.program_type AND m.category = a.category),
+picked AS (
+  SELECT *, CASE
+    WHEN family = 'R1' THEN CASE WHEN model[7] IN ('B', 'C', 'D', 'E') THEN model[7] ELSE 'A' END
+    WHEN family = 'R3' THEN CASE
+      WHEN pre IS NULL OR coalesce(model[7], 'G') NOT IN ('F', 'G', 'H') THEN 'A'
+      WHEN model IS NULL OR (model[7] = 'H' AND n = 0) THEN 'G1'
+      WHEN model[7] = 'G' THEN model[7:8] ELSE model[7] END
+    ELSE CASE WHEN pre IS NOT NULL THEN CASE WHEN model[7:8] = 'G1' THEN 'G1' WHEN model[7] = 'H' AND n > 0 THEN 'H' ELSE 'F' END
+              WHEN model[7] IN ('A', 'B', 'C') THEN model[7] ELSE 'D' END END AS m
+  FROM known),
+estimated AS (
+  SELECT *, CASE m WHEN 'A' THEN latest WHEN 'B' THEN prev WHEN 'C' THEN mean WHEN 'D' THEN med
+      WHEN 'E' THEN CASE WHEN n > 1 THEN (latest + second) / 2 ELSE latest END WHEN 'F' THEN pre
+      WHEN 'G1' THEN pre + CASE family WHEN 'R3' THEN move ELSE 3800 END WHEN 'G2' THEN pre * (1 + rel)
+      WHEN 'H' THEN CASE family WHEN 'R3' THEN (pre + move) * 0.7::DOUBLE + latest * 0.3::DOUBLE
+                                ELSE pre * 0.7::DOUBLE + med * 0.3::DOUBLE END END AS p FROM picked),
+bounded AS (
+  SELECT *, CASE WHEN family = 'TERMINAL' THEN 'VOLATILITY_ADAPTIVE_WIDE' ELSE 'ASYMMETRIC_RELATIVE_EMPIRICAL' END AS kind,
+    greatest(1, CASE WHEN family <> 'TERMINAL' THEN p * 0.85::DOUBLE WHEN p < 10000 THEN p * 0.90::DOUBLE
+                     WHEN p < 25000 THEN p * 0.85::DOUBLE ELSE p * 0.70::DOUBLE END) AS lo,
+    CASE WHEN family <> 'TERMINAL' THEN p * 1.55::DOUBLE WHEN p < 10000 THEN p + 4000 WHEN p < 25000 THEN p + 12000
+         ELSE least(120000, greatest(p * 1.55::DOUBLE, p + 45000)) END AS hi
+  FROM estimated)"""
+
+_MODEL_NAME = """CASE WHEN p IS NULL THEN 'FAIL_CLOSED_HANDLER' ELSE CASE family || m
+  WHEN 'R1A' THEN 'Model A (Latest Historical R1 - ' || latest_year || ')'
+  WHEN 'R1B' THEN 'Model B (Previous Year ' || (academic_year - 1) || ' R1)'
+  WHEN 'R1C' THEN 'Model C (Historical Mean R1)' WHEN 'R1D' THEN 'Model D (Historical Median R1)'
+  WHEN 'R1E' THEN 'Model E (Recent 2-Year Median R1)'
+  WHEN 'R3A' THEN 'Model A (Latest Historical R3 - ' || latest_year || ')'
+  WHEN 'R3F' THEN 'Model F (Within-Year Preceding R1 Alone)'
+  WHEN 'R3G1' THEN 'Model G1 (Preceding R1 + Additive Movement [+' || format('{:,}', CAST(round_even(move, 0) AS BIGINT)) || ' ranks])'
+  WHEN 'R3G2' THEN printf('Model G2 (Preceding R1 * [1 + %.1f%% Relative Movement])', rel * 100)
+  WHEN 'R3H' THEN 'Model H (Hybrid: 70% Intra-Year Movement + 30% Historical R3)'
+  WHEN 'TERMINALA' THEN 'Model A (Latest Historical Terminal - ' || latest_year || ')'
+  WHEN 'TERMINALB' THEN 'Model B (Strict Previous Year ' || (academic_year - 1) || ' Terminal)'
+  WHEN 'TERMINALC' THEN 'Model C (Historical Mean Terminal)' WHEN 'TERMINALD' THEN 'Model D (Historical Median Terminal)'
+  WHEN 'TERMINALF' THEN 'Model F (Within-Year Preceding R3 Alone)'
+  WHEN 'TERMINALG1' THEN 'Model G1 (Preceding R3 + Additive Expansion [+3,800 ranks])'
+  ELSE 'Model H (Hybrid: 70% Preceding R3 + 30% Historical Median Terminal)' END END"""
+
+_STRENGTH = """CASE WHEN p IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN pre IS NOT NULL OR n >= 3 THEN 'STRONG'
+       WHEN n = 2 THEN 'MODERATE' WHEN n = 1 THEN 'SPARSE' ELSE 'INSUFFICIENT_EVIDENCE' END"""
+
+
+def _scored(where: str) -> str:
+    return f"{BASE}, {REQUESTS}, {SCORING.format(where=where)}"
+
+
+def _prediction(where: str) -> str:
+    return f"""{_scored("error_code IS NULL AND " + where)}
+SELECT request_id, college_id, branch_id, academic_year, category, program_type,
+  CASE WHEN p IS NOT NULL THEN family ELSE round END AS round,
+  CASE WHEN p IS NOT NULL THEN 'SUCCESS' ELSE 'INSUFFICIENT_EVIDENCE' END AS status,
+  {dec('p', 1)} AS predicted_closing_rank,
+  CASE WHEN p IS NOT NULL THEN {dec('lo', 1)} END AS lower_bound, CASE WHEN p IS NOT NULL THEN {dec('hi', 1)} END AS upper_bound,
+  CASE WHEN p IS NOT NULL THEN kind END AS interval_type,
+  CASE WHEN p IS NOT NULL THEN CASE kind WHEN 'VOLATILITY_ADAPTIVE_WIDE' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END END AS target_coverage,
+  CASE WHEN p IS NOT NULL THEN {dec('hi - lo', 1)} END AS interval_width,
+  CASE WHEN p IS NOT NULL THEN {dec('(hi - lo) / p', 4)} END AS relative_width,
+  {_STRENGTH} AS evidence_strength,
+  CAST(CASE WHEN p IS NULL THEN 0 ELSE n + CASE WHEN pre IS NOT NULL THEN 1 ELSE 0 END END AS INTEGER) AS observation_count,
+  CASE WHEN p IS NOT NULL THEN coalesce(latest_year, academic_year) END AS latest_comparable_year,
+  CASE WHEN p IS NOT NULL THEN 'NONE' ELSE 'NO_HISTORICAL_RECORDS' END AS cold_start_reason,
+  {_MODEL_NAME} AS model_name
+FROM bounded"""
+
+
+_TESTS = """
+tests AS (
+  SELECT t.academic_year AS target_year, t.program_type, t.category, t.college_id, t.branch_id,
+         CAST(t.closing_rank AS DOUBLE) AS actual, CAST(count(h.closing_rank) AS INTEGER) AS depth,
+         list(CAST(h.closing_rank AS DOUBLE) ORDER BY h.academic_year DESC) FILTER (h.closing_rank IS NOT NULL) AS v,
+         list(h.academic_year ORDER BY h.academic_year DESC) FILTER (h.closing_rank IS NOT NULL) AS y
+  FROM series t LEFT JOIN series h ON h.family = t.family AND h.college_id = t.college_id AND h.branch_id = t.branch_id
+   AND h.category = t.category AND h.academic_year < t.academic_year
+  WHERE t.family = '{family}' GROUP BY ALL),
+stat AS (SELECT *, v[1] AS latest, list_aggregate(v, 'median') AS med, list_aggregate(v, 'avg') AS mean FROM tests WHERE depth > 0),
+stat2 AS (SELECT *, CASE WHEN depth > 1 THEN nullif(list_aggregate(list_transform(v, lambda x: abs(x - med)), 'median'), 0) END AS mad FROM stat),
+points AS (
+  SELECT *, unnest([{{'model': 'Baseline A (Lag-1 Latest)', 'f': latest}}, {{'model': 'Baseline B (Historical Median)', 'f': med}},
+    {{'model': 'Baseline C (Historical Mean)', 'f': mean}},
+    {{'model': 'Recency Weighted (70/30)', 'f': CASE WHEN depth > 1 THEN latest * 0.7::DOUBLE + v[2] * 0.3::DOUBLE ELSE latest END}},
+    {{'model': 'Baseline E (Linear Trend)', 'f': CASE WHEN depth > 1 THEN greatest(1, latest + (latest - v[2]) / (y[1] - y[2]) * (target_year - y[1])) ELSE latest END}}],
+    recursive := true) FROM stat2),
+spans AS (
+  SELECT *, unnest([{{'model': 'Empirical [Min, Max] Range', 'lo': list_aggregate(v, 'min'), 'hi': list_aggregate(v, 'max')}},
+    {{'model': 'Median +- 1.5 * MAD', 'lo': greatest(1, med - coalesce(mad, latest * 0.15::DOUBLE) * 1.5::DOUBLE), 'hi': med + coalesce(mad, latest * 0.15::DOUBLE) * 1.5::DOUBLE}},
+    {{'model': 'Lag-1 +- 25% Width', 'lo': greatest(1, latest * 0.75::DOUBLE), 'hi': latest * 1.25::DOUBLE}},
+    {{'model': 'Lag-1 +- 35% Width', 'lo': greatest(1, latest * 0.65::DOUBLE), 'hi': latest * 1.35::DOUBLE}}],
+    recursive := true) FROM stat2)"""
+
+
+def _tests(family: str) -> str:
+    return f"{BASE}, {REQUESTS}, {_TESTS.format(family=family)}"
+
+
+_POINT = f"""count(*) AS sample_size, {dec('avg(abs(actual - f))', 2)} AS mae, {dec('median(abs(actual - f))', 2)} AS med_ae,
+  {dec('sqrt(avg((actual - f) * (actual - f)))', 2)} AS rmse, {dec('median(abs(actual - f) / actual)', 4)} AS mdape"""
+_SPAN = f"""count(*) AS sample_size, {dec('avg(CASE WHEN actual BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS coverage,
+  {dec('median(greatest(0, hi - lo))', 1)} AS median_width, {dec('avg(greatest(0, hi - lo))', 1)} AS mean_width,
+  {dec('median(greatest(0, hi - lo) / actual)', 4)} AS median_rel_width,
+  {dec('avg(CASE WHEN actual < lo THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS below_lower_rate,
+  {dec('avg(CASE WHEN actual >= lo AND actual > hi THEN 1.0::DOUBLE ELSE 0 END)', 4)} AS above_upper_rate"""
+_WINDOW = "target_year, program_type, category"
+
+
+def prediction() -> dict[str, str]:
+    return {
+        "pred_r1": _prediction("round = 'R1'"),
+        "pred_r3": _prediction("round = 'R3'"),
+        "pred_terminal": _prediction("round IN ('R4', 'TERMINAL')"),
+        "pred_evidence": f"""{_scored("error_code IS NULL")}, ok AS (
+  SELECT *, pre IS NOT NULL AND (family = 'TERMINAL' OR m IN ('F', 'G1', 'G2', 'H')) AS within FROM estimated WHERE p IS NOT NULL),
+items AS (
+  SELECT request_id, 0 AS k, 'PRECEDING_ROUND' AS source_type, academic_year, CASE family WHEN 'R3' THEN 'R1' ELSE 'R3' END AS round_code,
+         pre AS closing_rank, NULL::DOUBLE AS weight, academic_year || CASE family WHEN 'R3' THEN ' Round 1' ELSE ' Round 3' END
+         || ' preceding closing rank: ' || format('{{:,}}', CAST(pre AS BIGINT)) AS description FROM ok WHERE within
+  UNION ALL SELECT request_id, 1, 'HISTORICAL_MOVEMENT', NULL, 'R1_TO_R3', move, NULL,
+         'Median R1->R3 expansion learned from prior years: +' || format('{{:,}}', CAST(round_even(move, 0) AS BIGINT)) || ' ranks'
+  FROM ok WHERE within AND family = 'R3' AND m = 'G1'
+  UNION ALL SELECT request_id, s.academic_year, 'HISTORICAL_CUTOFF', s.academic_year, s.family, CAST(s.closing_rank AS DOUBLE),
+         CASE WHEN o.family = 'R1' AND s.academic_year = latest_year AND coalesce(model[7], 'A') = 'A' THEN 1.0::DOUBLE END,
+         s.academic_year || CASE s.family WHEN 'R1' THEN ' Round 1 official published closing rank: '
+            WHEN 'R3' THEN ' Round 3 official closing rank: ' ELSE ' terminal official closing rank: ' END
+         || format('{{:,}}', s.closing_rank)
+  FROM ok o JOIN series s ON s.family = o.family AND s.college_id = o.college_id AND s.branch_id = o.branch_id
+   AND s.category = o.category AND s.academic_year < o.academic_year
+  WHERE NOT within AND (o.family <> 'R3' OR s.academic_year = latest_year))
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY k) - 1 AS INTEGER) AS position, * EXCLUDE (request_id, k) FROM items""",
+        "request_rejects": f"""{BASE}, {REQUESTS} SELECT request_id, error_code,
+  CASE WHEN error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH') THEN 'NOT_FOUND' ELSE 'INVALID' END AS error_class
+FROM checked WHERE error_code IS NOT NULL""",
+        "learned_movement": f"""{BASE}, {REQUESTS} SELECT academic_year, program_type, category, CAST(move AS DOUBLE) AS median_move,
+  {dec('rel', 6)} AS median_relative_move FROM moves""",
+        "intervals": f"""{_scored("error_code IS NULL AND round = 'R1'")}, q AS (
+  SELECT request_id, {dec('p', 1)} AS p FROM estimated WHERE p IS NOT NULL),
+k AS (SELECT request_id, p, unnest([
+    {{'interval_type': 'VOLATILITY_ADAPTIVE_WIDE', 'target_coverage': 0.90::DOUBLE,
+      'lo': CASE WHEN p < 10000 THEN p * 0.90::DOUBLE WHEN p < 25000 THEN p * 0.85::DOUBLE ELSE p * 0.70::DOUBLE END,
+      'hi': CASE WHEN p < 10000 THEN p + 4000 WHEN p < 25000 THEN p + 12000 ELSE least(120000, greatest(p * 1.55::DOUBLE, p + 45000)) END}},
+    {{'interval_type': 'ASYMMETRIC_RELATIVE_EMPIRICAL', 'target_coverage': 0.70::DOUBLE, 'lo': p * 0.85::DOUBLE, 'hi': p * 1.55::DOUBLE}},
+    {{'interval_type': 'ADDITIVE_EMPIRICAL', 'target_coverage': 0.65::DOUBLE, 'lo': p - 5000, 'hi': p + 20000}},
+    {{'interval_type': 'SYMMETRIC_RELATIVE', 'target_coverage': 0.48::DOUBLE, 'lo': p * 0.75::DOUBLE, 'hi': p * 1.25::DOUBLE}}], recursive := true)
+  FROM q)
+SELECT request_id, p AS predicted_closing_rank, {dec('greatest(1, lo)', 1)} AS lower_bound, {dec('hi', 1)} AS upper_bound,
+  interval_type, target_coverage, {dec('hi - greatest(1, lo)', 1)} AS interval_width,
+  {dec('(hi - greatest(1, lo)) / p', 4)} AS relative_width FROM k""",
+        "decision": f"""{_scored("error_code IS NULL AND program_type = 'ENGINEERING' AND candidate_rank > 0")}, d AS (
+  SELECT request_id, {dec('lo', 1)} AS lo, {dec('p', 1)} AS p, {dec('hi', 1)} AS hi, pre, n FROM bounded),
+e AS (SELECT *, CASE WHEN candidate_rank <= 0 THEN 'INVALID_CANDIDATE_RANK'
+        WHEN program_type = 'ARCHITECTURE' THEN CASE WHEN error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH') THEN error_code
+             WHEN own_program <> 'ARCHITECTURE' THEN 'PROGRAM_MISMATCH' END ELSE error_code END AS code FROM checked)
+SELECT request_id, college_id, branch_id, academic_year, category, program_type, candidate_rank,
+  CASE round WHEN 'TERMINAL' THEN 'R4' ELSE round END AS round,
+  CASE WHEN code IS NULL THEN CASE WHEN p IS NULL THEN 'INSUFFICIENT_EVIDENCE' ELSE 'SUCCESS' END END AS prediction_status,
+  p AS predicted_closing_rank, CASE WHEN p IS NOT NULL THEN lo END AS lower_bound, CASE WHEN p IS NOT NULL THEN hi END AS upper_bound,
+  CASE WHEN code IS NULL THEN CASE WHEN p IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN candidate_rank < lo THEN 'NUMERICALLY_BELOW_LOWER_BOUND'
+       WHEN candidate_rank <= p THEN 'WITHIN_LOWER_HALF' WHEN candidate_rank <= hi THEN 'WITHIN_UPPER_HALF'
+       ELSE 'NUMERICALLY_ABOVE_UPPER_BOUND' END END AS evidence_state,
+  CASE WHEN code IS NULL THEN {_STRENGTH} END AS evidence_strength,
+  CAST(CASE WHEN code IS NULL THEN CASE WHEN p IS NULL THEN 0 ELSE n + CASE WHEN pre IS NOT NULL THEN 1 ELSE 0 END END END AS INTEGER) AS observation_count,
+  code AS error_code
+FROM e LEFT JOIN d USING (request_id)""",
+        "bt_windows": f"""{_tests('R1')} SELECT {_WINDOW}, count(*) AS total_test_combinations,
+  count(*) FILTER (depth > 0) AS evaluated_combinations, count(*) FILTER (depth = 0) AS cold_start_combinations FROM tests GROUP BY ALL""",
+        "bt_r1_points": f"{_tests('R1')} SELECT {_WINDOW}, model, {_POINT} FROM points GROUP BY ALL",
+        "bt_r1_intervals": f"{_tests('R1')} SELECT {_WINDOW}, model, {_SPAN} FROM spans GROUP BY ALL",
+        "bt_terminal": f"{_tests('TERMINAL')} SELECT {_WINDOW}, model, {_POINT} FROM points GROUP BY ALL",
+        "bt_terminal_intervals": f"{_tests('TERMINAL')} SELECT {_WINDOW}, model, {_SPAN} FROM spans GROUP BY ALL",
+        "bt_depth": f"""{_tests('R1')} SELECT {_WINDOW}, depth, {_POINT} FROM points
+WHERE model = 'Baseline A (Lag-1 Latest)' GROUP BY ALL""",
+        "leakage_violations": f"""{BASE} SELECT CAST(t AS INTEGER) AS target_year, count(*) AS train_records,
+  count(*) FILTER (academic_year >= t) AS future_records, count(*) FILTER (round_code <> 'R1') AS other_rounds,
+  count(*) FILTER (status <> 'PUBLISHED') AS unpublished_records
+FROM range(1995, 2002) r(t) JOIN panel ON round_code = 'R1' AND academic_year < t GROUP BY 1""",
+        "seat_correlation": f"""{FACTS}, held AS (
+  SELECT college_id, coalesce(canonical_branch_id, branch_id) AS branch_id,
+         coalesce(nullif(max(total_seats) FILTER (academic_year = 2001), 0), max(total_seats) FILTER (academic_year = 2000)) AS seats
+  FROM seats JOIN branches USING (branch_id) GROUP BY ALL),
+w AS (SELECT college_id, branch_id, max(closing_rank) FILTER (academic_year = 2001) AS now,
+             max(closing_rank) FILTER (academic_year = 2000) AS before
+      FROM cells WHERE round_code = 'R1' AND program_type = 'ENGINEERING' AND category = 'GM' GROUP BY ALL)
+SELECT count(*) AS sample_size,
+  CASE WHEN count(*) >= 10 THEN {dec('coalesce(corr(seats, abs(now - before)), 0)', 4)} END AS correlation_seats_to_prediction_error,
+  CASE WHEN count(*) >= 10 THEN {dec('coalesce(corr(seats, now), 0)', 4)} END AS correlation_seats_to_closing_rank,
+  CASE WHEN count(*) >= 10 THEN 'NEGLIGIBLE_PREDICTIVE_SIGNAL' ELSE 'INSUFFICIENT_DATA' END AS assessment
+FROM w JOIN held USING (college_id, branch_id) WHERE now IS NOT NULL AND before IS NOT NULL AND seats IS NOT NULL""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (longitudinal, lookups):
+    for part in (longitudinal, lookups, prediction):
         out.update(part())
     return out

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from cutline.catalog.oracle import YOY_PAIRS
 from cutline.functions.ranks import rounded
+from cutline.operators import backtest as bt
 from cutline.operators import longitudinal as lon
 from cutline.operators import lookups as look
 from cutline.operators import monitor as mon
+from cutline.operators import predict as pre
 from cutline.plans.panel import COMBO, terminal_states
-from cutline.sources.star import Star
+from cutline.sources.star import BASE_YEAR, YEARS, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -357,5 +359,113 @@ def reconcile(s: Star) -> DataFrame:
     )
 
 
+# prediction -----------------------------------------------------------------
+
+
+def _predictions(s: Star, *rounds: str) -> DataFrame:
+    asked = s.requests().filter(F.upper("round").isin(*rounds)) if rounds else s.requests()
+    return pre.predict(asked, s.wide(), s.colleges(), s.branches(), BASE_YEAR)
+
+
+def _flat(predictions: DataFrame) -> DataFrame:
+    part = F.col("prediction_interval")
+    return predictions.select(
+        "request_id", "college_id", "branch_id", "academic_year", "category", "program_type", "round", "status",
+        "predicted_closing_rank", "lower_bound", "upper_bound",
+        part["interval_type"].alias("interval_type"), part["target_coverage"].alias("target_coverage"),
+        part["interval_width"].alias("interval_width"), part["relative_width"].alias("relative_width"),
+        "evidence_strength", "observation_count", "latest_comparable_year", "cold_start_reason", "model_name",
+    )
+
+
+@register
+def pred_r1(s: Star) -> DataFrame:
+    return _flat(_predictions(s, "R1"))
+
+
+@register
+def pred_r3(s: Star) -> DataFrame:
+    return _flat(_predictions(s, "R3"))
+
+
+@register
+def pred_terminal(s: Star) -> DataFrame:
+    return _flat(_predictions(s, "R4", "TERMINAL"))
+
+
+@register
+def pred_evidence(s: Star) -> DataFrame:
+    """The evidence trail of every prediction, one row per item."""
+    items = _predictions(s).select("request_id", F.posexplode("evidence_trail").alias("position", "item"))
+    return items.select("request_id", "position", "item.*")
+
+
+@register
+def request_rejects(s: Star) -> DataFrame:
+    checked = pre.validate_requests(s.requests(), s.colleges(), s.branches(), BASE_YEAR)
+    refused = checked.filter(F.col("error_code").isNotNull())
+    return refused.select("request_id", "error_code", pre.error_class(F.col("error_code")).alias("error_class"))
+
+
+@register
+def learned_movement(s: Star) -> DataFrame:
+    return round_columns(pre.learned_movement(s.wide(), YEARS), ["median_relative_move"])
+
+
+@register
+def intervals(s: Star) -> DataFrame:
+    return pre.all_intervals(_predictions(s, "R1"))
+
+
+@register
+def decision(s: Star) -> DataFrame:
+    return pre.decide(s.requests(), s.wide(), s.colleges(), s.branches(), BASE_YEAR).drop(
+        "explanation", "decision_text", "model_name"
+    )
+
+
+# backtest -------------------------------------------------------------------
+
+
+@register
+def bt_windows(s: Star) -> DataFrame:
+    return bt.window_summary(bt.cases(s.wide(), YEARS, "R1"))
+
+
+@register
+def bt_r1_points(s: Star) -> DataFrame:
+    return bt.point_metrics(bt.point_forecasts(bt.cases(s.wide(), YEARS, "R1")), [*bt.WINDOW, "model"])
+
+
+@register
+def bt_r1_intervals(s: Star) -> DataFrame:
+    return bt.interval_metrics(bt.interval_forecasts(bt.cases(s.wide(), YEARS, "R1")), [*bt.WINDOW, "model"])
+
+
+@register
+def bt_terminal(s: Star) -> DataFrame:
+    return bt.point_metrics(bt.point_forecasts(bt.cases(s.wide(), YEARS, "TERMINAL")), [*bt.WINDOW, "model"])
+
+
+@register
+def bt_terminal_intervals(s: Star) -> DataFrame:
+    return bt.interval_metrics(bt.interval_forecasts(bt.cases(s.wide(), YEARS, "TERMINAL")), [*bt.WINDOW, "model"])
+
+
+@register
+def bt_depth(s: Star) -> DataFrame:
+    return bt.depth_breakdown(bt.point_forecasts(bt.cases(s.wide(), YEARS, "R1")))
+
+
+@register
+def leakage_violations(s: Star) -> DataFrame:
+    return bt.leakage_violations(bt.training_rows(s.panel(status=None), YEARS), YEARS)
+
+
+@register
+def seat_correlation(s: Star) -> DataFrame:
+    return bt.seat_correlation(s.wide(), s.seats(), s.branches(), 2001, 2000)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.operators.predict import MODELS
 from cutline.plans.calendar import PARTIAL, RoundCalendar
 from cutline.plans.panel import WidePanel, canonical_panel, wide_panel
 
@@ -214,6 +215,33 @@ class Star:
             )
         )
 
+    def requests(self) -> DataFrame:
+        """One prediction request per cutoff record, asked as if its round had not closed yet.
+
+        Some requests name unknown entities, a program that does not fit or a
+        round that cannot be asked for, so every refusal occurs.
+        """
+        supplier, year = F.col("college_id").cast("int"), F.col("academic_year")
+        models = F.array(F.lit(None).cast("string"), *[F.lit(m) for m in MODELS])
+        asked = F.when(F.col("round_code") == "MOCK", "TERMINAL").otherwise(F.col("round_code"))
+        lower = F.col("source_version_id") == "v1"
+        large = F.col("branch_id").isin(ARCHITECTURE_TYPES)
+        return self.cutoffs().select(
+            F.col("record_id").alias("request_id"),
+            F.when(lower & (supplier % 29 == 0), F.concat(F.lit("X"), "college_id"))
+            .otherwise(F.col("college_id")).alias("college_id"),
+            F.when(lower & (F.col("branch_id") == "SMALL") & (year == 1997), "TINY")
+            .otherwise(F.col("branch_id")).alias("branch_id"),
+            "academic_year",
+            F.when(lower, F.lower(asked)).otherwise(asked).alias("round"),
+            F.col("category_code").alias("category"),
+            F.when(large | ((F.col("branch_id") == "MEDIUM") & (year == 2001)), "ARCHITECTURE")
+            .when((F.col("branch_id") == "ECONOMY") & (year == 2000), "DESIGN")
+            .otherwise("ENGINEERING").alias("program_type"),
+            F.get(models, (supplier + year) % 10).alias("model_type"),
+            F.when(lower & (supplier % 31 == 0), 0).otherwise(F.col("opening_rank")).alias("candidate_rank"),
+        )
+
     # provenance and operation, from the event stream -----------------------
 
     def aliases(self) -> DataFrame:
