@@ -27,11 +27,11 @@ def register(fn: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 
 
 def round_columns(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
+    return df.withColumns({c: F.expr(rounded(c, digits)) for c in columns})
 
 
 def join_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in columns})
+    return df.withColumns({c: F.expr(f"array_join(CAST({c} AS ARRAY<STRING>), ',')") for c in columns})
 
 
 # longitudinal ---------------------------------------------------------------
@@ -251,7 +251,7 @@ def compare(s: Star) -> DataFrame:
 def rank_containment(s: Star) -> DataFrame:
     """Each published cutoff against a rank taken from its own college's cutoffs."""
     kept = s.panel().select("record_id", "college_id", "closing_rank", "opening_rank")
-    return look.rank_containment(kept, (F.col("opening_rank") * 2).cast("int"))
+    return look.rank_containment(kept, "opening_rank * 2")
 
 
 @register
@@ -293,7 +293,7 @@ NOW = "2024-02-01 00:00:00"
 
 def _freshness(s: Star) -> DataFrame:
     versions = s.versions().withColumn("source_version_id", F.col("source_version_id").cast("long"))
-    return mon.source_freshness(s.sources(), versions, s.reviews(), F.lit(NOW))
+    return mon.source_freshness(s.sources(), versions, s.reviews(), f"'{NOW}'")
 
 
 @register
@@ -368,13 +368,11 @@ def _predictions(s: Star, *rounds: str) -> DataFrame:
 
 
 def _flat(predictions: DataFrame) -> DataFrame:
-    part = F.col("prediction_interval")
     return predictions.select(
         "request_id", "college_id", "branch_id", "academic_year", "category", "program_type", "round", "status",
         "predicted_closing_rank", "lower_bound", "upper_bound",
-        part["interval_type"].alias("interval_type"), part["target_coverage"].alias("target_coverage"),
-        part["interval_width"].alias("interval_width"), part["relative_width"].alias("relative_width"),
-        "evidence_strength", "observation_count", "latest_comparable_year", "cold_start_reason", "model_name",
+        "prediction_interval.interval_type", "prediction_interval.target_coverage",
+        "prediction_interval.interval_width", "prediction_interval.relative_width", "evidence_strength", "observation_count", "latest_comparable_year", "cold_start_reason", "model_name",
     )
 
 
@@ -404,7 +402,7 @@ def pred_evidence(s: Star) -> DataFrame:
 def request_rejects(s: Star) -> DataFrame:
     checked = pre.validate_requests(s.requests(), s.colleges(), s.branches(), BASE_YEAR)
     refused = checked.filter(F.col("error_code").isNotNull())
-    return refused.select("request_id", "error_code", pre.error_class(F.col("error_code")).alias("error_class"))
+    return refused.selectExpr("request_id", "error_code", f"{pre.ERROR_CLASS} AS error_class")
 
 
 @register

@@ -1,9 +1,11 @@
-"""Rank arithmetic as Column expressions: moves, intervals, evidence, rounding, formatting."""
+"""Rank arithmetic: moves, intervals, evidence, rounding, formatting.
+
+Arguments and results are SQL text; ``sql.expr`` turns a result into a Column.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from cutline.functions.sql import case, struct, text
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -19,145 +21,148 @@ COVERAGE = {
 INTERVAL_TYPES = list(COVERAGE)
 
 # adaptive interval: (predicted below, lower factor, added to the prediction)
-ADAPTIVE_STEPS = [(10000.0, 0.90, 4000.0), (25000.0, 0.85, 12000.0)]
-ADAPTIVE_TOP = {"lower": 0.70, "factor": 1.55, "added": 45000.0, "ceiling": 120000.0}
-
-# ---------------------------------------------------------------------------
+ADAPTIVE_STEPS = [(10000, 0.90, 4000), (25000, 0.85, 12000)]
+ADAPTIVE_TOP = {"lower": 0.70, "factor": 1.55, "added": 45000, "ceiling": 120000}
 
+# factors, or amounts, below and above the prediction
+ASYMMETRIC = (0.85, 1.55)
+ADDITIVE = (5000, 20000)
+SYMMETRIC = (0.75, 1.25)
 
-def number(value: float) -> Column:
-    return F.lit(float(value))
+# ---------------------------------------------------------------------------
 
 
-def rounded(value: Column, digits: int) -> Column:
+def rounded(value: str, digits: int) -> str:
     """Round half up on the decimal form.
 
     The value goes through a decimal with nine places first, so the noise in
     the last bit of a double (from another order of summation) cannot move a tie.
     """
-    return F.round(value.cast("decimal(30,9)"), digits).cast("double")
+    return f"CAST(round(CAST({value} AS DECIMAL(30,9)), {digits}) AS DOUBLE)"
 
 
-def nonzero(value: Column) -> Column:
+def nonzero(value: str) -> str:
     """NULL for 0: a missing value is often written as 0."""
-    return F.nullif(value, F.lit(0))
+    return f"nullif({value}, 0)"
 
 
-def relative_move(base: Column, other: Column) -> Column:
+def relative_move(base: str, other: str) -> str:
     """(other - base) / base, 0 where the base is not positive."""
-    return F.when(base > 0, (other - base) / base).otherwise(number(0))
+    return f"CASE WHEN {base} > 0 THEN ({other} - {base}) / {base} ELSE 0D END"
 
 
-def relative_distance(base: Column, other: Column) -> Column:
-    return F.when(base > 0, F.abs(other - base) / base).otherwise(number(0))
+def relative_distance(base: str, other: str) -> str:
+    return f"CASE WHEN {base} > 0 THEN abs({other} - {base}) / {base} ELSE 0D END"
 
 
-def direction(move: Column, unchanged: str = "UNCHANGED") -> Column:
-    return (
-        F.when(move < 0, "EARLIER_NUMERICALLY")
-        .when(move > 0, "LATER_NUMERICALLY")
-        .when(move == 0, unchanged)
+def direction(move: str) -> str:
+    return case(
+        (f"{move} < 0", "'EARLIER_NUMERICALLY'"),
+        (f"{move} > 0", "'LATER_NUMERICALLY'"),
+        (f"{move} = 0", "'UNCHANGED'"),
     )
 
 
-def at_least_one(value: Column) -> Column:
-    return F.greatest(number(1), value)
+def at_least_one(value: str) -> str:
+    return f"greatest(1D, {value})"
 
 
-def evidence_strength(observations: Column, has_preceding: Column) -> Column:
-    return (
-        F.when(has_preceding | (observations >= 3), "STRONG")
-        .when(observations == 2, "MODERATE")
-        .when(observations == 1, "SPARSE")
-        .otherwise("INSUFFICIENT_EVIDENCE")
+def evidence_strength(observations: str, has_preceding: str) -> str:
+    return case(
+        (f"{has_preceding} OR {observations} >= 3", "'STRONG'"),
+        (f"{observations} = 2", "'MODERATE'"),
+        (f"{observations} = 1", "'SPARSE'"),
+        default="'INSUFFICIENT_EVIDENCE'",
     )
 
 
-def data_quality(observations: Column) -> Column:
-    return (
-        F.when(observations == 1, "INSUFFICIENT").when(observations == 2, "SPARSE").otherwise("OBSERVABLE")
+def data_quality(observations: str) -> str:
+    return case(
+        (f"{observations} = 1", "'INSUFFICIENT'"), (f"{observations} = 2", "'SPARSE'"), default="'OBSERVABLE'"
     )
 
 
-def interval_bounds(predicted: Column, interval_type: str) -> tuple[Column, Column]:
+def interval_bounds(p: str, interval_type: str) -> tuple[str, str]:
     """(lower, upper) before rounding."""
-    p = predicted
     if interval_type == "VOLATILITY_ADAPTIVE_WIDE":
         top = ADAPTIVE_TOP
-        lower = p * top["lower"]
-        upper = F.least(
-            number(top["ceiling"]), F.greatest(p * top["factor"], p + number(top["added"]))
+        lower = case(
+            *[(f"{p} < {limit}", f"{p} * {factor}D") for limit, factor, _ in ADAPTIVE_STEPS],
+            default=f"{p} * {top['lower']}D",
+        )
+        widest = f"least({top['ceiling']}D, greatest({p} * {top['factor']}D, {p} + {top['added']}))"
+        upper = case(
+            *[(f"{p} < {limit}", f"{p} + {added}") for limit, _, added in ADAPTIVE_STEPS], default=widest
         )
-        for limit, factor, added in reversed(ADAPTIVE_STEPS):
-            lower = F.when(p < limit, p * factor).otherwise(lower)
-            upper = F.when(p < limit, p + number(added)).otherwise(upper)
     elif interval_type == "ASYMMETRIC_RELATIVE_EMPIRICAL":
-        lower, upper = p * 0.85, p * 1.55
+        lower, upper = (f"{p} * {factor}D" for factor in ASYMMETRIC)
     elif interval_type == "ADDITIVE_EMPIRICAL":
-        lower, upper = p - number(5000), p + number(20000)
+        lower, upper = f"{p} - {ADDITIVE[0]}", f"{p} + {ADDITIVE[1]}"
     elif interval_type == "SYMMETRIC_RELATIVE":
-        lower, upper = p * 0.75, p * 1.25
+        lower, upper = (f"{p} * {factor}D" for factor in SYMMETRIC)
     else:
         raise ValueError(f"unknown interval type {interval_type!r}")
     # greatest() skips NULLs, and a missing prediction must not become the bound 1
-    return F.when(p.isNotNull(), at_least_one(lower)), F.when(p.isNotNull(), upper)
-
-
-def interval(predicted: Column, interval_type: str) -> Column:
-    """struct(lower_bound, upper_bound, interval_type, target_coverage, interval_width, relative_width)."""
-    lower, upper = interval_bounds(predicted, interval_type)
-    width = upper - lower
-    relative = F.when(predicted > 0, width / predicted).otherwise(number(0))
-    return F.when(
-        predicted.isNotNull(),
-        F.struct(
-            rounded(lower, 1).alias("lower_bound"),
-            rounded(upper, 1).alias("upper_bound"),
-            F.lit(interval_type).alias("interval_type"),
-            number(COVERAGE[interval_type]).alias("target_coverage"),
-            rounded(width, 1).alias("interval_width"),
-            rounded(relative, 4).alias("relative_width"),
-        ),
+    return f"CASE WHEN {p} IS NOT NULL THEN {at_least_one(lower)} END", upper
+
+
+def interval(lower: str, upper: str, predicted: str, interval_type: str) -> str:
+    """Interval as a struct, from bounds that are columns already; NULL without a prediction."""
+    relative = f"CASE WHEN {predicted} > 0 THEN ({upper} - {lower}) / {predicted} ELSE 0D END"
+    return case(
+        (
+            f"{predicted} IS NOT NULL",
+            struct(
+                {
+                    "lower_bound": rounded(lower, 1),
+                    "upper_bound": rounded(upper, 1),
+                    "interval_type": text(interval_type),
+                    "target_coverage": f"{COVERAGE[interval_type]}D",
+                    "interval_width": rounded(f"({upper} - {lower})", 1),
+                    "relative_width": rounded(relative, 4),
+                }
+            ),
+        )
     )
 
 
-def decision_state(rank: Column, lower: Column, estimate: Column, upper: Column) -> Column:
+def decision_state(rank: str, lower: str, estimate: str, upper: str) -> str:
     """Where a candidate's rank lies against a predicted interval; a smaller rank is better."""
-    return (
-        F.when(lower.isNull() | estimate.isNull() | upper.isNull(), "INSUFFICIENT_EVIDENCE")
-        .when(rank < lower, "NUMERICALLY_BELOW_LOWER_BOUND")
-        .when(rank <= estimate, "WITHIN_LOWER_HALF")
-        .when(rank <= upper, "WITHIN_UPPER_HALF")
-        .otherwise("NUMERICALLY_ABOVE_UPPER_BOUND")
+    return case(
+        (f"{lower} IS NULL OR {estimate} IS NULL OR {upper} IS NULL", "'INSUFFICIENT_EVIDENCE'"),
+        (f"{rank} < {lower}", "'NUMERICALLY_BELOW_LOWER_BOUND'"),
+        (f"{rank} <= {estimate}", "'WITHIN_LOWER_HALF'"),
+        (f"{rank} <= {upper}", "'WITHIN_UPPER_HALF'"),
+        default="'NUMERICALLY_ABOVE_UPPER_BOUND'",
     )
 
 
-def containment(rank: Column, closing: Column) -> Column:
-    """struct(within, difference, label) of a candidate's rank against a closing rank."""
-    within = rank <= closing
-    gap = F.abs(rank - closing)
-    return F.struct(
-        within.alias("within"),
-        gap.alias("difference"),
-        F.when(within, F.concat(F.lit("Within by "), thousands(gap)))
-        .when(~within, F.concat(F.lit("Beyond by "), thousands(gap)))
-        .alias("label"),
+def containment(rank: str, closing: str) -> dict[str, str]:
+    """within, difference and label of a candidate's rank against a closing rank."""
+    gap = f"abs({rank} - {closing})"
+    within = f"{rank} <= {closing}"
+    label = case(
+        (within, f"concat('Within by ', {thousands(gap)})"),
+        (f"NOT ({within})", f"concat('Beyond by ', {thousands(gap)})"),
     )
+    return {"within": within, "difference": gap, "label": label}
 
 
-def thousands(value: Column) -> Column:
+def thousands(value: str) -> str:
     """12345.6 -> '12,346' (half-even)."""
-    return F.format_number(value, 0)
+    return f"format_number({value}, 0)"
 
 
-def signed_thousands(value: Column) -> Column:
-    return F.concat(F.when(value >= 0, "+").otherwise(""), thousands(value))
+def signed_thousands(value: str) -> str:
+    return f"concat(CASE WHEN {value} >= 0 THEN '+' ELSE '' END, {thousands(value)})"
 
 
-def in_lakhs(value: Column) -> Column:
+def in_lakhs(value: str) -> str:
     """Amount in units of 100,000 with two digits."""
-    return F.format_number(value / 100000, 2)
+    return f"format_number({value} / 100000, 2)"
 
 
-def hours_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / number(3_600_000_000)
+def hours_between(later: str, earlier: str) -> str:
+    return (
+        f"(unix_micros(CAST({later} AS TIMESTAMP)) - unix_micros(CAST({earlier} AS TIMESTAMP))) / 3600000000D"
+    )

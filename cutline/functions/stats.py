@@ -1,76 +1,65 @@
-"""Statistics over a short, fixed list of columns (one column per year), NULLs skipped.
+"""Statistics over a short, fixed list of expressions (one per year), NULLs skipped.
 
-The list is as long as the calendar, so these are plain row expressions that
-stay in generated code. Statistics across many rows are in ``plans.pooled``.
+Arguments and results are SQL text. The list is as long as the calendar, so
+these are plain row expressions that stay in generated code. Statistics across
+many rows are in ``plans.pooled``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+Exprs = Sequence[str]
 
 
-def count_of(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])
+def count_of(xs: Exprs) -> str:
+    return "(" + " + ".join(f"CAST({x} IS NOT NULL AS INT)" for x in xs) + ")"
 
 
-def total_of(cols: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) for c in cols])
+def total_of(xs: Exprs) -> str:
+    return "(" + " + ".join(f"coalesce(CAST({x} AS DOUBLE), 0D)" for x in xs) + ")"
 
 
-def min_of(cols: Sequence[Column]) -> Column:
-    return F.least(*cols) if len(cols) > 1 else cols[0]
+def min_of(xs: Exprs) -> str:
+    return f"least({', '.join(xs)})" if len(xs) > 1 else xs[0]
 
 
-def max_of(cols: Sequence[Column]) -> Column:
-    return F.greatest(*cols) if len(cols) > 1 else cols[0]
+def max_of(xs: Exprs) -> str:
+    return f"greatest({', '.join(xs)})" if len(xs) > 1 else xs[0]
 
 
-def mean_of(cols: Sequence[Column], n: Column | None = None) -> Column:
-    n = count_of(cols) if n is None else n
-    return F.when(n > 0, total_of(cols) / n)
+def mean_of(xs: Exprs, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {total_of(xs)} / {n} END"
 
 
-def median_of(cols: Sequence[Column], n: Column | None = None) -> Column:
-    """Middle value, or the mean of the middle two."""
-    n = count_of(cols) if n is None else n
-    ordered = F.sort_array(F.array(*[c.cast("double") for c in cols]))  # NULLs come first
-    first = F.lit(len(cols)) - n  # number of NULLs
-    low = F.get(ordered, first + F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, first + F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+def median_of(xs: Exprs, n: str) -> str:
+    """Middle value, or the mean of the middle two. NULLs sort first and are stepped over."""
+    ordered = f"sort_array(array({', '.join(f'CAST({x} AS DOUBLE)' for x in xs)}))"
+    low = f"get({ordered}, CAST({len(xs)} - {n} + ({n} - 1) DIV 2 AS INT))"
+    high = f"get({ordered}, CAST({len(xs)} - {n} + {n} DIV 2 AS INT))"
+    return f"CASE WHEN {n} > 0 THEN ({low} + {high}) / 2 END"
 
 
-def sample_sd_of(cols: Sequence[Column], n: Column | None = None, mean: Column | None = None) -> Column:
-    """Sample standard deviation; NULL for fewer than two values.
+def sample_sd_of(xs: Exprs, n: str, mean: str) -> str:
+    """Sample standard deviation; NULL for fewer than two values."""
+    squares = total_of([f"({x} - {mean}) * ({x} - {mean})" for x in xs])
+    return f"CASE WHEN {n} > 1 THEN sqrt({squares} / ({n} - 1)) END"
 
-    Pass ``n`` and ``mean`` where they are columns already, to keep the expression small.
-    """
-    n = count_of(cols) if n is None else n
-    mean = mean_of(cols) if mean is None else mean
-    squares = total_of([(c - mean) * (c - mean) for c in cols])
-    return F.when(n > 1, F.sqrt(squares / (n - 1)))
 
-
-def mad_of(cols: Sequence[Column], n: Column | None = None, median: Column | None = None) -> Column:
+def mad_of(xs: Exprs, n: str, median: str) -> str:
     """Median of the distances from the median; NULL for fewer than two values."""
-    n = count_of(cols) if n is None else n
-    median = median_of(cols) if median is None else median
-    return F.when(n > 1, median_of([F.abs(c - median) for c in cols], n))
+    return f"CASE WHEN {n} > 1 THEN {median_of([f'abs({x} - {median})' for x in xs], n)} END"
 
 
-def cv_of(mean: Column, sd: Column) -> Column:
+def cv_of(mean: str, sd: str) -> str:
     """Coefficient of variation: deviation over mean; NULL for mean 0."""
-    return F.when(mean != 0, sd / mean)
+    return f"CASE WHEN {mean} <> 0 THEN {sd} / {mean} END"
 
 
-def latest_of(cols: Sequence[Column]) -> Column:
-    """Last value that is not NULL; the columns are in time order."""
-    return F.coalesce(*reversed(list(cols)))
+def latest_of(xs: Exprs) -> str:
+    """Last value that is not NULL; the list is in time order."""
+    return f"coalesce({', '.join(reversed(list(xs)))})"
 
 
-def values_array(cols: Sequence[Column]) -> Column:
-    return F.array_compact(F.array(*cols))
+def values_array(xs: Exprs) -> str:
+    return f"array_compact(array({', '.join(xs)}))"

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import stats
-from cutline.functions.ranks import at_least_one, nonzero, number, rounded
+from cutline.functions.ranks import at_least_one, nonzero, rounded
+from cutline.functions.sql import columns, inline, text
 from cutline.plans.panel import COMBO, WidePanel
 from cutline.plans.pooled import with_medians
 
@@ -47,41 +48,44 @@ WINDOW = ["target_year", "program_type", "category"]
 def cases(wide: WidePanel, target_years: Sequence[int], scope: str = "R1") -> DataFrame:
     """One row per combo and target year with a value: the actual rank and the summary of its past."""
     years = wide.calendar.years
-    ranks = {y: wide.scope_rank(y, scope).cast("double") for y in years}
+    past = [f"_p{y}" for y in years]
     rows = [
-        F.struct(
-            F.lit(target).alias("target_year"),
-            ranks[target].alias("actual"),
-            *[
-                (ranks[y] if y < target else F.lit(None).cast("double")).alias(f"_p{y}")
+        {
+            "target_year": str(target),
+            "actual": f"CAST({wide.scope_rank(target, scope)} AS DOUBLE)",
+            **{
+                f"_p{y}": f"CAST({wide.scope_rank(y, scope) if y < target else 'NULL'} AS DOUBLE)"
                 for y in years
-            ],
-        )
+            },
+        }
         for target in target_years
-        if target in ranks
+        if target in years
     ]
-    found = wide.frame.select(*COMBO, F.inline(F.array(*rows))).filter(F.col("actual").isNotNull())
-    past = [F.col(f"_p{y}") for y in years]
-    year_of = [F.when(c.isNotNull(), F.lit(y)) for y, c in zip(years, past)]
+    year_of = [f"CASE WHEN _p{y} IS NOT NULL THEN {y} END" for y in years]
+    found = wide.long(COMBO, rows).filter("actual IS NOT NULL").withColumns(
+        columns(
+            {
+                "depth": stats.count_of(past),
+                "latest": stats.latest_of(past),
+                "latest_year": stats.latest_of(year_of),
+            }
+        )
+    )
     found = found.withColumns(
-        {
-            "depth": stats.count_of(past),
-            "latest": stats.latest_of(past),
-            "latest_year": stats.latest_of(year_of),
-        }
+        columns(
+            {
+                "second": stats.latest_of([f"CASE WHEN latest_year > {y} THEN _p{y} END" for y in years]),
+                "second_year": stats.latest_of(
+                    [f"CASE WHEN latest_year > {y} AND _p{y} IS NOT NULL THEN {y} END" for y in years]
+                ),
+                "mean": stats.mean_of(past, "depth"),
+                "median": stats.median_of(past, "depth"),
+                "lowest": stats.min_of(past),
+                "highest": stats.max_of(past),
+            }
+        )
     )
-    earlier = [F.when(F.col("latest_year") > y, c) for y, c in zip(years, past)]
-    earlier_year = [F.when(F.col("latest_year") > y, s) for y, s in zip(years, year_of)]
-    return found.withColumns(
-        {
-            "second": stats.latest_of(earlier),
-            "second_year": stats.latest_of(earlier_year),
-            "mean": stats.mean_of(past, F.col("depth")),
-            "median": stats.median_of(past, F.col("depth")),
-            "lowest": stats.min_of(past),
-            "highest": stats.max_of(past),
-        }
-    ).withColumn("mad", stats.mad_of(past, F.col("depth"), F.col("median"))).drop(*[f"_p{y}" for y in years])
+    return found.withColumn("mad", F.expr(stats.mad_of(past, "depth", "median"))).drop(*past)
 
 
 def window_summary(tested: DataFrame) -> DataFrame:
@@ -93,101 +97,79 @@ def window_summary(tested: DataFrame) -> DataFrame:
     )
 
 
+_CASE = [*WINDOW, "college_id", "branch_id", "depth", "actual"]
+
+
 def point_forecasts(tested: DataFrame) -> DataFrame:
     """Long rows (case, model, actual, forecast) of all evaluated cases."""
-    latest, second = F.col("latest"), F.col("second")
-    two = F.col("depth") > 1
-    slope = (latest - second) / F.when(two, F.col("latest_year") - F.col("second_year"))
     major, minor = RECENCY_WEIGHTS
+    trend = at_least_one("latest + (latest - second) / (latest_year - second_year) * (target_year - latest_year)")
     forecasts = {
-        "lag1": latest,
-        "median": F.col("median"),
-        "mean": F.col("mean"),
-        "recency": F.when(two, latest * major + second * minor).otherwise(latest),
-        "trend": F.when(
-            two, at_least_one(latest + slope * (F.col("target_year") - F.col("latest_year")))
-        ).otherwise(latest),
+        "lag1": "latest",
+        "median": "median",
+        "mean": "mean",
+        "recency": f"CASE WHEN depth > 1 THEN latest * {major}D + second * {minor}D ELSE latest END",
+        "trend": f"CASE WHEN depth > 1 THEN {trend} ELSE latest END",
     }
-    rows = [
-        F.struct(F.lit(POINT_MODELS[k]).alias("model"), v.alias("forecast")) for k, v in forecasts.items()
-    ]
-    return tested.filter("depth > 0").select(
-        *WINDOW, "college_id", "branch_id", "depth", "actual", F.inline(F.array(*rows))
-    )
+    rows = [{"model": text(POINT_MODELS[k]), "forecast": v} for k, v in forecasts.items()]
+    return tested.filter("depth > 0").selectExpr(*_CASE, inline(rows))
 
 
 def interval_forecasts(tested: DataFrame) -> DataFrame:
     """Long rows (case, model, actual, low, high) of all evaluated cases."""
-    latest, median = F.col("latest"), F.coalesce(nonzero(F.col("median")), F.col("latest"))
-    mad = F.coalesce(nonzero(F.col("mad")), latest * MAD_FALLBACK)
+    middle = f"coalesce({nonzero('median')}, latest)"
+    reach = f"coalesce({nonzero('mad')}, latest * {MAD_FALLBACK}D) * {MAD_WIDTH}D"
     bounds = {
-        "range": (F.col("lowest"), F.col("highest")),
-        "mad": (at_least_one(median - mad * MAD_WIDTH), median + mad * MAD_WIDTH),
-        "lag25": (at_least_one(latest * 0.75), latest * 1.25),
-        "lag35": (at_least_one(latest * 0.65), latest * 1.35),
+        "range": ("lowest", "highest"),
+        "mad": (at_least_one(f"{middle} - {reach}"), f"{middle} + {reach}"),
+        "lag25": (at_least_one("latest * 0.75D"), "latest * 1.25D"),
+        "lag35": (at_least_one("latest * 0.65D"), "latest * 1.35D"),
     }
-    rows = [
-        F.struct(F.lit(INTERVAL_MODELS[k]).alias("model"), low.alias("low"), high.alias("high"))
-        for k, (low, high) in bounds.items()
-    ]
-    return tested.filter("depth > 0").select(
-        *WINDOW, "college_id", "branch_id", "depth", "actual", F.inline(F.array(*rows))
-    )
+    rows = [{"model": text(INTERVAL_MODELS[k]), "low": lo, "high": hi} for k, (lo, hi) in bounds.items()]
+    return tested.filter("depth > 0").selectExpr(*_CASE, inline(rows))
 
 
 def point_metrics(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """MAE, MedAE, RMSE and MdAPE (positive actuals only)."""
-    error = F.abs(F.col("actual") - F.col("forecast"))
+    error = "abs(actual - forecast)"
     out = with_medians(
         forecasts,
         keys,
         [
-            F.count(F.lit(1)).alias("sample_size"),
-            F.avg(error).alias("mae"),
-            F.sqrt(F.avg(error * error)).alias("rmse"),
+            "count(1) AS sample_size",
+            f"avg({error}) AS mae",
+            "sqrt(avg((actual - forecast) * (actual - forecast))) AS rmse",
         ],
-        {"med_ae": error, "mdape": F.when(F.col("actual") > 0, error / F.col("actual"))},
-    )
-    return out.select(
-        *keys,
-        "sample_size",
-        rounded(F.col("mae"), 2).alias("mae"),
-        rounded(F.col("med_ae"), 2).alias("med_ae"),
-        rounded(F.col("rmse"), 2).alias("rmse"),
-        rounded(F.col("mdape"), 4).alias("mdape"),
+        {"med_ae": error, "mdape": f"CASE WHEN actual > 0 THEN {error} / actual END"},
     )
+    digits = {"mae": 2, "med_ae": 2, "rmse": 2, "mdape": 4}
+    return out.selectExpr(*keys, "sample_size", *[f"{rounded(c, d)} AS {c}" for c, d in digits.items()])
 
 
 def interval_metrics(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Coverage, widths, and the shares of actuals below and above the interval."""
-    actual, low, high = F.col("actual"), F.col("low"), F.col("high")
-    width = F.greatest(number(0), high - low)
-    inside = (low <= actual) & (actual <= high)
+    width = "greatest(0D, high - low)"
+    inside = "(low <= actual AND actual <= high)"
 
-    def share(test: Column) -> Column:
-        return F.avg(F.when(test, 1.0).otherwise(0.0))
+    def share(test: str, name: str) -> str:
+        return f"avg(CASE WHEN {test} THEN 1D ELSE 0D END) AS {name}"
 
     out = with_medians(
         forecasts,
         keys,
         [
-            F.count(F.lit(1)).alias("sample_size"),
-            share(inside).alias("coverage"),
-            F.avg(width).alias("mean_width"),
-            share(~inside & (actual < low)).alias("below_lower_rate"),
-            share(~inside & (actual >= low)).alias("above_upper_rate"),
+            "count(1) AS sample_size",
+            share(inside, "coverage"),
+            f"avg({width}) AS mean_width",
+            share(f"NOT {inside} AND actual < low", "below_lower_rate"),
+            share(f"NOT {inside} AND actual >= low", "above_upper_rate"),
         ],
-        {"median_width": width, "median_rel_width": F.when(actual > 0, width / actual)},
+        {"median_width": width, "median_rel_width": f"CASE WHEN actual > 0 THEN {width} / actual END"},
     )
-    return out.select(
-        *keys,
-        "sample_size",
-        rounded(F.col("coverage"), 4).alias("coverage"),
-        rounded(F.col("median_width"), 1).alias("median_width"),
-        rounded(F.col("mean_width"), 1).alias("mean_width"),
-        rounded(F.coalesce("median_rel_width", number(0)), 4).alias("median_rel_width"),
-        rounded(F.col("below_lower_rate"), 4).alias("below_lower_rate"),
-        rounded(F.col("above_upper_rate"), 4).alias("above_upper_rate"),
+    digits = {"coverage": 4, "median_width": 1, "mean_width": 1, "median_rel_width": 4,
+              "below_lower_rate": 4, "above_upper_rate": 4}
+    return out.selectExpr(
+        *keys, "sample_size", *[f"{rounded(f'coalesce({c}, 0D)', d)} AS {c}" for c, d in digits.items()]
     )
 
 
@@ -229,39 +211,41 @@ def seat_correlation(
     Seats are taken on the canonical branch, published only, the largest
     value per combo and year; fewer than ten pairs say INSUFFICIENT_DATA.
     """
-    canon = branches.select("branch_id", F.coalesce("canonical_branch_id", "branch_id").alias("_b"))
+    canon = branches.selectExpr("branch_id", "coalesce(canonical_branch_id, branch_id) AS _canonical")
     held = (
-        seats.filter((F.col("status") == "PUBLISHED") & F.col("total_seats").isNotNull())
+        seats.filter("status = 'PUBLISHED' AND total_seats IS NOT NULL")
         .join(canon, "branch_id")
-        .groupBy("college_id", F.col("_b").alias("branch_id"))
+        .groupBy("college_id", F.expr("_canonical AS branch_id"))
         .agg(
-            F.max(F.when(F.col("academic_year") == target, F.col("total_seats"))).alias("_t"),
-            F.max(F.when(F.col("academic_year") == base, F.col("total_seats"))).alias("_b"),
+            F.expr(f"max(CASE WHEN academic_year = {target} THEN total_seats END) AS _now"),
+            F.expr(f"max(CASE WHEN academic_year = {base} THEN total_seats END) AS _then"),
         )
-        .select("college_id", "branch_id", F.coalesce(nonzero(F.col("_t")), F.col("_b")).alias("seats"))
+        .selectExpr("college_id", "branch_id", f"coalesce({nonzero('_now')}, _then) AS seats")
     )
-    now, then = wide.rank(target, round_code), wide.rank(base, round_code)
     pairs = (
         wide.where("ENGINEERING", "GM")
-        .frame.select("college_id", "branch_id", now.alias("now"), then.alias("then"))
+        .frame.selectExpr(
+            "college_id",
+            "branch_id",
+            f"CAST({wide.rank(target, round_code)} AS DOUBLE) AS now",
+            f"CAST({wide.rank(base, round_code)} AS DOUBLE) AS then",
+        )
         .filter("now IS NOT NULL AND then IS NOT NULL")
         .join(held.filter("seats IS NOT NULL"), ["college_id", "branch_id"])
     )
-    s, error = F.col("seats").cast("double"), F.abs(F.col("now") - F.col("then")).cast("double")
-    n = F.count(F.lit(1))
-    enough = F.col("sample_size") >= MIN_CORRELATION_SAMPLE
     measured = pairs.agg(
-        n.alias("sample_size"),
-        F.corr(s, error).alias("_e"),
-        F.corr(s, F.col("now").cast("double")).alias("_r"),
+        F.expr("count(1) AS sample_size"),
+        F.expr("corr(CAST(seats AS DOUBLE), abs(now - then)) AS _error"),
+        F.expr("corr(CAST(seats AS DOUBLE), now) AS _rank"),
     )
+    enough = f"sample_size >= {MIN_CORRELATION_SAMPLE}"
 
-    def value(c: str) -> Column:
-        return F.when(enough, rounded(F.coalesce(F.nanvl(F.col(c), number(0)), number(0)), 4))
+    def value(c: str) -> str:
+        return f"CASE WHEN {enough} THEN {rounded(f'coalesce(nanvl({c}, 0D), 0D)', 4)} END"
 
-    return measured.select(
+    return measured.selectExpr(
         "sample_size",
-        value("_e").alias("correlation_seats_to_prediction_error"),
-        value("_r").alias("correlation_seats_to_closing_rank"),
-        F.when(enough, "NEGLIGIBLE_PREDICTIVE_SIGNAL").otherwise("INSUFFICIENT_DATA").alias("assessment"),
+        value("_error") + " AS correlation_seats_to_prediction_error",
+        value("_rank") + " AS correlation_seats_to_closing_rank",
+        f"CASE WHEN {enough} THEN 'NEGLIGIBLE_PREDICTIVE_SIGNAL' ELSE 'INSUFFICIENT_DATA' END AS assessment",
     )

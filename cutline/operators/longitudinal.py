@@ -10,19 +10,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import stats
-from cutline.functions.ranks import (
-    data_quality,
-    direction,
-    number,
-    relative_distance,
-    relative_move,
-)
+from cutline.functions.ranks import data_quality, direction, nonzero, relative_distance, relative_move
+from cutline.functions.sql import case, inline, text
+from cutline.functions.sql import columns as sql_columns
 from cutline.plans.calendar import NONE, STRICT_SCOPE, TERMINAL_SCOPES, RoundCalendar
-from cutline.plans.panel import COMBO, WidePanel
+from cutline.plans.panel import COMBO, NO_RANK, WidePanel
 from cutline.plans.pooled import with_medians
 
 PARTITION = ["program_type", "category"]
@@ -36,14 +32,6 @@ SUPERSEDED_REASON = (
 )
 
 
-def _long(wide: WidePanel, columns: Sequence[str], rows: Sequence[Column]) -> DataFrame:
-    return wide.frame.select(*columns, F.inline(F.array(*rows)))
-
-
-def _count_if(test: Column) -> Column:
-    return F.count_if(test).cast("long")
-
-
 # coverage -------------------------------------------------------------------
 
 
@@ -54,26 +42,23 @@ def coverage_counts(panel: DataFrame) -> DataFrame:
     expand a few hundred rows and not the facts.
     """
     fine = panel.groupBy("academic_year", "round_code", "category", "program_type").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "PUBLISHED").alias("published")
+        F.expr("count(1) AS total"), F.expr("count_if(status = 'PUBLISHED') AS published")
     )
     year, code, cat, prog = (F.col(c) for c in ("academic_year", "round_code", "category", "program_type"))
+    grain = case(
+        ("_g = 15", "'ALL'"), ("_g = 7", "'YEAR'"), ("_g = 3", "'YEAR_ROUND'"), ("_g = 13", "'CATEGORY'"),
+        default="'PROGRAM'",
+    )
     return (
         fine.groupingSets([[], [year], [year, code], [cat], [prog]], year, code, cat, prog)
         .agg(
             F.grouping_id().alias("_g"),
-            F.sum("total").alias("total_records"),
-            F.sum("published").alias("published_records"),
-            (F.sum("total") - F.sum("published")).alias("superseded_records"),
+            F.expr("sum(total) AS total_records"),
+            F.expr("sum(published) AS published_records"),
         )
-        .select(
-            F.when(F.col("_g") == 15, "ALL")
-            .when(F.col("_g") == 7, "YEAR")
-            .when(F.col("_g") == 3, "YEAR_ROUND")
-            .when(F.col("_g") == 13, "CATEGORY")
-            .otherwise("PROGRAM")
-            .alias("grain"),
-            "academic_year", "round_code", "category", "program_type",
-            "total_records", "published_records", "superseded_records",
+        .selectExpr(
+            f"{grain} AS grain", "academic_year", "round_code", "category", "program_type",
+            "total_records", "published_records", "total_records - published_records AS superseded_records",
         )
     )
 
@@ -137,85 +122,75 @@ def yoy_items(wide: WidePanel, pairs: Sequence[tuple[int, int]], scope: str = "R
         if status == NONE:
             continue
         rows.append(
-            F.struct(
-                F.lit(first).alias("from_year"),
-                F.lit(round1).alias("from_round"),
-                wide.rank(first, round1).alias("from_rank"),
-                F.lit(second).alias("to_year"),
-                F.lit(round2).alias("to_round"),
-                wide.rank(second, round2).alias("to_rank"),
-                F.lit(status).alias("comparability"),
-            )
+            {
+                "from_year": str(first),
+                "from_round": text(round1),
+                "from_rank": wide.rank(first, round1),
+                "to_year": str(second),
+                "to_round": text(round2),
+                "to_rank": wide.rank(second, round2),
+                "comparability": text(status),
+            }
         )
     if not rows:  # no comparable pair: an empty result of the same shape
-        nothing = F.lit(None).cast("int")
         rows = [
-            F.struct(
-                nothing.alias("from_year"), F.lit(scope).alias("from_round"), nothing.alias("from_rank"),
-                nothing.alias("to_year"), F.lit(scope).alias("to_round"), nothing.alias("to_rank"),
-                F.lit(NONE).alias("comparability"),
-            )
+            {"from_year": "0", "from_round": "''", "from_rank": NO_RANK, "to_year": "0", "to_round": "''",
+             "to_rank": NO_RANK, "comparability": text(NONE)}
         ]
-    found = _long(wide, COMBO, rows).filter(F.col("from_rank").isNotNull() & F.col("to_rank").isNotNull())
-    move = F.col("to_rank") - F.col("from_rank")
-    return found.select(
+    found = wide.long(COMBO, rows).filter("from_rank IS NOT NULL AND to_rank IS NOT NULL")
+    return found.selectExpr(
         "*",
-        F.concat_ws("->", "from_year", "to_year").alias("transition"),
-        move.alias("absolute_movement"),
-        relative_move(F.col("from_rank"), F.col("to_rank")).alias("relative_movement"),
-        direction(move).alias("direction"),
+        "concat_ws('->', from_year, to_year) AS transition",
+        "to_rank - from_rank AS absolute_movement",
+        relative_move("from_rank", "to_rank") + " AS relative_movement",
+        direction("(to_rank - from_rank)") + " AS direction",
     )
 
 
-def _movement_counts() -> list[Column]:
-    move = F.col("absolute_movement")
-    return [
-        F.count(F.lit(1)).alias("matched_pairs"),
-        F.avg(move).alias("mean_absolute_movement"),
-        F.avg("relative_movement").alias("mean_relative_movement"),
-        _count_if(move < 0).alias("earlier_count"),
-        _count_if(move > 0).alias("later_count"),
-        _count_if(move == 0).alias("unchanged_count"),
-    ]
-
-
-def _movement_medians() -> dict[str, Column]:
-    return {
-        "median_absolute_movement": F.col("absolute_movement"),
-        "median_relative_movement": F.col("relative_movement"),
-    }
+_MOVEMENT = [
+    "count(1) AS matched_pairs",
+    "avg(absolute_movement) AS mean_absolute_movement",
+    "avg(relative_movement) AS mean_relative_movement",
+    "count_if(absolute_movement < 0) AS earlier_count",
+    "count_if(absolute_movement > 0) AS later_count",
+    "count_if(absolute_movement = 0) AS unchanged_count",
+]
+_MOVEMENT_MEDIANS = {
+    "median_absolute_movement": "absolute_movement",
+    "median_relative_movement": "relative_movement",
+}
 
 
 def yoy_aggregate(items: DataFrame) -> DataFrame:
     keys = ["from_year", "to_year", "from_round", "to_round", *PARTITION, "comparability"]
-    return with_medians(items, keys, _movement_counts(), _movement_medians())
+    return with_medians(items, keys, _MOVEMENT, _MOVEMENT_MEDIANS)
 
 
 def progression_items(wide: WidePanel, years: Sequence[int] | None = None) -> DataFrame:
     """Movement of each combo between successive rounds of one year."""
     cal = wide.calendar
     rows = [
-        F.struct(
-            F.lit(year).alias("academic_year"),
-            F.lit(first).alias("from_round"),
-            F.lit(second).alias("to_round"),
-            wide.rank(year, first).alias("from_rank"),
-            wide.rank(year, second).alias("to_rank"),
-        )
+        {
+            "academic_year": str(year),
+            "from_round": text(first),
+            "to_round": text(second),
+            "from_rank": wide.rank(year, first),
+            "to_rank": wide.rank(year, second),
+        }
         for year in (years or cal.years)
         for first, second in cal.progressions.get(year, [])
     ]
-    found = _long(wide, COMBO, rows).filter(F.col("from_rank").isNotNull() & F.col("to_rank").isNotNull())
-    return found.select(
+    found = wide.long(COMBO, rows).filter("from_rank IS NOT NULL AND to_rank IS NOT NULL")
+    return found.selectExpr(
         "*",
-        (F.col("to_rank") - F.col("from_rank")).alias("absolute_movement"),
-        relative_move(F.col("from_rank"), F.col("to_rank")).alias("relative_movement"),
+        "to_rank - from_rank AS absolute_movement",
+        relative_move("from_rank", "to_rank") + " AS relative_movement",
     )
 
 
 def round_progression(wide: WidePanel, years: Sequence[int] | None = None) -> DataFrame:
     keys = ["academic_year", "from_round", "to_round", *PARTITION]
-    return with_medians(progression_items(wide, years), keys, _movement_counts(), _movement_medians())
+    return with_medians(progression_items(wide, years), keys, _MOVEMENT, _MOVEMENT_MEDIANS)
 
 
 def recency_evidence(wide: WidePanel, anchor_year: int, scope: str = "R1") -> DataFrame:
@@ -224,84 +199,72 @@ def recency_evidence(wide: WidePanel, anchor_year: int, scope: str = "R1") -> Da
     family = "TERMINAL" if scope in TERMINAL_SCOPES or scope == STRICT_SCOPE else scope
     known = cal.recency.get(family)
     recent, older = known or (anchor_year, anchor_year)
-    anchor, near, far = (
-        wide.rank(y, cal.round_in_scope(y, scope)) for y in (anchor_year, recent, older)
+    slots = {n: wide.rank(y, cal.round_in_scope(y, scope))
+             for n, y in (("anchor", anchor_year), ("near", recent), ("far", older))}
+    triples = wide.frame.selectExpr(*PARTITION, *[f"{v} AS {n}" for n, v in slots.items()]).filter(
+        "anchor IS NOT NULL AND near IS NOT NULL AND far IS NOT NULL" if known else "false"
     )
-    triples = wide.frame.select(
-        *PARTITION, anchor.alias("anchor"), near.alias("near"), far.alias("far")
-    ).filter(
-        F.lit(known is not None)
-        & F.col("anchor").isNotNull() & F.col("near").isNotNull() & F.col("far").isNotNull()
-    )
-    d_near, d_far = F.abs(F.col("anchor") - F.col("near")), F.abs(F.col("anchor") - F.col("far"))
     out = with_medians(
         triples,
         PARTITION,
         [
-            F.count(F.lit(1)).alias("evaluated_triples"),
-            _count_if(d_near < d_far).alias("recent_closer_count"),
-            _count_if(d_far < d_near).alias("older_closer_count"),
-            _count_if(d_far == d_near).alias("equal_distance_count"),
+            "count(1) AS evaluated_triples",
+            "count_if(abs(anchor - near) < abs(anchor - far)) AS recent_closer_count",
+            "count_if(abs(anchor - near) > abs(anchor - far)) AS older_closer_count",
+            "count_if(abs(anchor - near) = abs(anchor - far)) AS equal_distance_count",
         ],
         {
-            "recent_median_absolute_distance": d_near,
-            "older_median_absolute_distance": d_far,
-            "recent_median_relative_distance": relative_distance(F.col("near"), F.col("anchor")),
-            "older_median_relative_distance": relative_distance(F.col("far"), F.col("anchor")),
+            "recent_median_absolute_distance": "abs(anchor - near)",
+            "older_median_absolute_distance": "abs(anchor - far)",
+            "recent_median_relative_distance": relative_distance("near", "anchor"),
+            "older_median_relative_distance": relative_distance("far", "anchor"),
         },
     )
-    return out.select(
-        F.lit(anchor_year).alias("anchor_year"),
-        F.lit(recent).alias("recent_year"),
-        F.lit(older).alias("older_year"),
-        F.lit(scope).alias("comparison_round"),
+    return out.selectExpr(
+        f"{anchor_year} AS anchor_year",
+        f"{recent} AS recent_year",
+        f"{older} AS older_year",
+        f"{text(scope)} AS comparison_round",
         "*",
-        (F.col("recent_closer_count") / F.col("evaluated_triples") * 100).alias("recent_closer_percentage"),
+        "recent_closer_count / evaluated_triples * 100 AS recent_closer_percentage",
     )
 
 
 # volatility -----------------------------------------------------------------
 
 
-def _moves(cols: Sequence[Column]) -> list[tuple[Column, Column]]:
-    """For each year after the first: (rank of the previous observed year, rank)."""
-    return [(stats.latest_of(cols[:i]), cols[i]) for i in range(1, len(cols))]
-
-
 def volatility_metrics(wide: WidePanel, scope: str = "TERMINAL", min_n: int = 1) -> DataFrame:
     """Spread of each combo's closing rank over the observed years."""
     years = wide.calendar.years
-    frame = wide.frame.select(
-        *COMBO, *[wide.scope_rank(y, scope).alias(f"y{y}") for y in years]
-    )
-    cols = [F.col(f"y{y}") for y in years]
-    moves = _moves(cols)
-    n, mean, median = F.col("observation_count"), F.col("mean"), F.col("median")
+    cols = [f"y{y}" for y in years]
+    n, mean, median, sd = "observation_count", "mean", "median", "standard_deviation"
+    # for each year after the first: rank of the previous observed year, and rank
+    moves = [(stats.latest_of(cols[:i]), cols[i]) for i in range(1, len(cols))]
+    both = [f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {relative_move(a, b)} END" for a, b in moves]
     # each step uses columns of the step before, which keeps the expressions short
     return (
-        frame.withColumn("observation_count", stats.count_of(cols))
-        .filter(n >= max(min_n, 1))
-        .withColumns({"mean": stats.mean_of(cols, n), "median": stats.median_of(cols, n)})
-        .withColumn("standard_deviation", stats.sample_sd_of(cols, n, mean))
-        .select(
+        wide.frame.selectExpr(*COMBO, *[f"{wide.scope_rank(y, scope)} AS y{y}" for y in years])
+        .withColumn(n, F.expr(stats.count_of(cols)))
+        .filter(f"{n} >= {max(min_n, 1)}")
+        .withColumns(sql_columns({mean: stats.mean_of(cols, n), median: stats.median_of(cols, n)}))
+        .withColumn(sd, F.expr(stats.sample_sd_of(cols, n, mean)))
+        .selectExpr(
             *COMBO,
-            F.lit(scope).alias("round_scope"),
-            "observation_count",
-            stats.values_array([F.when(c.isNotNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("years_observed"),
-            stats.values_array([F.when(c.isNull(), F.lit(y)) for y, c in zip(years, cols)]).alias("missing_years"),
-            "mean",
-            "median",
-            "standard_deviation",
-            stats.cv_of(mean, F.col("standard_deviation")).alias("coefficient_of_variation"),
-            stats.mad_of(cols, n, median).alias("mad"),
-            stats.min_of(cols).alias("min_rank"),
-            stats.max_of(cols).alias("max_rank"),
-            (stats.max_of(cols) - stats.min_of(cols)).alias("rank_range"),
-            stats.values_array([b - a for a, b in moves]).alias("sequential_absolute_movements"),
-            stats.values_array(
-                [F.when(a.isNotNull() & b.isNotNull(), relative_move(a, b)) for a, b in moves]
-            ).alias("sequential_relative_movements"),
-            data_quality(n).alias("volatility_data_quality"),
+            f"{text(scope)} AS round_scope",
+            n,
+            stats.values_array([f"CASE WHEN y{y} IS NOT NULL THEN {y} END" for y in years]) + " AS years_observed",
+            stats.values_array([f"CASE WHEN y{y} IS NULL THEN {y} END" for y in years]) + " AS missing_years",
+            mean,
+            median,
+            sd,
+            stats.cv_of(mean, sd) + " AS coefficient_of_variation",
+            stats.mad_of(cols, n, median) + " AS mad",
+            stats.min_of(cols) + " AS min_rank",
+            stats.max_of(cols) + " AS max_rank",
+            f"{stats.max_of(cols)} - {stats.min_of(cols)} AS rank_range",
+            stats.values_array([f"{b} - {a}" for a, b in moves]) + " AS sequential_absolute_movements",
+            stats.values_array(both) + " AS sequential_relative_movements",
+            data_quality(n) + " AS volatility_data_quality",
         )
     )
 
@@ -310,119 +273,111 @@ def volatility_by_n(wide: WidePanel, scope: str = "TERMINAL") -> DataFrame:
     """Volatility by number of observed years; moves are pooled over combos."""
     metrics = volatility_metrics(wide, scope, min_n=2)
     keys = [*PARTITION, "observation_count"]
-    cv = F.col("coefficient_of_variation")
     per_combo = with_medians(
         metrics,
         keys,
         [
-            F.count(F.lit(1)).alias("combination_count"),
-            F.avg(cv).alias("mean_cv"),
-            F.min(cv).alias("min_cv"),
-            F.max(cv).alias("max_cv"),
+            "count(1) AS combination_count",
+            "avg(coefficient_of_variation) AS mean_cv",
+            "min(coefficient_of_variation) AS min_cv",
+            "max(coefficient_of_variation) AS max_cv",
         ],
-        {"median_cv": cv},
+        {"median_cv": "coefficient_of_variation"},
     )
-    moves = metrics.select(
-        *keys,
-        F.inline(F.arrays_zip("sequential_absolute_movements", "sequential_relative_movements")),
+    moves = metrics.selectExpr(
+        *keys, "inline(arrays_zip(sequential_absolute_movements, sequential_relative_movements))"
     )
     pooled = with_medians(
         moves,
         keys,
-        [F.count(F.lit(1)).alias("move_count")],
+        ["count(1) AS move_count"],
         {
-            "median_absolute_movement": F.abs("sequential_absolute_movements"),
-            "median_relative_movement": F.abs("sequential_relative_movements"),
+            "median_absolute_movement": "abs(sequential_absolute_movements)",
+            "median_relative_movement": "abs(sequential_relative_movements)",
         },
     )
     return per_combo.join(pooled, keys, "left").withColumn(
-        "volatility_data_quality", data_quality(F.col("observation_count"))
+        "volatility_data_quality", F.expr(data_quality("observation_count"))
     )
 
 
 def sparsity(panel: DataFrame, calendar: RoundCalendar) -> DataFrame:
     """Depth and gaps of each combo's observed years."""
-    years = F.col("years_observed")
-    follows = F.filter(years, lambda y: F.array_contains(years, y + 1))
-    return observed_years(panel).select(
+    reference = f"array({', '.join(map(str, calendar.years))})"
+    return observed_years(panel).selectExpr(
         *COMBO,
-        F.size(years).alias("observation_count"),
-        years,
-        F.array_except(F.array(*[F.lit(y) for y in calendar.years]), years).alias("missing_years"),
-        F.size(follows).alias("consecutive_transition_count"),
-        F.array_max(years).alias("latest_observation_year"),
-        (F.size(years) < 3).alias("is_sparse"),
+        "size(years_observed) AS observation_count",
+        "years_observed",
+        f"array_except({reference}, years_observed) AS missing_years",
+        "size(filter(years_observed, y -> array_contains(years_observed, y + 1))) AS consecutive_transition_count",
+        "array_max(years_observed) AS latest_observation_year",
+        "size(years_observed) < 3 AS is_sparse",
     )
 
 
 # anomalies ------------------------------------------------------------------
 
 
+_ANOMALY = (
+    "anomaly_type string, academic_year int, college_code string, branch_code string, program_type string, "
+    "category string, from_round string, to_round string, from_rank int, to_rank int, rank_delta int, "
+    "direction string, cause string, description string"
+)
+
+
+def _anomaly(rows: DataFrame, **values: str) -> DataFrame:
+    """Rows in the common shape; fields that are not given are NULL."""
+    fields = [f.split(" ") for f in _ANOMALY.split(", ")]
+    return rows.selectExpr(*[f"CAST({values.get(n, 'NULL')} AS {t}) AS {n}" for n, t in fields])
+
+
 def backward_movements(wide: WidePanel) -> DataFrame:
     """A later round that closed at a smaller rank than the round before it."""
     items = progression_items(wide).filter(
-        (F.col("absolute_movement") < 0)
-        & F.col("program_type").isin("ENGINEERING", "ARCHITECTURE")
-        & F.col("category").isin("GM", "KKR")
+        "absolute_movement < 0 AND program_type IN ('ENGINEERING', 'ARCHITECTURE') AND category IN ('GM', 'KKR')"
     )
-    return items.select(
-        F.lit("BACKWARD_ROUND_MOVEMENT").alias("anomaly_type"),
-        "academic_year", "college_code", "branch_code", "program_type", "category",
-        "from_round", "to_round", "from_rank", "to_rank",
-        F.col("absolute_movement").alias("rank_delta"),
-        F.lit("EARLIER_NUMERICALLY").alias("direction"),
-        F.lit(NOT_DETERMINABLE).alias("cause"),
-        F.lit("Observed closing rank decreased numerically between rounds.").alias("description"),
+    same = ["academic_year", "college_code", "branch_code", "program_type", "category", "from_round",
+            "to_round", "from_rank", "to_rank"]
+    return _anomaly(
+        items,
+        **{c: c for c in same},
+        anomaly_type="'BACKWARD_ROUND_MOVEMENT'",
+        rank_delta="absolute_movement",
+        direction="'EARLIER_NUMERICALLY'",
+        cause=text(NOT_DETERMINABLE),
+        description="'Observed closing rank decreased numerically between rounds.'",
     )
 
 
 def invalid_ranks(panel: DataFrame) -> DataFrame:
     """Non-positive closing ranks, and opening ranks above the closing rank (opening 0 is missing)."""
-    none = F.lit(None)
-    closing, opening = F.col("closing_rank"), F.nullif(F.col("opening_rank"), F.lit(0))
-    finding = F.array_compact(
-        F.array(
-            F.when(
-                closing <= 0,
-                F.struct(
-                    none.cast("int").alias("from_rank"),
-                    F.lit("Closing rank must be strictly positive.").alias("description"),
-                ),
-            ),
-            F.when(
-                opening > closing,
-                F.struct(
-                    opening.alias("from_rank"),
-                    F.lit("Opening rank exceeds closing rank.").alias("description"),
-                ),
-            ),
-        )
+    findings = (
+        "array_compact(array("
+        "CASE WHEN closing_rank <= 0 THEN named_struct('shown', CAST(NULL AS INT), "
+        "'words', 'Closing rank must be strictly positive.') END, "
+        "CASE WHEN nullif(opening_rank, 0) > closing_rank THEN named_struct('shown', opening_rank, "
+        "'words', 'Opening rank exceeds closing rank.') END))"
     )
-    return panel.select("*", F.inline(finding)).select(
-        F.lit("INVALID_RANK_VALUE").alias("anomaly_type"),
-        "academic_year", "college_code", "branch_code", "program_type", "category",
-        F.col("round_code").alias("from_round"),
-        none.cast("string").alias("to_round"),
-        "from_rank",
-        closing.alias("to_rank"),
-        none.cast("int").alias("rank_delta"),
-        none.cast("string").alias("direction"),
-        F.lit(VALIDATION_FAILURE).alias("cause"),
-        "description",
+    same = ["academic_year", "college_code", "branch_code", "program_type", "category"]
+    return _anomaly(
+        panel.selectExpr(*same, "round_code", "closing_rank", f"inline({findings})"),
+        **{c: c for c in same},
+        anomaly_type="'INVALID_RANK_VALUE'",
+        from_round="round_code",
+        from_rank="shown",
+        to_rank="closing_rank",
+        cause=text(VALIDATION_FAILURE),
+        description="words",
     )
 
 
 def missing_provenance(panel: DataFrame) -> DataFrame:
-    none = F.lit(None)
-    return panel.filter(F.col("source_version_id").isNull()).select(
-        F.lit("MISSING_PROVENANCE").alias("anomaly_type"),
-        "academic_year", "college_code", "branch_code",
-        none.cast("string").alias("program_type"), none.cast("string").alias("category"),
-        none.cast("string").alias("from_round"), none.cast("string").alias("to_round"),
-        none.cast("int").alias("from_rank"), none.cast("int").alias("to_rank"),
-        none.cast("int").alias("rank_delta"), none.cast("string").alias("direction"),
-        F.lit(VALIDATION_FAILURE).alias("cause"),
-        F.lit("Missing source version linkage.").alias("description"),
+    return _anomaly(
+        panel.filter("source_version_id IS NULL"),
+        **{c: c for c in ("academic_year", "college_code", "branch_code")},
+        anomaly_type="'MISSING_PROVENANCE'",
+        cause=text(VALIDATION_FAILURE),
+        description="'Missing source version linkage.'",
     )
 
 
@@ -432,7 +387,7 @@ def anomalies(panel: DataFrame, wide: WidePanel) -> DataFrame:
 
 def anomaly_details(found: DataFrame) -> DataFrame:
     """Add the sentence that spells a finding out."""
-    text = (
+    words = (
         F.when(
             F.col("anomaly_type") == "BACKWARD_ROUND_MOVEMENT",
             F.format_string(
@@ -447,7 +402,7 @@ def anomaly_details(found: DataFrame) -> DataFrame:
             F.format_string("Opening rank (%d) greater than closing rank (%d)", "from_rank", "to_rank")
         )
     )
-    return found.withColumn("details", text)
+    return found.withColumn("details", words)
 
 
 # shapes for reading ----------------------------------------------------------
@@ -455,65 +410,55 @@ def anomaly_details(found: DataFrame) -> DataFrame:
 
 def progression_matrix(wide: WidePanel) -> DataFrame:
     """Year by round table of one choice; the final column takes R4, else the consolidated list."""
-    rows = []
-    for year in wide.calendar.years:
-        special, phase2 = wide.rank(year, "KKR_SPECIAL"), wide.rank(year, "R2_PHASE2")
-        rows.append(
-            F.struct(
-                F.lit(year).alias("academic_year"),
-                wide.rank(year, "R1").alias("round_1"),
-                F.when(F.col("category") == "KKR", special).otherwise(phase2).alias("round_2"),
-                wide.rank(year, "R3").alias("round_3"),
-                F.coalesce(
-                    F.nullif(wide.rank(year, "R4"), F.lit(0)), wide.rank(year, "CONSOLIDATED_FINAL")
-                ).alias("final"),
-            )
-        )
-    return _long(wide, COMBO, rows).filter(
-        F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in ("round_1", "round_2", "round_3", "final")]).isNotNull()
+    rows = [
+        {
+            "academic_year": str(y),
+            "round_1": wide.rank(y, "R1"),
+            "round_2": f"CASE WHEN category = 'KKR' THEN {wide.rank(y, 'KKR_SPECIAL')} "
+            f"ELSE {wide.rank(y, 'R2_PHASE2')} END",
+            "round_3": wide.rank(y, "R3"),
+            "final": f"coalesce({nonzero(wide.rank(y, 'R4'))}, {wide.rank(y, 'CONSOLIDATED_FINAL')})",
+        }
+        for y in wide.calendar.years
+    ]
+    return wide.long(COMBO, rows).filter(
+        "coalesce(nullif(round_1, 0), nullif(round_2, 0), nullif(round_3, 0), nullif(final, 0)) IS NOT NULL"
     )
 
 
+def _slots_of(wide: WidePanel, year: int) -> tuple[list[str], list[str]]:
+    codes = [code for y, code in wide.calendar.slots if y == year]
+    return codes, [wide.rank(year, code) for code in codes]
+
+
 def round_ladder(wide: WidePanel) -> DataFrame:
     """Rounds of each combo and year in order, with the step from the round published before."""
     rows = []
     for year in wide.calendar.years:
-        codes = [code for y, code in wide.calendar.slots if y == year]
-        ranks = [wide.rank(year, code) for code in codes]
+        codes, ranks = _slots_of(wide, year)
         for i, code in enumerate(codes):
-            before = stats.latest_of(ranks[:i]) if i else F.lit(None).cast("int")
+            before = stats.latest_of(ranks[:i]) if i else NO_RANK
             rows.append(
-                F.struct(
-                    F.lit(year).alias("academic_year"),
-                    F.lit(code).alias("round_code"),
-                    F.lit(i).alias("position"),
-                    ranks[i].alias("closing_rank"),
-                    (ranks[i] - before).alias("delta"),
-                )
+                {
+                    "academic_year": str(year),
+                    "round_code": text(code),
+                    "position": str(i),
+                    "closing_rank": ranks[i],
+                    "delta": f"{ranks[i]} - {before}",
+                }
             )
-    ladder = _long(wide, COMBO, rows).filter(F.col("closing_rank").isNotNull())
-    return ladder.withColumn(
-        "step",
-        F.when(F.col("delta") > 0, "expansion").when(F.col("delta") < 0, "contraction").when(
-            F.col("delta") == 0, "Unchanged"
-        ),
-    )
+    step = case(("delta > 0", "'expansion'"), ("delta < 0", "'contraction'"), ("delta = 0", "'Unchanged'"))
+    return wide.long(COMBO, rows).filter("closing_rank IS NOT NULL").withColumn("step", F.expr(step))
 
 
 def highest_round(wide: WidePanel) -> DataFrame:
     """The last published round of each combo and year."""
     rows = []
     for year in wide.calendar.years:
-        codes = [code for y, code in wide.calendar.slots if y == year]
-        ranks = [wide.rank(year, code) for code in codes]
-        rows.append(
-            F.struct(
-                F.lit(year).alias("academic_year"),
-                stats.latest_of([F.when(r.isNotNull(), F.lit(c)) for c, r in zip(codes, ranks)]).alias("round_code"),
-                stats.latest_of(ranks).alias("closing_rank"),
-            )
-        )
-    return _long(wide, COMBO, rows).filter(F.col("closing_rank").isNotNull())
+        codes, ranks = _slots_of(wide, year)
+        last = stats.latest_of([f"CASE WHEN {r} IS NOT NULL THEN {text(c)} END" for c, r in zip(codes, ranks)])
+        rows.append({"academic_year": str(year), "round_code": last, "closing_rank": stats.latest_of(ranks)})
+    return wide.long(COMBO, rows).filter("closing_rank IS NOT NULL")
 
 
 def college_boundary(panel: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -542,11 +487,9 @@ def report(
     one = wide.where(program_type, category)
     published = panel.filter(F.col("status") == "PUBLISHED")
 
-    def melt(df: DataFrame, section: str, item: Column, measures: Sequence[str]) -> DataFrame:
-        cells = F.array(
-            *[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
-        )
-        return df.select(F.lit(section).alias("section"), item.alias("item"), F.inline(cells))
+    def melt(df: DataFrame, section: str, item: str, measures: Sequence[str]) -> DataFrame:
+        cells = [{"measure": text(m), "value": f"CAST({m} AS DOUBLE)"} for m in measures]
+        return df.selectExpr(f"{text(section)} AS section", f"{item} AS item", inline(cells))
 
     moves = [
         "matched_pairs", "median_absolute_movement", "mean_absolute_movement",
@@ -557,28 +500,24 @@ def report(
         melt(
             coverage_counts(panel),
             "coverage",
-            F.concat_ws(":", "grain", F.col("academic_year").cast("string"), "round_code", "category",
-                        "program_type"),
+            "concat_ws(':', grain, academic_year, round_code, category, program_type)",
             ["total_records", "published_records", "superseded_records"],
         ),
-        melt(observation_depth(published), "depth",
-             F.concat_ws(":", F.col("depth").cast("string"), "program_type"), ["combinations"]),
-        melt(year_patterns(published), "pattern", F.col("pattern"), ["combinations"]),
+        melt(observation_depth(published), "depth", "concat_ws(':', depth, program_type)", ["combinations"]),
+        melt(year_patterns(published), "pattern", "pattern", ["combinations"]),
         melt(
             volatility_by_n(one),
             "volatility_by_n",
-            F.col("observation_count").cast("string"),
+            "CAST(observation_count AS STRING)",
             ["combination_count", "median_cv", "mean_cv", "min_cv", "max_cv",
              "median_absolute_movement", "median_relative_movement"],
         ),
-        melt(round_progression(one), "progression",
-             F.concat_ws(":", F.col("academic_year").cast("string"), "from_round", "to_round"), moves),
-        melt(yoy_aggregate(yoy_items(one, yoy_pairs)), "yoy",
-             F.concat_ws("->", F.col("from_year").cast("string"), F.col("to_year").cast("string")), moves),
+        melt(round_progression(one), "progression", "concat_ws(':', academic_year, from_round, to_round)", moves),
+        melt(yoy_aggregate(yoy_items(one, yoy_pairs)), "yoy", "concat_ws('->', from_year, to_year)", moves),
         melt(
             recency_evidence(one, anchor_year),
             "recency",
-            F.col("anchor_year").cast("string"),
+            "CAST(anchor_year AS STRING)",
             ["evaluated_triples", "recent_closer_count", "older_closer_count", "equal_distance_count",
              "recent_closer_percentage", "recent_median_absolute_distance",
              "older_median_absolute_distance", "recent_median_relative_distance",
@@ -586,7 +525,7 @@ def report(
         ),
         melt(
             anomalies(published, wide).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("found")),
-            "anomalies", F.col("anomaly_type"), ["found"],
+            "anomalies", "anomaly_type", ["found"],
         ),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

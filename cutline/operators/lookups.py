@@ -260,14 +260,10 @@ def compare_colleges(
     return chosen.join(lowest, "college_id", "left").join(highest, "college_id", "left")
 
 
-def rank_containment(cutoffs: DataFrame, candidate_rank: Column) -> DataFrame:
-    """Whether a candidate's rank lies within each closing rank, and by how much."""
-    return cutoffs.withColumn("_c", containment(candidate_rank, F.col("closing_rank"))).select(
-        *cutoffs.columns,
-        F.col("_c.within").alias("within"),
-        F.col("_c.difference").alias("difference"),
-        F.col("_c.label").alias("label"),
-    )
+def rank_containment(cutoffs: DataFrame, candidate_rank: str) -> DataFrame:
+    """Whether a candidate's rank (SQL text) lies within each closing rank, and by how much."""
+    found = containment(candidate_rank, "closing_rank")
+    return cutoffs.selectExpr("*", *[f"{v} AS {n}" for n, v in found.items()])
 
 
 def sample_rows(df: DataFrame, id_column: str, size: int, seed: int) -> DataFrame:

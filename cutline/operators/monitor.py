@@ -7,47 +7,47 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cutline.functions.ranks import hours_between, number
+from cutline.functions.ranks import hours_between
+from cutline.functions.sql import case
 from cutline.plans.pooled import lookup
 
 
-def source_freshness(sources: DataFrame, versions: DataFrame, reviews: DataFrame, now: Column) -> DataFrame:
+def source_freshness(sources: DataFrame, versions: DataFrame, reviews: DataFrame, now: str) -> DataFrame:
     """Per source: newest versions, counts, and the first health state that applies.
 
     Versions and reviews are first reduced to one row per source, so the
-    joins are one to one.
+    joins are one to one. ``now`` is SQL text.
     """
     seen = versions.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("total_versions"),
-        F.max_by("source_title", F.struct("created_at", "source_version_id")).alias("latest_document_title"),
-        F.max(F.when(F.col("processing_status") == "PUBLISHED", F.col("created_at"))).alias("latest_published_at"),
+        F.expr("count(1) AS total_versions"),
+        F.expr("max_by(source_title, struct(created_at, source_version_id)) AS latest_document_title"),
+        F.expr("max(CASE WHEN processing_status = 'PUBLISHED' THEN created_at END) AS latest_published_at"),
     )
     waiting = (
-        reviews.filter(F.col("status") == "PENDING_REVIEW")
+        reviews.filter("status = 'PENDING_REVIEW'")
         .groupBy("source_id")
-        .agg(F.count(F.lit(1)).alias("pending_review_count"))
+        .agg(F.expr("count(1) AS pending_review_count"))
     )
-    joined = sources.join(seen, "source_id", "left").join(waiting, "source_id", "left")
-    pending = F.coalesce("pending_review_count", F.lit(0))
-    age = hours_between(now.cast("timestamp"), F.col("last_checked_at").cast("timestamp"))
-    status = (
-        F.when(~F.col("is_enabled"), "DISABLED")
-        .when(F.col("last_checked_at").isNull(), "NEVER_CHECKED")
-        .when(pending > 0, "HAS_REVIEW_ITEMS")
-        .when(age > F.col("check_frequency_hours") * number(2), "STALE")
-        .otherwise("HEALTHY")
+    age = hours_between(now, "last_checked_at")
+    status = case(
+        ("NOT is_enabled", "'DISABLED'"),
+        ("last_checked_at IS NULL", "'NEVER_CHECKED'"),
+        ("pending_review_count > 0", "'HAS_REVIEW_ITEMS'"),
+        (f"{age} > check_frequency_hours * 2", "'STALE'"),
+        default="'HEALTHY'",
     )
-    return joined.select(
+    joined = sources.join(seen, "source_id", "left").join(waiting, "source_id", "left")
+    return joined.selectExpr(
         "source_id",
-        F.coalesce("source_code", "title").alias("source_code"),
+        "coalesce(source_code, title) AS source_code",
         "is_enabled",
-        status.alias("status"),
+        f"{status} AS status",
         "check_frequency_hours",
         "last_checked_at",
         "latest_document_title",
         "latest_published_at",
-        F.coalesce("total_versions", F.lit(0)).cast("long").alias("total_versions"),
-        pending.cast("long").alias("pending_review_count"),
+        "coalesce(total_versions, 0L) AS total_versions",
+        "coalesce(pending_review_count, 0L) AS pending_review_count",
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import stats
@@ -21,13 +21,14 @@ from cutline.functions.ranks import (
     decision_state,
     evidence_strength,
     interval,
-    number,
+    interval_bounds,
     relative_move,
     rounded,
     thousands,
 )
+from cutline.functions.sql import case, columns, struct, text, texts
 from cutline.plans.calendar import RoundCalendar
-from cutline.plans.panel import WidePanel, canonical_branches
+from cutline.plans.panel import NO_RANK, WidePanel, canonical_branches
 from cutline.plans.pooled import lookup, pooled_medians
 
 # ---------------------------------------------------------------------------
@@ -93,47 +94,41 @@ def validate_requests(
 
     The branch becomes its canonical branch; program, category and round are upper-cased.
     """
-    known = colleges.select("college_id", F.lit(True).alias("_college"))
-    canon = canonical_branches(branches).select(
-        "raw_branch_id",
-        F.col("branch_id").alias("_canonical"),
-        F.col("program_type").alias("_program"),
+    known = colleges.selectExpr("college_id", "true AS _college")
+    canon = canonical_branches(branches).selectExpr(
+        "raw_branch_id", "branch_id AS _canonical", "program_type AS _program"
+    )
+    own = branches.selectExpr("branch_id AS raw_branch_id", "program_type AS branch_program")
+    error = case(
+        ("_college IS NULL", "'UNKNOWN_COLLEGE'"),
+        ("_canonical IS NULL", "'UNKNOWN_BRANCH'"),
+        (f"program_type IS NULL OR program_type NOT IN {texts(PROGRAMS)}", "'UNSUPPORTED_PROGRAM'"),
+        ("_program <> program_type", "'PROGRAM_MISMATCH'"),
+        (f"category IS NULL OR category NOT IN {texts(CATEGORIES)}", "'UNSUPPORTED_CATEGORY'"),
+        (f"round IN {texts(SECOND_ROUND_NAMES)}", "'UNSUPPORTED_ROUND_R2'"),
+        ("round = 'KKR_SPECIAL'", "'SPECIAL_ROUND'"),
+        (f"round IS NULL OR round NOT IN {texts(ROUNDS)}", "'UNSUPPORTED_ROUND'"),
+        (
+            f"program_type = 'ARCHITECTURE' AND round NOT IN {texts(ARCHITECTURE_ROUNDS)}",
+            "'ROUND_NOT_APPLICABLE'",
+        ),
+        (f"academic_year < {base_year}", "'YEAR_BEFORE_BASELINE'"),
     )
-    own = branches.select(F.col("branch_id").alias("raw_branch_id"), F.col("program_type").alias("branch_program"))
-    program, category, round_name = (F.upper(F.col(c)) for c in ("program_type", "category", "round"))
-    error = (
-        F.when(F.col("_college").isNull(), "UNKNOWN_COLLEGE")
-        .when(F.col("_canonical").isNull(), "UNKNOWN_BRANCH")
-        .when(~program.isin(PROGRAMS) | program.isNull(), "UNSUPPORTED_PROGRAM")
-        .when(F.col("_program") != program, "PROGRAM_MISMATCH")
-        .when(~category.isin(CATEGORIES) | category.isNull(), "UNSUPPORTED_CATEGORY")
-        .when(round_name.isin(SECOND_ROUND_NAMES), "UNSUPPORTED_ROUND_R2")
-        .when(round_name == "KKR_SPECIAL", "SPECIAL_ROUND")
-        .when(~round_name.isin(ROUNDS) | round_name.isNull(), "UNSUPPORTED_ROUND")
-        .when((program == "ARCHITECTURE") & ~round_name.isin(ARCHITECTURE_ROUNDS), "ROUND_NOT_APPLICABLE")
-        .when(F.col("academic_year") < base_year, "YEAR_BEFORE_BASELINE")
+    asked = requests.withColumnRenamed("branch_id", "raw_branch_id").withColumns(
+        columns({c: f"upper({c})" for c in ("program_type", "category", "round")})
     )
     return (
-        requests.withColumnRenamed("branch_id", "raw_branch_id")
-        .join(known, "college_id", "left")
+        asked.join(known, "college_id", "left")
         .join(canon, "raw_branch_id", "left")
         .join(own, "raw_branch_id", "left")
-        .withColumn("error_code", error)
-        .withColumns(
-            {
-                "branch_id": F.coalesce("_canonical", "raw_branch_id"),
-                "program_type": program,
-                "category": category,
-                "round": round_name,
-            }
-        )
+        .withColumns(columns({"error_code": error, "branch_id": "coalesce(_canonical, raw_branch_id)"}))
         .drop("_college", "_canonical", "_program")
     )
 
 
-def error_class(code: Column) -> Column:
-    """NOT_FOUND for unknown entities, INVALID for everything else that was refused."""
-    return F.when(code.isin("UNKNOWN_COLLEGE", "UNKNOWN_BRANCH"), "NOT_FOUND").when(code.isNotNull(), "INVALID")
+ERROR_CLASS = case(
+    ("error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH')", "'NOT_FOUND'"), ("error_code IS NOT NULL", "'INVALID'")
+)
 
 
 def learned_movement(
@@ -144,299 +139,253 @@ def learned_movement(
     One row per (target year, program, category): the calendar bounds its size.
     """
     moves = [
-        F.struct(
-            F.lit(target).alias("academic_year"),
-            wide.rank(year, first).alias("_from"),
-            wide.rank(year, second).alias("_to"),
-        )
+        {"academic_year": str(target), "_from": wide.rank(year, first), "_to": wide.rank(year, second)}
         for target in target_years
         for year in wide.calendar.years
         if year < target and {(year, first), (year, second)} <= set(wide.calendar.slots)
     ]
-    nothing = F.struct(
-        F.lit(None).cast("int").alias("academic_year"),
-        F.lit(None).cast("int").alias("_from"),
-        F.lit(None).cast("int").alias("_to"),
-    )
-    long = wide.frame.select("program_type", "category", F.inline(F.array(*(moves or [nothing])))).filter(
-        F.col("_from").isNotNull() & F.col("_to").isNotNull()
+    nothing = [{"academic_year": "0", "_from": NO_RANK, "_to": NO_RANK}]
+    long = wide.long(["program_type", "category"], moves or nothing).filter(
+        "_from IS NOT NULL AND _to IS NOT NULL"
     )
     return pooled_medians(
         long,
         ["academic_year", "program_type", "category"],
-        {
-            "median_move": F.col("_to") - F.col("_from"),
-            "median_relative_move": relative_move(F.col("_from"), F.col("_to")),
-        },
+        {"median_move": "_to - _from", "median_relative_move": relative_move("_from", "_to")},
     )
 
 
-def _by_round(r1: Column, r3: Column, terminal: Column) -> Column:
-    family = F.col("_family")
-    return F.when(family == "R1", r1).when(family == "R3", r3).otherwise(terminal)
-
-
-def _named(family: str, model: str, *args: Column) -> Column:
-    text = MODEL_NAMES[family][model]
-    return F.format_string(text, *args) if args else F.lit(text)
+def _by_round(r1: str, r3: str, terminal: str) -> str:
+    return case(("_family = 'R1'", r1), ("_family = 'R3'", r3), default=terminal)
 
 
 def _add_history(requests: DataFrame, wide: WidePanel) -> DataFrame:
     """History, preceding round, and its summary for every request."""
     years = wide.calendar.years
-    target = F.col("academic_year")
     keys = ["college_id", "branch_id", "category", "program_type"]
+    family = F.expr("CASE WHEN round = 'R4' THEN 'TERMINAL' ELSE round END")
     held = lookup(
-        requests.withColumn("_family", F.when(F.col("round") == "R4", "TERMINAL").otherwise(F.col("round"))),
-        wide.frame.drop("college_code", "branch_code"),
-        keys,
+        requests.withColumn("_family", family), wide.frame.drop("college_code", "branch_code"), keys
     )
 
-    def at_target(code: str) -> Column:
-        out = F.lit(None).cast("int")
-        for y in years:
-            out = F.when(target == y, wide.rank(y, code)).otherwise(out)
-        return out
+    def at_target(code: str) -> str:
+        return case(*[(f"academic_year = {y}", wide.rank(y, code)) for y in years])
 
-    prior = {
-        f"_p{y}": F.when(
-            target > y, _by_round(wide.rank(y, "R1"), wide.rank(y, "R3"), wide.final_rank(y))
-        ).cast("double")
+    past = [f"_p{y}" for y in years]
+    series = {
+        f"_p{y}": f"CAST(CASE WHEN academic_year > {y} THEN "
+        f"{_by_round(wide.rank(y, 'R1'), wide.rank(y, 'R3'), wide.final_rank(y))} END AS DOUBLE)"
         for y in years
     }
-    preceding = _by_round(F.lit(None).cast("int"), at_target("R1"), at_target("R3")).cast("double")
+    preceding = f"CAST({_by_round('NULL', at_target('R1'), at_target('R3'))} AS DOUBLE)"
     slots = [c for c in wide.frame.columns if c not in (*keys, "college_code", "branch_code")]
-    held = held.withColumns({**prior, "_preceding": preceding}).drop(*slots)
-
-    cols = [F.col(f"_p{y}") for y in years]
-    year_of = [F.when(c.isNotNull(), F.lit(y)) for y, c in zip(years, cols)]
+    held = held.withColumns(columns({**series, "_preceding": preceding})).drop(*slots)
     held = held.withColumns(
-        {
-            "_n": stats.count_of(cols),
-            "_latest": stats.latest_of(cols),
-            "_latest_year": stats.latest_of(year_of),
-        }
+        columns(
+            {
+                "_n": stats.count_of(past),
+                "_latest": stats.latest_of(past),
+                "_latest_year": stats.latest_of([f"CASE WHEN _p{y} IS NOT NULL THEN {y} END" for y in years]),
+            }
+        )
     )
-    before = [F.when(F.col("_latest_year") > y, c) for y, c in zip(years, cols)]
-    exact = F.lit(None).cast("double")
-    for y, c in zip(years, cols):
-        exact = F.when(target - 1 == y, c).otherwise(exact)
     return held.withColumns(
-        {
-            "_second": stats.latest_of(before),
-            "_previous": exact,
-            "_mean": stats.mean_of(cols, F.col("_n")),
-            "_median": stats.median_of(cols, F.col("_n")),
-        }
+        columns(
+            {
+                "_second": stats.latest_of([f"CASE WHEN _latest_year > {y} THEN _p{y} END" for y in years]),
+                "_previous": case(*[(f"academic_year - 1 = {y}", f"_p{y}") for y in years]),
+                "_mean": stats.mean_of(past, "_n"),
+                "_median": stats.median_of(past, "_n"),
+            }
+        )
     )
 
 
-def _model(model: Column) -> Column:
+def _model() -> str:
     """The model that is really used, given the one asked for and what is known."""
-    has_preceding = F.col("_preceding").isNotNull()
-    r1 = F.when(model.isin(MODEL_B, MODEL_C, MODEL_D, MODEL_E), model).otherwise(MODEL_A)
-    within = F.coalesce(model, F.lit(MODEL_G1))
-    r3 = (
-        F.when(has_preceding & (within == MODEL_H) & (F.col("_n") == 0), MODEL_G1)
-        .when(has_preceding & within.isin(MODEL_F, MODEL_G1, MODEL_G2, MODEL_H), within)
-        .otherwise(MODEL_A)
-    )
-    terminal = (
-        F.when(has_preceding & (model == MODEL_G1), MODEL_G1)
-        .when(has_preceding & (model == MODEL_H) & (F.col("_n") > 0), MODEL_H)
-        .when(has_preceding, MODEL_F)
-        .when(model.isin(MODEL_A, MODEL_B, MODEL_C), model)
-        .otherwise(MODEL_D)
+    within = texts([MODEL_F, MODEL_G1, MODEL_G2, MODEL_H])
+    asked = f"coalesce(model_type, {text(MODEL_G1)})"
+    return _by_round(
+        case((f"model_type IN {texts([MODEL_B, MODEL_C, MODEL_D, MODEL_E])}", "model_type"), default=text(MODEL_A)),
+        case(
+            (f"_preceding IS NULL OR {asked} NOT IN {within}", text(MODEL_A)),
+            (f"{asked} = {text(MODEL_H)} AND _n = 0", text(MODEL_G1)),
+            default=asked,
+        ),
+        case(
+            (f"_preceding IS NOT NULL AND model_type = {text(MODEL_G1)}", text(MODEL_G1)),
+            (f"_preceding IS NOT NULL AND model_type = {text(MODEL_H)} AND _n > 0", text(MODEL_H)),
+            ("_preceding IS NOT NULL", text(MODEL_F)),
+            (f"model_type IN {texts([MODEL_A, MODEL_B, MODEL_C])}", "model_type"),
+            default=text(MODEL_D),
+        ),
     )
-    return _by_round(r1, r3, terminal)
 
 
-def _estimate(model: Column) -> Column:
-    preceding, latest, median = F.col("_preceding"), F.col("_latest"), F.col("_median")
+def _estimate() -> str:
     major, minor = HYBRID_WEIGHTS
-    move, relative = F.col("_move"), F.col("_relative_move")
-    recent = F.when(F.col("_n") > 1, (latest + F.col("_second")) / 2).otherwise(latest)
-    return (
-        F.when(model == MODEL_A, latest)
-        .when(model == MODEL_B, F.col("_previous"))
-        .when(model == MODEL_C, F.col("_mean"))
-        .when(model == MODEL_D, median)
-        .when(model == MODEL_E, recent)
-        .when(model == MODEL_F, preceding)
-        .when(model == MODEL_G1, preceding + _by_round(number(0), move, number(TERMINAL_SHIFT)))
-        .when(model == MODEL_G2, preceding * (number(1) + relative))
-        .when(
-            model == MODEL_H,
-            _by_round(
-                number(0),
-                (preceding + move) * major + latest * minor,
-                preceding * major + median * minor,
-            ),
-        )
+    recent = "CASE WHEN _n > 1 THEN (_latest + _second) / 2 ELSE _latest END"
+    shift = f"CASE WHEN _family = 'R3' THEN _move ELSE {TERMINAL_SHIFT}D END"
+    hybrid = (
+        f"CASE WHEN _family = 'R3' THEN (_preceding + _move) * {major}D + _latest * {minor}D "
+        f"ELSE _preceding * {major}D + _median * {minor}D END"
     )
-
-
-def _model_name(model: Column) -> Column:
-    year, previous = F.col("_latest_year"), F.col("academic_year") - 1
-    move = thousands(F.col("_move"))
-    names = {
-        "R1": {
-            MODEL_A: _named("R1", MODEL_A, year),
-            MODEL_B: _named("R1", MODEL_B, previous),
-            MODEL_C: _named("R1", MODEL_C),
-            MODEL_D: _named("R1", MODEL_D),
-            MODEL_E: _named("R1", MODEL_E),
-        },
-        "R3": {
-            MODEL_A: _named("R3", MODEL_A, year),
-            MODEL_F: _named("R3", MODEL_F),
-            MODEL_G1: _named("R3", MODEL_G1, move),
-            MODEL_G2: _named("R3", MODEL_G2, F.col("_relative_move") * 100),
-            MODEL_H: _named("R3", MODEL_H),
-        },
-        "TERMINAL": {
-            MODEL_A: _named("TERMINAL", MODEL_A, year),
-            MODEL_B: _named("TERMINAL", MODEL_B, previous),
-            MODEL_C: _named("TERMINAL", MODEL_C),
-            MODEL_D: _named("TERMINAL", MODEL_D),
-            MODEL_F: _named("TERMINAL", MODEL_F),
-            MODEL_G1: _named("TERMINAL", MODEL_G1),
-            MODEL_H: _named("TERMINAL", MODEL_H),
-        },
+    values = {
+        MODEL_A: "_latest",
+        MODEL_B: "_previous",
+        MODEL_C: "_mean",
+        MODEL_D: "_median",
+        MODEL_E: recent,
+        MODEL_F: "_preceding",
+        MODEL_G1: f"_preceding + {shift}",
+        MODEL_G2: "_preceding * (1 + _relative_move)",
+        MODEL_H: hybrid,
+    }
+    return case(*[(f"_model = {text(m)}", v) for m, v in values.items()])
+
+
+def _model_name() -> str:
+    arguments = {
+        ("R1", MODEL_A): "_latest_year",
+        ("R1", MODEL_B): "academic_year - 1",
+        ("R3", MODEL_A): "_latest_year",
+        ("R3", MODEL_G1): thousands("_move"),
+        ("R3", MODEL_G2): "_relative_move * 100",
+        ("TERMINAL", MODEL_A): "_latest_year",
+        ("TERMINAL", MODEL_B): "academic_year - 1",
     }
 
-    def pick(family: str) -> Column:
-        out = F.lit(None).cast("string")
-        for name, text in names[family].items():
-            out = F.when(model == name, text).otherwise(out)
-        return out
+    def name(family: str, model: str, words: str) -> str:
+        argument = arguments.get((family, model))
+        return f"format_string({text(words)}, {argument})" if argument else text(words)
 
-    return _by_round(pick("R1"), pick("R3"), pick("TERMINAL"))
+    return _by_round(
+        *[
+            case(*[(f"_model = {text(m)}", name(family, m, words)) for m, words in MODEL_NAMES[family].items()])
+            for family in ("R1", "R3", "TERMINAL")
+        ]
+    )
 
 
-def _failure(model: Column) -> Column:
+def _failure() -> str:
     """Why nothing can be predicted; NULL if something can."""
-    target = F.col("academic_year")
-    nothing = (F.col("_n") == 0) & F.col("_preceding").isNull()
-    no_previous = F.format_string("Model B requires strict T-1 data, which academic year %d lacks.", target - 1)
-    return (
-        F.when(
-            nothing,
-            _by_round(
-                F.format_string("No published Round 1 cutoffs of this combination before year %d.", target),
-                F.format_string("Neither Round 1 of %d nor an earlier Round 3 of this combination exists.", target),
-                F.format_string("Neither Round 3 of %d nor an earlier final cutoff of this combination exists.", target),
-            ),
-        )
-        .when((model == MODEL_B) & F.col("_previous").isNull(), no_previous)
-        .when(
-            (F.col("_family") == "R3") & (model == MODEL_A) & (F.col("_n") == 0),
-            F.format_string("Round 1 of %d may not be used by this model and no earlier Round 3 exists.", target),
-        )
+
+    def words(sentence: str, argument: str = "academic_year") -> str:
+        return f"format_string({text(sentence)}, {argument})"
+
+    nothing = _by_round(
+        words("No published Round 1 cutoffs of this combination before year %d."),
+        words("Neither Round 1 of %d nor an earlier Round 3 of this combination exists."),
+        words("Neither Round 3 of %d nor an earlier final cutoff of this combination exists."),
+    )
+    return case(
+        ("_n = 0 AND _preceding IS NULL", nothing),
+        (
+            f"_model = {text(MODEL_B)} AND _previous IS NULL",
+            words("Model B requires strict T-1 data, which academic year %d lacks.", "academic_year - 1"),
+        ),
+        (
+            f"_family = 'R3' AND _model = {text(MODEL_A)} AND _n = 0",
+            words("Round 1 of %d may not be used by this model and no earlier Round 3 exists."),
+        ),
     )
 
 
-def _evidence(model: Column, calendar: RoundCalendar) -> Column:
+def _evidence(calendar: RoundCalendar) -> str:
     """Ordered array of what the prediction rests on; as long as the calendar at most."""
-    years = calendar.years
-
-    def item(kind: str, year: Column, code: Column, rank: Column, weight: Column, text: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("source_type"),
-            year.cast("int").alias("academic_year"),
-            code.alias("round_code"),
-            rank.cast("double").alias("closing_rank"),
-            weight.cast("double").alias("weight"),
-            text.alias("description"),
+
+    def item(kind: str, year: str, code: str, rank: str, weight: str, words: str) -> str:
+        return struct(
+            {
+                "source_type": text(kind),
+                "academic_year": f"CAST({year} AS INT)",
+                "round_code": code,
+                "closing_rank": f"CAST({rank} AS DOUBLE)",
+                "weight": f"CAST({weight} AS DOUBLE)",
+                "description": words,
+            }
         )
 
-    none, family = F.lit(None), F.col("_family")
-    target, preceding = F.col("academic_year"), F.col("_preceding")
-    code = _by_round(F.lit("R1"), F.lit("R3"), F.lit("TERMINAL"))
-    wording = _by_round(
-        F.lit("Round 1 official published closing rank"),
-        F.lit("Round 3 official closing rank"),
-        F.lit("terminal official closing rank"),
+    within = (
+        "(_preceding IS NOT NULL AND (_family = 'TERMINAL' OR "
+        f"_model IN {texts([MODEL_F, MODEL_G1, MODEL_G2, MODEL_H])}))"
     )
-    within = preceding.isNotNull() & (
-        (family == "TERMINAL") | model.isin(MODEL_F, MODEL_G1, MODEL_G2, MODEL_H)
+    before = _by_round("''", "'Round 1'", "'Round 3'")
+    wording = _by_round(
+        "'Round 1 official published closing rank'",
+        "'Round 3 official closing rank'",
+        "'terminal official closing rank'",
     )
     items = [
-        F.when(
-            within,
-            item(
-                "PRECEDING_ROUND", target, _by_round(none.cast("string"), F.lit("R1"), F.lit("R3")), preceding, none,
-                F.format_string(
-                    "%d %s preceding closing rank: %s", target,
-                    _by_round(F.lit(""), F.lit("Round 1"), F.lit("Round 3")), thousands(preceding),
+        case(
+            (
+                within,
+                item(
+                    "PRECEDING_ROUND", "academic_year", _by_round("NULL", "'R1'", "'R3'"), "_preceding", "NULL",
+                    f"format_string('%d %s preceding closing rank: %s', academic_year, {before}, "
+                    f"{thousands('_preceding')})",
                 ),
-            ),
+            )
         ),
-        F.when(
-            within & (family == "R3") & (model == MODEL_G1),
-            item(
-                "HISTORICAL_MOVEMENT", none, F.lit("R1_TO_R3"), F.col("_move"), none,
-                F.format_string(
-                    "Median R1->R3 expansion learned from prior years: +%s ranks", thousands(F.col("_move"))
+        case(
+            (
+                f"{within} AND _family = 'R3' AND _model = {text(MODEL_G1)}",
+                item(
+                    "HISTORICAL_MOVEMENT", "NULL", "'R1_TO_R3'", "_move", "NULL",
+                    "format_string('Median R1->R3 expansion learned from prior years: +%s ranks', "
+                    f"{thousands('_move')})",
                 ),
-            ),
+            )
         ),
     ]
-    for y in years:
-        rank = F.col(f"_p{y}")
-        latest = F.col("_latest_year") == y
-        default = F.coalesce(F.col("model_type"), F.lit(MODEL_A)) == MODEL_A
-        weight = F.when((family == "R1") & latest & default, 1.0)
-        text = F.format_string("%d %s: %s", F.lit(y), wording, thousands(rank))
+    default = f"coalesce(model_type, {text(MODEL_A)}) = {text(MODEL_A)}"
+    for y in calendar.years:
+        latest = f"_latest_year = {y}"
         items.append(
-            F.when(
-                ~within & rank.isNotNull() & ((family != "R3") | latest),
-                item("HISTORICAL_CUTOFF", F.lit(y), code, rank, weight, text),
+            case(
+                (
+                    f"NOT {within} AND _p{y} IS NOT NULL AND (_family <> 'R3' OR {latest})",
+                    item(
+                        "HISTORICAL_CUTOFF", str(y), "_family", f"_p{y}",
+                        case((f"_family = 'R1' AND {latest} AND {default}", "1D")),
+                        f"format_string('%d %s: %s', {y}, {wording}, {thousands(f'_p{y}')})",
+                    ),
+                )
             )
         )
-    return F.array_compact(F.array(*items))
+    return f"array_compact(array({', '.join(items)}))"
 
 
-def _explanation(calendar: RoundCalendar) -> Column:
+def _explanation(calendar: RoundCalendar) -> str:
     """Sentences that say what was used."""
-    family, preceding, n = F.col("_family"), F.col("_preceding"), F.col("_n")
-    has_preceding = preceding.isNotNull()
-    seen = F.array_join(
-        F.array_compact(
-            F.array(*[F.when(F.col(f"_p{y}").isNotNull(), F.lit(str(y))) for y in calendar.years])
-        ),
-        ", ",
-    )
-    lower, upper = thousands(F.col("_interval.lower_bound")), thousands(F.col("_interval.upper_bound"))
-    target, name = F.col("academic_year"), F.col("_name")
+    years = ", ".join(f"CASE WHEN _p{y} IS NOT NULL THEN '{y}' END" for y in calendar.years)
+    seen = f"array_join(array_compact(array({years})), ', ')"
+    bounds = f"{thousands('_interval.lower_bound')}, {thousands('_interval.upper_bound')}"
+
+    def words(sentence: str, arguments: str, test: str | None = None) -> str:
+        said = f"format_string({text(sentence)}, {arguments})"
+        return case((test, said)) if test else said
+
     r1 = [
-        F.format_string("Round 1 prediction rests on %d earlier comparable observation(s) (%s).", n, seen),
-        F.format_string("%s estimates a closing rank of %s.", name, thousands(F.col("_estimate"))),
-        F.format_string(
-            "The latest comparable Round 1 cutoff was in %d at rank %s.",
-            F.col("_latest_year"), thousands(F.col("_latest")),
-        ),
-        F.format_string("Prediction interval: [%s to %s] (-15%% to +55%%).", lower, upper),
+        words("Round 1 prediction rests on %d earlier comparable observation(s) (%s).", f"_n, {seen}"),
+        words("%s estimates a closing rank of %s.", f"_name, {thousands('_estimate')}"),
+        words("The latest comparable Round 1 cutoff was in %d at rank %s.", f"_latest_year, {thousands('_latest')}"),
+        words("Prediction interval: [%s to %s] (-15%% to +55%%).", bounds),
     ]
+    has_preceding = "_preceding IS NOT NULL"
     r3 = [
-        F.format_string("Round 3 prediction by %s.", name),
-        F.when(
-            has_preceding,
-            F.format_string("Round 1 of %d closed at %s.", target, thousands(preceding)),
-        ),
-        F.when(
-            has_preceding,
-            F.format_string("The median earlier R1->R3 move is +%s ranks.", thousands(F.col("_move"))),
-        ),
-        F.when(n > 0, F.format_string("Earlier Round 3 data from years: %s.", seen)),
+        words("Round 3 prediction by %s.", "_name"),
+        words("Round 1 of %d closed at %s.", f"academic_year, {thousands('_preceding')}", has_preceding),
+        words("The median earlier R1->R3 move is +%s ranks.", thousands("_move"), has_preceding),
+        words("Earlier Round 3 data from years: %s.", seen, "_n > 0"),
     ]
     terminal = [
-        F.format_string("Final closing rank prediction by %s.", name),
-        F.when(has_preceding, F.format_string("Round 3 of the year closed at %s.", thousands(preceding))),
-        F.when(n > 0, F.format_string("%d earlier final observation(s) from: %s.", n, seen)),
-        F.format_string("Wide interval [%s to %s] for the spread of R3->R4 moves.", lower, upper),
+        words("Final closing rank prediction by %s.", "_name"),
+        words("Round 3 of the year closed at %s.", thousands("_preceding"), has_preceding),
+        words("%d earlier final observation(s) from: %s.", f"_n, {seen}", "_n > 0"),
+        words("Wide interval [%s to %s] for the spread of R3->R4 moves.", bounds),
     ]
-    return F.array_compact(_by_round(F.array(*r1), F.array(*r3), F.array(*terminal)))
+    return f"array_compact({_by_round(*[f'array({chr(44).join(x)})' for x in (r1, r3, terminal)])})"
 
 
 def score_requests(
@@ -451,29 +400,47 @@ def score_requests(
     targets = list(target_years or [*cal.years, cal.years[-1] + 1])
     # bounded by (target years x programs x categories), a few dozen rows
     moves = F.broadcast(learned_movement(wide, targets))
-    rows = _add_history(valid, wide).join(moves, ["academic_year", "program_type", "category"], "left")
-    rows = rows.withColumns(
-        {
-            "_move": F.coalesce("median_move", number(0)),
-            "_relative_move": F.coalesce("median_relative_move", number(0)),
-            "_model": _model(F.col("model_type")),
-        }
+    rows = (
+        _add_history(valid, wide)
+        .join(moves, ["academic_year", "program_type", "category"], "left")
+        .withColumns(
+            columns(
+                {
+                    "_move": "coalesce(median_move, 0D)",
+                    "_relative_move": "coalesce(median_relative_move, 0D)",
+                    "_model": _model(),
+                }
+            )
+        )
+        .withColumn("_failure", F.expr(_failure()))
+        .withColumn("_estimate", F.expr(f"CASE WHEN _failure IS NULL THEN {_estimate()} END"))
     )
-    model = F.col("_model")
-    rows = rows.withColumns({"_failure": _failure(model), "_estimate": _estimate(model)})
-    ok = F.col("_failure").isNull()
-    estimate = F.when(ok, F.col("_estimate"))
-    terminal = F.col("_family") == "TERMINAL"
+    wide_type, narrow_type = "VOLATILITY_ADAPTIVE_WIDE", "ASYMMETRIC_RELATIVE_EMPIRICAL"
+    (wide_low, wide_high), (low, high) = (interval_bounds("_estimate", t) for t in (wide_type, narrow_type))
+    terminal = "_family = 'TERMINAL'"
     rows = rows.withColumns(
-        {
-            "_interval": F.when(terminal, interval(estimate, "VOLATILITY_ADAPTIVE_WIDE")).otherwise(
-                interval(estimate, "ASYMMETRIC_RELATIVE_EMPIRICAL")
-            ),
-            "_name": F.when(ok, _model_name(model)).otherwise(FAIL_CLOSED),
-        }
+        columns(
+            {
+                "_lower": case((terminal, wide_low), default=low),
+                "_upper": case((terminal, wide_high), default=high),
+                "_name": case(("_failure IS NULL", _model_name()), default=text(FAIL_CLOSED)),
+            }
+        )
+    )
+    rows = rows.withColumn(
+        "_interval",
+        F.expr(
+            case(
+                (terminal, interval("_lower", "_upper", "_estimate", wide_type)),
+                default=interval("_lower", "_upper", "_estimate", narrow_type),
+            )
+        ),
     )
-    has_preceding = F.col("_preceding").isNotNull()
-    return rows.select(
+
+    def if_ok(value: str, otherwise: str = "NULL") -> str:
+        return case(("_failure IS NULL", value), default=otherwise)
+
+    return rows.selectExpr(
         "request_id",
         "college_id",
         "raw_branch_id",
@@ -481,24 +448,22 @@ def score_requests(
         "academic_year",
         "category",
         "program_type",
-        F.when(ok & terminal, "TERMINAL").otherwise(F.col("round")).alias("round"),
-        F.when(ok, "SUCCESS").otherwise("INSUFFICIENT_EVIDENCE").alias("status"),
-        rounded(estimate, 1).alias("predicted_closing_rank"),
-        F.col("_interval").alias("prediction_interval"),
-        F.col("_interval.lower_bound").alias("lower_bound"),
-        F.col("_interval.upper_bound").alias("upper_bound"),
-        F.when(ok, evidence_strength(F.col("_n"), has_preceding)).otherwise("INSUFFICIENT_EVIDENCE").alias(
-            "evidence_strength"
-        ),
-        F.when(ok, F.col("_n") + has_preceding.cast("int")).otherwise(0).alias("observation_count"),
-        F.when(ok, F.coalesce("_latest_year", "academic_year")).alias("latest_comparable_year"),
-        F.when(ok, "NONE").otherwise(NO_HISTORY).alias("cold_start_reason"),
-        F.col("_name").alias("model_name"),
-        F.lit(MODEL_VERSION).alias("model_version"),
-        F.lit(dataset_version).alias("dataset_version"),
-        F.lit(FEATURE_VERSION).alias("feature_definition_version"),
-        F.when(ok, _evidence(model, cal)).otherwise(F.slice(_evidence(model, cal), 1, 0)).alias("evidence_trail"),
-        F.when(ok, _explanation(cal)).otherwise(F.array("_failure")).alias("explanation"),
+        f"CASE WHEN _failure IS NULL AND {terminal} THEN 'TERMINAL' ELSE round END AS round",
+        if_ok("'SUCCESS'", "'INSUFFICIENT_EVIDENCE'") + " AS status",
+        rounded("_estimate", 1) + " AS predicted_closing_rank",
+        "_interval AS prediction_interval",
+        "_interval.lower_bound AS lower_bound",
+        "_interval.upper_bound AS upper_bound",
+        if_ok(evidence_strength("_n", "_preceding IS NOT NULL"), "'INSUFFICIENT_EVIDENCE'") + " AS evidence_strength",
+        if_ok("_n + CAST(_preceding IS NOT NULL AS INT)", "0") + " AS observation_count",
+        if_ok("coalesce(_latest_year, academic_year)") + " AS latest_comparable_year",
+        if_ok("'NONE'", text(NO_HISTORY)) + " AS cold_start_reason",
+        "_name AS model_name",
+        f"{text(MODEL_VERSION)} AS model_version",
+        f"{text(dataset_version)} AS dataset_version",
+        f"{text(FEATURE_VERSION)} AS feature_definition_version",
+        f"filter({_evidence(cal)}, x -> _failure IS NULL) AS evidence_trail",
+        if_ok(_explanation(cal), "array(_failure)") + " AS explanation",
         "model_type",
         "candidate_rank",
     )
@@ -513,7 +478,14 @@ def predict(
 ) -> DataFrame:
     """Predictions of all valid requests; ``validate_requests`` lists the refused ones."""
     checked = validate_requests(requests, colleges, branches, base_year)
-    return score_requests(checked.filter(F.col("error_code").isNull()), wide)
+    return score_requests(checked.filter("error_code IS NULL"), wide)
+
+
+_DECISION = {
+    "prediction_status": "string", "predicted_closing_rank": "double", "lower_bound": "double",
+    "upper_bound": "double", "evidence_state": "string", "evidence_strength": "string",
+    "observation_count": "int", "model_name": "string", "explanation": "array<string>", "error_code": "string",
+}
 
 
 def decide(
@@ -529,94 +501,89 @@ def decide(
     have no calibrated boundary: once their college, branch and program are
     found right, the answer is INSUFFICIENT_EVIDENCE.
     """
-    as_r4 = F.when(F.upper(F.trim(F.col("round"))) == "TERMINAL", "R4").otherwise(F.upper(F.trim(F.col("round"))))
+    as_r4 = F.expr("CASE WHEN upper(trim(round)) = 'TERMINAL' THEN 'R4' ELSE upper(trim(round)) END")
     checked = validate_requests(requests.withColumn("round", as_r4), colleges, branches, base_year)
-    architecture = F.col("program_type") == "ARCHITECTURE"
-    code = F.col("error_code")
-    early = code.isin("UNKNOWN_COLLEGE", "UNKNOWN_BRANCH")
-    error = (
-        F.when(F.col("candidate_rank").isNull() | (F.col("candidate_rank") <= 0), "INVALID_CANDIDATE_RANK")
-        .when(architecture & early, code)
-        .when(architecture & (F.col("branch_program") != "ARCHITECTURE"), "PROGRAM_MISMATCH")
-        .when(~architecture | F.col("program_type").isNull(), code)
+    architecture = "program_type <=> 'ARCHITECTURE'"
+    decision_error = case(
+        ("candidate_rank IS NULL OR candidate_rank <= 0", "'INVALID_CANDIDATE_RANK'"),
+        (f"{architecture} AND error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH')", "error_code"),
+        (f"{architecture} AND branch_program <> 'ARCHITECTURE'", "'PROGRAM_MISMATCH'"),
+        (f"NOT ({architecture})", "error_code"),
     )
-    checked = checked.withColumn("decision_error", error)
-    scored = score_requests(checked.filter(F.col("decision_error").isNull() & ~architecture), wide)
+    checked = checked.withColumn("decision_error", F.expr(decision_error))
+    scored = score_requests(checked.filter(f"decision_error IS NULL AND NOT ({architecture})"), wide)
     shared = ["request_id", "college_id", "branch_id", "academic_year", "category", "program_type", "candidate_rank"]
-    answered = scored.select(
+    state = decision_state("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
+    answered = scored.selectExpr(
         *shared,
-        F.when(F.col("round") == "TERMINAL", "R4").otherwise(F.col("round")).alias("round"),
-        F.col("status").alias("prediction_status"),
+        "CASE WHEN round = 'TERMINAL' THEN 'R4' ELSE round END AS round",
+        "status AS prediction_status",
         "predicted_closing_rank", "lower_bound", "upper_bound",
-        decision_state(
-            F.col("candidate_rank"), F.col("lower_bound"), F.col("predicted_closing_rank"), F.col("upper_bound")
-        ).alias("evidence_state"),
+        f"{state} AS evidence_state",
         "evidence_strength", "observation_count", "model_name", "explanation",
-        F.lit(None).cast("string").alias("error_code"),
+        "CAST(NULL AS STRING) AS error_code",
     )
-    none = F.lit(None)
-    rest = checked.filter(F.col("decision_error").isNotNull() | architecture)
-    unanswered = rest.select(
-        *shared,
-        "round",
-        F.when(F.col("decision_error").isNull(), "INSUFFICIENT_EVIDENCE").alias("prediction_status"),
-        none.cast("double").alias("predicted_closing_rank"),
-        none.cast("double").alias("lower_bound"),
-        none.cast("double").alias("upper_bound"),
-        F.when(F.col("decision_error").isNull(), "INSUFFICIENT_EVIDENCE").alias("evidence_state"),
-        F.when(F.col("decision_error").isNull(), "INSUFFICIENT_EVIDENCE").alias("evidence_strength"),
-        F.when(F.col("decision_error").isNull(), F.lit(0)).alias("observation_count"),
-        F.when(F.col("decision_error").isNull(), FAIL_CLOSED).alias("model_name"),
-        F.when(
-            F.col("decision_error").isNull(),
-            F.array(F.lit("There is no calibrated decision boundary for ARCHITECTURE programs.")),
-        ).alias("explanation"),
-        F.col("decision_error").alias("error_code"),
+    insufficient = "CASE WHEN decision_error IS NULL THEN 'INSUFFICIENT_EVIDENCE' END"
+    given = {
+        "prediction_status": insufficient,
+        "evidence_state": insufficient,
+        "evidence_strength": insufficient,
+        "observation_count": "CASE WHEN decision_error IS NULL THEN 0 END",
+        "model_name": f"CASE WHEN decision_error IS NULL THEN {text(FAIL_CLOSED)} END",
+        "explanation": "CASE WHEN decision_error IS NULL THEN "
+        "array('There is no calibrated decision boundary for ARCHITECTURE programs.') END",
+        "error_code": "decision_error",
+    }
+    unanswered = checked.filter(f"decision_error IS NOT NULL OR {architecture}").selectExpr(
+        *shared, "round", *[f"CAST({given.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _DECISION.items()]
     )
-    return answered.unionByName(unanswered).withColumn("decision_text", decision_text())
+    return answered.unionByName(unanswered).withColumn("decision_text", F.expr(_DECISION_TEXT))
 
 
-def decision_text() -> Column:
+def _decision_text() -> str:
     """One sentence on where the rank lies; it never speaks of a guarantee."""
     rank, low, mid, high = (
-        thousands(F.col(c)) for c in ("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
+        thousands(c) for c in ("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
     )
-    state = F.col("evidence_state")
-    return (
-        F.when(
-            state == "NUMERICALLY_BELOW_LOWER_BOUND",
-            F.format_string("Rank %s is below the lower bound of the estimated range (%s - %s).", rank, low, high),
-        )
-        .when(
-            state == "WITHIN_LOWER_HALF",
-            F.format_string("Rank %s lies between the lower bound %s and the estimate %s.", rank, low, mid),
-        )
-        .when(
-            state == "WITHIN_UPPER_HALF",
-            F.format_string("Rank %s lies between the estimate %s and the upper bound %s.", rank, mid, high),
-        )
-        .when(
-            state == "NUMERICALLY_ABOVE_UPPER_BOUND",
-            F.format_string("Rank %s is beyond the upper bound of the estimated range (%s - %s).", rank, low, high),
-        )
-        .when(state == "INSUFFICIENT_EVIDENCE", "There is not enough comparable evidence.")
+    said = {
+        "NUMERICALLY_BELOW_LOWER_BOUND": (
+            "Rank %s is below the lower bound of the estimated range (%s - %s).", (rank, low, high)),
+        "WITHIN_LOWER_HALF": ("Rank %s lies between the lower bound %s and the estimate %s.", (rank, low, mid)),
+        "WITHIN_UPPER_HALF": ("Rank %s lies between the estimate %s and the upper bound %s.", (rank, mid, high)),
+        "NUMERICALLY_ABOVE_UPPER_BOUND": (
+            "Rank %s is beyond the upper bound of the estimated range (%s - %s).", (rank, low, high)),
+        "INSUFFICIENT_EVIDENCE": ("There is not enough comparable evidence.", ()),
+    }
+    return case(
+        *[
+            (f"evidence_state = {text(state)}", f"format_string({', '.join([text(words), *args])})")
+            for state, (words, args) in said.items()
+        ]
     )
 
 
+_DECISION_TEXT = _decision_text()
+
+
 def score_choices(candidates: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Each candidate's rank against the prediction of each of their choices, and its containment."""
+    """Each candidate's rank against the prediction of each of their choices, and its containment.
+
+    ``predictions`` holds one row per choice.
+    """
     keys = ["college_id", "branch_id", "category", "academic_year", "round"]
     known = predictions.select(*keys, "predicted_closing_rank", "lower_bound", "upper_bound")
-    scored = lookup(candidates, known, keys)
-    rank, estimate = F.col("candidate_rank"), F.col("predicted_closing_rank")
-    return scored.withColumn(
-        "evidence_state", decision_state(rank, F.col("lower_bound"), estimate, F.col("upper_bound"))
-    ).withColumn("containment", F.when(estimate.isNotNull(), containment(rank, estimate)))
+    state = decision_state("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
+    within = containment("candidate_rank", "predicted_closing_rank")
+    return lookup(candidates, known, keys).selectExpr(
+        "*", f"{state} AS evidence_state", *[f"{v} AS {n}" for n, v in within.items()]
+    )
 
 
 def all_intervals(predictions: DataFrame) -> DataFrame:
     """Every calibration rule applied to each prediction, one row per rule."""
-    p = F.col("predicted_closing_rank")
-    return predictions.filter(p.isNotNull()).select(
-        "request_id", "predicted_closing_rank", F.inline(F.array(*[interval(p, t) for t in INTERVAL_TYPES]))
-    )
+    known = predictions.filter("predicted_closing_rank IS NOT NULL")
+    rules = []
+    for rule in INTERVAL_TYPES:
+        lower, upper = interval_bounds("predicted_closing_rank", rule)
+        rules.append(interval(f"({lower})", f"({upper})", "predicted_closing_rank", rule))
+    return known.selectExpr("request_id", "predicted_closing_rank", f"inline(array({', '.join(rules)}))")

@@ -10,32 +10,33 @@ longitudinal operators need a single shuffle, on the combo.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.functions.ranks import nonzero
+from cutline.functions.sql import case, inline, text
 from cutline.plans.calendar import STRICT_SCOPE, TERMINAL_SCOPES, RoundCalendar
 
+NO_RANK = "CAST(NULL AS INT)"
 COMBO = ["college_id", "college_code", "branch_id", "branch_code", "program_type", "category"]
 
 
 def canonical_branches(branches: DataFrame) -> DataFrame:
     """Every branch with the identity to report it under (one hop along the alias)."""
-    target = branches.select(
-        F.col("branch_id").alias("_tid"),
-        F.col("branch_code").alias("_tcode"),
-        F.col("branch_name").alias("_tname"),
-        F.col("program_type").alias("_tprog"),
+    target = branches.selectExpr(
+        "branch_id AS _tid", "branch_code AS _tcode", "branch_name AS _tname", "program_type AS _tprog"
     )
-    points = F.when(~F.col("is_canonical"), F.col("canonical_branch_id"))
+    points = F.expr("CASE WHEN NOT is_canonical THEN canonical_branch_id END")
     joined = branches.withColumn("_points", points).join(target, F.col("_points") == F.col("_tid"), "left")
-    return joined.select(
-        F.col("branch_id").alias("raw_branch_id"),
-        F.coalesce("_tid", "branch_id").alias("branch_id"),
-        F.when(F.col("_tid").isNotNull(), F.col("_tcode")).otherwise(F.col("branch_code")).alias("branch_code"),
-        F.when(F.col("_tid").isNotNull(), F.col("_tname")).otherwise(F.col("branch_name")).alias("branch_name"),
-        F.when(F.col("_tid").isNotNull(), F.col("_tprog")).otherwise(F.col("program_type")).alias("program_type"),
+    return joined.selectExpr(
+        "branch_id AS raw_branch_id",
+        "coalesce(_tid, branch_id) AS branch_id",
+        "nvl2(_tid, _tcode, branch_code) AS branch_code",
+        "nvl2(_tid, _tname, branch_name) AS branch_name",
+        "nvl2(_tid, _tprog, program_type) AS program_type",
     )
 
 
@@ -78,7 +79,7 @@ def canonical_panel(
         .join(rounds, ["academic_year", "round_code"])
         .join(canon, F.col("_raw_branch") == F.col("raw_branch_id"), "left")
         .join(colleges.select("college_id", "college_code", "college_name", "institution_type"), "college_id")
-        .select(
+        .selectExpr(
             "record_id",
             "academic_year",
             "closing_rank",
@@ -87,11 +88,11 @@ def canonical_panel(
             "college_code",
             "college_name",
             "institution_type",
-            F.coalesce("branch_id", "_raw_branch").alias("branch_id"),
-            F.coalesce("branch_code", F.lit("UNKNOWN")).alias("branch_code"),
-            F.coalesce("branch_name", F.lit("UNKNOWN")).alias("branch_name"),
-            F.coalesce("program_type", F.lit("ENGINEERING")).alias("program_type"),
-            F.col("category_code").alias("category"),
+            "coalesce(branch_id, _raw_branch) AS branch_id",
+            "coalesce(branch_code, 'UNKNOWN') AS branch_code",
+            "coalesce(branch_name, 'UNKNOWN') AS branch_name",
+            "coalesce(program_type, 'ENGINEERING') AS program_type",
+            "category_code AS category",
             "round_code",
             "round_number",
             "is_general_round",
@@ -108,30 +109,30 @@ def canonical_panel(
 
 @dataclass(frozen=True)
 class WidePanel:
-    """One row per combo, one column per calendar slot."""
+    """One row per combo, one column per calendar slot. Ranks are named as SQL text."""
 
     frame: DataFrame
     calendar: RoundCalendar
 
-    def rank(self, year: int, round_code: str | None) -> Column:
+    def rank(self, year: int, round_code: str | None) -> str:
         """Closing rank of a slot, NULL where the calendar has no such slot."""
         if (year, round_code) not in self.calendar.slots:
-            return F.lit(None).cast("int")
-        return F.col(slot_name(year, round_code))
+            return NO_RANK
+        return slot_name(year, round_code)
 
-    def final_rank(self, year: int) -> Column:
+    def final_rank(self, year: int) -> str:
         """Closing rank of the final state: the nominal round, else its fallback; 0 counts as missing."""
-        options = [F.nullif(self.rank(year, r), F.lit(0)) for r in self.calendar.terminal.get(year, [])]
-        return F.coalesce(*options) if options else F.lit(None).cast("int")
+        options = [nonzero(self.rank(year, r)) for r in self.calendar.terminal.get(year, [])]
+        return f"coalesce({', '.join(options)})" if options else NO_RANK
 
-    def scope_rank(self, year: int, scope: str) -> Column:
+    def scope_rank(self, year: int, scope: str) -> str:
         """Closing rank a round scope means in one year."""
         if scope in TERMINAL_SCOPES:
             return self.final_rank(year)
         if scope == STRICT_SCOPE:
             return self.rank(year, self.calendar.final_round(year))
         if scope not in self.calendar.held.get(year, []):
-            return F.lit(None).cast("int")
+            return NO_RANK
         return self.rank(year, scope)
 
     def where(self, program_type: str | None = None, category: str | None = None) -> WidePanel:
@@ -142,6 +143,10 @@ class WidePanel:
             frame = frame.filter(F.col("category") == category)
         return WidePanel(frame, self.calendar)
 
+    def long(self, columns: Sequence[str], rows: Sequence[Mapping[str, str]]) -> DataFrame:
+        """Several rows out of each combo."""
+        return self.frame.selectExpr(*columns, inline(rows))
+
 
 def slot_name(year: int, round_code: str) -> str:
     return f"r{year}_{round_code}"
@@ -155,11 +160,10 @@ def wide_panel(panel: DataFrame, calendar: RoundCalendar) -> WidePanel:
     map side, so a combo with very many rows costs one row per map task.
     """
     slots = [
-        F.max(
-            F.when(
-                (F.col("academic_year") == year) & (F.col("round_code") == code), F.col("closing_rank")
-            )
-        ).alias(slot_name(year, code))
+        F.expr(
+            f"max(CASE WHEN academic_year = {year} AND round_code = {text(code)} THEN closing_rank END)"
+            f" AS {slot_name(year, code)}"
+        )
         for year, code in calendar.slots
     ]
     return WidePanel(panel.groupBy(*COMBO).agg(*slots), calendar)
@@ -168,16 +172,14 @@ def wide_panel(panel: DataFrame, calendar: RoundCalendar) -> WidePanel:
 def terminal_states(wide: WidePanel) -> DataFrame:
     """Long rows (combo, year, final rank, round it came from)."""
     cal = wide.calendar
-    states = []
-    for year in cal.years:
-        source = F.lit(None).cast("string")
-        for code in reversed(cal.terminal.get(year, [])):
-            source = F.when(F.nullif(wide.rank(year, code), F.lit(0)).isNotNull(), code).otherwise(source)
-        states.append(
-            F.struct(
-                F.lit(year).alias("academic_year"),
-                wide.final_rank(year).alias("closing_rank"),
-                source.alias("round_code"),
-            )
-        )
-    return wide.frame.select(*COMBO, F.inline(F.array(*states))).filter(F.col("closing_rank").isNotNull())
+    states = [
+        {
+            "academic_year": str(year),
+            "closing_rank": wide.final_rank(year),
+            "round_code": case(
+                *[(f"{nonzero(wide.rank(year, c))} IS NOT NULL", text(c)) for c in cal.terminal.get(year, [])]
+            ),
+        }
+        for year in cal.years
+    ]
+    return wide.long(COMBO, states).filter("closing_rank IS NOT NULL")

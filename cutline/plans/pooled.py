@@ -8,24 +8,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.functions.sql import inline, text
 
-def _all(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+# a whole number that never falls as the value grows, about 0.1 % of the value wide
+_BUCKET = "floor(signum(_v) * log1p(abs(_v) * 1000) * 1000)"
 
 
-def _bucket(value: Column) -> Column:
-    """A whole number that never falls as the value grows, about 0.1 % of the value wide."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1000) * 1000)
-
-
-def pooled_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """Exact median of each value within each key; NULLs are ignored.
+def pooled_medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """Exact median of each value (name -> SQL text) within each key; NULLs are ignored.
 
     ``median()`` would hold all values of a group in one task. Here a first
     pass counts values per (key, bucket), with map-side combine, and finds the
@@ -34,86 +29,77 @@ def pooled_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]
     values of one bucket, never a whole group.
     """
     keys = list(keys)
-    metrics = F.array(
-        *[F.struct(F.lit(n).alias("_m"), v.cast("double").alias("_v")) for n, v in values.items()]
+    metrics = [{"_m": text(n), "_v": f"CAST({v} AS DOUBLE)"} for n, v in values.items()]
+    long = (
+        df.selectExpr(*keys, inline(metrics)).filter("_v IS NOT NULL").withColumn("_b", F.expr(_BUCKET))
     )
-    long = df.select(*keys, F.inline(metrics)).filter(F.col("_v").isNotNull())
-    long = long.withColumn("_b", _bucket(F.col("_v")))
-
     part = [*keys, "_m"]
-    whole = Window.partitionBy(*part)
+    by = ", ".join(part)
     middle = (
         long.groupBy(*part, "_b")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_n", F.sum("_c").over(whole))
-        .withColumn("_below", F.col("_to") - F.col("_c"))
-        .withColumn("_low", F.floor((F.col("_n") - 1) / 2))
-        .withColumn("_high", F.floor(F.col("_n") / 2))
-        .filter((F.col("_to") > F.col("_low")) & (F.col("_below") <= F.col("_high")))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(part)],
-                F.col("_b").alias("_kb"), "_below", "_low", "_high")
+        .agg(F.expr("count(1) AS _c"))
+        .selectExpr(
+            *part, "_b", "_c",
+            f"sum(_c) OVER (PARTITION BY {by} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _to",
+            f"sum(_c) OVER (PARTITION BY {by}) AS _n",
+        )
+        .filter("_to > (_n - 1) DIV 2 AND _to - _c <= _n DIV 2")
+        .selectExpr(
+            *[f"{k} AS _k{i}" for i, k in enumerate(part)],
+            "_b AS _kb", "_to - _c AS _below", "(_n - 1) DIV 2 AS _low", "_n DIV 2 AS _high",
+        )
     )
-    on = _all(
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)] + [F.col("_b") == F.col("_kb")]
-    )
-    within = Window.partitionBy(*part, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    on = " AND ".join([f"{k} <=> _k{i}" for i, k in enumerate(part)] + ["_b = _kb"])
     ranked = (
-        long.join(middle, on)
+        long.join(middle, F.expr(on))
         .groupBy(*part, "_b", "_below", "_low", "_high", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.col("_below") + F.sum("_c").over(within))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
+        .agg(F.expr("count(1) AS _c"))
+        .selectExpr(
+            *part, "_low", "_high", "_v", "_c",
+            f"_below + sum(_c) OVER (PARTITION BY {by}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _to",
+        )
     )
 
-    def holds(k: str) -> Column:
-        return (F.col("_from") <= F.col(k)) & (F.col(k) < F.col("_to"))
-
-    def median_of(name: str) -> Column:
-        mine = F.col("_m") == name
-        low = F.max(F.when(mine & holds("_low"), F.col("_v")))
-        high = F.max(F.when(mine & holds("_high"), F.col("_v")))
-        return ((low + high) / 2).alias(name)
+    def at(name: str, place: str) -> str:
+        return f"max(CASE WHEN _m = {text(name)} AND _to - _c <= {place} AND {place} < _to THEN _v END)"
 
-    return ranked.groupBy(*keys).agg(*[median_of(n) for n in values])
+    return ranked.groupBy(*keys).agg(
+        *[F.expr(f"({at(n, '_low')} + {at(n, '_high')}) / 2 AS {n}") for n in values]
+    )
 
 
 def with_medians(
-    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], values: dict[str, Column]
+    df: DataFrame, keys: Sequence[str], aggregates: Sequence[str], values: Mapping[str, str]
 ) -> DataFrame:
-    """Ordinary aggregates and exact medians by the same keys, side by side."""
+    """Ordinary aggregates (SQL text) and exact medians by the same keys, side by side."""
     keys = list(keys)
-    if not keys:
-        return with_medians(df.withColumn("_all", F.lit(0)), ["_all"], aggregates, values).drop("_all")
-    left = df.groupBy(*keys).agg(*aggregates)
-    right = pooled_medians(df, keys, values)
-    renamed = right.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *values)
-    on = _all([F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
-    return left.join(renamed, on, "left").drop(*[f"_g{i}" for i in range(len(keys))])
+    left = df.groupBy(*keys).agg(*[F.expr(a) for a in aggregates])
+    right = pooled_medians(df, keys, values).selectExpr(
+        *[f"{k} AS _g{i}" for i, k in enumerate(keys)], *values
+    )
+    on = " AND ".join(f"{k} <=> _g{i}" for i, k in enumerate(keys))
+    return left.join(right, F.expr(on), "left").drop(*[f"_g{i}" for i in range(len(keys))])
 
 
 def first_per_key(
-    df: DataFrame,
-    keys: Sequence[Column],
-    row_id: str,
-    eligible: Column | None = None,
-    flag: str = "is_first",
+    df: DataFrame, keys: Sequence[str], row_id: str, eligible: str = "true", flag: str = "is_first"
 ) -> DataFrame:
     """Add a flag: this row has the smallest ``row_id`` of its key among eligible rows.
 
-    ``row_id`` must be unique. The smallest id per key is a combined aggregate,
-    and the way back is a join on the id itself, so a key shared by a third of
-    all rows loads no single task. NULLs in keys are equal.
+    Keys and ``eligible`` are SQL text; ``row_id`` must be unique. The smallest
+    id per key is a combined aggregate, and the way back is a join on the id
+    itself, so a key shared by a third of all rows loads no single task. NULLs
+    in keys are equal.
     """
-    rows = df if eligible is None else df.filter(eligible)
     firsts = (
-        rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-        .agg(F.min(row_id).alias("_first"))
+        df.filter(eligible)
+        .groupBy(*[F.expr(f"{k} AS _k{i}") for i, k in enumerate(keys)])
+        .agg(F.expr(f"min({row_id}) AS _first"))
         .select("_first")
     )
     return (
         df.join(firsts, F.col(row_id) == F.col("_first"), "left")
-        .withColumn(flag, F.col("_first").isNotNull())
+        .withColumn(flag, F.expr("_first IS NOT NULL"))
         .drop("_first")
     )
 
@@ -126,21 +112,23 @@ def numbered(df: DataFrame, group: Sequence[str], order: str, name: str, span: i
     holds more than one span of one group. Group columns must not be NULL.
     """
     group = list(group)
-    tagged = df.withColumn("_span", F.floor(F.col(order) / span))
-    sizes = tagged.groupBy(*group, "_span").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col("_span").alias("_gs"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+    by = ", ".join(group)
+    tagged = df.withColumn("_span", F.expr(f"floor({order} / {span})"))
+    starts = (
+        tagged.groupBy(*group, "_span")
+        .agg(F.expr("count(1) AS _size"))
+        .selectExpr(
+            *[f"{g} AS _g{i}" for i, g in enumerate(group)],
+            "_span AS _gs",
+            f"coalesce(sum(_size) OVER (PARTITION BY {by} ORDER BY _span "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _start",
+        )
     )
-    on = _all(
-        [F.col(g) == F.col(f"_g{i}") for i, g in enumerate(group)] + [F.col("_span") == F.col("_gs")]
-    )
-    inside = Window.partitionBy(*group, "_span").orderBy(order)
+    on = " AND ".join([f"{g} = _g{i}" for i, g in enumerate(group)] + ["_span = _gs"])
+    inside = f"row_number() OVER (PARTITION BY {by}, _span ORDER BY {order})"
     return (
-        tagged.join(starts, on)
-        .withColumn(name, (F.row_number().over(inside) + F.col("_start")).cast("long"))
+        tagged.join(starts, F.expr(on))
+        .withColumn(name, F.expr(f"CAST({inside} + _start AS BIGINT)"))
         .drop("_span", "_gs", "_start", *[f"_g{i}" for i in range(len(group))])
     )
 
@@ -156,16 +144,15 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "l
     NULL keys find nothing.
     """
     keys = list(keys)
-    right = table.select(
-        F.xxhash64(*keys).alias("_rh"),
-        *[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)],
+    hashed = f"xxhash64({', '.join(keys)})"
+    right = table.selectExpr(
+        f"{hashed} AS _rh",
+        *[f"{k} AS _r{i}" for i, k in enumerate(keys)],
         *[c for c in table.columns if c not in keys],
     )
-    on = _all(
-        [F.col("_lh") == F.col("_rh")] + [F.col(k) == F.col(f"_r{i}") for i, k in enumerate(keys)]
-    )
+    on = " AND ".join(["_lh = _rh"] + [f"{k} = _r{i}" for i, k in enumerate(keys)])
     return (
-        rows.withColumn("_lh", F.xxhash64(*keys))
-        .join(right, on, how)
+        rows.withColumn("_lh", F.expr(hashed))
+        .join(right, F.expr(on), how)
         .drop("_lh", "_rh", *[f"_r{i}" for i in range(len(keys))])
     )

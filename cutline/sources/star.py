@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.functions.sql import case, inline, text, texts
 from cutline.operators.predict import MODELS
 from cutline.plans.calendar import PARTIAL, RoundCalendar
 from cutline.plans.panel import WidePanel, canonical_panel, wide_panel
+from cutline.schemas import CUTOFF_KEY
 
 # ---------------------------------------------------------------------------
 # The calendar of this binding
@@ -51,24 +53,11 @@ ARCHITECTURE_REGION = 4
 # ---------------------------------------------------------------------------
 
 
-def round_of_priority(priority: Column) -> Column:
-    digit = F.substring(priority, 1, 1)
-    out = F.lit(None).cast("string")
-    for i, (code, *_rest) in reversed(list(enumerate(_ROUNDS, start=1))):
-        out = F.when(digit == str(i), code).otherwise(out)
-    return out
-
-
-def category_of_flag(flag: Column) -> Column:
-    return F.when(flag == "N", "GM").when(flag == "R", "KKR").otherwise("HKR")
-
-
-def version_of_status(status: Column) -> Column:
-    return F.when(status == "F", "v1").otherwise("v2")
-
-
-def college_code_of(suppkey: Column) -> Column:
-    return F.format_string("S%05d", suppkey)
+ROUND_OF_PRIORITY = case(
+    *[(f"substring(o_orderpriority, 1, 1) = '{i}'", text(r[0])) for i, r in enumerate(_ROUNDS, start=1)]
+)
+CATEGORY_OF_FLAG = case(("l_returnflag = 'N'", "'GM'"), ("l_returnflag = 'R'", "'KKR'"), default="'HKR'")
+VERSION_OF_STATUS = case(("l_linestatus = 'F'", "'v1'"), default="'v2'")
 
 
 @dataclass(frozen=True)
@@ -87,34 +76,28 @@ class Star:
 
     def colleges(self) -> DataFrame:
         supplier, nation = self.table("supplier"), self.table("nation")
-        return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-            F.col("s_suppkey").cast("string").alias("college_id"),
-            college_code_of(F.col("s_suppkey")).alias("college_code"),
-            F.regexp_replace("s_name", "#", " ").alias("college_name"),
-            F.col("s_name").alias("original_name"),
-            F.col("n_name").alias("location"),
-            F.when(F.col("n_regionkey") == ARCHITECTURE_REGION, "ARCHITECTURE")
-            .otherwise("ENGINEERING")
-            .alias("institution_type"),
+        return supplier.join(nation, F.expr("s_nationkey = n_nationkey")).selectExpr(
+            "CAST(s_suppkey AS STRING) AS college_id",
+            "format_string('S%05d', s_suppkey) AS college_code",
+            "replace(s_name, '#', ' ') AS college_name",
+            "s_name AS original_name",
+            "n_name AS location",
+            f"CASE WHEN n_regionkey = {ARCHITECTURE_REGION} THEN 'ARCHITECTURE' ELSE 'ENGINEERING' END "
+            "AS institution_type",
         )
 
     def branches(self) -> DataFrame:
         """One row per part type; the distinct is combined on the map side and stays tiny."""
-        code = F.col("p_type")
-        target = F.lit(None).cast("string")
-        for alias, canonical in ALIAS_OF.items():
-            target = F.when(code == alias, canonical).otherwise(target)
-        canonical = F.coalesce(target, code)
-        return self.table("part").select("p_type").distinct().select(
-            code.alias("branch_id"),
-            code.alias("branch_code"),
-            F.concat(F.initcap(code), F.lit(" Engineering")).alias("branch_name"),
-            code.alias("original_name"),
-            F.when(canonical.isin(ARCHITECTURE_TYPES), "ARCHITECTURE")
-            .otherwise("ENGINEERING")
-            .alias("program_type"),
-            target.isNull().alias("is_canonical"),
-            target.alias("canonical_branch_id"),
+        target = case(*[(f"p_type = {text(a)}", text(c)) for a, c in ALIAS_OF.items()])
+        return self.table("part").select("p_type").distinct().selectExpr(
+            "p_type AS branch_id",
+            "p_type AS branch_code",
+            "concat(initcap(p_type), ' Engineering') AS branch_name",
+            "p_type AS original_name",
+            f"CASE WHEN coalesce({target}, p_type) IN {texts(ARCHITECTURE_TYPES)} THEN 'ARCHITECTURE' "
+            "ELSE 'ENGINEERING' END AS program_type",
+            f"({target}) IS NULL AS is_canonical",
+            f"{target} AS canonical_branch_id",
         )
 
     def rounds(self) -> DataFrame:
@@ -124,24 +107,19 @@ class Star:
 
     def lines(self) -> DataFrame:
         """Line items with the order's year, round and status, and the part's type."""
-        line = self.table("lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-        )
-        order = self.table("orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-        part = self.table("part").select("p_partkey", "p_type", "p_retailprice")
+        line, order, part = self.table("lineitem"), self.table("orders"), self.table("part")
         return (
-            line.join(order, line.l_orderkey == order.o_orderkey)
-            .join(part, line.l_partkey == part.p_partkey)
-            .select(
-                F.col("l_suppkey").cast("string").alias("college_id"),
-                college_code_of(F.col("l_suppkey")).alias("college_code"),
-                F.col("p_type").alias("branch_id"),
-                F.year("o_orderdate").alias("academic_year"),
-                round_of_priority(F.col("o_orderpriority")).alias("round_code"),
-                category_of_flag(F.col("l_returnflag")).alias("category_code"),
-                version_of_status(F.col("l_linestatus")).alias("source_version_id"),
-                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_id"),
+            line.join(order, F.expr("l_orderkey = o_orderkey"))
+            .join(part, F.expr("l_partkey = p_partkey"))
+            .selectExpr(
+                "CAST(l_suppkey AS STRING) AS college_id",
+                "format_string('S%05d', l_suppkey) AS college_code",
+                "p_type AS branch_id",
+                "year(o_orderdate) AS academic_year",
+                f"{ROUND_OF_PRIORITY} AS round_code",
+                f"{CATEGORY_OF_FLAG} AS category_code",
+                f"{VERSION_OF_STATUS} AS source_version_id",
+                "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id",
                 *line.columns,
                 "o_orderstatus",
                 "p_retailprice",
@@ -150,68 +128,62 @@ class Star:
 
     def cutoffs(self) -> DataFrame:
         """One fact per logical key and version; where v2 exists, v1 is superseded."""
-        key = ["college_id", "branch_id", "category_code", "round_code", "academic_year"]
-        by_version = []
-        for version in ("v1", "v2"):
-            mine = F.when(F.col("source_version_id") == version, F.col("l_extendedprice"))
-            by_version += [F.min(mine).alias(f"{version}_low"), F.max(mine).alias(f"{version}_high")]
-        wide = self.lines().groupBy(*key).agg(*by_version)
-
-        def fact(version: str, status: Column) -> Column:
-            return F.struct(
-                F.lit(version).alias("source_version_id"),
-                F.floor(f"{version}_low").cast("int").alias("opening_rank"),
-                F.floor(f"{version}_high").cast("int").alias("closing_rank"),
-                status.alias("status"),
+        bounds = [
+            F.expr(f"{f}(CASE WHEN source_version_id = '{v}' THEN l_extendedprice END) AS {v}_{f}")
+            for v in ("v1", "v2")
+            for f in ("min", "max")
+        ]
+        facts = [
+            {
+                "source_version_id": text(v),
+                "opening_rank": f"CAST(floor({v}_min) AS INT)",
+                "closing_rank": f"CAST(floor({v}_max) AS INT)",
+                "status": status,
+            }
+            for v, status in (
+                ("v1", "CASE WHEN v2_max IS NULL THEN 'PUBLISHED' ELSE 'SUPERSEDED' END"),
+                ("v2", "'PUBLISHED'"),
             )
-
-        v1_status = F.when(F.col("v2_high").isNotNull(), "SUPERSEDED").otherwise("PUBLISHED")
-        rows = wide.select(*key, F.inline(F.array(fact("v1", v1_status), fact("v2", F.lit("PUBLISHED")))))
-        return rows.filter(F.col("closing_rank").isNotNull()).withColumn(
-            "record_id",
-            F.concat_ws("|", "college_id", "branch_id", "academic_year", "round_code", "category_code",
-                        "source_version_id"),
+        ]
+        rows = self.lines().groupBy(*CUTOFF_KEY).agg(*bounds).selectExpr(*CUTOFF_KEY, inline(facts))
+        return rows.filter("closing_rank IS NOT NULL").selectExpr(
+            "*",
+            "concat_ws('|', college_id, branch_id, academic_year, round_code, category_code, source_version_id) "
+            "AS record_id",
         )
 
     def seats(self) -> DataFrame:
         """Seats per college, branch, year and round; lines of the first round carry no round."""
         return (
             self.lines()
-            .withColumn("round_code", F.when(F.col("round_code") != "MOCK", F.col("round_code")))
-            .groupBy("college_id", "branch_id", "academic_year", "round_code")
+            .groupBy("college_id", "branch_id", "academic_year", F.expr("nullif(round_code, 'MOCK') AS round_code"))
             .agg(
-                F.sum("l_quantity").cast("int").alias("total_seats"),
-                F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0))
-                .cast("int")
-                .alias("vacant_seats"),
-                F.max("source_version_id").alias("source_version_id"),
-                F.max("l_shipdate").alias("created_at"),
+                F.expr("CAST(sum(l_quantity) AS INT) AS total_seats"),
+                F.expr("CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS INT) AS vacant_seats"),
+                F.expr("max(source_version_id) AS source_version_id"),
+                F.expr("max(l_shipdate) AS created_at"),
             )
-            .select(
-                F.concat_ws("|", "college_id", "branch_id", "academic_year",
-                            F.coalesce("round_code", F.lit("-"))).alias("record_id"),
+            .selectExpr(
+                "concat_ws('|', college_id, branch_id, academic_year, coalesce(round_code, '-')) AS record_id",
                 "*",
-                F.lit(None).cast("string").alias("category_code"),
-                F.lit("PUBLISHED").alias("status"),
+                "CAST(NULL AS STRING) AS category_code",
+                "'PUBLISHED' AS status",
             )
         )
 
     def fees(self) -> DataFrame:
         """Fees per college, branch and year, from retail prices."""
-        total = F.col("total_fee")
         return (
             self.lines()
             .groupBy("college_id", "branch_id", "academic_year")
-            .agg((F.max("p_retailprice") * 100).cast("decimal(12,2)").alias("total_fee"))
-            .select(
-                F.concat_ws("|", "college_id", "branch_id", "academic_year").alias("record_id"),
-                "college_id", "branch_id", "academic_year",
-                total,
-                (total * F.lit("0.90").cast("decimal(3,2)")).cast("decimal(12,2)").alias("tuition_fee"),
-                (total - (total * F.lit("0.90").cast("decimal(3,2)")).cast("decimal(12,2)"))
-                .cast("decimal(12,2)").alias("other_fee"),
-                F.lit("INR").alias("currency"),
-                F.lit("PUBLISHED").alias("status"),
+            .agg(F.expr("CAST(max(p_retailprice) * 100 AS DECIMAL(12,2)) AS total_fee"))
+            .withColumn("tuition_fee", F.expr("CAST(total_fee * 0.90BD AS DECIMAL(12,2))"))
+            .selectExpr(
+                "concat_ws('|', college_id, branch_id, academic_year) AS record_id",
+                "college_id", "branch_id", "academic_year", "total_fee", "tuition_fee",
+                "CAST(total_fee - tuition_fee AS DECIMAL(12,2)) AS other_fee",
+                "'INR' AS currency",
+                "'PUBLISHED' AS status",
             )
         )
 
@@ -221,25 +193,23 @@ class Star:
         Some requests name unknown entities, a program that does not fit or a
         round that cannot be asked for, so every refusal occurs.
         """
-        supplier, year = F.col("college_id").cast("int"), F.col("academic_year")
-        models = F.array(F.lit(None).cast("string"), *[F.lit(m) for m in MODELS])
-        asked = F.when(F.col("round_code") == "MOCK", "TERMINAL").otherwise(F.col("round_code"))
-        lower = F.col("source_version_id") == "v1"
-        large = F.col("branch_id").isin(ARCHITECTURE_TYPES)
-        return self.cutoffs().select(
-            F.col("record_id").alias("request_id"),
-            F.when(lower & (supplier % 29 == 0), F.concat(F.lit("X"), "college_id"))
-            .otherwise(F.col("college_id")).alias("college_id"),
-            F.when(lower & (F.col("branch_id") == "SMALL") & (year == 1997), "TINY")
-            .otherwise(F.col("branch_id")).alias("branch_id"),
+        first = "source_version_id = 'v1'"
+        supplier = "CAST(college_id AS INT)"
+        asked = "CASE WHEN round_code = 'MOCK' THEN 'TERMINAL' ELSE round_code END"
+        models = f"array(CAST(NULL AS STRING), {', '.join(text(m) for m in MODELS)})"
+        return self.cutoffs().selectExpr(
+            "record_id AS request_id",
+            f"CASE WHEN {first} AND {supplier} % 29 = 0 THEN concat('X', college_id) ELSE college_id END AS college_id",
+            f"CASE WHEN {first} AND branch_id = 'SMALL' AND academic_year = 1997 THEN 'TINY' ELSE branch_id END "
+            "AS branch_id",
             "academic_year",
-            F.when(lower, F.lower(asked)).otherwise(asked).alias("round"),
-            F.col("category_code").alias("category"),
-            F.when(large | ((F.col("branch_id") == "MEDIUM") & (year == 2001)), "ARCHITECTURE")
-            .when((F.col("branch_id") == "ECONOMY") & (year == 2000), "DESIGN")
-            .otherwise("ENGINEERING").alias("program_type"),
-            F.get(models, (supplier + year) % 10).alias("model_type"),
-            F.when(lower & (supplier % 31 == 0), 0).otherwise(F.col("opening_rank")).alias("candidate_rank"),
+            f"CASE WHEN {first} THEN lower({asked}) ELSE {asked} END AS round",
+            "category_code AS category",
+            f"CASE WHEN branch_id IN {texts(ARCHITECTURE_TYPES)} OR (branch_id = 'MEDIUM' AND academic_year = 2001) "
+            "THEN 'ARCHITECTURE' WHEN branch_id = 'ECONOMY' AND academic_year = 2000 THEN 'DESIGN' "
+            "ELSE 'ENGINEERING' END AS program_type",
+            f"get({models}, ({supplier} + academic_year) % 10) AS model_type",
+            f"CASE WHEN {first} AND {supplier} % 31 = 0 THEN 0 ELSE opening_rank END AS candidate_rank",
         )
 
     # provenance and operation, from the event stream -----------------------
