@@ -709,8 +709,234 @@ FROM w JOIN held USING (college_id, branch_id) WHERE now IS NOT NULL AND before
     }
 
 
+_REGISTRY = f"""
+good_colleges AS (SELECT {CODE.format('s_suppkey')} AS college_code FROM supplier WHERE s_acctbal >= 0)"""
+
+_RAW_CUTOFFS = """
+raw AS (
+  SELECT line_id AS row_idx, college_code, branch_id AS branch_code, category_code,
+    CASE WHEN round_code = 'KKR_SPECIAL' AND o_orderstatus = 'P' THEN 'R2' ELSE round_code END AS round_code,
+    CASE WHEN l_discount > 0.02::DOUBLE THEN CAST(l_quantity AS INTEGER) * 2000 - 2000 END AS o,
+    CAST(floor(l_extendedprice) AS INTEGER) * 3 - 15000 AS c, academic_year,
+    college_code || '-' || source_version_id AS source_version_id FROM lines),
+step1 AS (
+  SELECT *, CASE WHEN college_code NOT IN (SELECT college_code FROM good_colleges) THEN 'UNKNOWN_COLLEGE_CODE'
+      WHEN branch_code NOT IN ('ECONOMY', 'LARGE', 'STANDARD', 'MEDIUM', 'SMALL') THEN 'UNKNOWN_BRANCH_CODE'
+      WHEN round_code = 'R2' THEN 'INVALID_COUNSELLING_ROUND' END AS early,
+    CASE WHEN c <= 0 THEN 'INVALID_CLOSING_RANK' WHEN o <= 0 THEN 'INVALID_OPENING_RANK'
+      WHEN o > c THEN 'OPENING_GREATER_THAN_CLOSING' END AS ranks FROM raw),
+tagged AS (
+  SELECT *, concat_ws(',', CASE WHEN early IS NULL AND category_code = 'HKR' THEN 'UNEXPECTED_CATEGORY' END,
+                CASE WHEN early IS NULL AND ranks IS NULL AND c > 250000 THEN 'ANOMALOUS_HIGH_RANK' END) AS anomalies,
+    CASE WHEN coalesce(early, ranks) IS NULL THEN row_number() OVER (
+      PARTITION BY coalesce(early, ranks) IS NULL, college_code, branch_code, category_code, round_code, academic_year{batch}
+      ORDER BY row_idx) END AS k FROM step1),
+final AS (SELECT *, CASE WHEN k > 1 THEN 'DUPLICATE_LOGICAL_RECORD' ELSE coalesce(early, ranks, '') END AS error_codes, k IS NOT NULL AND k = 1 AS is_valid FROM tagged)"""
+
+
+def _numeric(codes: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in codes.items()) + ")"
+
+
+def _rules(raw: str, early: str, numeric: str, late: str, key: str) -> str:
+    return f"""{BASE}, {_REGISTRY}, raw AS ({raw}),
+a AS (SELECT *, {early} AS early, {numeric} AS each, {late} AS late FROM raw),
+b AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN each <> '' THEN each ELSE coalesce(late, '') END AS err FROM a),
+d AS (SELECT *, row_number() OVER (PARTITION BY err = '', {key} ORDER BY row_idx) AS k FROM b)
+SELECT row_idx, CASE WHEN err = '' AND k > 1 THEN 'DUPLICATE_LOGICAL_RECORD' ELSE err END AS error_codes, '' AS anomalies,
+  err = '' AND k = 1 AS is_valid FROM d"""
+
+
+_KNOWN_BRANCH = "branch_code IN ('ECONOMY', 'LARGE', 'STANDARD', 'MEDIUM', 'SMALL')"
+
+_DOCS = f"""
+docs AS (
+  SELECT {CODE.format('s_suppkey')} || '-' || v AS source_version_id,
+    CASE WHEN s_nationkey < 12 THEN 'CUTOFF_PDF' WHEN s_nationkey < 22 THEN 'SEAT_MATRIX_PDF'
+         WHEN s_nationkey < 24 THEN 'NOTIFICATION_PDF' ELSE 'UNKNOWN' END AS document_type,
+    CASE WHEN s_nationkey % 2 = 0 THEN 'ENGINEERING' ELSE 'ARCHITECTURE' END AS program_type,
+    (SELECT count(*) * 2 FROM lineitem WHERE l_suppkey = s_suppkey) AS baseline, s_acctbal < 500 AS corrigendum
+  FROM supplier, (VALUES ('v1'), ('v2')) t(v)),
+counted AS (
+  SELECT d.*, coalesce(n, 0) AS candidate_records, coalesce(ok, 0) AS extracted_count
+  FROM docs d LEFT JOIN (SELECT source_version_id, count(*) AS n, count(*) FILTER (is_valid) AS ok FROM final GROUP BY 1) USING (source_version_id)),
+gate AS (
+  SELECT *, CAST(CASE program_type WHEN 'ARCHITECTURE' THEN 4 ELSE 50 END AS INTEGER) AS minimum_rows,
+    CASE WHEN corrigendum THEN NULL WHEN document_type = 'UNKNOWN' THEN 'UNKNOWN_DOCUMENT_TYPE'
+      WHEN document_type = 'NOTIFICATION_PDF' THEN NULL WHEN extracted_count <= 0 THEN 'SUSPICIOUS_LOW_COUNT'
+      WHEN document_type = 'CUTOFF_PDF' AND program_type = 'ENGINEERING' AND baseline > 100
+       AND extracted_count < floor(baseline * 0.3::DOUBLE) THEN 'SUSPICIOUS_LOW_COUNT'
+      WHEN extracted_count < CASE program_type WHEN 'ARCHITECTURE' THEN 4 ELSE 50 END THEN 'SUSPICIOUS_LOW_COUNT' END AS error_code
+  FROM counted),
+outcome AS (
+  SELECT *, candidate_records - extracted_count AS rejected_records,
+    CASE WHEN document_type = 'SEAT_MATRIX_PDF' AND candidate_records > extracted_count THEN 'VALIDATION_FAILED' ELSE error_code END AS failure_reason
+  FROM gate)"""
+
+_FACTS_OF = """
+{name} AS (SELECT college_id, branch_id, category_code, round_code, academic_year, source_version_id,
+  CAST(floor(min(l_extendedprice)) AS INTEGER) AS opening_rank, CAST(floor(max(l_extendedprice)) AS INTEGER) AS closing_rank
+  FROM lines WHERE {where} GROUP BY ALL)"""
+
+_KEY = "college_id, branch_id, category_code, round_code, academic_year"
+
+_PUBLISH = f"""{BASE}, {_FACTS_OF.format(name='store', where="source_version_id = 'v1' OR o_orderstatus <> 'O'")},
+{_FACTS_OF.format(name='inc', where="source_version_id = 'v2'")},
+res AS (
+  SELECT i.*, CASE WHEN i.academic_year = 1999 AND i.round_code = 'R4' THEN 'UNKNOWN_COUNSELLING_ROUND'
+      WHEN s.closing_rank IS NULL THEN 'PUBLISHED' WHEN s.closing_rank <> i.closing_rank THEN 'FACTUAL_MUTATION_REJECTED'
+      ELSE 'UNCHANGED' END AS outcome
+  FROM inc i LEFT JOIN store s USING ({_KEY}, source_version_id))"""
+
+_FOUND = """
+found AS (
+  SELECT upper(p_name[1] || split_part(p_name, ' ', -1)[1]) AS branch_code,
+    max(p_name || CASE p_type WHEN 'ECONOMY' THEN ' and Planning' WHEN 'LARGE' THEN ' Architecture'
+                              WHEN 'SMALL' THEN ' Bachelor of Design' ELSE '' END) AS branch_name
+  FROM part GROUP BY 1)"""
+
+
+def _program(name: str) -> str:
+    return f"""CASE WHEN branch_code = 'AT' OR contains(upper({name}), 'ARCHITECTURE') THEN 'ARCHITECTURE'
+  WHEN branch_code IN ('BD', 'BDC', 'BI', 'BIN', 'DC', 'DF', 'DI', 'DL') OR contains(upper({name}), 'BACHELOR OF DESIGN')
+    OR contains(upper({name}), 'B. DESIGN') THEN 'DESIGN'
+  WHEN branch_code IN ('BP', 'BPL', 'IMP') OR contains(upper({name}), 'PLANNING') THEN 'OTHER' ELSE 'ENGINEERING' END"""
+
+
+_CANONICAL = "branch_code NOT IN ('BDC', 'BIN', 'BPL', 'ECV', 'ECS', 'CM')"
+
+
+def quality() -> dict[str, str]:
+    rules = _RAW_CUTOFFS.format(batch="")
+    by_doc = _RAW_CUTOFFS.format(batch=", source_version_id")
+    fee = {
+        c: f"CASE WHEN {c} IS NOT NULL AND TRY_CAST({c} AS DECIMAL(20,4)) IS NULL THEN 'NON_NUMERIC_{c.upper()}' "
+        f"WHEN TRY_CAST({c} AS DECIMAL(20,4)) < 0 THEN 'INVALID_{c.upper()}' END"
+        for c in ("total_fee", "tuition_fee", "other_fee")
+    }
+    total, share, tax = ("CAST(round(p_retailprice * 100) AS BIGINT)", "CAST(round(l_discount * 100) AS BIGINT)",
+                         "CAST(round(l_tax * 100) AS BIGINT)")
+    qty = "CAST(l_quantity AS INTEGER)"
+    return {
+        "dq_cutoff": f"{BASE}, {_REGISTRY}, {rules} SELECT row_idx, error_codes, anomalies, is_valid FROM final",
+        "dq_errors": f"""{BASE}, {_REGISTRY}, {rules}
+SELECT 'CUTOFF' AS entity_type, error_code, severity, count(*) AS found FROM (
+  SELECT error_codes AS error_code, 'ERROR' AS severity FROM final WHERE error_codes <> ''
+  UNION ALL SELECT unnest(string_split(anomalies, ',')), 'WARNING' FROM final WHERE anomalies <> '') GROUP BY ALL""",
+        "dq_seat": _rules(
+            """SELECT line_id AS row_idx, CASE WHEN l_tax < 0.005::DOUBLE THEN '' ELSE college_code END AS college_code,
+  CASE WHEN l_tax BETWEEN 0.005::DOUBLE AND 0.015::DOUBLE THEN NULL ELSE branch_id END AS branch_code,
+  nullif(round_code, 'MOCK') AS counselling_round, nullif(category_code, 'HKR') AS category_code, academic_year,
+  CASE WHEN l_returnflag <> 'A' THEN CAST(l_quantity AS INTEGER) - 2 END AS total_seats,
+  CASE WHEN l_linestatus <> 'O' THEN l_linenumber * 5 - 6 END AS vacant_seats,
+  CASE WHEN l_discount > 0.045::DOUBLE THEN l_linenumber END AS gm_seats,
+  CASE WHEN l_discount > 0.015::DOUBLE THEN CAST(l_quantity AS INTEGER) % 9 - 1 END AS kkr_seats FROM lines""",
+            f"""CASE WHEN college_code = '' THEN 'MISSING_COLLEGE_CODE' WHEN branch_code IS NULL THEN 'MISSING_BRANCH_CODE'
+  WHEN total_seats IS NULL AND vacant_seats IS NULL THEN 'MISSING_SEAT_VALUES'
+  WHEN college_code NOT IN (SELECT college_code FROM good_colleges) THEN 'UNKNOWN_COLLEGE_CODE'
+  WHEN NOT {_KNOWN_BRANCH} THEN 'UNKNOWN_BRANCH_CODE' END""",
+            _numeric({f"INVALID_{c.upper()}": f"{c} < 0" for c in ("total_seats", "vacant_seats", "gm_seats", "kkr_seats")}),
+            """CASE WHEN vacant_seats > total_seats THEN 'VACANCY_EXCEEDS_TOTAL_SEATS'
+  WHEN gm_seats + kkr_seats > total_seats THEN 'SEAT_SUM_EXCEEDS_TOTAL'
+  WHEN gm_seats + kkr_seats > vacant_seats THEN 'SEAT_SUM_EXCEEDS_VACANCY' END""",
+            "college_code, branch_code, counselling_round, category_code, academic_year",
+        ),
+        "dq_fee": _rules(
+            f"""SELECT line_id AS row_idx, CASE WHEN {qty} = 3 THEN NULL ELSE college_code END AS college_code,
+  CASE WHEN {qty} = 4 THEN '' ELSE branch_id END AS branch_code, academic_year,
+  CASE {qty} WHEN 5 THEN NULL WHEN 6 THEN 'n/a' WHEN 7 THEN '-100' ELSE CAST({total} AS VARCHAR) END AS total_fee,
+  CASE {qty} WHEN 8 THEN 'x' WHEN 9 THEN CAST({total} + 1 AS VARCHAR) WHEN 10 THEN NULL
+       ELSE CAST({total} - {share} * 900 AS VARCHAR) END AS tuition_fee,
+  CASE WHEN {qty} = 11 THEN '-1' WHEN {qty} IN (8, 12) THEN 'y' ELSE CAST({share} * 900 + ({tax} - 4) * 30 AS VARCHAR) END AS other_fee
+FROM lines""",
+            f"""CASE WHEN college_code IS NULL THEN 'MISSING_COLLEGE_CODE' WHEN total_fee IS NULL THEN 'MISSING_TOTAL_FEE'
+  WHEN college_code NOT IN (SELECT college_code FROM good_colleges) THEN 'UNKNOWN_COLLEGE_CODE'
+  WHEN branch_code <> '' AND NOT {_KNOWN_BRANCH} THEN 'UNKNOWN_BRANCH_CODE' END""",
+            f"concat_ws(',', {', '.join(fee.values())})",
+            """CASE WHEN TRY_CAST(tuition_fee AS DECIMAL(20,4)) > TRY_CAST(total_fee AS DECIMAL(20,4)) THEN 'TUITION_EXCEEDS_TOTAL_FEE'
+  WHEN TRY_CAST(other_fee AS DECIMAL(20,4)) > TRY_CAST(total_fee AS DECIMAL(20,4)) THEN 'OTHER_FEE_EXCEEDS_TOTAL_FEE'
+  WHEN abs(TRY_CAST(tuition_fee AS DECIMAL(20,4)) + TRY_CAST(other_fee AS DECIMAL(20,4)) - TRY_CAST(total_fee AS DECIMAL(20,4))) > 100
+  THEN 'FEE_COMPONENTS_MISMATCH' END""",
+            "college_code, branch_code, academic_year",
+        ),
+        "dq_completeness": f"""{BASE}, {_REGISTRY}, {by_doc}, {_DOCS}
+SELECT source_version_id, document_type, program_type, candidate_records, extracted_count, rejected_records, minimum_rows,
+  error_code, failure_reason, CASE WHEN failure_reason IS NULL THEN 'PUBLISHED' ELSE 'NEEDS_REVIEW' END AS processing_status
+FROM outcome""",
+        "dq_publishable": f"""{BASE}, {_REGISTRY}, {by_doc}, {_DOCS}
+SELECT source_version_id, count(*) AS publishable FROM final JOIN outcome USING (source_version_id)
+WHERE is_valid AND failure_reason IS NULL GROUP BY 1""",
+        "dq_audit": f"""{FACTS}
+SELECT 'college_suspicious' AS check, count(*) AS violations FROM colleges
+  WHERE regexp_matches(college_code, '(?i)^(TEST|COLLEGE|CODE|UNKNOWN|SAMPLE|DUMMY)') OR regexp_matches(college_name, '(?i)(TEST|SAMPLE|DUMMY|COLLEGE NAME)')
+UNION ALL SELECT 'college_placeholder', count(*) FROM colleges
+  WHERE regexp_matches(college_code || ' ' || college_name, '(?i)^(COLLEGECODE|COLLEGE|BRANCH|COURSE|CODE|UNKNOWN|TEST|SAMPLE|DUMMY)')
+UNION ALL SELECT 'branch_suspicious', count(*) FROM branches WHERE regexp_matches(branch_name, '(?i)(TEST|SAMPLE|DUMMY)')
+UNION ALL SELECT 'branch_placeholder', count(*) FROM branches
+  WHERE regexp_matches(branch_code, '(?i)^(COLLEGECODE|COLLEGE|BRANCH|COURSE|CODE|UNKNOWN|TEST|SAMPLE|DUMMY)')
+UNION ALL SELECT 'cutoff_opening_above_closing', count(*) FROM cutoffs WHERE opening_rank > closing_rank
+UNION ALL SELECT 'cutoff_not_positive', count(*) FROM cutoffs WHERE closing_rank <= 0
+UNION ALL SELECT 'cutoff_missing_key', count(*) FROM cutoffs WHERE college_id IS NULL OR branch_id IS NULL OR round_code IS NULL
+UNION ALL SELECT 'seat_negative', count(*) FROM seats WHERE total_seats < 0 OR vacant_seats < 0
+UNION ALL SELECT 'seat_vacant_above_total', count(*) FROM seats WHERE vacant_seats > total_seats
+UNION ALL SELECT 'seat_missing_key', count(*) FROM seats WHERE college_id IS NULL OR branch_id IS NULL
+UNION ALL SELECT 'fee_negative', count(*) FROM fees WHERE total_fee < 0 UNION ALL SELECT 'fee_zero', count(*) FROM fees WHERE total_fee = 0
+UNION ALL SELECT 'college_duplicate_code', count(*) FROM (SELECT college_code FROM colleges GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'branch_duplicate_code', count(*) FROM (SELECT branch_code FROM branches GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'cutoff_duplicate_key', count(*) FROM (SELECT {_KEY} FROM cutoffs GROUP BY ALL HAVING count(*) > 1)""",
+        "dq_orphans": f"""{BASE}, {REQUESTS} SELECT request_id, r.college_id FROM reqs r
+WHERE r.college_id NOT IN (SELECT college_id FROM colleges)""",
+        "publish_outcome": f"{_PUBLISH} SELECT * FROM res",
+        "publish_state": f"""{_PUBLISH}
+SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM res r WHERE r.outcome = 'PUBLISHED' AND r.college_id = s.college_id AND r.branch_id = s.branch_id
+    AND r.category_code = s.category_code AND r.round_code = s.round_code AND r.academic_year = s.academic_year)
+  THEN 'SUPERSEDED' ELSE 'PUBLISHED' END AS status FROM store s
+UNION ALL SELECT * EXCLUDE (outcome), 'PUBLISHED' FROM res WHERE outcome = 'PUBLISHED'""",
+        "publish_report": f"""{_PUBLISH}
+SELECT source_version_id, count(*) AS candidate_records, count(*) FILTER (outcome = 'PUBLISHED') AS published_records,
+  count(*) FILTER (outcome = 'UNCHANGED') AS verified_unchanged_records,
+  count(*) FILTER (outcome = 'FACTUAL_MUTATION_REJECTED') AS rejected_records,
+  count(*) FILTER (outcome = 'UNKNOWN_COUNSELLING_ROUND') AS unknown_dimensions,
+  (SELECT count(*) FROM store JOIN res n USING ({_KEY}) WHERE n.outcome = 'PUBLISHED') AS superseded_records
+FROM res GROUP BY 1""",
+        "publish_seats": f"""{FACTS} SELECT record_id, college_id, branch_id, academic_year, round_code, total_seats, vacant_seats,
+  source_version_id, status FROM seats WHERE source_version_id <> 'v1' AND round_code IS NOT NULL""",
+        "college_upsert": f"""WITH {COLLEGES}, c AS (SELECT *, CAST(split_part(location, '_', 2) AS INTEGER) AS n FROM colleges)
+SELECT college_code, college_name, original_name, location,
+  CASE WHEN n < 3 THEN institution_type WHEN n < 8 THEN 'MEDICAL' ELSE institution_type END AS institution_type,
+  CASE WHEN n >= 15 THEN 'INSERTED' WHEN n < 3 THEN 'KEPT' WHEN n < 8 THEN 'UPDATED' ELSE 'UNCHANGED' END AS outcome
+FROM (SELECT college_code, college_name, original_name, CASE WHEN n < 3 THEN NULL ELSE location END AS location, institution_type, n FROM c)""",
+        "branch_classify": f"""WITH {_FOUND}, alias(a, c) AS (VALUES ('BDC', 'DC'), ('BIN', 'BI'), ('BPL', 'BP'), ('ECV', 'ED'), ('ECS', 'EC'))
+SELECT branch_code, branch_name, {_program('branch_name')} AS program_type, {_CANONICAL} AS is_canonical,
+  (SELECT c FROM alias WHERE a = branch_code AND c IN (SELECT branch_code FROM found)) AS canonical_code FROM found""",
+        "branch_upsert": f"""WITH {_FOUND} SELECT branch_code, branch_name,
+  CASE WHEN branch_code >= 'S' THEN 'ENGINEERING' ELSE {_program('branch_name')} END AS program_type,
+  CASE WHEN branch_code >= 'S' THEN true ELSE {_CANONICAL} END AS is_canonical, CAST(NULL AS VARCHAR) AS canonical_code,
+  CASE WHEN branch_code <= 'M' THEN 'INSERTED' WHEN branch_code >= 'S' THEN 'KEPT'
+       WHEN {_program('branch_name')} <> 'ENGINEERING' OR NOT {_CANONICAL} THEN 'UPDATED' ELSE 'UNCHANGED' END AS outcome FROM found""",
+        "round_remap": f"""{BASE} SELECT academic_year, CASE WHEN academic_year <= 1996 AND round_code = 'MOCK' THEN 'R1'
+  WHEN academic_year <= 1996 AND round_code = 'R3' THEN 'R4' ELSE round_code END AS round_code, count(*) AS records
+FROM cutoffs GROUP BY ALL""",
+        "type_backfill": f"""WITH {COLLEGES} SELECT college_code, CASE college_code WHEN 'S00001' THEN 'MEDICAL' WHEN 'S00002' THEN 'DENTAL'
+  ELSE CASE WHEN starts_with(college_code, 'S0000') THEN 'ARCHITECTURE' ELSE institution_type END END AS institution_type FROM colleges""",
+        "review_upsert": f"""{OPS}, late AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id, document_url ORDER BY created_at DESC, item_id DESC) AS k
+  FROM reviews WHERE created_at >= TIMESTAMP '2024-01-16'),
+old AS (SELECT * FROM reviews WHERE created_at < TIMESTAMP '2024-01-16')
+SELECT o.item_id, o.source_id, o.document_url, coalesce(l.failure_reason, o.failure_reason) AS failure_reason, o.status,
+  CASE WHEN l.item_id IS NOT NULL THEN 'again' ELSE 'first' END AS review_notes
+FROM old o LEFT JOIN late l ON l.k = 1 AND o.status = 'PENDING_REVIEW' AND l.source_id = o.source_id AND l.document_url = o.document_url
+UNION ALL SELECT item_id, source_id, document_url, failure_reason, 'PENDING_REVIEW', 'again' FROM late l
+WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.status = 'PENDING_REVIEW' AND o.source_id = l.source_id AND o.document_url = l.document_url)""",
+        "review_moves": f"""{OPS} SELECT item_id, source_id, document_url, failure_reason,
+  CASE status WHEN 'PENDING_REVIEW' THEN 'APPROVED' ELSE status END AS status,
+  CASE status WHEN 'PENDING_REVIEW' THEN source_id END AS reviewed_by,
+  CASE WHEN status = 'PENDING_REVIEW' AND source_id < '5' THEN document_url || ' | seen' ELSE document_url END AS review_notes FROM reviews""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (longitudinal, lookups, prediction):
+    for part in (longitudinal, lookups, prediction, quality):
         out.update(part())
     return out

@@ -14,6 +14,8 @@ from cutline.operators import longitudinal as lon
 from cutline.operators import lookups as look
 from cutline.operators import monitor as mon
 from cutline.operators import predict as pre
+from cutline.operators import publish as pub
+from cutline.operators import quality as dq
 from cutline.plans.panel import COMBO, terminal_states
 from cutline.sources.star import BASE_YEAR, YEARS, Star
 
@@ -465,5 +467,181 @@ def seat_correlation(s: Star) -> DataFrame:
     return bt.seat_correlation(s.wide(), s.seats(), s.branches(), 2001, 2000)
 
 
+# quality --------------------------------------------------------------------
+
+CATEGORIES = ["GM", "KKR"]
+
+
+def _checked(tagged: DataFrame) -> DataFrame:
+    out = tagged.select("row_idx", "error_codes", "anomalies", "is_valid")
+    return join_arrays(out, ["error_codes", "anomalies"])
+
+
+def _tagged_cutoffs(s: Star) -> DataFrame:
+    return dq.validate_cutoffs(s.raw_cutoffs(), s.registry_colleges(), s.registry_branches(), CATEGORIES)
+
+
+@register
+def dq_cutoff(s: Star) -> DataFrame:
+    return _checked(_tagged_cutoffs(s))
+
+
+@register
+def dq_seat(s: Star) -> DataFrame:
+    return _checked(dq.validate_seats(s.raw_seats(), s.registry_colleges(), s.registry_branches()))
+
+
+@register
+def dq_fee(s: Star) -> DataFrame:
+    return _checked(dq.validate_fees(s.raw_fees(), s.registry_colleges(), s.registry_branches()))
+
+
+@register
+def dq_errors(s: Star) -> DataFrame:
+    """Errors and remarks of the cutoff rows, counted by code."""
+    found = dq.error_rows(_tagged_cutoffs(s), "CUTOFF")
+    return found.groupBy("entity_type", "error_code", "severity").agg(F.expr("count(1) AS found"))
+
+
+@register
+def dq_completeness(s: Star) -> DataFrame:
+    tagged = dq.validate_cutoffs(
+        s.raw_cutoffs(), s.registry_colleges(), s.registry_branches(), CATEGORIES, ["source_version_id"]
+    )
+    outcomes = dq.document_outcomes(tagged, s.raw_documents(), dq.thresholds_frame(s.spark))
+    return outcomes.select(
+        "source_version_id", "document_type", "program_type", "candidate_records", "extracted_count",
+        "rejected_records", "minimum_rows", "error_code", "failure_reason", "processing_status",
+    )
+
+
+@register
+def dq_publishable(s: Star) -> DataFrame:
+    """Rows left to publish per document."""
+    tagged = dq.validate_cutoffs(
+        s.raw_cutoffs(), s.registry_colleges(), s.registry_branches(), CATEGORIES, ["source_version_id"]
+    )
+    outcomes = dq.document_outcomes(tagged, s.raw_documents(), dq.thresholds_frame(s.spark))
+    rows = dq.publishable_rows(tagged, outcomes)
+    return rows.groupBy("source_version_id").agg(F.expr("count(1) AS publishable"))
+
+
+@register
+def dq_audit(s: Star) -> DataFrame:
+    return dq.audit(s.colleges(), s.branches(), s.cutoffs(), s.seats(), s.fees())
+
+
+@register
+def dq_orphans(s: Star) -> DataFrame:
+    """Requests for colleges that do not exist."""
+    return dq.orphans(s.requests().select("request_id", "college_id"), s.colleges(), "college_id")
+
+
+# publishing -----------------------------------------------------------------
+
+
+def _publish(s: Star) -> tuple[DataFrame, DataFrame]:
+    existing = s.version_facts("source_version_id = 'v1' OR o_orderstatus <> 'O'")
+    incoming = s.version_facts("source_version_id = 'v2'")
+    rounds = s.rounds().filter("NOT (academic_year = 1999 AND round_code = 'R4')")
+    return pub.publish_outcomes(incoming, existing, rounds), existing
+
+
+@register
+def publish_outcome(s: Star) -> DataFrame:
+    return _publish(s)[0].drop("status")
+
+
+@register
+def publish_state(s: Star) -> DataFrame:
+    outcomes, existing = _publish(s)
+    return pub.publish_state(outcomes, existing)
+
+
+@register
+def publish_report(s: Star) -> DataFrame:
+    return pub.publish_report(*_publish(s))
+
+
+@register
+def publish_seats(s: Star) -> DataFrame:
+    """Seats absent from the store, which holds those of the first version and those without a round."""
+    seats = s.seats()
+    existing = seats.filter("source_version_id = 'v1' OR round_code IS NULL")
+    return pub.publish_absent(seats, existing, pub.SEAT_KEY).drop("category_code", "created_at")
+
+
+@register
+def college_upsert(s: Star) -> DataFrame:
+    nation = F.expr("CAST(substring_index(location, '_', -1) AS INT)")
+    colleges = s.colleges().withColumn("_n", nation)
+    existing = colleges.filter("_n < 15").withColumn("location", F.expr("CASE WHEN _n >= 5 THEN location END"))
+    found = colleges.filter("_n >= 3").withColumn(
+        "institution_type", F.expr("CASE WHEN _n < 8 THEN 'MEDICAL' WHEN _n < 11 THEN '' ELSE institution_type END")
+    )
+    keep = ["college_code", "college_name", "original_name", "location", "institution_type"]
+    return pub.upsert_colleges(found.select(*keep), existing.select(*keep))
+
+
+def _found_branches(s: Star) -> DataFrame:
+    """Branch codes from the initials of part names, named after a part."""
+    words = {"ECONOMY": " and Planning", "LARGE": " Architecture", "SMALL": " Bachelor of Design"}
+    tail = " ".join(f"WHEN '{t}' THEN '{w}'" for t, w in words.items())
+    return (
+        s.table("part")
+        .groupBy(F.expr("upper(concat(left(p_name, 1), left(substring_index(p_name, ' ', -1), 1))) AS branch_code"))
+        .agg(F.expr(f"max(concat(p_name, CASE p_type {tail} ELSE '' END)) AS branch_name"))
+    )
+
+
+@register
+def branch_classify(s: Star) -> DataFrame:
+    return pub.classify_branches(_found_branches(s))
+
+
+@register
+def branch_upsert(s: Star) -> DataFrame:
+    found = _found_branches(s)
+    existing = found.filter("branch_code > 'M'").selectExpr(
+        "branch_code", "branch_name", "'ENGINEERING' AS program_type", "true AS is_canonical"
+    )
+    return pub.upsert_branches(found.filter("branch_code < 'S'"), existing)
+
+
+@register
+def round_remap(s: Star) -> DataFrame:
+    moved = pub.remap_rounds(s.cutoffs(), {"MOCK": "R1", "R3": "R4"}, [1995, 1996])
+    return moved.groupBy("academic_year", "round_code").agg(F.expr("count(1) AS records"))
+
+
+@register
+def type_backfill(s: Star) -> DataFrame:
+    by_code = {"S00001": "MEDICAL", "S00002": "DENTAL"}
+    return pub.backfill_institution_type(s.colleges(), by_code, {"S0000": "ARCHITECTURE"}).select(
+        "college_code", "institution_type"
+    )
+
+
+@register
+def review_upsert(s: Star) -> DataFrame:
+    reviews = s.reviews().withColumn("review_notes", F.lit("first"))
+    old = reviews.filter("created_at < timestamp_ntz'2024-01-16'").drop("failure_id")
+    new = reviews.filter("created_at >= timestamp_ntz'2024-01-16'").selectExpr(
+        "source_id", "document_url", "failure_reason", "'again' AS review_notes", "created_at", "item_id AS failure_id"
+    )
+    return pub.upsert_reviews(old, new).drop("created_at", "reviewed_by")
+
+
+@register
+def review_moves(s: Star) -> DataFrame:
+    """Review items after decisions of reviewers: large values are approved, with a note."""
+    items = s.reviews().withColumns({"reviewed_by": F.lit(None).cast("string"), "review_notes": F.col("document_url")})
+    moves = items.filter("status = 'PENDING_REVIEW'").selectExpr(
+        "item_id", "'APPROVED' AS new_status", "source_id AS reviewer",
+        "CASE WHEN source_id < '5' THEN 'seen' END AS notes",
+    )
+    return pub.move_reviews(items, moves).drop("created_at")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -46,6 +46,22 @@ CALENDAR = RoundCalendar(
     recency={"R1": (2000, 1999), "TERMINAL": (2000, 1998)},
 )
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 ALIAS_OF = {"PROMO": "STANDARD"}
 ARCHITECTURE_TYPES = ["LARGE"]
 ARCHITECTURE_REGION = 4
@@ -70,7 +86,8 @@ class Star:
     calendar = CALENDAR
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A table with its declared schema, which also saves the job that would infer one."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
 
     # dimensions -----------------------------------------------------------
 
@@ -152,6 +169,99 @@ class Star:
             "AS record_id",
         )
 
+    def version_facts(self, where: str) -> DataFrame:
+        """Facts of the lines that pass a filter, one per logical key and version, all published."""
+        return (
+            self.lines()
+            .filter(where)
+            .groupBy(*CUTOFF_KEY, "source_version_id")
+            .agg(
+                F.expr("CAST(floor(min(l_extendedprice)) AS INT) AS opening_rank"),
+                F.expr("CAST(floor(max(l_extendedprice)) AS INT) AS closing_rank"),
+            )
+            .withColumn("status", F.lit("PUBLISHED"))
+        )
+
+    def raw_cutoffs(self) -> DataFrame:
+        """Line items as raw cutoff rows with the faults a validator must find."""
+        return self.lines().selectExpr(
+            "line_id AS row_idx",
+            "college_code",
+            "branch_id AS branch_code",
+            "category_code",
+            "CASE WHEN round_code = 'KKR_SPECIAL' AND o_orderstatus = 'P' THEN 'R2' ELSE round_code END AS round_code",
+            "CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS INT) * 2000 - 2000 END AS opening_rank",
+            "CAST(floor(l_extendedprice) AS INT) * 3 - 15000 AS closing_rank",
+            "academic_year",
+            "CAST(NULL AS STRING) AS row_identifier",
+            "concat(college_code, '-', source_version_id) AS source_version_id",
+        )
+
+    def raw_seats(self) -> DataFrame:
+        """Line items as raw seat rows."""
+        return self.lines().selectExpr(
+            "line_id AS row_idx",
+            "CASE WHEN l_tax < 0.005 THEN '' ELSE college_code END AS college_code",
+            "CASE WHEN l_tax BETWEEN 0.005 AND 0.015 THEN NULL ELSE branch_id END AS branch_code",
+            "CASE WHEN round_code <> 'MOCK' THEN round_code END AS counselling_round",
+            "CASE WHEN category_code <> 'HKR' THEN category_code END AS category_code",
+            "academic_year",
+            "CASE WHEN l_returnflag <> 'A' THEN CAST(l_quantity AS INT) - 2 END AS total_seats",
+            "CASE WHEN l_linestatus <> 'O' THEN l_linenumber * 5 - 6 END AS vacant_seats",
+            "CASE WHEN l_discount > 0.045 THEN l_linenumber END AS gm_seats",
+            "CASE WHEN l_discount > 0.015 THEN CAST(l_quantity AS INT) % 9 - 1 END AS kkr_seats",
+            "CAST(NULL AS STRING) AS row_identifier",
+        )
+
+    def raw_fees(self) -> DataFrame:
+        """Line items as raw fee rows; amounts are text."""
+        total = "CAST(round(p_retailprice * 100) AS BIGINT)"
+        share = "CAST(round(l_discount * 100) AS BIGINT)"
+        tax = "CAST(round(l_tax * 100) AS BIGINT)"
+        qty = "CAST(l_quantity AS INT)"
+        return self.lines().selectExpr(
+            "line_id AS row_idx",
+            f"CASE WHEN {qty} = 3 THEN NULL ELSE college_code END AS college_code",
+            f"CASE WHEN {qty} = 4 THEN '' ELSE branch_id END AS branch_code",
+            "academic_year",
+            f"CASE WHEN {qty} = 5 THEN NULL WHEN {qty} = 6 THEN 'n/a' WHEN {qty} = 7 THEN '-100' "
+            f"ELSE CAST({total} AS STRING) END AS total_fee",
+            f"CASE WHEN {qty} = 8 THEN 'x' WHEN {qty} = 9 THEN CAST({total} + 1 AS STRING) WHEN {qty} = 10 THEN NULL "
+            f"ELSE CAST({total} - {share} * 900 AS STRING) END AS tuition_fee",
+            f"CASE WHEN {qty} = 11 THEN '-1' WHEN {qty} IN (8, 12) THEN 'y' "
+            f"ELSE CAST({share} * 900 + ({tax} - 4) * 30 AS STRING) END AS other_fee",
+            "CAST(NULL AS STRING) AS row_identifier",
+        )
+
+    def raw_documents(self) -> DataFrame:
+        """One document per supplier and version, with the counts of the year before."""
+        held = self.table("lineitem").groupBy("l_suppkey").agg(F.expr("count(1) * 2 AS baseline_count"))
+        return (
+            self.table("supplier")
+            .join(held, F.expr("s_suppkey = l_suppkey"), "left")
+            .selectExpr(
+                "format_string('S%05d', s_suppkey) AS _code",
+                "CASE WHEN s_nationkey < 12 THEN 'CUTOFF_PDF' WHEN s_nationkey < 22 THEN 'SEAT_MATRIX_PDF' "
+                "WHEN s_nationkey < 24 THEN 'NOTIFICATION_PDF' ELSE 'UNKNOWN' END AS document_type",
+                "CASE WHEN s_nationkey % 2 = 0 THEN 'ENGINEERING' ELSE 'ARCHITECTURE' END AS program_type",
+                "baseline_count",
+                "CAST(NULL AS INT) AS minimum",
+                "s_acctbal < 500 AS is_corrigendum",
+                "explode(array('v1', 'v2')) AS _version",
+            )
+            .withColumn("source_version_id", F.expr("concat(_code, '-', _version)"))
+            .drop("_code", "_version")
+        )
+
+    def registry_colleges(self) -> DataFrame:
+        """Colleges with an account in credit; rows of the others are unknown."""
+        return self.table("supplier").filter("s_acctbal >= 0").selectExpr(
+            "format_string('S%05d', s_suppkey) AS college_code"
+        )
+
+    def registry_branches(self) -> DataFrame:
+        return self.branches().filter("is_canonical").select("branch_code")
+
     def seats(self) -> DataFrame:
         """Seats per college, branch, year and round; lines of the first round carry no round."""
         return (
