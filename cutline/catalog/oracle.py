@@ -935,8 +935,172 @@ WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM old o WHERE o.status = 'PENDING_REVIEW
     }
 
 
+def _any(col: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words) + ")"
+
+
+_CUTOFF_WORDS = ("cut-off", "cutoff", "cut_off", "cut off")
+
+
+def _doc_type(s: str) -> str:
+    return f"""CASE WHEN {_any(s, _CUTOFF_WORDS)} THEN 'CUTOFF_PDF' WHEN {_any(s, ('vacant', 'vacancy'))} THEN 'VACANT_SEATS_PDF'
+  WHEN contains({s}, 'seat') AND {_any(s, ('matrix', 'allocation', 'allotment', 'available'))} THEN 'SEAT_MATRIX_PDF'
+  WHEN {_any(s, ('fee', 'tuition'))} THEN 'FEE_STRUCTURE_PDF'
+  WHEN {_any(s, ('branches offered', 'branch code', 'courses offered'))} THEN 'BRANCHES_OFFERED_PDF'
+  WHEN {_any(s, ('notification', 'guideline', 'process', 'instruction', 'procedure', 'brochure', 'information bulletin'))} THEN 'NOTIFICATION_PDF'
+  WHEN contains({s}, 'member-institutions') THEN 'MEMBER_INSTITUTIONS_HTML' WHEN contains({s}, 'be-colleges') THEN 'BE_COLLEGES_HTML'
+  WHEN contains({s}, 'counselling-document') THEN 'COUNSELLING_PORTAL_HTML' ELSE 'UNKNOWN' END"""
+
+
+def _guess(s: str) -> str:
+    return f"""CASE WHEN {_any(s, _CUTOFF_WORDS)} THEN 'CUTOFF_PDF' WHEN {_any(s, ('seat', 'vacant'))} THEN 'SEAT_MATRIX_PDF'
+  WHEN contains({s}, 'fee') THEN 'FEE_STRUCTURE_PDF' WHEN {_any(s, ('notification', 'guide', 'process'))} THEN 'NOTIFICATION_PDF'
+  WHEN {_any(s, ('branch', 'course'))} THEN 'BRANCHES_OFFERED_PDF' ELSE 'OTHER' END"""
+
+
+_NW = r"[^\p{L}\p{N}_]"
+
+
+def _year(s: str) -> str:
+    return f"CAST(coalesce(nullif(regexp_extract({s}, '(?:^|{_NW})(202[0-9])(?:{_NW}|$)', 1), ''), '2026') AS INTEGER)"
+
+
+def _round(s: str) -> str:
+    t = f"translate({s}, '_-', '  ')"
+
+    def word(k: int) -> str:
+        return f"regexp_matches({t}, '(?:^|{_NW})(?:round\\s*{k}|r\\s*{k})(?:{_NW}|$)')"
+
+    return f"""CASE WHEN contains({t}, 'mock') THEN 'MOCK' WHEN {_any(t, ('kkr special', 'r2 kkr', 'phase 1', 'phase1'))} THEN 'KKR_SPECIAL'
+  WHEN {_any(t, ('phase 2', 'phase2'))} THEN 'R2_PHASE2' WHEN {word(1)} THEN 'R1' WHEN {word(3)} THEN 'R3' WHEN {word(4)} THEN 'R4'
+  WHEN {_any(t, ('all rounds', 'consolidated'))} THEN CASE WHEN {_year(s)} = 2025 THEN 'R4' ELSE 'CONSOLIDATED_FINAL' END
+  WHEN {word(2)} OR contains({t}, 'kkr') THEN 'KKR_SPECIAL' END"""
+
+
+_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+_GRID = f"""{BASE}, g AS (
+  SELECT college_id, branch_id, category_code, academic_year, round_code, CAST(floor(max(l_extendedprice)) AS INTEGER) AS closing
+  FROM lines WHERE source_version_id = 'v2' GROUP BY ALL)"""
+
+
+def _grid_select(layout: str, category: str, name: str, where: str) -> str:
+    return f"""{_GRID} SELECT college_id || '-' || academic_year AS doc_id, '{layout}' AS layout, {CODE.format('CAST(college_id AS BIGINT)')} AS college_code,
+  'Supplier ' || college_id AS college_name, {category} AS category_code, {name[0]} AS branch_code, {name[1]} AS branch_name, academic_year,
+  round_code, CAST(closing AS BIGINT) AS closing_rank, CAST(1 AS INTEGER) AS page_number FROM g WHERE closing > 0 AND {where}"""
+
+
+_SEATS_READ = f"""{FACTS}, r AS (
+  SELECT *, {CODE.format('CAST(college_id AS BIGINT)')} AS college_code, total_seats - vacant_seats AS rest,
+    {CODE.format('CAST(college_id AS BIGINT)')} || '_' || branch_id || '_1_1' AS row_identifier FROM seats),
+read AS (
+  SELECT *, CASE WHEN academic_year >= 2000 THEN total_seats END AS total,
+    CASE academic_year WHEN 1995 THEN CASE WHEN vacant_seats % 5 <> 0 THEN vacant_seats END WHEN 1996 THEN vacant_seats
+      WHEN 1997 THEN rest + vacant_seats WHEN 1998 THEN total_seats
+      WHEN 1999 THEN CASE WHEN total_seats % 3 = 0 THEN rest + vacant_seats ELSE total_seats END END AS vacant,
+    CASE WHEN academic_year >= 1997 THEN rest END AS gm,
+    CASE WHEN academic_year IN (1996, 1999, 2000, 2001) OR (academic_year = 1997 AND vacant_seats > 0) THEN vacant_seats END AS kkr,
+    CASE WHEN academic_year = 1996 THEN 'KKR' END AS cat FROM r)"""
+
+
+def documents() -> dict[str, str]:
+    ctx = """CASE s_nationkey % 5 WHEN 0 THEN 'Engineering Cut-Off Ranks after Round 1' WHEN 1 THEN 'Vacant Seats after Round-3 2024'
+      WHEN 2 THEN 'B.Arch Fee Structure 2025 after all rounds' WHEN 3 THEN 'Counselling process of the Mock Allotment' ELSE 'General news' END"""
+    year = "CASE WHEN s_suppkey % 4 = 0 THEN 24 ELSE 2023 + s_suppkey % 3 END"
+    return {
+        "anchors": """SELECT page_id, CAST(k - 1 AS INTEGER) AS position, href, regexp_extract(url, '^(https?://[^/]+)', 1) || href AS url, t AS link_text, t AS parent_text
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS t,
+             generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) AS k FROM pages)""",
+        "links": f"""WITH a AS (
+  SELECT s_suppkey, s_suppkey // 50 AS page_id, {ctx} AS ctx, s_suppkey % 31 + 1 AS d, s_suppkey % 12 + 1 AS m, {year} AS y,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'File ' || s_suppkey % 10 ELSE 'Document number ' || s_suppkey END AS label,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'https://portal.example.org/files/doc-' || s_suppkey % 70 || '.pdf'
+         ELSE 'https://portal.example.org/docs/notice.html?id=' || s_suppkey END AS url,
+    row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS position
+  FROM supplier),
+b AS (SELECT *, ctx || ' ' || label || ' Notified on ' || d || '.' || m || '.' || y AS parent FROM a WHERE s_suppkey % 7 > 1),
+c AS (SELECT *, parent || ' ' || label AS both, lower(parent || ' ' || label) AS s FROM b),
+f AS (SELECT * FROM c WHERE url LIKE '%.pdf' OR {_any('s', _CUTOFF_WORDS + ('seat', 'fee', 'notification', 'counselling'))}
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, position) = 1)
+SELECT url, page_id, CAST(position AS INTEGER) AS position, CASE WHEN length(label) > 10 THEN label ELSE parent END AS title, {_doc_type('s')} AS document_type,
+  {_guess('s')} AS guessed_type, {_year('s')} AS academic_year, {_round('s')} AS counselling_round,
+  TRY_CAST(printf('%04d-%02d-%02d', CASE WHEN y < 100 THEN y + 2000 ELSE y END, m, d) AS DATE) AS publication_date FROM f""",
+        "html_tables": f"""SELECT {CODE.format('s_suppkey')} AS college_code, 'Supplier College of ' || split_part(s_name, '#', 2) AS college_name,
+  replace(s_name, '#', ' college of ') AS original_name, upper(n_name[1]) || lower(n_name[2:]) AS location, 'ENGINEERING' AS institution_type
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        "doc_class": f"""SELECT doc_id, {_doc_type('lower(text)')} AS document_type, {_guess('lower(text)')} AS guessed_type, {_round('lower(text)')} AS round_code,
+  {_year('lower(text)')} AS academic_year, CASE WHEN {_any('lower(text)', ('architecture', 'b.arch', 'barch', 'b arch', 'nata'))} THEN 'ARCHITECTURE' ELSE 'ENGINEERING' END AS program_type
+FROM documents""",
+        "round_names": """WITH l AS (SELECT DISTINCT unnest([o_orderpriority, (['Round 1', 'mock allotment', 'ROUND 2 PHASE 1', 'Round 2 Phase 2', 'r2', 'after all rounds',
+  'Round-3', 'R4', '%%'])[1 + o_orderkey % 9]]) AS label FROM orders)
+SELECT label, CASE label WHEN 'Round 1' THEN 'R1' WHEN 'mock allotment' THEN 'MOCK' WHEN 'ROUND 2 PHASE 1' THEN 'KKR_SPECIAL' WHEN 'Round 2 Phase 2' THEN 'R2_PHASE2'
+    WHEN 'r2' THEN 'KKR_SPECIAL' WHEN 'after all rounds' THEN 'CONSOLIDATED_FINAL' WHEN 'Round-3' THEN 'R3' WHEN 'R4' THEN 'R4' WHEN '%%' THEN 'UNKNOWN'
+    ELSE regexp_replace(upper(label), '[^A-Z0-9]', '', 'g') END AS round_code,
+  CASE label WHEN 'Round 1' THEN 'Round 1' WHEN 'mock allotment' THEN 'Mock Round' WHEN 'ROUND 2 PHASE 1' THEN 'Round 2 Phase 1 KKR Special Allotment'
+    WHEN 'Round 2 Phase 2' THEN 'Round 2 Phase 2' WHEN 'r2' THEN 'Round 2 KKR Special Allotment' WHEN 'after all rounds' THEN 'Consolidated Cutoff After All Rounds'
+    WHEN 'Round-3' THEN 'Round 3' WHEN 'R4' THEN 'Round 4' ELSE label END AS round_name,
+  CAST(CASE label WHEN 'Round 1' THEN 1 WHEN 'mock allotment' THEN 0 WHEN 'ROUND 2 PHASE 1' THEN 2 WHEN 'Round 2 Phase 2' THEN 2 WHEN 'r2' THEN 2
+    WHEN 'Round-3' THEN 3 WHEN 'R4' THEN 4 ELSE 99 END AS INTEGER) AS round_number FROM l""",
+        "name_rules": f"""WITH p AS (SELECT *, trim(regexp_replace(' ' || p_name || '  of b.m.s. AND ' || p_type || ' at  ' || p_brand || '- ion', '{_SPACE}', ' ', 'g')) AS c FROM part),
+w AS (SELECT *, string_split(c, ' ') AS ws FROM p),
+n AS (SELECT *, array_to_string(list_transform(ws, lambda x: CASE WHEN upper(x) = 'B.M.S.' THEN 'B.M.S.' WHEN lower(x) IN ('of', 'and', 'at') THEN lower(x)
+       ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS name FROM w)
+SELECT p_partkey, c AS cleaned, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS code, upper(name[1]) || name[2:] AS college_name,
+  array_to_string(list_transform(ws, lambda x: upper(x[1]) || lower(x[2:])), ' ') AS location,
+  p_name || 'ion & ' || p_type || '-Design' AS branch_name, CASE WHEN p_size % 2 = 0 THEN 'GM' ELSE p_type END AS category,
+  CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS digits, p_size % 3 <> 0 AS is_url, format('{{:,}}', p_partkey * 1234) AS thousands FROM n""",
+        "doc_integrity": """WITH r AS (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN strlen(html) > 4000 THEN 'exceeds maximum size limit'
+  WHEN page_id % 3 = 0 AND NOT starts_with(html, '%PDF-') THEN CASE WHEN contains(lower(html[1:1024]), '<html') OR contains(lower(html[1:1024]), '<!doctype')
+    THEN 'returned HTML content' ELSE 'not a PDF' END END AS reason FROM pages) SELECT page_id, reason IS NULL AS is_ok, reason FROM r""",
+        "fingerprint_dedup": """WITH h AS (SELECT doc_id, source, sha256(text) AS content_hash FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) = 1 AS is_new FROM h)
+SELECT *, CASE WHEN is_new THEN count(*) FILTER (is_new) OVER (PARTITION BY source ORDER BY doc_id) END AS version_no FROM f""",
+        "usable_text": """SELECT doc_id, CASE WHEN length(text) < CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 50 END THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status FROM documents""",
+        "grid_wide": _grid_select("WIDE", "category_code", ("branch_id", "upper(branch_id[1]) || lower(branch_id[2:]) || ' Engineering'"), "true"),
+        "grid_vertical": _grid_select("VERTICAL", "'GM'", ("branch_id", "branch_id || ' Communication & Systems'"), "category_code = 'GM' AND closing % 11 <> 0"),
+        "grid_categories": _grid_select("CATEGORIES", "category_code", ("branch_id[1:4]", "branch_id"), "category_code IN ('GM', 'KKR')"),
+        "seat_grid": f"""{_SEATS_READ} SELECT college_code, branch_id AS branch_code, academic_year, round_code AS counselling_round, total AS total_seats, vacant AS vacant_seats,
+  gm AS gm_seats, kkr AS kkr_seats, cat AS category_code, row_identifier FROM read WHERE coalesce(total, vacant) IS NOT NULL""",
+        "fee_grid": f"""{_SEATS_READ} SELECT college_code, branch_id AS branch_code, academic_year, row_identifier,
+  CAST(CASE WHEN academic_year = 2000 AND total_seats % 2 <> 0 THEN total_seats * 1000 + vacant_seats * 10 ELSE total_seats * 1000 END AS DOUBLE) AS total_fee,
+  CAST(total_seats * 1000 AS DOUBLE) AS tuition_fee, CAST(CASE WHEN academic_year = 2000 THEN vacant_seats * 10 END AS DOUBLE) AS other_fee FROM read WHERE academic_year >= 2000""",
+        "grid_states": f"""{_SEATS_READ} SELECT college_id || '-' || academic_year AS doc_id, academic_year, count(*) FILTER (coalesce(total, vacant) IS NOT NULL) AS row_count,
+  count(*) FILTER (coalesce(total, vacant) IS NULL) AS error_count,
+  CASE WHEN count(*) FILTER (coalesce(total, vacant) IS NULL) = 0 THEN 'PARSED' ELSE 'NEEDS_REVIEW' END AS status FROM read GROUP BY college_id, academic_year""",
+        "source_sync": f"""{OPS}, conf AS (
+  SELECT CASE WHEN n_nationkey < 10 THEN 'SRC-' ELSE 'NEW-' END || n_nationkey AS code, CASE WHEN n_nationkey < 20 THEN 'http://' ELSE 'http://n/' END || n_nationkey AS u, n_name FROM nation),
+m AS (SELECT conf.*, coalesce(a.source_id, b.source_id) AS id FROM conf LEFT JOIN sources a ON a.source_code = code LEFT JOIN sources b ON 'http://' || b.source_id = u),
+best AS (SELECT id, max(code) AS code, arg_max(n_name, code) AS n_name FROM m WHERE id IS NOT NULL GROUP BY id)
+SELECT CASE WHEN id IS NULL THEN source_code ELSE code END AS source_code, 'http://' || source_id AS url, CASE WHEN id IS NULL THEN title ELSE n_name END AS title,
+  CASE WHEN id IS NULL THEN 'LOW' ELSE 'HIGH' END AS authority_level, id IS NOT NULL OR is_enabled AS is_enabled,
+  CAST(CASE WHEN id IS NULL THEN check_frequency_hours ELSE 12 END AS INTEGER) AS check_frequency_hours, CASE WHEN id IS NULL THEN 'OTHER' ELSE 'CUTOFF_PDF' END AS document_type,
+  CASE WHEN id IS NULL THEN 'v1' ELSE 'v2' END AS parser_version, CASE WHEN id IS NULL THEN 'KEPT' ELSE 'UPDATED' END AS outcome
+FROM sources LEFT JOIN best ON id = source_id
+UNION ALL SELECT code, u, n_name, 'HIGH', true, 12, 'CUTOFF_PDF', 'v2', 'INSERTED' FROM m WHERE id IS NULL""",
+        "seed_rounds": f"""{BASE}, seen AS (SELECT DISTINCT academic_year, round_code FROM cutoffs WHERE academic_year < 1999),
+cal AS (SELECT CAST(y AS INTEGER) AS academic_year, c AS round_code, n AS round_name, CAST(k AS INTEGER) AS round_number, c <> 'KKR_SPECIAL' AS g FROM range(1995, 2002) t(y),
+  (VALUES ('MOCK', 'Mock Round', 0), ('R1', 'Round 1', 1), ('KKR_SPECIAL', 'Round 2 KKR Special Allotment', 2), ('R3', 'Round 3', 3), ('R4', 'Round 4', 4)) r(c, n, k))
+SELECT academic_year, round_code, CASE WHEN s.academic_year IS NOT NULL THEN round_code ELSE round_name END AS round_name,
+  CAST(CASE WHEN s.academic_year IS NOT NULL THEN 9 ELSE round_number END AS INTEGER) AS round_number, g AS is_general_round
+FROM cal LEFT JOIN seen s USING (academic_year, round_code)""",
+        "document_report": f"""{BASE}, {_REGISTRY}, {_RAW_CUTOFFS.format(batch=', source_version_id')}, {_DOCS}, n AS (
+  SELECT source_version_id, CAST(sum(CASE WHEN anomalies = '' THEN 0 ELSE len(string_split(anomalies, ',')) END) AS BIGINT) AS needs_review_records,
+    count(DISTINCT college_code) FILTER (is_valid) AS unique_college_count, count(DISTINCT branch_code) FILTER (is_valid) AS unique_branch_count,
+    count(DISTINCT category_code) FILTER (is_valid) AS category_count FROM final GROUP BY 1)
+SELECT source_version_id, candidate_records, extracted_count AS validated_records, rejected_records, coalesce(needs_review_records, 0) AS needs_review_records,
+  coalesce(unique_college_count, 0) AS unique_college_count, coalesce(unique_branch_count, 0) AS unique_branch_count, coalesce(category_count, 0) AS category_count,
+  CASE WHEN failure_reason IS NULL THEN 'PUBLISHED' ELSE 'NEEDS_REVIEW' END AS processing_status FROM outcome LEFT JOIN n USING (source_version_id)""",
+        "run_report": f"""{BASE}, {_REGISTRY}, {_RAW_CUTOFFS.format(batch=', source_version_id')}, {_DOCS}, n AS (
+  SELECT sum(CASE WHEN anomalies = '' THEN 0 ELSE len(string_split(anomalies, ',')) END) AS a FROM final)
+SELECT count(*) AS documents, CAST(sum(candidate_records) AS BIGINT) AS records_parsed, CAST(sum(extracted_count) AS BIGINT) AS records_validated,
+  CAST(sum(rejected_records) AS BIGINT) AS records_rejected, CAST((SELECT a FROM n) AS BIGINT) AS anomalies,
+  count(*) FILTER (failure_reason IS NOT NULL) AS documents_needs_review,
+  CASE WHEN count(*) FILTER (failure_reason IS NOT NULL) = 0 THEN 'SUCCESS' ELSE 'PARTIAL_SUCCESS' END AS status FROM outcome""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (longitudinal, lookups, prediction, quality):
+    for part in (longitudinal, lookups, prediction, quality, documents):
         out.update(part())
     return out

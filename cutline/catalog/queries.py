@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cutline.catalog.oracle import YOY_PAIRS
 from cutline.functions.ranks import rounded
+from cutline.functions.ranks import thousands as rank_text
 from cutline.operators import backtest as bt
 from cutline.operators import longitudinal as lon
 from cutline.operators import lookups as look
@@ -17,6 +18,8 @@ from cutline.operators import predict as pre
 from cutline.operators import publish as pub
 from cutline.operators import quality as dq
 from cutline.plans.panel import COMBO, terminal_states
+from cutline.functions import text as tx
+from cutline.sources import grids, pages, registry, sinks
 from cutline.sources.star import BASE_YEAR, YEARS, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,5 +646,175 @@ def review_moves(s: Star) -> DataFrame:
     return pub.move_reviews(items, moves).drop("created_at")
 
 
+# documents and text ---------------------------------------------------------
+
+
+@register
+def anchors(s: Star) -> DataFrame:
+    """Every link of the raw web pages, resolved."""
+    return pages.anchors(s.table("pages"))
+
+
+@register
+def links(s: Star) -> DataFrame:
+    return pages.discover_links(pages.anchors(s.portal_pages()), 2026)
+
+
+@register
+def html_tables(s: Star) -> DataFrame:
+    return pages.colleges_from_tables(pages.html_tables(s.directory_pages()))
+
+
+@register
+def doc_class(s: Star) -> DataFrame:
+    """Type, round, year, program and date of whole document texts."""
+    t = F.col("text")
+    return s.table("documents").select(
+        "doc_id", tx.document_type(t).alias("document_type"), tx.link_type(t).alias("guessed_type"),
+        tx.document_round(t).alias("round_code"), tx.document_year(t, 2026).alias("academic_year"),
+        tx.document_program(t).alias("program_type"),
+    )
+
+
+@register
+def round_names(s: Star) -> DataFrame:
+    """Rounds from free text: order priorities, and the words people use for rounds."""
+    words = F.array(*[F.lit(w) for w in (
+        "Round 1", "mock allotment", "ROUND 2 PHASE 1", "Round 2 Phase 2", "r2", "after all rounds", "Round-3", "R4", "%%")])
+    labels = s.table("orders").select(
+        F.explode(F.concat(F.array("o_orderpriority"), F.array(F.get(words, (F.col("o_orderkey") % 9).cast("int"))))).alias("label")
+    ).distinct()
+    return labels.withColumn("r", tx.round_of(F.col("label"))).selectExpr(
+        "label", "r.code AS round_code", "r.name AS round_name", "r.number AS round_number"
+    )
+
+
+@register
+def name_rules(s: Star) -> DataFrame:
+    """Normal forms of part names and codes."""
+    part = s.table("part")
+    raw = F.expr("concat(' ', p_name, '  of b.m.s. AND ', p_type, ' at  ', p_brand, '- ion')")
+    return part.select(
+        "p_partkey",
+        tx.clean_text(raw).alias("cleaned"),
+        tx.college_code(F.col("p_brand")).alias("code"),
+        tx.college_name(raw).alias("college_name"),
+        tx.location(raw).alias("location"),
+        tx.branch_name(F.expr("concat(p_name, '- ion&', p_type, '-  Design')")).alias("branch_name"),
+        tx.category_code(F.expr("CASE WHEN p_size % 2 = 0 THEN ' gen ' ELSE p_type END")).alias("category"),
+        tx.digits_int(F.col("p_brand")).alias("digits"),
+        tx.is_web_address(F.expr("concat(CASE WHEN p_size % 3 = 0 THEN 'ftp' ELSE 'https' END, '://h/', p_brand)")).alias("is_url"),
+        F.expr(f"{rank_text('p_partkey * 1234')} AS thousands"),
+    )
+
+
+@register
+def doc_integrity(s: Star) -> DataFrame:
+    """Pages under a .pdf address must be PDF; limits are scaled to these tables."""
+    checked = pages.integrity(s.table("pages"), "html", "page_id % 3 = 0", max_bytes=4000)
+    return checked.select("page_id", "is_ok", "reason")
+
+
+@register
+def fingerprint_dedup(s: Star) -> DataFrame:
+    docs = s.table("documents").select("doc_id", "source", "text")
+    return pages.fingerprints(docs, "source", "doc_id", "text")
+
+
+@register
+def usable_text(s: Star) -> DataFrame:
+    n = F.length("text")
+    kind = F.when(F.col("doc_id") % 2 == 0, "CUTOFF_PDF").otherwise("FEE_STRUCTURE_PDF")
+    return s.table("documents").select("doc_id", pages.text_state(n, n, kind).alias("status"))
+
+
+def _grid_records(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "layout", "college_code", "college_name", "category_code", "branch_code", "branch_name",
+                       "academic_year", "round_code", "closing_rank", "page_number")
+
+
+@register
+def grid_wide(s: Star) -> DataFrame:
+    return _grid_records(grids.parse(s.wide_grid(), "CUTOFF_PDF"))
+
+
+@register
+def grid_vertical(s: Star) -> DataFrame:
+    return _grid_records(grids.cutoff_rows(s.vertical_grid()))
+
+
+@register
+def grid_categories(s: Star) -> DataFrame:
+    return _grid_records(grids.cutoff_rows(s.category_grid()))
+
+
+def _seat_lines(s: Star) -> DataFrame:
+    return grids.parse(s.seat_grid(), "SEAT_MATRIX_PDF")
+
+
+@register
+def seat_grid(s: Star) -> DataFrame:
+    return grids.seat_rows(_seat_lines(s)).drop("doc_id", "page_number", "branch_name", "college_name")
+
+
+@register
+def fee_grid(s: Star) -> DataFrame:
+    fees = grids.fee_rows(_seat_lines(s)).drop("doc_id", "page_number", "currency")
+    return fees.withColumns({c: F.col(c).cast("double") for c in ("total_fee", "tuition_fee", "other_fee")})
+
+
+@register
+def grid_states(s: Star) -> DataFrame:
+    """Which documents parsed cleanly."""
+    lines = _seat_lines(s)
+    documents = s.seat_grid().select("doc_id", "academic_year").distinct()
+    return grids.document_states(documents, grids.seat_rows(lines), grids.malformed_rows(lines))
+
+
+@register
+def source_sync(s: Star) -> DataFrame:
+    """Sources renewed from a configuration of one entry per nation, known by code or by address."""
+    existing = s.sources().selectExpr(
+        "source_id", "source_code", "concat('http://', source_id) AS url", "title", "'LOW' AS authority_level", "is_enabled",
+        "check_frequency_hours", "'OTHER' AS document_type", "'v1' AS parser_version", "last_checked_at",
+    )
+    configured = s.table("nation").selectExpr(
+        "CASE WHEN n_nationkey < 10 THEN concat('SRC-', n_nationkey) ELSE concat('NEW-', n_nationkey) END AS source_code",
+        "CASE WHEN n_nationkey < 20 THEN concat('http://', n_nationkey) ELSE concat('http://n/', n_nationkey) END AS url",
+        "n_name AS title", "'HIGH' AS authority_level", "true AS is_enabled", "12 AS check_frequency_hours",
+        "'CUTOFF_PDF' AS document_type", "'v2' AS parser_version",
+    )
+    return registry.sync_sources(existing, configured).drop("last_checked_at", "source_id")
+
+
+@register
+def seed_rounds(s: Star) -> DataFrame:
+    """Rounds that orders show, all flagged general, put right and completed from the calendar."""
+    seen = s.cutoffs().filter("academic_year < 1999").select("academic_year", "round_code").distinct()
+    existing = seen.selectExpr("academic_year", "round_code", "round_code AS round_name", "9 AS round_number", "true AS is_general_round")
+    return registry.seed_rounds(existing, s.calendar)
+
+
+@register
+def document_report(s: Star) -> DataFrame:
+    tagged = dq.validate_cutoffs(
+        s.raw_cutoffs(), s.registry_colleges(), s.registry_branches(), CATEGORIES, ["source_version_id"]
+    )
+    outcomes = dq.document_outcomes(tagged, s.raw_documents(), dq.thresholds_frame(s.spark))
+    return sinks.document_report(tagged, outcomes)
+
+
+@register
+def run_report(s: Star) -> DataFrame:
+    return sinks.run_report(document_report(s))
+
+
+@register
+def report(s: Star) -> DataFrame:
+    """Every analysis of the panel in one long table."""
+    out = lon.report(s.panel(status=None), s.wide(), [(1995, 1996), (1998, 2001)], 2001)
+    return round_columns(out, ["value"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -12,6 +12,7 @@ joined, so only the reduced rows meet the supplier table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -322,6 +323,139 @@ class Star:
             f"CASE WHEN {first} AND {supplier} % 31 = 0 THEN 0 ELSE opening_rank END AS candidate_rank",
         )
 
+    # documents derived from the tables ---------------------------------------
+
+    def portal_pages(self) -> DataFrame:
+        """Link lists in HTML, one page per fifty suppliers."""
+        context = case(
+            ("s_nationkey % 5 = 0", "'Engineering Cut-Off Ranks after Round 1'"),
+            ("s_nationkey % 5 = 1", "'Vacant Seats after Round-3 2024'"),
+            ("s_nationkey % 5 = 2", "'B.Arch Fee Structure 2025 after all rounds'"),
+            ("s_nationkey % 5 = 3", "'Counselling process of the Mock Allotment'"),
+            default="'General news'",
+        )
+        href = case(
+            ("s_suppkey % 7 = 0", "'#top'"),
+            ("s_suppkey % 7 = 1", "'javascript:void(0)'"),
+            ("s_suppkey % 3 = 0", "concat('/files/doc-', s_suppkey % 70, '.pdf')"),
+            default="concat('notice.html?id=', s_suppkey)",
+        )
+        label = "CASE WHEN s_suppkey % 2 = 0 THEN concat('File ', s_suppkey % 10) ELSE concat('Document number ', s_suppkey) END"
+        day = "concat_ws('.', s_suppkey % 31 + 1, s_suppkey % 12 + 1, CASE WHEN s_suppkey % 4 = 0 THEN 24 ELSE 2023 + s_suppkey % 3 END)"
+        item = f"concat('<li>', {context}, ' <a href=\"', {href}, '\">', {label}, '</a> Notified on ', {day}, '</li>')"
+        return self._pages_of_suppliers(item, "<html><body><ul>", "</ul></body></html>", "https://portal.example.org/docs/page-")
+
+    def directory_pages(self) -> DataFrame:
+        """Supplier directories as HTML tables, one page per fifty suppliers."""
+        item = (
+            "concat('<tr><td> ', lower(format_string('S%05d', s_suppkey)), '. </td><td>', replace(s_name, '#', ' college of '), "
+            "'</td><td>', n_name, '</td></tr>')"
+        )
+        head = "<div><h2>Engineering list</h2><table><tr><th>COLLEGE CODE</th><th>Colleges</th><th>Location</th></tr>"
+        return self._pages_of_suppliers(item, head, "</table></div>", "https://portal.example.org/list/")
+
+    def _pages_of_suppliers(self, item: str, head: str, tail: str, url: str) -> DataFrame:
+        # fifty rows a page, by construction
+        return (
+            self.table("supplier")
+            .join(self.table("nation"), F.expr("s_nationkey = n_nationkey"))
+            .groupBy(F.expr("CAST(floor(s_suppkey / 50) AS BIGINT) AS page_id"))
+            .agg(F.expr(f"array_sort(collect_list(struct(s_suppkey, {item} AS item))) AS items"))
+            .selectExpr(
+                "page_id",
+                f"concat({text(url)}, page_id, '.html') AS url",
+                f"concat({text(head)}, array_join(items.item, ''), {text(tail)}) AS html",
+            )
+        )
+
+    def _grid(self, rows: DataFrame, header: list[str], cells: list[str], title: str) -> DataFrame:
+        return rows.selectExpr(
+            "concat(college_id, '-', academic_year) AS doc_id", "1 AS page", "0 AS table_no",
+            f"array({', '.join(header)}) AS header", "CAST(_row AS INT) AS row_no", f"array({', '.join(cells)}) AS cells",
+            "'CUTOFF_PDF' AS document_type", f"{text(title)} AS title", "academic_year", "round_code",
+            "round_code AS counselling_round",
+        )
+
+    def _grid_facts(self) -> DataFrame:
+        code = "format_string('S%05d', CAST(college_id AS BIGINT))"
+        return self.version_facts("true").filter("source_version_id = 'v2'").selectExpr(
+            "*", f"{code} AS code", "concat('Supplier ', college_id) AS name",
+            "pmod(xxhash64(branch_id, category_code, round_code), 1000000) AS _row",
+        )
+
+    def wide_grid(self) -> DataFrame:
+        """One line per college, category, year and round; a column per branch."""
+        types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+        ranks = [F.expr(f"max(CASE WHEN branch_id = '{t}' THEN closing_rank END) AS {t}") for t in types]
+        rows = (
+            self.version_facts("source_version_id = 'v2'")
+            .groupBy("college_id", "category_code", "academic_year", "round_code")
+            .agg(*ranks)
+            .withColumn("_row", F.lit(1))
+        )
+        header = ["'College Code'", "'College Name'", "'Category'", *[f"'{t}-{t.title()} Engineering'" for t in types]]
+        code = "lower(format_string('S%05d', CAST(college_id AS BIGINT)))"
+        cells = [code, "concat('SUPPLIER ', college_id)", "CASE category_code WHEN 'GM' THEN ' general ' ELSE lower(category_code) END",
+                 *[f"coalesce(format_number({t}, 0), '--')" for t in types]]
+        return self._grid(rows, header, cells, "Cut-off ranks")
+
+    def vertical_grid(self) -> DataFrame:
+        """One line per general-merit fact."""
+        facts = self._grid_facts().filter("category_code = 'GM'")
+        return self._grid(
+            facts,
+            ["'College Code'", "'College Name'", "'Course Name'", "'Cutoff Rank'"],
+            ["code", "name", "concat(branch_id, '-', branch_id, ' Communicat- ion&Systems')",
+             "CASE WHEN closing_rank % 11 = 0 THEN '0' ELSE format_number(closing_rank, 0) END"],
+            "Cut-off ranks",
+        )
+
+    def category_grid(self) -> DataFrame:
+        """One line per course, with a column per category."""
+        rows = (
+            self._grid_facts()
+            .groupBy("college_id", "code", "name", "branch_id", "academic_year", "round_code")
+            .agg(
+                F.expr("max(CASE WHEN category_code = 'GM' THEN closing_rank END) AS gm"),
+                F.expr("max(CASE WHEN category_code = 'KKR' THEN closing_rank END) AS kkr"),
+            )
+            .withColumn("_row", F.lit(1))
+        )
+        return self._grid(
+            rows,
+            ["'College Code'", "'College Name'", "'Course Name'", "'GM Rank'", "'HKR'"],
+            ["code", "name", "branch_id", "CAST(gm AS STRING)", "CAST(kkr AS STRING)"],
+            "Cut-off ranks",
+        )
+
+    def seat_grid(self) -> DataFrame:
+        """Seats as grid lines; the year decides the layout: four, five, six or nine columns."""
+        rows = self.seats().withColumn("_row", F.lit(1)).selectExpr(
+            "*", "format_string('S%05d', CAST(college_id AS BIGINT)) AS code", "concat('Supplier ', college_id) AS name",
+            "total_seats - vacant_seats AS rest",
+        )
+        base = ["'College Code'", "'College Name'", "'Course'"]
+        own = ["code", "name", "concat(branch_id, '-', branch_id, ' Engineering')"]
+        layouts = {
+            1995: (["'Total Seats Vacant'"], ["CASE WHEN vacant_seats % 5 = 0 THEN 'none' ELSE CAST(vacant_seats AS STRING) END"]),
+            1996: (["'KKR Seats Vacant'"], ["CAST(vacant_seats AS STRING)"]),
+            1997: (["'GM Seats'", "'KKR Seats'"], ["CAST(rest AS STRING)", "CASE WHEN vacant_seats > 0 THEN CAST(vacant_seats AS STRING) ELSE '' END"]),
+            1998: (["'Total Seats Vacant'", "'GM Seats Vacant'"], ["CAST(total_seats AS STRING)", "CAST(rest AS STRING)"]),
+            1999: (["'Total Seats Vacant'", "'GM Seats Vacant'", "'KKR Seats Vacant'"],
+                   ["CASE WHEN total_seats % 3 = 0 THEN '-' ELSE CAST(total_seats AS STRING) END", "CAST(rest AS STRING)", "CAST(vacant_seats AS STRING)"]),
+            2000: (["'Total'", "'GM'", "'KKR'", "'Tuition Fee'", "'Other Fee'", "'Total Fee'"],
+                   ["CAST(total_seats AS STRING)", "CAST(rest AS STRING)", "CAST(vacant_seats AS STRING)",
+                    "concat('Rs ', format_number(total_seats * 1000, 0))", "CAST(vacant_seats * 10 AS STRING)",
+                    "CASE WHEN total_seats % 2 = 0 THEN '0' ELSE format_number(total_seats * 1000 + vacant_seats * 10, 2) END"]),
+            2001: (["'Total'", "'GM'", "'KKR'", "'Tuition Fee'"],
+                   ["CAST(total_seats AS STRING)", "CAST(rest AS STRING)", "CAST(vacant_seats AS STRING)", "CAST(total_seats * 1000 AS STRING)"]),
+        }
+        parts = [
+            self._grid(rows.filter(f"academic_year = {y}"), base + h, own + c, "Seats").withColumn("document_type", F.lit("SEAT_MATRIX_PDF"))
+            for y, (h, c) in layouts.items()
+        ]
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
     # provenance and operation, from the event stream -----------------------
 
     def aliases(self) -> DataFrame:
