@@ -1099,8 +1099,58 @@ SELECT count(*) AS documents, CAST(sum(candidate_records) AS BIGINT) AS records_
     }
 
 
+_DAILY = """daily AS (
+  SELECT CAST(user_id AS VARCHAR) AS source_id, strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT props) AS documents,
+    count(*) AS arrivals, count(*) - count(DISTINCT props) AS copies FROM events GROUP BY 1, 2)"""
+
+
+def streams() -> dict[str, str]:
+    return {
+        "stream_arrivals": f"WITH {_DAILY} SELECT * FROM daily",
+        "stream_staleness": f"""WITH {_DAILY} SELECT source_id, max(day) AS last_day, CAST(sum(arrivals) AS BIGINT) AS arrivals,
+  CASE WHEN date_diff('day', CAST(max(day) AS DATE), DATE '2024-02-01') * 24 > 48 THEN 'STALE' ELSE 'HEALTHY' END AS status FROM daily GROUP BY 1""",
+        "stream_ingest": f"""{BASE}, {_REGISTRY}, {_RAW_CUTOFFS.format(batch=', source_version_id')}, {_DOCS},
+p AS (SELECT CAST(CAST(college_code[2:] AS BIGINT) AS VARCHAR) AS college_id, branch_code AS branch_id, category_code, round_code, source_version_id,
+        o AS opening_rank, c AS closing_rank, academic_year FROM final JOIN outcome USING (source_version_id)
+      WHERE is_valid AND failure_reason IS NULL AND category_code <> 'HKR')
+SELECT *, CASE WHEN source_version_id = max(source_version_id) OVER (PARTITION BY {_KEY}) THEN 'PUBLISHED' ELSE 'SUPERSEDED' END AS status FROM p""",
+    }
+
+
+def report(parts: dict[str, str]) -> dict[str, str]:
+    moves = ["matched_pairs", "median_absolute_movement", "mean_absolute_movement", "median_relative_movement",
+             "mean_relative_movement", "earlier_count", "later_count", "unchanged_count"]
+
+    def melt(section: str, item: str, query: str, measures: list[str], where: str = "true") -> str:
+        names = ", ".join(f"'{m}'" for m in measures)
+        values = ", ".join(f"CAST({m} AS DOUBLE)" for m in measures)
+        return (f"SELECT '{section}' AS section, {item} AS item, unnest([{names}]) AS measure, "
+                f"unnest([{values}]) AS value FROM ({parts[query]}) q WHERE {where}")
+
+    one = "program_type = 'ENGINEERING' AND category = 'GM'"
+    pairs = "(from_year, to_year) IN ((1995, 1996), (1998, 1999), (1995, 2001))"
+    sections = [
+        melt("coverage", "concat_ws(':', grain, academic_year, round_code, category, program_type)", "coverage_counts",
+             ["total_records", "published_records", "superseded_records"]),
+        melt("depth", "concat_ws(':', depth, program_type)", "coverage_depth", ["combinations"]),
+        melt("pattern", "pattern", "year_patterns", ["combinations"]),
+        melt("volatility_by_n", "CAST(observation_count AS VARCHAR)", "volatility_by_n",
+             ["combination_count", "median_cv", "mean_cv", "min_cv", "max_cv", "median_absolute_movement",
+              "median_relative_movement"], one),
+        melt("progression", "concat_ws(':', academic_year, from_round, to_round)", "progression", moves, one),
+        melt("yoy", "from_year || '->' || to_year", "yoy_aggregate", moves, f"{one} AND {pairs}"),
+        melt("recency", "CAST(anchor_year AS VARCHAR)", "recency",
+             ["evaluated_triples", "recent_closer_count", "older_closer_count", "equal_distance_count",
+              "recent_closer_percentage", "recent_median_absolute_distance", "older_median_absolute_distance",
+              "recent_median_relative_distance", "older_median_relative_distance"], one),
+        f"SELECT 'anomalies', anomaly_type, 'found', CAST(count(*) AS DOUBLE) FROM ({parts['anomalies']}) q GROUP BY 2",
+    ]
+    return {"report": " UNION ALL ".join(sections)}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (longitudinal, lookups, prediction, quality, documents):
+    for part in (longitudinal, lookups, prediction, quality, documents, streams):
         out.update(part())
+    out.update(report(out))
     return out

@@ -21,6 +21,9 @@ from cutline.plans.panel import COMBO, terminal_states
 from cutline.functions import text as tx
 from cutline.sources import grids, pages, registry, sinks
 from cutline.sources.star import BASE_YEAR, YEARS, Star
+from cutline.sources.workdir import shared_folder
+from cutline.streaming import arrivals as arrivals_stream
+from cutline.streaming.ingest import CutoffIngest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -812,9 +815,40 @@ def run_report(s: Star) -> DataFrame:
 @register
 def report(s: Star) -> DataFrame:
     """Every analysis of the panel in one long table."""
-    out = lon.report(s.panel(status=None), s.wide(), [(1995, 1996), (1998, 2001)], 2001)
+    out = lon.report(s.panel(status=None), s.wide(), [(1995, 1996), (1998, 1999), (1995, 2001)], 2001)
     return round_columns(out, ["value"])
 
 
+# streams --------------------------------------------------------------------
+
+
+def _daily_arrivals(s: Star) -> DataFrame:
+    events = s.stream("events").selectExpr("CAST(user_id AS STRING) AS source_id", "ts", "props AS content")
+    out, state = (shared_folder(s.spark, name) for name in ("arrivals", "arrivals-state"))
+    arrivals_stream.run_arrivals(events, out, state)
+    return arrivals_stream.daily_arrivals(s.spark, out)
+
+
+@register
+def stream_arrivals(s: Star) -> DataFrame:
+    return _daily_arrivals(s)
+
+
+@register
+def stream_staleness(s: Star) -> DataFrame:
+    return arrivals_stream.staleness(_daily_arrivals(s), "2024-02-01", 24)
+
+
+@register
+def stream_ingest(s: Star) -> DataFrame:
+    """Raw line items streamed through validation, gate and publishing; the resulting facts."""
+    job = CutoffIngest(
+        shared_folder(s.spark, "ingest"), s.registry_colleges(), s.registry_branches(), s.rounds(), CATEGORIES,
+        s.raw_documents(),
+    )
+    job.run(s.stream("lineitem"), shared_folder(s.spark, "ingest-state"), s.raw_cutoffs)
+    return job.facts().drop("row_identifier")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

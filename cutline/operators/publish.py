@@ -55,14 +55,28 @@ def publish_outcomes(
     )
 
 
-def publish_state(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
-    """The facts after publishing: old rows, superseded where a new one came, and the new rows."""
-    new = outcomes.filter("outcome = 'PUBLISHED'").drop("outcome").withColumn("status", F.lit("PUBLISHED"))
-    replaced = new.select(*CUTOFF_KEY).distinct().withColumn("_replaced", F.lit(True))
+def publish_state(outcomes: DataFrame, existing: DataFrame, order: str = "source_version_id") -> DataFrame:
+    """The facts after publishing: old rows, superseded where a new one came, and the new rows.
+
+    Where one batch brings several versions of a key, the last by ``order``
+    is published and the others are superseded at once.
+    """
+    new = outcomes.filter("outcome = 'PUBLISHED'").drop("outcome", "status")
+    newest = new.groupBy(*CUTOFF_KEY).agg(F.expr(f"max({order}) AS _newest"))
+    # (key, version) is unique, so no key is hot on either side
+    last = newest.withColumnRenamed("_newest", order).withColumn("_last", F.lit(True))
+    new = (
+        new.join(last, [*CUTOFF_KEY, order], "left")
+        .withColumn("status", F.expr("CASE WHEN _last THEN 'PUBLISHED' ELSE 'SUPERSEDED' END"))
+        .drop("_last")
+    )
     kept = (
-        existing.join(replaced, CUTOFF_KEY, "left")
-        .withColumn("status", F.expr("CASE WHEN _replaced AND status = 'PUBLISHED' THEN 'SUPERSEDED' ELSE status END"))
-        .drop("_replaced")
+        existing.join(newest, CUTOFF_KEY, "left")
+        .withColumn(
+            "status",
+            F.expr("CASE WHEN _newest IS NOT NULL AND status = 'PUBLISHED' THEN 'SUPERSEDED' ELSE status END"),
+        )
+        .drop("_newest")
     )
     return kept.unionByName(new, allowMissingColumns=True)
 
@@ -76,7 +90,7 @@ def publish_report(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
         F.expr("count_if(outcome = 'FACTUAL_MUTATION_REJECTED') AS rejected_records"),
         F.expr("count_if(outcome IN ('UNKNOWN_COUNSELLING_ROUND', 'UNKNOWN_CATEGORY')) AS unknown_dimensions"),
     )
-    new = outcomes.filter("outcome = 'PUBLISHED'").selectExpr(*CUTOFF_KEY, "source_version_id AS _by")
+    new = outcomes.filter("outcome = 'PUBLISHED'").groupBy(*CUTOFF_KEY).agg(F.expr("min(source_version_id) AS _by"))
     superseded = (
         existing.filter("status = 'PUBLISHED'")
         .join(new, CUTOFF_KEY)

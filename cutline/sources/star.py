@@ -123,9 +123,15 @@ class Star:
 
     # facts ----------------------------------------------------------------
 
-    def lines(self) -> DataFrame:
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of files."""
+        reader = self.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.path)
+
+    def lines(self, line: DataFrame | None = None) -> DataFrame:
         """Line items with the order's year, round and status, and the part's type."""
-        line, order, part = self.table("lineitem"), self.table("orders"), self.table("part")
+        line = self.table("lineitem") if line is None else line
+        order, part = self.table("orders"), self.table("part")
         return (
             line.join(order, F.expr("l_orderkey = o_orderkey"))
             .join(part, F.expr("l_partkey = p_partkey"))
@@ -183,9 +189,9 @@ class Star:
             .withColumn("status", F.lit("PUBLISHED"))
         )
 
-    def raw_cutoffs(self) -> DataFrame:
+    def raw_cutoffs(self, line: DataFrame | None = None) -> DataFrame:
         """Line items as raw cutoff rows with the faults a validator must find."""
-        return self.lines().selectExpr(
+        return self.lines(line).selectExpr(
             "line_id AS row_idx",
             "college_code",
             "branch_id AS branch_code",
@@ -257,11 +263,11 @@ class Star:
     def registry_colleges(self) -> DataFrame:
         """Colleges with an account in credit; rows of the others are unknown."""
         return self.table("supplier").filter("s_acctbal >= 0").selectExpr(
-            "format_string('S%05d', s_suppkey) AS college_code"
+            "format_string('S%05d', s_suppkey) AS college_code", "CAST(s_suppkey AS STRING) AS college_id"
         )
 
     def registry_branches(self) -> DataFrame:
-        return self.branches().filter("is_canonical").select("branch_code")
+        return self.branches().filter("is_canonical").select("branch_code", "branch_id")
 
     def seats(self) -> DataFrame:
         """Seats per college, branch, year and round; lines of the first round carry no round."""
