@@ -201,23 +201,29 @@ def link_type(text: Column) -> Column:
 
 def document_year(text: Column, default: int) -> Column:
     """The first year 2020-2029 that stands as its own word."""
-    year = F.regexp_extract(F.lower(text), f"(?:^|{NOT_WORD})(202[0-9])(?:{NOT_WORD}|$)", 1)
-    return F.when(year != "", year.cast("int")).otherwise(F.lit(default))
+    found = F.regexp_extract(text, f"(?:^|{NOT_WORD})(202[0-9])(?:{NOT_WORD}|$)", 1)
+    # most texts name no such year, and a substring test is far cheaper than the pattern
+    year = F.when(text.contains("202"), F.nullif(found, F.lit("")))
+    return F.coalesce(year.cast("int"), F.lit(default))
 
 
 def document_round(text: Column, default_year: int = 2026) -> Column:
     """Round named by a document title. The order of the tests is not that of ``round_of``."""
     s = F.translate(F.lower(text), "_-", "  ")
     all_rounds = F.when(document_year(text, default_year) == 2025, "R4").otherwise("CONSOLIDATED_FINAL")
+
+    def numbered(k: int) -> Column:
+        return s.contains(str(k)) & s.rlike(_whole_word(rf"round\s*{k}|r\s*{k}"))
+
     return (
         F.when(s.contains("mock"), F.lit("MOCK"))
         .when(has_any(s, ["kkr special", "r2 kkr", "phase 1", "phase1"]), F.lit("KKR_SPECIAL"))
         .when(has_any(s, ["phase 2", "phase2"]), F.lit("R2_PHASE2"))
-        .when(s.rlike(_whole_word(r"round\s*1|r\s*1")), F.lit("R1"))
-        .when(s.rlike(_whole_word(r"round\s*3|r\s*3")), F.lit("R3"))
-        .when(s.rlike(_whole_word(r"round\s*4|r\s*4")), F.lit("R4"))
+        .when(numbered(1), F.lit("R1"))
+        .when(numbered(3), F.lit("R3"))
+        .when(numbered(4), F.lit("R4"))
         .when(has_any(s, ["all rounds", "consolidated"]), all_rounds)
-        .when(s.rlike(_whole_word(r"round\s*2|r\s*2")) | s.contains("kkr"), F.lit("KKR_SPECIAL"))
+        .when(numbered(2) | s.contains("kkr"), F.lit("KKR_SPECIAL"))
     )
 
 

@@ -151,9 +151,13 @@ class Star:
         )
 
     def cutoffs(self) -> DataFrame:
-        """One fact per logical key and version; where v2 exists, v1 is superseded."""
+        """One fact per logical key and version; where v2 exists, v1 is superseded.
+
+        Lines are grouped by their own columns; names are made up afterwards,
+        from the few columns of the groups.
+        """
         bounds = [
-            F.expr(f"{f}(CASE WHEN source_version_id = '{v}' THEN l_extendedprice END) AS {v}_{f}")
+            F.expr(f"{f}(CASE WHEN {VERSION_OF_STATUS} = '{v}' THEN l_extendedprice END) AS {v}_{f}")
             for v in ("v1", "v2")
             for f in ("min", "max")
         ]
@@ -169,7 +173,24 @@ class Star:
                 ("v2", "'PUBLISHED'"),
             )
         ]
-        rows = self.lines().groupBy(*CUTOFF_KEY).agg(*bounds).selectExpr(*CUTOFF_KEY, inline(facts))
+        groups = (
+            self.table("lineitem")
+            .join(self.table("orders"), F.expr("l_orderkey = o_orderkey"))
+            .join(self.table("part"), F.expr("l_partkey = p_partkey"))
+            .groupBy(
+                "l_suppkey", "p_type", "l_returnflag", F.expr("left(o_orderpriority, 1) AS o_orderpriority"),
+                F.expr("year(o_orderdate) AS academic_year"),
+            )
+            .agg(*bounds)
+        )
+        rows = groups.selectExpr(
+            "CAST(l_suppkey AS STRING) AS college_id",
+            "p_type AS branch_id",
+            f"{CATEGORY_OF_FLAG} AS category_code",
+            f"{ROUND_OF_PRIORITY} AS round_code",
+            "academic_year",
+            inline(facts),
+        )
         return rows.filter("closing_rank IS NOT NULL").selectExpr(
             "*",
             "concat_ws('|', college_id, branch_id, academic_year, round_code, category_code, source_version_id) "
