@@ -417,6 +417,15 @@ LEFT JOIN (SELECT college_id, max(total_fee) AS annual_fee FROM fees WHERE {_ENG
 ORDER BY records DESC, closing_rank LIMIT 10""",
         "custom_order": f"""{BASE} SELECT record_id, round_code, closing_rank FROM cutoffs
 ORDER BY CASE round_code WHEN 'R4' THEN 1 WHEN 'R3' THEN 2 WHEN 'R1' THEN 3 ELSE 4 END, closing_rank, record_id LIMIT 40""",
+        "sample_cutoffs": f"{BASE} SELECT record_id, closing_rank FROM cutoffs ORDER BY md5('7|' || record_id), record_id LIMIT 30",
+        "provenance_sample": f"""WITH {COLLEGES}, {OPERATION} SELECT college_id, college_code, v.source_version_id, v.content_hash
+FROM (SELECT college_id, college_code FROM colleges ORDER BY md5('7|' || college_id), college_id LIMIT 4) c,
+  (SELECT source_version_id, content_hash FROM versions WHERE processing_status = 'PUBLISHED' ORDER BY source_version_id LIMIT 1) v""",
+        "distinct_counts": f"""{BASE} SELECT 'colleges' AS name, count(DISTINCT college_id) AS keys FROM cutoffs
+UNION ALL SELECT 'branches', count(DISTINCT branch_id) FROM cutoffs UNION ALL SELECT 'combos', count(DISTINCT (college_id, branch_id)) FROM cutoffs
+UNION ALL SELECT 'cells', count(DISTINCT (college_id, branch_id, category_code, round_code)) FROM cutoffs""",
+        "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS records FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+        "run_history": f"{OPS} SELECT run_id, status, source_count, published_count, rejected_count FROM runs",
         "college_prefixes": f"WITH {COLLEGES} SELECT college_code[1:2] AS prefix, count(*) AS colleges FROM colleges GROUP BY 1",
         "latest_versions": f"""{OPS} SELECT source_id, source_version_id, source_title, content_hash, processing_status
 FROM versions QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, event_id DESC) = 1""",
@@ -577,7 +586,7 @@ SELECT request_id, college_id, branch_id, academic_year, category, program_type,
   CASE WHEN p IS NOT NULL THEN kind END AS interval_type,
   CASE WHEN p IS NOT NULL THEN CASE kind WHEN 'VOLATILITY_ADAPTIVE_WIDE' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END END AS target_coverage,
   CASE WHEN p IS NOT NULL THEN {dec('hi - lo', 1)} END AS interval_width,
-  CASE WHEN p IS NOT NULL THEN {dec('(hi - lo) / p', 4)} END AS relative_width,
+  CASE WHEN p > 0 THEN {dec('(hi - lo) / p', 4)} WHEN p IS NOT NULL THEN 0 END AS relative_width,
   {_STRENGTH} AS evidence_strength,
   CAST(CASE WHEN p IS NULL THEN 0 ELSE n + CASE WHEN pre IS NOT NULL THEN 1 ELSE 0 END END AS INTEGER) AS observation_count,
   CASE WHEN p IS NOT NULL THEN coalesce(latest_year, academic_year) END AS latest_comparable_year,
@@ -665,7 +674,7 @@ k AS (SELECT request_id, p, unnest([
   FROM q)
 SELECT request_id, p AS predicted_closing_rank, {dec('greatest(1, lo)', 1)} AS lower_bound, {dec('hi', 1)} AS upper_bound,
   interval_type, target_coverage, {dec('hi - greatest(1, lo)', 1)} AS interval_width,
-  {dec('(hi - greatest(1, lo)) / p', 4)} AS relative_width FROM k""",
+  CASE WHEN p > 0 THEN {dec('(hi - greatest(1, lo)) / p', 4)} ELSE 0 END AS relative_width FROM k""",
         "decision": f"""{_scored("error_code IS NULL AND program_type = 'ENGINEERING' AND candidate_rank > 0")}, d AS (
   SELECT request_id, {dec('lo', 1)} AS lo, {dec('p', 1)} AS p, {dec('hi', 1)} AS hi, pre, n FROM bounded),
 e AS (SELECT *, CASE WHEN candidate_rank <= 0 THEN 'INVALID_CANDIDATE_RANK'

@@ -71,9 +71,13 @@ def yoy_terminal(s: Star) -> DataFrame:
 def comparability(s: Star) -> DataFrame:
     """Every ordered pair of observed (year, round) stages; as many stages as the calendar has."""
     stages = s.panel(status=None).select("academic_year", "round_code").distinct()
-    a = stages.toDF("year1", "round1")
-    b = stages.toDF("year2", "round2")
-    pairs = a.join(b, F.col("year1") < F.col("year2"))
+    slots = ", ".join(f"named_struct('year2', {y}, 'round2', '{r}')" for y, r in s.calendar.slots)
+    pairs = (
+        stages.toDF("year1", "round1")
+        .selectExpr("year1", "round1", f"inline(array({slots}))")
+        .filter("year1 < year2")
+        .join(stages.toDF("year2", "round2"), ["year2", "round2"], "left_semi")
+    )
     status = s.calendar.comparability(*[F.col(c) for c in ("year1", "round1", "year2", "round2")])
     return pairs.withColumn("comparability", status)
 
@@ -294,6 +298,31 @@ def latest_versions(s: Star) -> DataFrame:
     return newest.select("source_id", "source_version_id", "source_title", "content_hash", "processing_status")
 
 
+@register
+def sample_cutoffs(s: Star) -> DataFrame:
+    return look.sample_rows(s.cutoffs().select("record_id", "closing_rank"), "record_id", 30, 7)
+
+
+@register
+def provenance_sample(s: Star) -> DataFrame:
+    versions = s.versions().filter("processing_status = 'PUBLISHED'").select("source_version_id", "content_hash")
+    return look.provenance_sample(s.colleges().select("college_id", "college_code"), "college_id", versions, 4, 7)
+
+
+@register
+def distinct_counts(s: Star) -> DataFrame:
+    return look.distinct_counts(
+        s.cutoffs(),
+        {"colleges": ["college_id"], "branches": ["branch_id"], "combos": ["college_id", "branch_id"],
+         "cells": ["college_id", "branch_id", "category_code", "round_code"]},
+    )
+
+
+@register
+def duplicate_keys(s: Star) -> DataFrame:
+    return look.duplicate_keys(s.table("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
 # monitoring -----------------------------------------------------------------
 
 NOW = "2024-02-01 00:00:00"
@@ -326,6 +355,11 @@ def recent_runs(s: Star) -> DataFrame:
     return mon.recent_runs(s.runs()).drop("started_at", "finished_at")
 
 
+@register
+def run_history(s: Star) -> DataFrame:
+    return mon.run_history(s.runs()).drop("started_at", "finished_at")
+
+
 @register
 def latest_good_run(s: Star) -> DataFrame:
     return mon.latest_good_run(s.runs()).drop("started_at", "finished_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.ranks import containment
@@ -268,10 +268,40 @@ def rank_containment(cutoffs: DataFrame, candidate_rank: str) -> DataFrame:
 
 def sample_rows(df: DataFrame, id_column: str, size: int, seed: int) -> DataFrame:
     """A repeatable random sample: the rows with the smallest seeded hash of their id."""
-    mixed = F.xxhash64(F.lit(seed), F.col(id_column))
+    mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_column)))
     return df.orderBy(mixed, id_column).limit(size)
 
 
+def provenance_sample(
+    entities: DataFrame, id_column: str, versions: DataFrame, size: int, seed: int
+) -> DataFrame:
+    """A sample of entities, each beside the one document version they all come from.
+
+    The version is a single row, found by its smallest id, so it is attached
+    to the sampled rows by a constant key.
+    """
+    source = versions.orderBy("source_version_id").limit(1).withColumn("_one", F.lit(1))
+    picked = sample_rows(entities, id_column, size, seed).withColumn("_one", F.lit(1))
+    return picked.join(F.broadcast(source), "_one").drop("_one")
+
+
+def distinct_counts(facts: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Number of distinct keys by name of the key; a key may have several columns."""
+    parts = [
+        facts.select(*key).distinct().agg(F.expr("count(1) AS keys")).select(F.lit(name).alias("name"), "keys")
+        for name, key in groups.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def duplicate_keys(facts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with their number of rows."""
+    return facts.groupBy(*key).agg(F.expr("count(1) AS records")).filter("records > 1")
+
+
 def in_custom_order(df: DataFrame, column: str, ranking: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Order by a position list; values outside the list come last."""
     position = F.coalesce(
@@ -288,10 +318,3 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
         F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
     )
     return newest.select(*keys, "_row.*")
-
-
-def step_to_next(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Difference to the previous observation; for keys with a bounded number of observations."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    before = F.lag(value).over(window)
-    return df.withColumn("previous", before).withColumn("step", F.col(value) - before)

@@ -389,12 +389,16 @@ def _explanation(calendar: RoundCalendar) -> str:
 
 
 def score_requests(
-    valid: DataFrame, wide: WidePanel, target_years: Sequence[int] | None = None, dataset_version: str = "v1"
+    valid: DataFrame,
+    wide: WidePanel,
+    target_years: Sequence[int] | None = None,
+    dataset_version: str = "v1",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Predict each valid request, or say why not (status INSUFFICIENT_EVIDENCE).
 
     ``target_years`` are the years requests may ask for; by default those of
-    the calendar and the year after it.
+    the calendar and the year after it. ``carry`` names columns to pass through.
     """
     cal = wide.calendar
     targets = list(target_years or [*cal.years, cal.years[-1] + 1])
@@ -466,6 +470,7 @@ def score_requests(
         if_ok(_explanation(cal), "array(_failure)") + " AS explanation",
         "model_type",
         "candidate_rank",
+        *carry,
     )
 
 
@@ -481,13 +486,6 @@ def predict(
     return score_requests(checked.filter("error_code IS NULL"), wide)
 
 
-_DECISION = {
-    "prediction_status": "string", "predicted_closing_rank": "double", "lower_bound": "double",
-    "upper_bound": "double", "evidence_state": "string", "evidence_strength": "string",
-    "observation_count": "int", "model_name": "string", "explanation": "array<string>", "error_code": "string",
-}
-
-
 def decide(
     requests: DataFrame,
     wide: WidePanel,
@@ -510,34 +508,33 @@ def decide(
         (f"{architecture} AND branch_program <> 'ARCHITECTURE'", "'PROGRAM_MISMATCH'"),
         (f"NOT ({architecture})", "error_code"),
     )
-    checked = checked.withColumn("decision_error", F.expr(decision_error))
-    scored = score_requests(checked.filter(f"decision_error IS NULL AND NOT ({architecture})"), wide)
-    shared = ["request_id", "college_id", "branch_id", "academic_year", "category", "program_type", "candidate_rank"]
-    state = decision_state("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
-    answered = scored.selectExpr(
-        *shared,
-        "CASE WHEN round = 'TERMINAL' THEN 'R4' ELSE round END AS round",
-        "status AS prediction_status",
-        "predicted_closing_rank", "lower_bound", "upper_bound",
-        f"{state} AS evidence_state",
-        "evidence_strength", "observation_count", "model_name", "explanation",
-        "CAST(NULL AS STRING) AS error_code",
-    )
-    insufficient = "CASE WHEN decision_error IS NULL THEN 'INSUFFICIENT_EVIDENCE' END"
-    given = {
-        "prediction_status": insufficient,
-        "evidence_state": insufficient,
-        "evidence_strength": insufficient,
-        "observation_count": "CASE WHEN decision_error IS NULL THEN 0 END",
-        "model_name": f"CASE WHEN decision_error IS NULL THEN {text(FAIL_CLOSED)} END",
-        "explanation": "CASE WHEN decision_error IS NULL THEN "
-        "array('There is no calibrated decision boundary for ARCHITECTURE programs.') END",
-        "error_code": "decision_error",
-    }
-    unanswered = checked.filter(f"decision_error IS NOT NULL OR {architecture}").selectExpr(
-        *shared, "round", *[f"CAST({given.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _DECISION.items()]
+    scored = score_requests(
+        checked.withColumns(columns({"_refused": decision_error, "_no_boundary": architecture, "_asked": "round"})),
+        wide,
+        carry=["_refused", "_no_boundary", "_asked"],
     )
-    return answered.unionByName(unanswered).withColumn("decision_text", F.expr(_DECISION_TEXT))
+    # refused rows go through the same plan; what was computed for them is hidden here
+    answer, given = "_refused IS NULL AND NOT _no_boundary", "_refused IS NULL"
+
+    def shown(value: str, without: str = "NULL") -> str:
+        return case((answer, value), (given, without))
+
+    state = decision_state("candidate_rank", "lower_bound", "predicted_closing_rank", "upper_bound")
+    no_boundary = "array('There is no calibrated decision boundary for ARCHITECTURE programs.')"
+    return scored.selectExpr(
+        "request_id", "college_id", "branch_id", "academic_year", "category", "program_type", "candidate_rank",
+        "_asked AS round",
+        shown("status", "'INSUFFICIENT_EVIDENCE'") + " AS prediction_status",
+        shown("predicted_closing_rank") + " AS predicted_closing_rank",
+        shown("lower_bound") + " AS lower_bound",
+        shown("upper_bound") + " AS upper_bound",
+        shown(state, "'INSUFFICIENT_EVIDENCE'") + " AS evidence_state",
+        shown("evidence_strength", "'INSUFFICIENT_EVIDENCE'") + " AS evidence_strength",
+        shown("observation_count", "0") + " AS observation_count",
+        shown("model_name", text(FAIL_CLOSED)) + " AS model_name",
+        shown("explanation", no_boundary) + " AS explanation",
+        "_refused AS error_code",
+    ).withColumn("decision_text", F.expr(_DECISION_TEXT))
 
 
 def _decision_text() -> str:

@@ -159,14 +159,23 @@ def wide_panel(panel: DataFrame, calendar: RoundCalendar) -> WidePanel:
     the greatest closing rank is kept. ``max`` of whole numbers combines on the
     map side, so a combo with very many rows costs one row per map task.
     """
+    places = list(enumerate(calendar.slots))
+    place = case(
+        *[
+            (
+                f"academic_year = {year}",
+                case(*[(f"round_code = {text(code)}", str(i)) for i, (y, code) in places if y == year]),
+            )
+            for year in sorted({y for y, _ in calendar.slots})
+        ]
+    )
+    # the place is worked out once per row; each slot then compares one number
     slots = [
-        F.expr(
-            f"max(CASE WHEN academic_year = {year} AND round_code = {text(code)} THEN closing_rank END)"
-            f" AS {slot_name(year, code)}"
-        )
-        for year, code in calendar.slots
+        F.expr(f"max(CASE WHEN _place = {i} THEN closing_rank END) AS {slot_name(year, code)}")
+        for i, (year, code) in places
     ]
-    return WidePanel(panel.groupBy(*COMBO).agg(*slots), calendar)
+    rows = panel.selectExpr(*COMBO, "closing_rank", f"{place} AS _place")
+    return WidePanel(rows.groupBy(*COMBO).agg(*slots), calendar)
 
 
 def terminal_states(wide: WidePanel) -> DataFrame:

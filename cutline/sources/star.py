@@ -12,7 +12,6 @@ joined, so only the reduced rows meet the supplier table.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -457,7 +456,7 @@ class Star:
 
     def seat_grid(self) -> DataFrame:
         """Seats as grid lines; the year decides the layout: four, five, six or nine columns."""
-        rows = self.seats().withColumn("_row", F.lit(1)).selectExpr(
+        rows = self.seats().selectExpr(
             "*", "format_string('S%05d', CAST(college_id AS BIGINT)) AS code", "concat('Supplier ', college_id) AS name",
             "total_seats - vacant_seats AS rest",
         )
@@ -477,11 +476,17 @@ class Star:
             2001: (["'Total'", "'GM'", "'KKR'", "'Tuition Fee'"],
                    ["CAST(total_seats AS STRING)", "CAST(rest AS STRING)", "CAST(vacant_seats AS STRING)", "CAST(total_seats * 1000 AS STRING)"]),
         }
-        parts = [
-            self._grid(rows.filter(f"academic_year = {y}"), base + h, own + c, "Seats").withColumn("document_type", F.lit("SEAT_MATRIX_PDF"))
-            for y, (h, c) in layouts.items()
-        ]
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        def by_year(arrays: dict[int, list[str]]) -> str:
+            return case(*[(f"academic_year = {y}", f"array({', '.join(a)})") for y, a in arrays.items()])
+
+        return rows.selectExpr(
+            "concat(college_id, '-', academic_year) AS doc_id", "1 AS page", "0 AS table_no",
+            by_year({y: base + h for y, (h, _) in layouts.items()}) + " AS header",
+            "1 AS row_no",
+            by_year({y: own + c for y, (_, c) in layouts.items()}) + " AS cells",
+            "'SEAT_MATRIX_PDF' AS document_type", "'Seats' AS title", "academic_year", "round_code",
+            "round_code AS counselling_round",
+        )
 
     # provenance and operation, from the event stream -----------------------
 
