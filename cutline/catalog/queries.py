@@ -17,7 +17,7 @@ from cutline.operators import monitor as mon
 from cutline.operators import predict as pre
 from cutline.operators import publish as pub
 from cutline.operators import quality as dq
-from cutline.plans.panel import COMBO, terminal_states
+from cutline.plans.panel import terminal_states
 from cutline.functions import text as tx
 from cutline.sources import grids, pages, registry, sinks
 from cutline.sources.star import BASE_YEAR, YEARS, Star

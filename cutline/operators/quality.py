@@ -4,7 +4,8 @@ Each validator tags every input row and loses none: ``error_codes`` (empty for
 a valid row), ``anomalies`` (remarks that do not reject) and ``is_valid``. The
 first rule a row breaks decides, except for the numeric checks of seats and
 fees, which all report. In-batch duplicates count only among rows that pass
-every other rule, in the order of ``row_idx``, which must be unique.
+every other rule, in the order of ``row_idx``. That must be unique: over all
+rows, or within a batch where ``batch`` names the columns that tell batches apart.
 """
 
 from __future__ import annotations
@@ -60,7 +61,9 @@ def _registered(rows: DataFrame, registry: DataFrame, column: str, flag: str) ->
     return lookup(rows, known, [column])
 
 
-def _finish(rows: DataFrame, single: str, several: Sequence[str], late: str, key: Sequence[str]) -> DataFrame:
+def _finish(
+    rows: DataFrame, single: str, several: Sequence[str], late: str, key: Sequence[str], batch: Sequence[str]
+) -> DataFrame:
     """Collect the errors of each row, then find duplicates among the clean ones."""
     each = f"array_compact(array({', '.join(several)}))" if several else "array()"
     rows = rows.withColumns(columns({"_first": single, "_each": f"CAST({each} AS ARRAY<STRING>)"}))
@@ -72,7 +75,7 @@ def _finish(rows: DataFrame, single: str, several: Sequence[str], late: str, key
             f"ELSE array_compact(array({late})) END"
         ),
     ).drop("_first", "_each")
-    marked = first_per_key(clean, key, "row_idx", "size(error_codes) = 0", "_kept")
+    marked = first_per_key(clean, key, "row_idx", "size(error_codes) = 0", "_kept", scope=batch)
     return marked.withColumns(
         columns(
             {
@@ -110,7 +113,7 @@ def validate_cutoffs(
     )
     rows = rows.withColumn("anomalies", F.expr(anomalies))
     key = [*batch, "college_code", "branch_code", "category_code", "round_code", "academic_year"]
-    return _finish(rows, "coalesce(_early, _ranks)", [], "NULL", key).drop("_college", "_branch", "_early", "_ranks")
+    return _finish(rows, "coalesce(_early, _ranks)", [], "NULL", key, batch).drop("_college", "_branch", "_early", "_ranks")
 
 
 def validate_seats(
@@ -136,7 +139,7 @@ def validate_seats(
     )
     key = [*batch, "college_code", "branch_code", "counselling_round", "category_code", "academic_year"]
     rows = rows.withColumn("anomalies", F.expr("CAST(array() AS ARRAY<STRING>)"))
-    return _finish(rows, early, numeric, late, key).drop("_college", "_branch")
+    return _finish(rows, early, numeric, late, key, batch).drop("_college", "_branch")
 
 
 def validate_fees(
@@ -165,7 +168,7 @@ def validate_fees(
     )
     key = [*batch, "college_code", "branch_code", "academic_year"]
     rows = rows.withColumn("anomalies", F.expr("CAST(array() AS ARRAY<STRING>)"))
-    return _finish(rows, early, numeric, late, key).drop("_college", "_branch", *[f"_{c}" for c in fields])
+    return _finish(rows, early, numeric, late, key, batch).drop("_college", "_branch", *[f"_{c}" for c in fields])
 
 
 def valid_rows(tagged: DataFrame) -> DataFrame:

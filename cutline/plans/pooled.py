@@ -82,25 +82,33 @@ def with_medians(
 
 
 def first_per_key(
-    df: DataFrame, keys: Sequence[str], row_id: str, eligible: str = "true", flag: str = "is_first"
+    df: DataFrame,
+    keys: Sequence[str],
+    row_id: str,
+    eligible: str = "true",
+    flag: str = "is_first",
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """Add a flag: this row has the smallest ``row_id`` of its key among eligible rows.
 
-    Keys and ``eligible`` are SQL text; ``row_id`` must be unique. The smallest
-    id per key is a combined aggregate, and the way back is a join on the id
-    itself, so a key shared by a third of all rows loads no single task. NULLs
-    in keys are equal.
+    Keys and ``eligible`` are SQL text. ``row_id`` must be unique, or unique
+    within the columns of ``scope``, which then separate the keys as well. The
+    smallest id per key is a combined aggregate, and the way back is a join on
+    the id itself, so a key shared by a third of all rows loads no single task.
+    NULLs in keys are equal.
     """
+    grouped = [*scope, *[k for k in keys if k not in scope]]
     firsts = (
         df.filter(eligible)
-        .groupBy(*[F.expr(f"{k} AS _k{i}") for i, k in enumerate(keys)])
+        .groupBy(*[F.expr(f"{k} AS _k{i}") for i, k in enumerate(grouped)])
         .agg(F.expr(f"min({row_id}) AS _first"))
-        .select("_first")
+        .select(*[f"_k{i}" for i in range(len(scope))], "_first")
     )
+    on = " AND ".join([f"{row_id} = _first"] + [f"{c} <=> _k{i}" for i, c in enumerate(scope)])
     return (
-        df.join(firsts, F.col(row_id) == F.col("_first"), "left")
+        df.join(firsts, F.expr(on), "left")
         .withColumn(flag, F.expr("_first IS NOT NULL"))
-        .drop("_first")
+        .drop("_first", *[f"_k{i}" for i in range(len(scope))])
     )
 
 

@@ -38,6 +38,15 @@ def test_first_per_key_counts_only_eligible_rows(spark):
     assert found == {2, 4, 6}
 
 
+def test_first_per_key_with_ids_that_restart(spark):
+    rows = [("d1", 0, "a"), ("d1", 1, "a"), ("d2", 0, "b"), ("d2", 1, "a"), ("d2", 2, "b"), (None, 0, "a"), (None, 1, "a")]
+    df = spark.createDataFrame(rows, "doc string, id int, k string")
+    found = first_per_key(df, ["doc", "k"], "id", scope=["doc"])
+    assert found.count() == len(rows)
+    kept = sorted((r.doc or "-", r.id) for r in found.filter("is_first").collect())
+    assert kept == [("-", 0), ("d1", 0), ("d2", 0), ("d2", 1)]
+
+
 def test_numbering_across_spans(spark):
     ids = random.Random(1).sample(range(5000), 900)
     df = spark.createDataFrame([(i % 3 % 2, i) for i in ids], "g int, id int")
