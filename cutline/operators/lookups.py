@@ -277,12 +277,11 @@ def provenance_sample(
 ) -> DataFrame:
     """A sample of entities, each beside the one document version they all come from.
 
-    The version is a single row, found by its smallest id, so it is attached
-    to the sampled rows by a constant key.
+    The version is a single row, found by its smallest id and read as a scalar subquery.
     """
-    source = versions.orderBy("source_version_id").limit(1).withColumn("_one", F.lit(1))
-    picked = sample_rows(entities, id_column, size, seed).withColumn("_one", F.lit(1))
-    return picked.join(F.broadcast(source), "_one").drop("_one")
+    source = versions.orderBy("source_version_id").limit(1).select(F.struct(*versions.columns).alias("v"))
+    picked = sample_rows(entities, id_column, size, seed)
+    return picked.withColumn("_v", source.scalar()).select(*picked.columns, "_v.*")
 
 
 def distinct_counts(facts: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
