@@ -79,6 +79,13 @@ MODEL_NAMES = {
         MODEL_H: "Model H (Hybrid: 70% Preceding R3 + 30% Historical Median Terminal)",
     },
 }
+EVIDENCE_TEXT = {
+    "R1": "Round 1 official published closing rank",
+    "R3": "Round 3 official closing rank",
+    "TERMINAL": "terminal official closing rank",
+    "preceding": "%d %s preceding closing rank: %s",
+    "movement": "Median R1->R3 expansion learned from prior years: +%s ranks",
+}
 FAIL_CLOSED = "FAIL_CLOSED_HANDLER"
 NO_HISTORY = "NO_HISTORICAL_RECORDS"
 MODEL_VERSION = "v1.0-research"
@@ -311,18 +318,14 @@ def _evidence(calendar: RoundCalendar) -> str:
         f"_model IN {texts([MODEL_F, MODEL_G1, MODEL_G2, MODEL_H])}))"
     )
     before = _by_round("''", "'Round 1'", "'Round 3'")
-    wording = _by_round(
-        "'Round 1 official published closing rank'",
-        "'Round 3 official closing rank'",
-        "'terminal official closing rank'",
-    )
+    wording = _by_round(*[text(EVIDENCE_TEXT[family]) for family in ("R1", "R3", "TERMINAL")])
     items = [
         case(
             (
                 within,
                 item(
                     "PRECEDING_ROUND", "academic_year", _by_round("NULL", "'R1'", "'R3'"), "_preceding", "NULL",
-                    f"format_string('%d %s preceding closing rank: %s', academic_year, {before}, "
+                    f"format_string({text(EVIDENCE_TEXT['preceding'])}, academic_year, {before}, "
                     f"{thousands('_preceding')})",
                 ),
             )
@@ -332,8 +335,7 @@ def _evidence(calendar: RoundCalendar) -> str:
                 f"{within} AND _family = 'R3' AND _model = {text(MODEL_G1)}",
                 item(
                     "HISTORICAL_MOVEMENT", "NULL", "'R1_TO_R3'", "_move", "NULL",
-                    "format_string('Median R1->R3 expansion learned from prior years: +%s ranks', "
-                    f"{thousands('_move')})",
+                    f"format_string({text(EVIDENCE_TEXT['movement'])}, {thousands('_move')})",
                 ),
             )
         ),
