@@ -104,9 +104,16 @@ class ChunkEncoder:
         cut = [chunks(t.encode("utf-8")) for t in texts]
         fresh = list({c for parts in cut for c in parts if c not in self.kept})
         found = dict(zip(fresh, self.words.encode([c.decode("utf-8") for c in fresh])))
+        # the words at all joins of the batch at once; join_chunks asks anew where one word is not enough
+        near = {w for parts in cut for a, b in zip(parts, parts[1:]) for x, y in [(_tail(a, 1), _head(b, 1))] for w in (x, y, x + y)}
+        words = [w.decode("utf-8") for w in near]
+        memo = dict(zip(words, self.words.encode(words)))
+
+        def encode(texts: list[str]) -> list[bytes]:
+            return [memo[t] if t in memo else self.words.encode([t])[0] for t in texts]
+
         ids = [
-            join_chunks([(c, self.kept[c] if c in self.kept else found[c]) for c in parts], self.words.encode)
-            for parts in cut
+            join_chunks([(c, self.kept[c] if c in self.kept else found[c]) for c in parts], encode) for parts in cut
         ]
         for chunk, own in found.items():
             self.room -= len(chunk) + len(own) + 200

@@ -162,8 +162,9 @@ class WordEncoder:
         extra = dict(zip(fresh, self.merges.encode([r.encode("utf-8") for r in fresh])))
         room = self.run_limit - len(self.runs)
         self.runs.update(extra if room >= len(extra) else list(extra.items())[:room])
-        known = self.runs if room >= len(extra) else {**self.runs, **extra}
-        found.update(zip(words, b"".join(map(known.__getitem__, runs)).split(_BREAK)))
+        known = self.runs
+        ids = map(known.__getitem__, runs) if room >= len(extra) else [known[r] if r in known else extra[r] for r in runs]
+        found.update(zip(words, b"".join(ids).split(_BREAK)))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
