@@ -58,10 +58,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     rows = rows.withColumn("http", F.expr(http)).withColumn("digest", F.expr(_base32("sha")))
     head = f"""concat(
         'WARC/1.1\\r\\nWARC-Type: ', if(revisit, 'revisit', 'response'),
-        '\\r\\nWARC-Record-ID: <urn:page:', coalesce(page_id, ''), '>\\r\\nWARC-Target-URI: ', {clean},
+        '\\r\\nWARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS STRING), ''), '>\\r\\nWARC-Target-URI: ', {clean},
         '\\r\\nWARC-Date: ', {stamp}, '\\r\\nWARC-Payload-Digest: sha1:', digest,
         if(revisit, concat('\\r\\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest',
-                           '\\r\\nWARC-Refers-To: <urn:page:', coalesce(best, ''), '>'), ''),
+                           '\\r\\nWARC-Refers-To: <urn:page:', coalesce(CAST(best AS STRING), ''), '>'), ''),
         '\\r\\nContent-Type: application/http; msgtype=response\\r\\nContent-Length: ',
         octet_length(http) + if(revisit, 0, size), '\\r\\n\\r\\n', http, if(revisit, '', html))"""
     rows.selectExpr(f"{head} AS value").write.options(
