@@ -47,7 +47,7 @@ def passage_features(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np
     bags = np.maximum(1, -(-words // WORDS))
     first = np.concatenate(([0], np.cumsum(bags)))
     total = int(first[-1])
-    doc = np.repeat(np.arange(len(texts)), words)
+    doc = np.repeat(np.arange(len(texts)), words)  # of each word
     passage = first[doc] + (np.arange(len(starts)) - cuts[doc]) // WORDS
     # where each passage's bytes begin: at the text for the first, else at its first word
     begin = np.empty(total + 1, dtype=np.int64)
@@ -63,7 +63,7 @@ def passage_features(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np
     out[:, :_CLASSES] = np.sqrt(shares / np.maximum(size, 1)[:, None])
     n = np.bincount(passage, minlength=total)
     n1 = np.maximum(n, 1)
-    gaps = np.diff(np.append(starts, len(raw)))
+    gaps = np.minimum(np.append(starts[1:], len(raw)), breaks[doc + 1])[: len(starts)] - starts
     mean = np.bincount(passage, np.minimum(gaps, 60), total) / n1
     square = np.bincount(passage, np.minimum(gaps, 60) ** 2, total) / n1
     # distinct words, by sorting (passage, word) and (document, word)
