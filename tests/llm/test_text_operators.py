@@ -1,0 +1,301 @@
+"""Operators on documents against brute force, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cutline.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, secrets, tokens
+from cutline.llm.common import components
+from cutline.llm.shingles import Powers, batch_shingles
+
+SF = "/root/testdata/sf0.001"
+TOKENIZER = packing.default_tokenizer()
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["ab", "cde", "Fg", "hij", "é", "klm", "no", "p"]) + str(rng.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Families of near copies around the threshold, exact copies and shared passages."""
+    rng = random.Random(5)
+    passage = words(rng, 60)
+    texts = []
+    for _ in range(25):
+        base = words(rng, rng.randint(3, 250)).split()
+        for _ in range(rng.randint(1, 12)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = "new" + str(rng.random())
+            texts.append(" ".join(copy) + (" " + passage if rng.random() < 0.3 else ""))
+    texts += texts[:20] + [t.upper() for t in texts[20:25]] + ["", None, "  "]
+    rows = list(enumerate(texts, 100))
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def test_shingles_of_bytes_are_those_of_characters():
+    texts = ["a B\tc d e f", None, "é è ü ï ß x", "one two", " \x0b ", "a\x85b \xa0 c", "T t T t T t T"]
+    for text, found in zip(texts, batch_shingles(texts, 5, Powers())):
+        assert len(found) == len(shingles(text))
+    same = list(batch_shingles(["Q w e r t", "q  W\ne r\tT"], 5, Powers()))
+    assert (same[0] == same[1]).all()
+
+
+def test_jaccard_components_match_all_pairs(corpus):
+    rows, docs = corpus
+    sets = {i: shingles(t) for i, t in rows}
+    links = [
+        (a, b) for a in sets for b in sets
+        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    want = groups(sets, links)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert found == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert len(set(want.values())) < len(want)
+
+
+def test_block_product_across_sides_only():
+    sets = [np.array(s, np.int64) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [7])]
+    assert ngram_join.block_product(sets, np.arange(4)) == [(0, 1)]
+    assert ngram_join.block_product(sets, np.arange(4), np.array([0, 0, 1, 1])) == []
+
+
+def test_many_blocks_lose_no_link(corpus, monkeypatch):
+    rows, docs = corpus
+    want = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()} == want
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 120)] + [(5, 5)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert found == {**{i: 1 for i in range(1, 41)}, **{k: 100 for k in range(100, 120)}}
+
+
+def test_exact_dedup_matches_grouping(corpus):
+    rows, docs = corpus
+    by = defaultdict(list)
+    norm = {i: re.sub(r"[\x20\x09-\x0D]", "", t or "") for i, t in rows}
+    for i, t in rows:
+        by[norm[i]].append((-len(t or ""), i))
+    found = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs).collect()}
+    assert len(found) == len(rows)
+    for i, r in found.items():
+        group = by[norm[i]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (min(group)[1], len(group), min(group)[1] == i)
+        assert r["text_sha256"] == hashlib.sha256(norm[i].encode()).hexdigest()
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.substring(c, 1, 1))
+    docs = spark.createDataFrame([(1, "ax"), (2, "a x"), (3, "ay"), (4, "a y "), (5, "b")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert found == {1: (2, 2, False), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True)}
+
+
+def test_ids_are_the_librarys(spark):
+    library = tokens.load(TOKENIZER)
+    texts = ["It's <|endoftext|> 12½ İΣς ’s", "x" * 5000, "", " \n", "é" * 300 + " Ab,c!! " * 900, "它们 가각 " * 500]
+    texts += [r[0] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode_decode(docs, TOKENIZER).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_full_dictionaries_change_nothing():
+    texts = ["alpha beta, gamma!! alpha2", "beta's delta <|x épsilon", "zeta " * 50]
+    small, large = tokens.WordEncoder(TOKENIZER, words=2, runs=3), tokens.WordEncoder(TOKENIZER)
+    assert small.encode(texts) == small.encode(texts) == large.encode(texts)
+
+
+def test_chunks_join_to_the_text_and_cuts_move_with_content():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abc dé") for _ in range(60_000)).encode()
+    cut = bpe.chunks(text)
+    assert b"".join(cut) == text and len(cut) > 10
+    assert all(c.decode() for c in cut)
+    assert set(cut[2:]) <= set(bpe.chunks(b"other start " + text))
+
+
+@pytest.mark.parametrize("n", [1, 7, 60, 3000])
+def test_bins_hold_every_piece(n):
+    rng = random.Random(n)
+    lengths = Counter(rng.randint(1, 2047) for _ in range(n))
+    bins = packing.pack_lengths(lengths)
+    used = Counter()
+    for filling, times in bins:
+        assert sum(filling) <= 2048
+        for piece in filling:
+            used[piece] += times
+    assert used == lengths
+    assert sum(t for _, t in bins) <= sum(t for _, t in packing.best_fit(lengths, 2048))
+
+
+def test_bin_completion_finds_the_optimum_that_best_fit_misses():
+    lengths = Counter([6, 5, 4, 4, 4, 3, 2, 2])  # 30 = 3 x 10
+    assert sum(t for _, t in packing.pack_lengths(lengths, 10)) == 3
+
+
+def test_packing_places_every_piece_without_gaps(corpus):
+    rows, docs = corpus
+    library = tokens.load(TOKENIZER)
+    found = packing.pack(docs, TOKENIZER, capacity=256).collect()
+    want, places = {}, defaultdict(list)
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 256):
+            part = np.array(ids[k : k + 256], "<u4").tobytes()
+            want[i, k // 256] = (k, len(part) // 4, zlib.crc32(part))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in found} == want
+    for r in found:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in places.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 256
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed(rng, text, n):
+    out = list(text)
+    for _ in range(n):
+        kind, at = rng.randrange(3), rng.randrange(len(out) + 1)
+        if kind == 0:
+            out.insert(at, rng.choice("abé"))
+        elif out:
+            out[min(at, len(out) - 1) : min(at, len(out) - 1) + 1] = [] if kind == 1 else [rng.choice("abé")]
+    return "".join(out)
+
+
+def test_banded_distance_is_the_full_one_up_to_its_limit():
+    rng = random.Random(3)
+    left = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    right = [changed(rng, a, rng.randint(0, 4)) for a in left]
+    for t in (1, 2, 3):
+        found = line_dedup.banded_distances([line_dedup._points(x) for x in left], [line_dedup._points(x) for x in right], t)
+        assert found.tolist() == [min(t + 1, edits(a, b)) for a, b in zip(left, right)]
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_line_dedup_matches_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    lines = []
+    for size in (10, 23, 24, 25, 40, 59, 60, 61, 62, 120):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(size)) + "."
+        lines += [base] + [changed(rng, base, rng.randint(0, 3)) for _ in range(12)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[k : k + 4]) + "\n\n") for i, k in enumerate(range(0, len(lines), 4))]
+    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kinds = sorted(set(lines))
+
+    def linked(a, b):
+        short = min(len(a), len(b))
+        return edits(a, b) <= (2 if short >= 60 else 1 if short >= 24 else 0)
+
+    want = groups(range(len(kinds)), [(i, j) for i in range(len(kinds)) for j in range(i) if linked(kinds[i], kinds[j])])
+    first = {}
+    for i, text in rows:
+        for p, line in enumerate(text.split("\n")):
+            if line:
+                first.setdefault(want[kinds.index(line)], (i, p))
+    assert {(r["doc_id"], r["place"]) for r in found if r["kept"]} == set(first.values())
+    assert len(found) == len(lines)
+
+
+def test_secrets_are_found_and_masked_and_words_left(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'some words before token = "{h}" and after, unchangeablewordsofnature{i}', "src") for i, h in enumerate(hexes)]
+    rows += [(100 + i, f"commit {h} was merged; antidisestablishmentarian word", "src") for i, h in enumerate(hexes[:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    findings = secrets.scan(docs)
+    found = findings.collect()
+    texts = {r[0]: r[1] for r in rows}
+    for r in found:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["candidate"]
+        assert r["is_secret"] == (r["doc_id"] < 100 and r["candidate"] in hexes)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs, findings).collect()}
+    assert all((h in masked[i]) is False and secrets.MASK in masked[i] for i, h in enumerate(hexes))
+    assert all(masked[i] == texts[i] for i in masked if i >= 100)
+
+
+def test_a_forest_learns_from_given_findings(spark):
+    rows = [(i, f'key = "{hashlib.md5(str(i).encode()).hexdigest()}" x', "src") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.candidates(docs)
+    labelled = found.selectExpr("*", "0 AS label").union(
+        secrets.candidates(spark.createDataFrame([(1, "see " + "q1w2e3r4t5y6u7i8o9p0" * 2, "s")] * 40, "doc_id long, text string, source string")).selectExpr("*", "1 AS label")
+    )
+    assert not any(r["is_secret"] for r in secrets.scan(docs, labelled).collect())
+
+
+def test_awkward_rows(awkward, nothing):
+    dedup = exact_dedup.exact_dedup(awkward).collect()
+    assert len(dedup) == 9  # the repeated row of id 7 counts once
+    by = {r["doc_id"]: r for r in dedup}
+    assert by[1]["keep_id"] == 2 and by[3]["keep_id"] == 9 and by[9]["group_size"] == 3
+    joined = ngram_join.jaccard_components(awkward).collect()
+    assert Counter(r["doc_id"] for r in joined) == Counter(r["doc_id"] for r in awkward.collect())
+    one = {r["doc_id"]: r["component_id"] for r in joined}
+    assert one[1] == one[2] == 1 and one[3] == 3 and one[None] is None and one[7] == 7
+    assert packing.pack(awkward, TOKENIZER).count() >= 10
+    assert bpe.encode_decode(awkward, TOKENIZER).count() == 10
+    assert {r["doc_id"] for r in line_dedup.line_dedup(awkward).collect() if not r["kept"]} == set()
+    assert secrets.redact(awkward, secrets.scan(awkward)).columns == awkward.columns
+    for empty in (
+        exact_dedup.exact_dedup(nothing), ngram_join.jaccard_components(nothing), packing.pack(nothing, TOKENIZER),
+        bpe.encode_decode(nothing, TOKENIZER), line_dedup.line_dedup(nothing), secrets.scan(nothing),
+    ):
+        assert empty.count() == 0
+
+
+def test_stages_return_the_columns_of_documents(spark, awkward):
+    kept = exact_dedup.stage(spark, awkward, SF)
+    assert kept.columns == awkward.columns and kept.where("doc_id = 7").count() == 1
+    assert {r["doc_id"] for r in kept.collect()} >= {2, 5, 8, None}
+    assert ngram_join.stage(spark, kept, SF).columns == awkward.columns
+    assert secrets.stage(spark, kept, SF).count() == kept.count()
