@@ -12,62 +12,80 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import components, saved, table
+from cutline.llm.common import broadcast_if_small, components, saved, table
+from cutline.llm.shingles import Powers, mix
 from cutline.plans.pooled import lookup
 
 # allowed edits by the length of the shorter line, in code points; shorter ones must be equal
 EDITS = ((60, 2), (24, 1))
 MOST = max(t for _, t in EDITS)
 BLOCK = 128  # lines of a hot key that meet in one task, from either side
-_ALLOWED = "CASE " + " ".join(f"WHEN len >= {n} THEN {t}" for n, t in EDITS) + " ELSE 0 END"
+CHUNK = 1 << 20  # code points hashed at once
 
 
-def _segment(length: str, t: int, i: int) -> tuple[str, str]:
-    """SQL: start (from 0) and size of segment i of t + 1; the last ones are longer by one where it doesn't divide."""
-    small = f"({length} DIV {t + 1})"
-    longer = f"({length} % {t + 1})"
-    start = f"({i} * {small} + greatest(0, {i} - ({t + 1} - {longer})))"
-    return start, f"({small} + CAST({i} >= {t + 1} - {longer} AS INT))"
+def _segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment i of t + 1; the last ones are longer by one where the length doesn't divide."""
+    small, longer = length // (t + 1), length % (t + 1)
+    return i * small + np.maximum(0, i - (t + 1 - longer)), small + (i >= t + 1 - longer)
 
 
-def _key(length: str, t: int, i: int, start: str, size: str) -> str:
-    return f"xxhash64({length}, {t}, {i}, substring(line, {start} + 1, {size}))"
-
-
-def index_rows() -> str:
-    """SQL array of the segment keys of a line."""
-    rows = []
-    for t in sorted({t for _, t in EDITS}):
-        for i in range(t + 1):
-            start, size = _segment("len", t, i)
-            rows.append(f"CASE WHEN allowed = {t} THEN {_key('len', t, i, start, size)} END")
-    return f"array({', '.join(rows)})"
-
-
-def probe_rows() -> str:
-    """SQL array of the keys under which a line looks for lines of its length or up to t shorter.
+def _keys(lines: list[str], powers: Powers) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Index (side 0) and probe (side 1) keys of some lines: keys, sides and line numbers.
 
     A segment i that took part in a match with at most t edits in all has moved by at most i places seen from the left,
-    and by at most t - i seen from the right.
+    and by at most t - i seen from the right. Substrings are hashed by differences of one running sum.
     """
-    rows = []
-    for t in sorted({t for _, t in EDITS}):
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    length = np.array([len(x) for x in lines], dtype=np.int64)
+    begin = np.concatenate(([0], np.cumsum(length)))
+    up, down = powers.get(len(points) + 1)
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum((points + np.uint64(1)) * up[: len(points)], out=sums[1:])
+    out: tuple[list, list, list] = ([], [], [])
+
+    def add(side: int, rows: np.ndarray, of: np.ndarray, t: int, i: int, move: int) -> None:
+        start, size = _segment(of, t, i)
+        start = start + move
+        fits = (start >= 0) & (start + size <= length[rows])
+        rows, of, start, size = rows[fits], of[fits], start[fits] + begin[rows[fits]], size[fits]
+        content = mix((sums[start + size] - sums[start]) * down[start])
+        out[0].append(mix(content + (of * 64 + t * 8 + i).astype(np.uint64)).view(np.int64))
+        out[1].append(np.full(len(rows), side, dtype=np.int32))
+        out[2].append(rows)
+
+    ceiling = None
+    for floor, t in EDITS:
+        allowed = lambda n: (n >= floor) & (n < ceiling if ceiling else True)  # noqa: B023, E731
+        for i in range(t + 1):
+            rows = np.flatnonzero(allowed(length))
+            add(0, rows, length[rows], t, i, 0)
         for shorter in range(t + 1):
-            length = f"(len - {shorter})"
-            floor = min(n for n, e in EDITS if e == t)
-            ceiling = min([n for n, _ in EDITS if n > floor], default=None)
-            fits = f"{length} >= {floor}" + (f" AND {length} < {ceiling}" if ceiling else "")
+            rows = np.flatnonzero(allowed(length - shorter))
             for i in range(t + 1):
-                start, size = _segment(length, t, i)
                 for move in range(max(-i, shorter - (t - i)), min(i, shorter + (t - i)) + 1):
-                    at = f"({start} + {move})"
-                    rows.append(
-                        f"CASE WHEN {fits} AND {at} >= 0 AND {at} + {size} <= len THEN {_key(length, t, i, at, size)} END"
-                    )
-    return f"array_distinct(array({', '.join(rows)}))"
+                    add(1, rows, length[rows] - shorter, t, i, move)
+        ceiling = floor
+    return out
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line) to (k, side, id)."""
+    powers = Powers()
+    for batch in batches:
+        ids, lines = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        start = held = 0
+        for at, line in enumerate(lines):
+            held += len(line)
+            if held >= CHUNK or at + 1 == len(lines):
+                keys, sides, rows = (np.concatenate(x) for x in _keys(lines[start : at + 1], powers))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(sides), pa.array(ids[start : at + 1][rows])], names=["k", "side", "id"]
+                )
+                start, held = at + 1, 0
 
 
 def banded_distances(left: list[np.ndarray], right: list[np.ndarray], t: int) -> np.ndarray:
@@ -192,30 +210,32 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     """
     lines = docs.select(
         F.col(id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line")
-    ).where("line RLIKE '[^\\\\s]'").withColumn("key", F.md5("line"))
+    ).where("line RLIKE '[^\\\\s]'").withColumn("key", F.unhex(F.md5("line")))
     # map-side combined: one row per distinct line, whatever the number of its copies
     distinct = saved(
         lines.groupBy("key").agg(F.first("line").alias("line"))
-        .select("key", "line", F.char_length("line").alias("len"), F.monotonically_increasing_id().alias("id"))
-        .withColumn("allowed", F.expr(_ALLOWED)),
+        .select("key", "line", F.char_length("line").alias("len"), F.monotonically_increasing_id().alias("id")),
         "lines",
     )
-    index = distinct.where("allowed > 0").selectExpr("id AS a", f"explode({index_rows()}) AS k").where("k IS NOT NULL")
-    probe = distinct.where(f"len >= {min(n for n, _ in EDITS)}").selectExpr("id AS b", f"explode({probe_rows()}) AS k").where("k IS NOT NULL")
-    both = index.selectExpr("k", "0 AS side", "a AS id").union(probe.selectExpr("k", "1 AS side", "b AS id"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange serves the counts of each key and the way back to its rows; both only stream over them
+    dealt = (
+        distinct.where(f"len >= {min(n for n, _ in EDITS)}").select("id", "line")
+        .mapInArrow(_key_rows, "k long, side int, id long").repartition(tasks, "k")
+    )
     # only keys that two lines share matter; most are one line's own
-    busy = saved(
-        both.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"), F.sum("side").alias("p"))
-        .where("low < high AND i > 0").select("k", "i", "p"),
-        "busy",
+    busy = (
+        dealt.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"), F.sum("side").alias("p"))
+        .where("low < high AND i > 0").select("k", "i", "p")
     )
-    met = saved(lookup(both, busy, ["k"], "inner"), "met")
+    met = saved(dealt.join(busy, "k").select("k", "side", "id", "i", "p"), "met")
     easy = met.where(f"i * p <= {BLOCK * BLOCK // 4}")
     pairs = (
         easy.where("side = 0").selectExpr("k", "id AS a").join(easy.where("side = 1").selectExpr("k", "id AS b"), "k")
         .where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     )
-    texts = distinct.select("id", "line")
+    involved = broadcast_if_small(saved(met.select("id").distinct(), "involved"))
+    texts = saved(distinct.join(involved, "id", "left_semi").select("id", "line"), "involved")
     checked = (
         pairs.join(texts.withColumnRenamed("id", "a"), "a")
         .join(texts.selectExpr("id AS b", "line AS other"), "b").select("a", "b", "line", "other")
