@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,9 +218,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def quality(text: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def quality(text: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([sent.value.score(x, b) for x, b in feature_batches(list(text), Powers())] or [[]]))
 
     scored = docs.withColumn("_score_", quality(F.coalesce("text", F.lit(""))))

@@ -74,10 +74,18 @@ def test_awkward_documents_are_scored(spark, awkward, nothing):
     assert mil_quality.score(awkward, quality).count() == 10
     assert mil_quality.score(nothing, quality).count() == 0
     labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
-    assert mil_quality.stage.__call__ and mil_quality.train(awkward, labels).score(*mil_quality.passage_features([b"x"], toxicity.Powers()))[0] == 0.5
+    assert mil_quality.train(awkward, labels).score(*mil_quality.passage_features([b"x"], toxicity.Powers()))[0] == 0.5
     assert not toxicity.train(awkward, labels).weights.any()
 
 
+def test_the_quality_stage_drops_what_the_query_rejects(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = mil_quality.stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = {r["doc_id"] for r in mil_quality.op6_quality_classifier(spark, SF).collect() if r["predicted"] == 1}
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want and 0 < len(want) < docs.count()
+
+
 def brute(rows, k=5):
     good = {i: np.array(v, float) for i, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
@@ -105,13 +113,10 @@ def test_nearest_is_exact_with_ties_and_bad_vectors(spark, monkeypatch, shard, l
 
 
 def test_a_relaxed_factor_still_finds_most(spark):
-    from pyspark.sql import functions as F
-
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     exact = vp_search.nearest(frame, "vec_id % 50 = 0").select("query_id", "vec_id")
     relaxed = vp_search.nearest(frame, "vec_id % 50 = 0", factor=1.2).select("query_id", "vec_id")
     assert exact.intersect(relaxed).count() >= 0.9 * exact.count()
-    assert F is not None
 
 
 def test_loser_tree_merges_runs():
