@@ -19,7 +19,7 @@ from cutline.llm.shingles import Powers, word_hashes
 
 WORDS = 96
 SAMPLE = 6000  # labelled documents the model is fitted on, at most, those of smallest hash
-TEXT_SLICE = 1 << 20
+TEXT_SLICE = 1 << 18
 
 _CLASS = np.full(256, 0, dtype=np.int64)  # other bytes of longer code points
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]_|~"

@@ -84,7 +84,7 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
 
 
-def batch_shingles(texts: list[str | None], width: int, powers: Powers, size: int = 1 << 20):
+def batch_shingles(texts: list[str | None], width: int, powers: Powers, size: int = 1 << 18):
     """The shingle set of each text, in order. About ``size`` bytes are hashed at once, or one longer text."""
     held: list[bytes] = []
     total = 0

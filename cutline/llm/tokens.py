@@ -136,7 +136,7 @@ class Merges:
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, words: int = 400_000, runs: int = 600_000) -> None:
+    def __init__(self, path: str, words: int = 150_000, runs: int = 200_000) -> None:
         self.tokenizer = load(path)
         self.word_limit, self.run_limit = words, runs
         self.words: dict[bytes, bytes] = {}

@@ -23,7 +23,7 @@ SAMPLE = 8000  # labelled documents the model is fitted on, at most, those of sm
 SEEN = 5  # a word needs so many documents of the sample to get a weight
 STEMS = (4, 5, 6, 7, 8)  # beginnings of words, in bytes
 OFFENDING = 0.5
-TEXT_SLICE = 1 << 20
+TEXT_SLICE = 1 << 18
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
