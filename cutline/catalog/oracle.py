@@ -678,6 +678,7 @@ SELECT request_id, p AS predicted_closing_rank, {dec('greatest(1, lo)', 1)} AS l
         "decision": f"""{_scored("error_code IS NULL AND program_type = 'ENGINEERING' AND candidate_rank > 0")}, d AS (
   SELECT request_id, {dec('lo', 1)} AS lo, {dec('p', 1)} AS p, {dec('hi', 1)} AS hi, pre, n FROM bounded),
 e AS (SELECT *, CASE WHEN candidate_rank <= 0 THEN 'INVALID_CANDIDATE_RANK'
+        WHEN program_type NOT IN ('ENGINEERING', 'ARCHITECTURE') THEN 'UNSUPPORTED_PROGRAM'
         WHEN program_type = 'ARCHITECTURE' THEN CASE WHEN error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH') THEN error_code
              WHEN own_program <> 'ARCHITECTURE' THEN 'PROGRAM_MISMATCH' END ELSE error_code END AS code FROM checked)
 SELECT request_id, college_id, branch_id, academic_year, category, program_type, candidate_rank,
@@ -1058,8 +1059,8 @@ SELECT p_partkey, c AS cleaned, regexp_replace(upper(p_brand), '[^A-Z0-9]', '',
   array_to_string(list_transform(ws, lambda x: upper(x[1]) || lower(x[2:])), ' ') AS location,
   p_name || 'ion & ' || p_type || '-Design' AS branch_name, CASE WHEN p_size % 2 = 0 THEN 'GM' ELSE p_type END AS category,
   CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT) AS digits, p_size % 3 <> 0 AS is_url, format('{{:,}}', p_partkey * 1234) AS thousands FROM n""",
-        "doc_integrity": """WITH r AS (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN strlen(html) > 4000 THEN 'exceeds maximum size limit'
-  WHEN page_id % 3 = 0 AND NOT starts_with(html, '%PDF-') THEN CASE WHEN contains(lower(html[1:1024]), '<html') OR contains(lower(html[1:1024]), '<!doctype')
+        "doc_integrity": """WITH r AS (SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN strlen(html) > 52428800 THEN 'exceeds maximum size limit'
+  WHEN page_id % 3 = 0 AND NOT starts_with(html, '%PDF-') THEN CASE WHEN regexp_matches(lower(html[1:200]), '<html|<!doctype|error')
     THEN 'returned HTML content' ELSE 'not a PDF' END END AS reason FROM pages) SELECT page_id, reason IS NULL AS is_ok, reason FROM r""",
         "fingerprint_dedup": """WITH h AS (SELECT doc_id, source, sha256(text) AS content_hash FROM documents),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) = 1 AS is_new FROM h)

@@ -748,7 +748,7 @@ def name_rules(s: Star) -> DataFrame:
 @register
 def doc_integrity(s: Star) -> DataFrame:
     """Pages under a .pdf address must be PDF; limits are scaled to these tables."""
-    checked = pages.integrity(s.table("pages"), "html", "page_id % 3 = 0", max_bytes=4000)
+    checked = pages.integrity(s.table("pages"), "html", "page_id % 3 = 0")
     return checked.select("page_id", "is_ok", "reason")
 
 

@@ -506,6 +506,7 @@ def decide(
     architecture = "program_type <=> 'ARCHITECTURE'"
     decision_error = case(
         ("candidate_rank IS NULL OR candidate_rank <= 0", "'INVALID_CANDIDATE_RANK'"),
+        ("program_type NOT IN ('ENGINEERING', 'ARCHITECTURE')", "'UNSUPPORTED_PROGRAM'"),
         (f"{architecture} AND error_code IN ('UNKNOWN_COLLEGE', 'UNKNOWN_BRANCH')", "error_code"),
         (f"{architecture} AND branch_program <> 'ARCHITECTURE'", "'PROGRAM_MISMATCH'"),
         (f"NOT ({architecture})", "error_code"),

@@ -208,12 +208,12 @@ def branches_from_pages(
 def integrity(documents: DataFrame, content: str, claims_pdf: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Add ``is_ok`` and ``reason``. ``content`` is a string or binary column, ``claims_pdf`` SQL text."""
     size = f"octet_length({content})"
-    head = f"lower(substring(CAST({content} AS STRING), 1, 1024))"
+    head = f"lower(CAST(substring(CAST({content} AS BINARY), 1, 200) AS STRING))"
     reason = (
         f"CASE WHEN {content} IS NULL OR {size} = 0 THEN 'empty' "
         f"WHEN {size} > {max_bytes} THEN 'exceeds maximum size limit' "
         f"WHEN ({claims_pdf}) AND NOT startswith(CAST({content} AS STRING), '%PDF-') THEN "
-        f"CASE WHEN contains({head}, '<html') OR contains({head}, '<!doctype') THEN 'returned HTML content' "
+        f"CASE WHEN contains({head}, '<html') OR contains({head}, '<!doctype') OR contains({head}, 'error') THEN 'returned HTML content' "
         "ELSE 'not a PDF' END END"
     )
     return documents.withColumn("reason", F.expr(reason)).withColumn("is_ok", F.expr("reason IS NULL"))

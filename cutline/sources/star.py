@@ -123,9 +123,10 @@ class Star:
     # facts ----------------------------------------------------------------
 
     def stream(self, name: str) -> DataFrame:
-        """A table as a stream of files."""
-        reader = self.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.path)
+        """A table as a stream of files, be it one file or a folder of them; an error if there is neither."""
+        self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        # a stream takes a plain path for a folder; a pattern may match a file as well
+        return self.spark.readStream.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parque[t]")
 
     def lines(self, line: DataFrame | None = None) -> DataFrame:
         """Line items with the order's year, round and status, and the part's type."""

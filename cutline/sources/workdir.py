@@ -11,7 +11,12 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests on one machine, a temporary folder is made.
+    Where that is unset a temporary folder is made if the master is local, as in tests; on a cluster its executors
+    would each see their own, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cutline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.conf.get("spark.master", "") + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cutline-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
