@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session send at most ``rows`` rows at once to Python; an executor and its workers hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, min(now, rows) if now > 0 else rows)
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     path = shared_folder(df.sparkSession, purpose)

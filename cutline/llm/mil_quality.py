@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import table
+from cutline.llm.common import short_batches, table
 from cutline.llm.shingles import Powers, word_hashes
 
 WORDS = 96
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     Rows without an id or with a label other than 0 and 1 are no labels; of conflicting labels the larger counts.
     Only features of the sample reach the driver. With no label at all the model scores everything alike, at 0.5.
     """
+    short_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", parts) != out))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))

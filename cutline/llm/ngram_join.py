@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import broadcast_if_small, components, saved, table
+from cutline.llm.common import broadcast_if_small, components, saved, short_batches, table
 from cutline.llm.shingles import Powers, batch_shingles
 from cutline.plans.pooled import lookup
 
@@ -160,6 +160,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     in nothing and gets a NULL component. Very long texts are hashed whole; no rows give no rows.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     sets = saved(shingle_sets(docs, False, id, text), "shingles")
     real = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(real.groupBy("signature", "n").agg(F.min("doc_id").alias("rep")), "classes")
