@@ -14,17 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import table
+from cutline.llm.common import saved, table
 from cutline.llm.mil_quality import fold
 from cutline.llm.shingles import _BYTE_VALUES, _LOWER, Powers, mix
 
 BITS = 20  # words are hashed to so many bits
 SAMPLE = 8000  # labelled documents the model is fitted on, at most, those of smallest hash
 SEEN = 5  # a word needs so many documents of the sample to get a weight
+LIFT = 2  # and a share of toxic documents at least so many times that of clean ones
 STEMS = (4, 5, 6, 7, 8)  # beginnings of words, in bytes
 OFFENDING = 0.5
 TEXT_SLICE = 1 << 18
 
+_ID = (1 << BITS) - 1
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[0x80:] = True
@@ -82,25 +84,31 @@ class NoisyOr:
         total = self.intercept + np.bincount(sentence, self.weights[ids], count)
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
-    def fit(self, ids, sentence, doc, labels: np.ndarray, epochs: int = 300, rate: float = 0.1, sparse: float = 1e-4):
-        """Full-batch Adam on the log-likelihood of document labels; ``sparse`` is the price of weight."""
-        owner = doc[sentence]
-        pairs = np.unique(owner.astype(np.int64) << BITS | ids)
-        seen = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= SEEN
-        kept = seen[ids]
-        vocabulary, column = np.unique(ids[kept], return_inverse=True)
-        row = sentence[kept]
+    def fit(self, ids, sentence, doc, labels: np.ndarray, bare=0, epochs: int = 300, rate: float = 0.1, sparse: float = 1e-4):
+        """Full-batch Adam on the log-likelihood of document labels; ``sparse`` is the price of weight.
+
+        ``ids`` are words and ``sentence``, ascending, the sentences that hold them; ``doc`` is the document of each
+        sentence. ``bare`` counts each document's further sentences, without any word.
+        """
+        vocabulary, column = np.unique(ids, return_inverse=True)
+        heads = np.flatnonzero(np.diff(sentence, prepend=-1))
+        filled = sentence[heads]
+        row = sentence[np.argsort(column, kind="stable")]
+        tails = np.concatenate(([0], np.cumsum(np.bincount(column))[:-1]))
         w = np.zeros(len(vocabulary) + 1)
         w[-1] = -5.0
         one, two = np.zeros_like(w), np.zeros_like(w)
         for step in range(1, epochs + 1):
-            s = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(row, w[column], len(doc)), -30, 30)))
-            clean = np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(labels))  # log of 1 - p
+            total = np.full(len(doc), w[-1])
+            total[filled] += np.add.reduceat(w[column], heads)
+            s = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+            s0 = 1 / (1 + np.exp(-max(w[-1], -30.0)))
+            clean = np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(labels)) + bare * np.log1p(-s0)  # log of 1 - p
             p = -np.expm1(clean)
             # d loss / d logit of a sentence: s for clean documents, -s (1 - p) / p for toxic ones
-            pull = np.where(labels == 1, -(1 - p) / np.maximum(p, 1e-6), 1.0)
-            ds = s * pull[doc] / len(labels)
-            grad = np.append(np.bincount(column, ds[row], len(vocabulary)), ds.sum())
+            pull = np.where(labels == 1, -(1 - p) / np.maximum(p, 1e-6), 1.0) / len(labels)
+            ds = s * pull[doc]
+            grad = np.append(np.add.reduceat(ds[row], tails), ds.sum() + s0 * (bare * pull).sum())
             grad[:-1] += sparse
             one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad**2
             w = w - rate * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
@@ -111,6 +119,10 @@ class NoisyOr:
         return self
 
 
+def _packed(words: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(words.as_buffer(), np.int64)
+
+
 def _text_slices(texts: list[str]):
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -123,8 +135,12 @@ def _text_slices(texts: list[str]):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, parts: int = 3, out: int = 1) -> NoisyOr:
     """Fit on at most ``sample`` labelled documents outside fold ``out``.
 
-    Rows without an id or with a label other than 0 and 1 are no labels; of conflicting labels the larger counts. Only
-    hashed words of the sample reach the driver. Without labels no word has a weight.
+    Rows without an id or with a label other than 0 and 1 are no labels; of conflicting labels the larger counts.
+    Without labels no word has a weight.
+
+    Weights are not negative, so only words that at least ``SEEN`` documents hold, and toxic ones ``LIFT`` times as
+    often as clean ones, take part. Their list has at most ``2 ** BITS`` numbers. It and the places of those words in the
+    sample reach the driver; sentences without them are only counted.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id", parts) != out))
@@ -151,20 +167,60 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                 [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "label", "words"]
             )
 
-    rows = (
+    sampled = saved(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-        .mapInArrow(run, "doc_id long, label int, words binary").toPandas().sort_values(["doc_id", "words"])
+        .mapInArrow(run, "doc_id long, label int, words binary"),
+        "toxic-words",
+    )
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = np.zeros((2, 1 << BITS), dtype=np.int64)
+            for label, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen[label, np.unique(_packed(words) & _ID)] += 1
+            ids = np.flatnonzero(seen.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[0, ids]), pa.array(seen[1, ids])], names=["id", "clean", "toxic"])
+
+    sides = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    vocabulary = (
+        sampled.select("label", "words").mapInArrow(tally, "id long, clean long, toxic long")
+        .groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where(f"clean + toxic >= {SEEN} AND toxic > 0 AND toxic * {sides.get(0, 0)} >= {LIFT} * clean * {sides.get(1, 0)}")
+        .select("id").toPandas()["id"].to_numpy(np.int64)
     )
     model = NoisyOr()
-    words = [np.frombuffer(b, np.int64) for b in rows["words"]]
-    if not sum(map(len, words)):
+    if not len(vocabulary):
         return model
-    counts = [int(w[-1] >> BITS) + 1 if len(w) else 0 for w in words]
-    first = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
-    sentence = np.concatenate([(w >> BITS) + f for w, f in zip(words, first)])
-    doc = np.repeat(np.arange(len(words)), counts)
-    return model.fit(np.concatenate(words) & ((1 << BITS) - 1), sentence, doc, rows["label"].to_numpy())
+    wanted = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(1 << BITS), vocabulary))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bare, kept, held = [], [], []
+            for words in batch.column(2):
+                both = _packed(words)
+                own = both[wanted.value[both & _ID]]
+                filled, sentence = np.unique(own >> BITS, return_inverse=True)
+                bare.append(len(np.unique(both >> BITS)) - len(filled))
+                kept.append((own & _ID).astype(np.int32).tobytes())
+                held.append(sentence.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bare, pa.int64()), pa.array(kept, pa.binary()), pa.array(held, pa.binary())],
+                names=["doc_id", "label", "bare", "ids", "sentence"],
+            )
+
+    rows = (
+        sampled.mapInArrow(places, "doc_id long, label int, bare long, ids binary, sentence binary")
+        .toPandas().sort_values(["doc_id", "ids", "sentence", "bare"])
+    )
+    held = [np.frombuffer(b, np.int32) for b in rows["sentence"]]
+    counts = np.array([int(h[-1]) + 1 if len(h) else 0 for h in held])
+    first = np.cumsum(counts) - counts
+    sentence = np.concatenate([h + f for h, f in zip(held, first)]).astype(np.int64)
+    ids = np.concatenate([np.frombuffer(b, np.int32) for b in rows["ids"]])
+    labels_, bare = rows["label"].to_numpy(), rows["bare"].to_numpy()
+    del rows, held
+    return model.fit(ids, sentence, np.repeat(np.arange(len(counts)), counts), labels_, bare)
 
 
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
@@ -185,7 +241,7 @@ def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
                 ids, sentence, doc, start, end = sentence_words(held, powers)
                 heavy = sent.value.weights[ids] > 0
                 pair = np.unique(sentence[heavy] << BITS | ids[heavy])
-                s = sent.value.sentences(pair & ((1 << BITS) - 1), pair >> BITS, len(doc))
+                s = sent.value.sentences(pair & _ID, pair >> BITS, len(doc))
                 s = np.where(np.bincount(sentence, minlength=len(doc)) > 0, s, 0.0)  # sentences without words
                 scores.append(-np.expm1(np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-12)), len(held))))
                 own: list[list] = [[] for _ in held]
