@@ -426,7 +426,8 @@ UNION ALL SELECT 'branches', count(DISTINCT branch_id) FROM cutoffs UNION ALL SE
 UNION ALL SELECT 'cells', count(DISTINCT (college_id, branch_id, category_code, round_code)) FROM cutoffs""",
         "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS records FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
         "run_history": f"{OPS} SELECT run_id, status, source_count, published_count, rejected_count FROM runs",
-        "college_prefixes": f"WITH {COLLEGES} SELECT college_code[1:2] AS prefix, count(*) AS colleges FROM colleges GROUP BY 1",
+        "college_prefixes": f"WITH {COLLEGES} SELECT college_code[1:1] AS prefix, count(*) AS colleges FROM colleges GROUP BY 1",
+        "part_prefixes": "SELECT p_name[1:1] AS prefix, count(*) AS records FROM part GROUP BY 1",
         "latest_versions": f"""{OPS} SELECT source_id, source_version_id, source_title, content_hash, processing_status
 FROM versions QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at DESC, event_id DESC) = 1""",
         "freshness": f"{OPS}, {_FRESH} SELECT * FROM fresh",
@@ -662,7 +663,7 @@ SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY k) -
 FROM checked WHERE error_code IS NOT NULL""",
         "learned_movement": f"""{BASE}, {REQUESTS} SELECT academic_year, program_type, category, CAST(move AS DOUBLE) AS median_move,
   {dec('rel', 6)} AS median_relative_move FROM moves""",
-        "intervals": f"""{_scored("error_code IS NULL AND round = 'R1'")}, q AS (
+        "intervals": f"""{_scored("error_code IS NULL")}, q AS (
   SELECT request_id, {dec('p', 1)} AS p FROM estimated WHERE p IS NOT NULL),
 k AS (SELECT request_id, p, unnest([
     {{'interval_type': 'VOLATILITY_ADAPTIVE_WIDE', 'target_coverage': 0.90::DOUBLE,
@@ -911,6 +912,8 @@ SELECT source_version_id, count(*) AS candidate_records, count(*) FILTER (outcom
 FROM res GROUP BY 1""",
         "publish_seats": f"""{FACTS} SELECT record_id, college_id, branch_id, academic_year, round_code, total_seats, vacant_seats,
   source_version_id, status FROM seats WHERE source_version_id <> 'v1' AND round_code IS NOT NULL""",
+        "publish_fees": f"""{FACTS}, v AS (SELECT *, CASE WHEN total_fee % 200 < 100 THEN 'v1' ELSE 'v2' END AS source_version_id FROM fees)
+SELECT * FROM v WHERE academic_year > 1998 AND source_version_id = 'v1'""",
         "college_upsert": f"""WITH {COLLEGES}, c AS (SELECT *, CAST(split_part(location, '_', 2) AS INTEGER) AS n FROM colleges)
 SELECT college_code, college_name, original_name, location,
   CASE WHEN n < 3 THEN institution_type WHEN n < 8 THEN 'MEDICAL' ELSE institution_type END AS institution_type,
@@ -1038,6 +1041,8 @@ SELECT url, page_id, CAST(position AS INTEGER) AS position, CASE WHEN length(lab
         "html_tables": f"""SELECT {CODE.format('s_suppkey')} AS college_code, 'Supplier College of ' || split_part(s_name, '#', 2) AS college_name,
   replace(s_name, '#', ' college of ') AS original_name, upper(n_name[1]) || lower(n_name[2:]) AS location, 'ENGINEERING' AS institution_type
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        "branch_tables": """SELECT upper(p_name[1] || split_part(p_name, ' ', -1)[1]) || p_size % 10 AS branch_code, arg_max(p_name, p_partkey) AS branch_name
+FROM part GROUP BY 1""",
         "doc_class": f"""SELECT doc_id, {_doc_type('lower(text)')} AS document_type, {_guess('lower(text)')} AS guessed_type, {_round('lower(text)')} AS round_code,
   {_year('lower(text)')} AS academic_year, CASE WHEN {_any('lower(text)', ('architecture', 'b.arch', 'barch', 'b arch', 'nata'))} THEN 'ARCHITECTURE' ELSE 'ENGINEERING' END AS program_type
 FROM documents""",
@@ -1065,7 +1070,9 @@ SELECT p_partkey, c AS cleaned, regexp_replace(upper(p_brand), '[^A-Z0-9]', '',
         "fingerprint_dedup": """WITH h AS (SELECT doc_id, source, sha256(text) AS content_hash FROM documents),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, content_hash ORDER BY doc_id) = 1 AS is_new FROM h)
 SELECT *, CASE WHEN is_new THEN count(*) FILTER (is_new) OVER (PARTITION BY source ORDER BY doc_id) END AS version_no FROM f""",
-        "usable_text": """SELECT doc_id, CASE WHEN length(text) < CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 50 END THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status FROM documents""",
+        "not_archived": """WITH h AS (SELECT doc_id, source, sha256(text) AS content_hash FROM documents)
+SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h a WHERE a.doc_id % 3 = 0 AND a.source = h.source AND a.content_hash = h.content_hash)""",
+        "usable_text": """SELECT doc_id, CASE WHEN CASE WHEN doc_id % 2 = 0 THEN length(split_part(text, chr(10), 1)) < 100 ELSE length(text) < 50 END THEN 'NEEDS_REVIEW' ELSE 'PARSED' END AS status FROM documents""",
         "grid_wide": _grid_select("WIDE", "category_code", ("branch_id", "upper(branch_id[1]) || lower(branch_id[2:]) || ' Engineering'"), "true"),
         "grid_vertical": _grid_select("VERTICAL", "'GM'", ("branch_id", "branch_id || ' Communication & Systems'"), "category_code = 'GM' AND closing % 11 <> 0"),
         "grid_categories": _grid_select("CATEGORIES", "category_code", ("branch_id[1:4]", "branch_id"), "category_code IN ('GM', 'KKR')"),

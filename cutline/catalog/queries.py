@@ -268,8 +268,7 @@ def rank_containment(s: Star) -> DataFrame:
 
 @register
 def top_closing_ranks(s: Star) -> DataFrame:
-    counts = s.cutoffs().groupBy("closing_rank").agg(F.count(F.lit(1)).alias("records"))
-    return look.page(counts, [F.col("records").desc(), F.col("closing_rank")], 10)
+    return look.most_frequent(s.cutoffs(), "closing_rank")
 
 
 @register
@@ -283,11 +282,13 @@ def custom_order(s: Star) -> DataFrame:
 
 @register
 def college_prefixes(s: Star) -> DataFrame:
-    return (
-        s.colleges()
-        .groupBy(F.substring("college_code", 1, 2).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("colleges"))
-    )
+    return look.prefix_counts(s.colleges(), "college_code").withColumnRenamed("records", "colleges")
+
+
+@register
+def part_prefixes(s: Star) -> DataFrame:
+    """First letters of part names, which have many."""
+    return look.prefix_counts(s.table("part"), "p_name")
 
 
 @register
@@ -454,7 +455,7 @@ def learned_movement(s: Star) -> DataFrame:
 
 @register
 def intervals(s: Star) -> DataFrame:
-    return pre.all_intervals(_predictions(s, "R1"))
+    return pre.all_intervals(_predictions(s))
 
 
 @register
@@ -580,6 +581,9 @@ def dq_orphans(s: Star) -> DataFrame:
 # publishing -----------------------------------------------------------------
 
 
+VERSION_ORDER = "CAST(substring_index(source_version_id, 'v', -1) AS INT)"  # the binding's versions end in v1, v2
+
+
 def _publish(s: Star) -> tuple[DataFrame, DataFrame]:
     existing = s.version_facts("source_version_id = 'v1' OR o_orderstatus <> 'O'")
     incoming = s.version_facts("source_version_id = 'v2'")
@@ -595,12 +599,12 @@ def publish_outcome(s: Star) -> DataFrame:
 @register
 def publish_state(s: Star) -> DataFrame:
     outcomes, existing = _publish(s)
-    return pub.publish_state(outcomes, existing)
+    return pub.publish_state(outcomes, existing, VERSION_ORDER)
 
 
 @register
 def publish_report(s: Star) -> DataFrame:
-    return pub.publish_report(*_publish(s))
+    return pub.publish_report(*_publish(s), VERSION_ORDER)
 
 
 @register
@@ -611,6 +615,16 @@ def publish_seats(s: Star) -> DataFrame:
     return pub.publish_absent(seats, existing, pub.SEAT_KEY).drop("category_code", "created_at")
 
 
+@register
+def publish_fees(s: Star) -> DataFrame:
+    """Fees absent from the store, which holds those of the last year but one and before, and others of that version."""
+    fees = s.fees().withColumn("source_version_id", F.expr("CASE WHEN total_fee % 200 < 100 THEN 'v1' ELSE 'v2' END"))
+    existing = fees.filter("academic_year <= 1998").unionByName(
+        fees.filter("academic_year > 1998").withColumn("source_version_id", F.lit("v2"))
+    )
+    return pub.publish_absent(fees, existing, pub.FEE_KEY)
+
+
 @register
 def college_upsert(s: Star) -> DataFrame:
     nation = F.expr("CAST(substring_index(location, '_', -1) AS INT)")
@@ -702,6 +716,12 @@ def html_tables(s: Star) -> DataFrame:
     return pages.colleges_from_tables(pages.html_tables(s.directory_pages()))
 
 
+@register
+def branch_tables(s: Star) -> DataFrame:
+    """Branches listed under the fixed heading of pages made of parts."""
+    return pages.branches_from_pages(s.branch_pages())
+
+
 @register
 def doc_class(s: Star) -> DataFrame:
     """Type, round, year, program and date of whole document texts."""
@@ -747,7 +767,7 @@ def name_rules(s: Star) -> DataFrame:
 
 @register
 def doc_integrity(s: Star) -> DataFrame:
-    """Pages under a .pdf address must be PDF; limits are scaled to these tables."""
+    """Pages under a .pdf address must be PDF."""
     checked = pages.integrity(s.table("pages"), "html", "page_id % 3 = 0")
     return checked.select("page_id", "is_ok", "reason")
 
@@ -758,11 +778,19 @@ def fingerprint_dedup(s: Star) -> DataFrame:
     return pages.fingerprints(docs, "source", "doc_id", "text")
 
 
+@register
+def not_archived(s: Star) -> DataFrame:
+    """Documents whose content their source has not archived; the archive holds every third document."""
+    docs = s.table("documents").select("doc_id", "source", tx.sha256_hex(F.col("text")).alias("content_hash"))
+    return pages.not_archived(docs, docs.filter("doc_id % 3 = 0"), "source")
+
+
 @register
 def usable_text(s: Star) -> DataFrame:
-    n = F.length("text")
+    """A document's first line stands for its first pages."""
+    first, whole = F.length(F.substring_index("text", "\n", 1)), F.length("text")
     kind = F.when(F.col("doc_id") % 2 == 0, "CUTOFF_PDF").otherwise("FEE_STRUCTURE_PDF")
-    return s.table("documents").select("doc_id", pages.text_state(n, n, kind).alias("status"))
+    return s.table("documents").select("doc_id", pages.text_state(first, whole, kind).alias("status"))
 
 
 def _grid_records(rows: DataFrame) -> DataFrame:
@@ -878,7 +906,7 @@ def stream_ingest(s: Star) -> DataFrame:
     """Raw line items streamed through validation, gate and publishing; the resulting facts."""
     job = CutoffIngest(
         shared_folder(s.spark, "ingest"), s.registry_colleges(), s.registry_branches(), s.rounds(), CATEGORIES,
-        s.raw_documents(),
+        VERSION_ORDER, s.raw_documents(),
     )
     job.run(s.stream("lineitem"), shared_folder(s.spark, "ingest-state"), s.raw_cutoffs)
     return job.facts().drop("row_identifier")

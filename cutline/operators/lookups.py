@@ -301,6 +301,16 @@ def duplicate_keys(facts: DataFrame, key: Sequence[str]) -> DataFrame:
     return facts.groupBy(*key).agg(F.expr("count(1) AS records")).filter("records > 1")
 
 
+def prefix_counts(df: DataFrame, column: str, length: int = 1) -> DataFrame:
+    """Number of rows by the first ``length`` characters of a column."""
+    return df.groupBy(F.substring(column, 1, length).alias("prefix")).agg(F.expr("count(1) AS records"))
+
+
+def most_frequent(df: DataFrame, column: str, size: int = 10) -> DataFrame:
+    """The most frequent values of a column with their number of rows, ties by value."""
+    return page(df.groupBy(column).agg(F.expr("count(1) AS records")), [F.col("records").desc(), F.col(column)], size)
+
+
 def in_custom_order(df: DataFrame, column: str, ranking: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Order by a position list; values outside the list come last."""
     position = F.coalesce(

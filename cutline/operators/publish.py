@@ -55,20 +55,22 @@ def publish_outcomes(
     )
 
 
-def publish_state(outcomes: DataFrame, existing: DataFrame, order: str = "source_version_id") -> DataFrame:
+def publish_state(outcomes: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """The facts after publishing: old rows, superseded where a new one came, and the new rows.
 
-    Where one batch brings several versions of a key, the last by ``order``
-    is published and the others are superseded at once.
+    Where one batch brings several versions of a key, the last to arrive is
+    published and the others are superseded at once. ``order`` is SQL text over
+    the outcomes that grows with the arrival of a version, such as a time or a
+    number; names of versions have no order of their own and only part ties.
     """
     new = outcomes.filter("outcome = 'PUBLISHED'").drop("outcome", "status")
-    newest = new.groupBy(*CUTOFF_KEY).agg(F.expr(f"max({order}) AS _newest"))
+    new = new.withColumn("_arrival", F.expr(f"struct({order} AS at, source_version_id)"))
+    newest = new.groupBy(*CUTOFF_KEY).agg(F.max("_arrival").alias("_newest"))
     # (key, version) is unique, so no key is hot on either side
-    last = newest.withColumnRenamed("_newest", order).withColumn("_last", F.lit(True))
     new = (
-        new.join(last, [*CUTOFF_KEY, order], "left")
-        .withColumn("status", F.expr("CASE WHEN _last THEN 'PUBLISHED' ELSE 'SUPERSEDED' END"))
-        .drop("_last")
+        new.join(newest, CUTOFF_KEY)
+        .withColumn("status", F.expr("CASE WHEN _arrival = _newest THEN 'PUBLISHED' ELSE 'SUPERSEDED' END"))
+        .drop("_arrival", "_newest")
     )
     kept = (
         existing.join(newest, CUTOFF_KEY, "left")
@@ -81,8 +83,8 @@ def publish_state(outcomes: DataFrame, existing: DataFrame, order: str = "source
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def publish_report(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
-    """Counts of each outcome per version, and of the rows each version supersedes."""
+def publish_report(outcomes: DataFrame, existing: DataFrame, order: str) -> DataFrame:
+    """Counts of each outcome per version, and of the held rows that each version, first to arrive, supersedes."""
     per_version = outcomes.groupBy("source_version_id").agg(
         F.expr("count(1) AS candidate_records"),
         F.expr("count_if(outcome = 'PUBLISHED') AS published_records"),
@@ -90,7 +92,9 @@ def publish_report(outcomes: DataFrame, existing: DataFrame) -> DataFrame:
         F.expr("count_if(outcome = 'FACTUAL_MUTATION_REJECTED') AS rejected_records"),
         F.expr("count_if(outcome IN ('UNKNOWN_COUNSELLING_ROUND', 'UNKNOWN_CATEGORY')) AS unknown_dimensions"),
     )
-    new = outcomes.filter("outcome = 'PUBLISHED'").groupBy(*CUTOFF_KEY).agg(F.expr("min(source_version_id) AS _by"))
+    new = outcomes.filter("outcome = 'PUBLISHED'").groupBy(*CUTOFF_KEY).agg(
+        F.expr(f"min_by(source_version_id, struct({order} AS at, source_version_id)) AS _by")
+    )
     superseded = (
         existing.filter("status = 'PUBLISHED'")
         .join(new, CUTOFF_KEY)

@@ -2,6 +2,10 @@
 
 It keeps a stack of open elements and closes an element when its end tag
 comes, as lenient browsers do. Text of scripts, styles and comments is no text.
+
+Text, cells and rows are each kept once per page; an element only knows where
+its share begins and ends, so that reading takes linear time however many
+elements stay open.
 """
 
 from __future__ import annotations
@@ -15,18 +19,43 @@ HEADINGS = ("div", "h1", "h2", "h3", "h4", "p")
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parts", "number")
+    """An element and the span of the page's lists that lies within it."""
+
+    __slots__ = ("tag", "attrs", "number", "div", "before", "_page", "_from", "_to")
+
+    def __init__(self, tag, attrs, page):
+        self.tag, self.attrs, self.number, self._page = tag, dict(attrs), page.count, page
+        self.div, self.before = page.nearest("div"), None
+        self._from, self._to = page.sizes(), None
+
+    def close(self):
+        self._to = self._page.sizes()
 
-    def __init__(self, tag, attrs, number):
-        self.tag, self.attrs, self.parts, self.number = tag, dict(attrs), [], number
+    def _within(self, kind):
+        return self._page.lists[kind][self._from[kind] : self._to[kind] if self._to else None]
 
     @property
     def text(self) -> str:
-        return "".join(self.parts)
+        return "".join(self._within(0))
 
     @property
     def stripped(self) -> str:
-        return "".join(p.strip() for p in self.parts)
+        return "".join(p.strip() for p in self._within(0))
+
+    @property
+    def cells(self) -> list[_Element]:
+        return self._within(1)
+
+    @property
+    def rows(self) -> list[_Element]:
+        return self._within(2)
+
+    def divs(self):
+        """The blocks around this element, innermost first."""
+        block = self.div
+        while block is not None:
+            yield block
+            block = block.div
 
 
 class PageReader(HTMLParser):
@@ -36,41 +65,42 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open, self.count = [], 0
         self.links, self.tables, self.headings = [], [], []
-        self._before, self._rows = None, {}
+        self.lists = ([], [], [])  # pieces of text, cells, rows
+        self._by_tag, self._before = {}, None
 
     def read(self, html: str) -> PageReader:
         self.feed(html)
         self.close()
         return self
 
-    def _nearest(self, *tags):
-        return next((e for e in reversed(self.open) if e.tag in tags), None)
+    def sizes(self):
+        return tuple(map(len, self.lists))
+
+    def nearest(self, *tags):
+        held = [self._by_tag[t][-1] for t in tags if self._by_tag.get(t)]
+        return max(held, key=lambda e: e.number, default=None)
 
     def handle_starttag(self, tag, attrs):
         self.count += 1
-        element = _Element(tag, attrs, self.count)
+        element = _Element(tag, attrs, self)
         if tag == "a" and element.attrs.get("href") is not None:
-            self.links.append((element, self._nearest(*LINK_PARENTS)))
+            self.links.append((element, self.nearest(*LINK_PARENTS)))
         elif tag == "table":
-            table = {"element": element, "before": self._before, "rows": []}
-            self.tables.append(table)
-            self._rows[element.number] = table["rows"]
+            element.before = self._before
+            self.tables.append(element)
         elif tag == "tr":
-            row = {"cells": [], "inside": [e.number for e in self.open if e.tag == "div"]}
-            element.attrs["_row"] = row
-            for outer in self.open:
-                if outer.tag == "table":
-                    self._rows[outer.number].append(row)
+            self.lists[2].append(element)
         elif tag in ("td", "th"):
-            for outer in self.open:
-                if outer.tag == "tr":
-                    outer.attrs["_row"]["cells"].append(element)
+            self.lists[1].append(element)
         elif tag == "h2":
-            self.headings.append((element, [e for e in self.open if e.tag == "div"]))
+            self.headings.append(element)
         if tag in HEADINGS:
             self._before = element
-        if tag not in VOID:
+        if tag in VOID:
+            element.close()
+        else:
             self.open.append(element)
+            self._by_tag.setdefault(tag, []).append(element)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -78,13 +108,14 @@ class PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if not self._by_tag.get(tag):
+            return
+        closed = None
+        while closed is None or closed.tag != tag:
+            closed = self.open.pop()
+            self._by_tag[closed.tag].pop()
+            closed.close()
 
     def handle_data(self, data):
-        if any(e.tag in SILENT for e in self.open[-1:]):
-            return
-        for element in self.open:
-            element.parts.append(data)
+        if not (self.open and self.open[-1].tag in SILENT):
+            self.lists[0].append(data)

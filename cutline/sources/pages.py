@@ -7,6 +7,7 @@ point to the same place, so the first one is found by a combined aggregate.
 
 from __future__ import annotations
 
+import itertools
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -98,12 +99,13 @@ def _table_rows(batches):
         rows = []
         for page_id, html in zip(batch.page_id, batch.html):
             for table_no, table in enumerate(_read(html).tables):
-                if not table["rows"]:
+                if not table.rows:
                     continue
-                before = table["before"].text if table["before"] else ""
-                header = [c.text for c in table["rows"][0]["cells"]]
-                for row_no, row in enumerate(table["rows"][1:], start=1):
-                    rows.append((page_id, table_no, before, header, row_no, [c.stripped for c in row["cells"]]))
+                before = table.before.text if table.before else ""
+                first, *others = table.rows
+                header = [c.text for c in first.cells]
+                for row_no, row in enumerate(others, start=1):
+                    rows.append((page_id, table_no, before, header, row_no, [c.stripped for c in row.cells]))
         yield _frame(rows, TABLES)
 
 
@@ -181,14 +183,14 @@ def branches_from_pages(
             for page_id, html in zip(batch.page_id, batch.html):
                 page, row_no = _read(html), 0
                 blocks = set()
-                for element, divs in page.headings:
-                    fitting = [d for d in divs if container in (d.attrs.get("class") or "").split()]
-                    if heading in element.text and fitting:
-                        blocks.add(fitting[-1].number)
-                for table in page.tables:
-                    for row in table["rows"]:
-                        cells = [c.stripped for c in row["cells"] if c.tag == "td"]
-                        if blocks & set(row["inside"]) and len(cells) >= 3:
+                for element in page.headings:
+                    if heading in element.text:
+                        fitting = (d.number for d in element.divs() if container in (d.attrs.get("class") or "").split())
+                        blocks.update(itertools.islice(fitting, 1))
+                for table in page.tables if blocks else ():
+                    for row in table.rows:
+                        cells = [c.stripped for c in row.cells if c.tag == "td"]
+                        if len(cells) >= 3 and any(d.number in blocks for d in row.divs()):
                             rows.append((page_id, row_no, cells))
                             row_no += 1
             yield _frame(rows, BRANCH_ROWS)

@@ -381,6 +381,16 @@ class Star:
         head = "<div><h2>Engineering list</h2><table><tr><th>COLLEGE CODE</th><th>Colleges</th><th>Location</th></tr>"
         return self._pages_of_suppliers(item, head, "</table></div>", "https://portal.example.org/list/")
 
+    def branch_pages(self) -> DataFrame:
+        """A page per part that lists it as a branch, with a table outside the listing block beside it."""
+        code = "lower(concat(left(p_name, 1), left(substring_index(p_name, ' ', -1), 1), p_size % 10))"
+        return self.table("part").selectExpr(
+            "p_partkey AS page_id",
+            "concat('<div class=\"txt-content wide\"><h2>Branches offered for B.E. courses</h2><table><tr><td>No</td><td>Branch</td>"
+            "<td>Branch Code</td></tr><tr><td>1</td><td>', p_name, '</td><td>', "
+            f"{code}, '</td></tr></table></div><table><tr><td>1</td><td>Other</td><td>zz</td></tr></table>') AS html",
+        )
+
     def _pages_of_suppliers(self, item: str, head: str, tail: str, url: str) -> DataFrame:
         # fifty rows a page, by construction
         return (

@@ -35,6 +35,7 @@ class CutoffIngest:
     branches: DataFrame
     rounds: DataFrame
     categories: Sequence[str]
+    version_order: str  # SQL text over published rows that grows with the arrival of a version
     documents: DataFrame | None = None
 
     def facts(self) -> DataFrame:
@@ -72,7 +73,7 @@ class CutoffIngest:
         written = spark.read.schema(found.schema).parquet(folder)
         years = written.filter("outcome = 'PUBLISHED'").select("academic_year").distinct()
         touched = existing.join(F.broadcast(years), "academic_year", "left_semi")  # a year is one row
-        write_facts(publish.publish_state(written, touched), f"{self.path}/facts")
+        write_facts(publish.publish_state(written, touched, self.version_order), f"{self.path}/facts")
 
     def outcomes(self) -> DataFrame:
         spark = self.colleges.sparkSession

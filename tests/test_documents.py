@@ -1,8 +1,10 @@
 import datetime
+import time
 
 from cutline import schemas
 from cutline.operators import monitor as mon
 from cutline.sources import grids, pages
+from cutline.sources.html import PageReader
 
 GRID = schemas.GRIDS + ", round_code string, counselling_round string"
 
@@ -116,6 +118,26 @@ def test_college_tables(table):
     assert found["A009"].institution_type == "ARCHITECTURE" and found["A009"].college_name == "Of Arts"
 
 
+def _reading_time(items):
+    html = "".join(f"<li>item {i}</b>" for i in range(items))
+    start = time.perf_counter()
+    page = PageReader().read(html + '<a href="x">last</a>')
+    assert page.links[0][0].text == "last" and page.links[0][1].text == f"item {items - 1}last"
+    return time.perf_counter() - start
+
+
+def test_unclosed_items_are_read_in_linear_time():
+    _reading_time(1000)
+    assert _reading_time(80_000) < 40 * _reading_time(8_000)  # ten times as many; a quadratic reader takes a hundred times
+
+
+def test_unclosed_elements_hold_what_follows():
+    page = PageReader().read("<table><tr><td>a<td>b<script>x</script><tr><th>c</table>d<tr/><br>e")
+    (table,) = page.tables
+    assert [[c.text for c in row.cells] for row in table.rows] == [["abc", "bc", "c"], ["c"]]
+    assert table.text == "abc" and page.lists[0][-2:] == ["d", "e"]
+
+
 def test_branch_table(table):
     html = """<div class="txt-content wide"><h2>Branches offered for B.E. courses</h2><table><tr><td>No</td><td>Branch</td><td>Branch Code</td></tr>
     <tr><td>1</td><td>Communicat- ion</td><td>ec</td></tr></table></div><table><tr><td>1</td><td>Other</td><td>zz</td></tr></table>"""

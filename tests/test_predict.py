@@ -159,6 +159,13 @@ def test_train_and_test_are_disjoint(data):
         assert row.future_records == row.other_rounds == row.unpublished_records == 0 and row.train_records > 0
 
 
+def test_planted_leaks_are_counted(table):
+    train = table("target_year int, academic_year int, round_code string, status string", [
+        (2026, 2025, "R1", "PUBLISHED"), (2026, 2026, "R1", "PUBLISHED"), (2026, 2024, "R3", "PUBLISHED"), (2026, 2024, "R1", "SUPERSEDED")])
+    row = bt.leakage_violations(train, [2026]).first()
+    assert (row.train_records, row.future_records, row.other_rounds, row.unpublished_records) == (4, 1, 1, 1)
+
+
 def test_seat_correlation_needs_ten_pairs(data, table):
     seats = table(schemas.SEATS, [("s1", "v", "c1", "cs", None, None, 2026, 60, None, "PUBLISHED", None)])
     row = bt.seat_correlation(data["wide"], seats, data["branches"], 2026, 2024).first()

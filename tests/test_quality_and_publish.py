@@ -160,6 +160,7 @@ def test_document_anomaly(spark):
 
 STATE = "college_id string, branch_id string, category_code string, round_code string, academic_year int, opening_rank int, closing_rank int, source_version_id string, status string"
 ROW = ("c1", "cs", "GM", "R1", 2026, None)
+ARRIVAL = "CAST(substring(source_version_id, 2) AS INT)"
 
 
 def test_versions_supersede_and_never_change(table, spark):
@@ -168,7 +169,7 @@ def test_versions_supersede_and_never_change(table, spark):
 
     def step(state, *rows):
         found = pub.publish_outcomes(table(STATE, [(*r, "PUBLISHED") for r in rows]), state, rounds, ["GM", "KKR"])
-        after = pub.publish_state(found, state)
+        after = pub.publish_state(found, state, ARRIVAL)
         plain = sorted((r.source_version_id, r.closing_rank, r.status) for r in after.collect())
         outcomes = sorted(r.outcome for r in found.collect())
         return outcomes, plain, table(STATE, [tuple(r[c] for c in (f.split(" ")[0] for f in STATE.split(", "))) for r in after.collect()])
@@ -187,10 +188,21 @@ def test_versions_supersede_and_never_change(table, spark):
     assert both == [("v1", 10, "SUPERSEDED"), ("v2", 20, "PUBLISHED")]
 
 
+def test_the_last_of_ten_versions_survives(table, spark):
+    rows = [(*ROW, 100 * n, f"v{n}", "PUBLISHED") for n in range(1, 11)]
+    held = table(STATE, [(*ROW, 7, "v0", "PUBLISHED")])
+    found = pub.publish_outcomes(table(STATE, rows), held, ADMISSIONS.rounds_frame(spark))
+    after = pub.publish_state(found, held, ARRIVAL).collect()
+    assert len(after) == 11 and [r.source_version_id for r in after if r.status == "PUBLISHED"] == ["v10"]
+    late = found.filter("source_version_id IN ('v9', 'v10')")
+    counts = {r.source_version_id: r.superseded_records for r in pub.publish_report(late, held, ARRIVAL).collect()}
+    assert counts == {"v9": 1, "v10": 0}
+
+
 def test_publish_report(table, spark):
     state = table(STATE, [(*ROW, 1500, "v1", "PUBLISHED")])
     found = pub.publish_outcomes(table(STATE, [(*ROW, 1600, "v2", "PUBLISHED")]), state, ADMISSIONS.rounds_frame(spark))
-    row = pub.publish_report(found, state).first()
+    row = pub.publish_report(found, state, ARRIVAL).first()
     assert (row.published_records, row.superseded_records, row.verified_unchanged_records) == (1, 1, 0)
 
 

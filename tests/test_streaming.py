@@ -16,6 +16,7 @@ def test_ingest_is_incremental_and_idempotent(spark, table, tmp_path):
         table("branch_code string, branch_id string", [("CS", "cs")]),
         ADMISSIONS.rounds_frame(spark),
         ["GM", "KKR"],
+        "CAST(substring(source_version_id, 2) AS INT)",
     )
     inbox, state = str(tmp_path / "inbox"), str(tmp_path / "state")
 
