@@ -617,7 +617,7 @@ def publish_seats(s: Star) -> DataFrame:
 
 @register
 def publish_fees(s: Star) -> DataFrame:
-    """Fees absent from the store, which holds those of the last year but one and before, and others of that version."""
+    """Fees absent from the store, which holds those up to 1998 as they are, and all later ones under v2."""
     fees = s.fees().withColumn("source_version_id", F.expr("CASE WHEN total_fee % 200 < 100 THEN 'v1' ELSE 'v2' END"))
     existing = fees.filter("academic_year <= 1998").unionByName(
         fees.filter("academic_year > 1998").withColumn("source_version_id", F.lit("v2"))
