@@ -23,43 +23,41 @@ def fillings(room: int, counts: Counter, lengths: list[int], most: int, nodes: i
     """Up to ``most`` undominated ways to fill ``room`` from the lengths left (descending), least waste first.
 
     A filling is dominated if another piece still fits, or if one of its pieces could give way to a longer one. Long
-    pieces are tried first, so the first filling found is the best-fit one; the search ends at ``most`` fillings
-    without waste, or after ``nodes`` steps.
+    pieces are tried first, and one step takes as many of a length as fit and are left, so the first filling found is
+    the best-fit one. It is always reached, in as many steps as it has different lengths; after it, the search ends at
+    ``most`` fillings without waste, or after ``nodes`` steps.
     """
-    found: dict[Filling, int] = {}
+    found: dict[tuple[tuple[int, int], ...], int] = {}  # (length, times) of a filling, and its waste
     exact, steps = 0, 0
-    stack: list[tuple[int, int, Filling]] = [(0, room, ())]
-    smallest = lengths[-1] if lengths else room + 1
-    while stack and steps < nodes and exact < most:
-        i, left, chosen = stack.pop()
+    stack: list[tuple[int, int, int, tuple[tuple[int, int], ...]]] = [(0, room, room, ())]
+    while stack and exact < most and (not found or steps < nodes):
+        i, top, left, chosen = stack.pop()
         steps += 1
-        if left < smallest:
-            found[chosen] = left
-            exact += left == 0
-            continue
         lo, hi = i, len(lengths)
         while lo < hi:  # first length that fits
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
-        while lo < len(lengths) and chosen.count(lengths[lo]) >= counts[lengths[lo]]:
-            lo += 1
         if lo == len(lengths):
             found[chosen] = left
+            exact += left == 0
             continue
-        if lo + 1 < len(lengths):
-            stack.append((lo + 1, left, chosen))  # later: without this length
-        stack.append((lo, left - lengths[lo], (*chosen, lengths[lo])))
+        n = lengths[lo]
+        times = min(left // n, counts[n], top if lo == i else room)
+        if lo + 1 < len(lengths):  # later: with one less of this length
+            stack.append((lo, times - 1, left, chosen) if times > 1 else (lo + 1, room, left, chosen))
+        stack.append((lo + 1, room, left - n * times, (*chosen, (n, times))))
     kept = []
     for filling, waste in found.items():
-        used = Counter(filling)
+        used = Counter(dict(filling))
         longer = any(
             used[n] < counts[n] for piece in used for n in range(piece + 1, piece + waste + 1) if n in counts
         )
         if not longer or waste == 0:
-            kept.append((waste, len(filling), filling))
+            kept.append((waste, filling))
     if not kept:
-        kept = [(w, len(f), f) for f, w in found.items()]
-    return [f for _, _, f in sorted(kept)[:most]]
+        kept = [(w, f) for f, w in found.items()]
+    flat = [(w, sum(k for _, k in f), tuple(n for n, k in f for _ in range(k))) for w, f in kept]
+    return [f for _, _, f in sorted(flat)[:most]]
 
 
 def best_fit(counts: Counter, capacity: int) -> list[tuple[Filling, int]]:
@@ -96,6 +94,16 @@ def _dive(counts, capacity, choose, most, nodes, limit):
     return bins, depth
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins needed at least: for the sum of the lengths, and for the pieces of which at most k fit in a bin, for each k."""
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    large, at_most = 0, 0
+    for n in sorted(counts, reverse=True):
+        large, at_most = large + counts[n], max(1, capacity // n)
+        bound = max(bound, -(-large // at_most))
+    return bound
+
+
 def pack_lengths(
     counts: dict[int, int], capacity: int = CAPACITY, most: int = 4, nodes: int = 2000, dives: int = 12
 ) -> list[tuple[Filling, int]]:
@@ -111,7 +119,7 @@ def pack_lengths(
     if not counts:
         return []
     total = sum(n * c for n, c in counts.items())
-    bound = max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
+    bound = lower_bound(counts, capacity)
     size = lambda bins: sum(times for _, times in bins)
     best = best_fit(counts, capacity)
     depth = len(best)
@@ -163,15 +171,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id: str
     short = cut.where(F.col("length") < capacity)
     counts = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     bins = pack_lengths(counts, capacity)
-    places: dict[int, list[tuple[int, int, int]]] = {}  # by length: first number, first sequence, offset
+    # by length: first number, first sequence, offset, number of such bins; a bin's pieces of a length lie together
+    places: dict[int, list[tuple[int, int, int, int]]] = {}
     used: Counter = Counter()
     base = 0
     for filling, times in bins:
         offset = 0
-        for n in filling:
-            places.setdefault(n, []).append((used[n], base, offset))
-            used[n] += times
-            offset += n
+        for n, k in Counter(filling).items():
+            places.setdefault(n, []).append((used[n], base, offset, times))
+            used[n] += times * k
+            offset += n * k
         base += times
     arrays = {n: np.array(rows, dtype=np.int64) for n, rows in places.items()}
 
@@ -184,8 +193,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id: str
                 at = np.flatnonzero(lengths == n)
                 rows = arrays[int(n)]
                 k = np.searchsorted(rows[:, 0], number[at], side="right") - 1
-                sequence[at] = rows[k, 1] + number[at] - rows[k, 0]
-                offset[at] = rows[k, 2]
+                nth, bin_ = np.divmod(number[at] - rows[k, 0], rows[k, 3])
+                sequence[at] = rows[k, 1] + bin_
+                offset[at] = rows[k, 2] + nth * n
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
                 names=[*batch.schema.names[:5], "sequence_id", "offset"],

@@ -169,6 +169,28 @@ def test_bin_completion_finds_the_optimum_that_best_fit_misses():
     assert sum(t for _, t in packing.pack_lengths(lengths, 10)) == 3
 
 
+@pytest.mark.parametrize("lengths, bins", [({1: 10**6}, 489), ({1: 10**6, 700: 10**5}, 50_000), ({3: 10**6, 1: 10**6}, 1954)])
+def test_bins_of_many_short_pieces_reach_the_lower_bound(lengths, bins):
+    found, used = packing.pack_lengths(lengths), Counter()
+    for filling, times in found:
+        assert sum(filling) <= 2048
+        for piece in filling:
+            used[piece] += times
+    assert used == lengths and sum(t for _, t in found) == bins == packing.lower_bound(lengths, 2048)
+    assert sum(t for _, t in packing.best_fit(Counter(lengths), 2048)) == bins
+
+
+def test_empty_texts_share_sequences(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN 'some words' WHEN id % 2 = 0 THEN '' END AS text")
+    rows = packing.pack(docs, TOKENIZER).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == 9000 and len(by) == -(-sum(r["length"] for r in rows) // 2048)
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)])[:-1])
+
+
 def test_packing_places_every_piece_without_gaps(corpus):
     rows, docs = corpus
     library = tokens.load(TOKENIZER)
