@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, judged by a random forest. DataFrame and SQL functions only.
 
-Candidates are long strings without white space that hold letters and digits, or stand after an assignment. Features
-are numbers that Spark computes: length, character transitions, dictionary coverage, the path, and neighbouring words.
+Candidates are long strings without white space that hold digits or stand after an assignment, values of any form that
+a keyword is assigned, and bodies of private keys. Features are numbers that Spark computes: length, character
+transitions, dictionary coverage, the path, and neighbouring words.
 The forest is trained from labelled findings and removes false positives.
 """
 
@@ -16,13 +17,24 @@ from pyspark.sql import functions as F
 from cutline.llm.common import broadcast_if_small, saved, table
 
 LEAST = 16  # characters of a candidate
+LEAST_ASSIGNED = 4  # characters of a value that a keyword is assigned
 SAMPLE = 20_000  # labelled findings the forest is grown from, at most, those of smallest hash
 CONTEXT = 48  # characters looked at on either side
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
-CANDIDATE = f"[A-Za-z0-9+/_=.~-]{{{LEAST},}}"
 _KEYWORDS = "token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private"
+_SIGN = "[:=] {0,4}[\"']?"
+# a key's body line by line; then what a keyword is assigned, up to a quote, white space or the next parameter; then
+# long strings, where "=" only pads the end, so that the key of KEY=value stands before its value
+CANDIDATE = (
+    "(?<=PRIVATE KEY-----(?:\\r?\\n|\\\\n| ))[A-Za-z0-9+/]{16,}(?:(?:\\r?\\n|\\\\n)[A-Za-z0-9+/]{1,80}(?=[=\\s\\\\-])){0,400}={0,2}"
+    f"|(?<={_SIGN})(?<=(?i:{_KEYWORDS})(?i:[a-z_ -]{{0,24}})[\"']? {{0,4}}{_SIGN})(?=[^\\s\"'<>]{{{LEAST_ASSIGNED}}})"
+    "[^\\s\"'<>,;&]++(?:[,;&]++(?!\\s|$|[\\w.-]{1,40}=)[^\\s\"'<>,;&]*+){0,64}"
+    f"|[A-Za-z0-9+/_.~-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=.~-]))?"
+)
+_SQL_CANDIDATE = "'" + CANDIDATE.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_SQL_GROUP = f"'({_SQL_CANDIDATE[1:-1]})'"
 _EXAMPLES = "example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|lorem"
 _EXAMPLE_WORD = f"(^|[^a-z@.])({_EXAMPLES})([^a-z.]|$)"  # a word by itself, not a host's name
 FEATURES = [
@@ -34,7 +46,8 @@ FEATURES = [
 def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Every candidate of every whole text: doc_id, start, candidate, before, after, path.
 
-    Texts are cut once at the candidates; starts (in code points, from 0) are running lengths of what was cut.
+    Candidates have ``LEAST`` characters, or ``LEAST_ASSIGNED`` and any form but white space and quotes where a keyword
+    is assigned; the body of a private key is one. Texts are cut once at the candidates; starts (in code points, from 0) are running lengths of what was cut.
     """
     source = F.col(path).cast("string") if path in docs.columns else F.lit("")
     cut = docs.select(
@@ -44,12 +57,12 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
     spans = cut.select(
         "doc_id", "path", "t",
         F.explode(F.arrays_zip(
-            F.expr(f"regexp_extract_all(t, '({CANDIDATE})', 1)").alias("c"),
-            F.expr(f"transform(slice(split(t, '{CANDIDATE}', -1), 1, size(split(t, '{CANDIDATE}', -1)) - 1), x -> char_length(x))").alias("g"),
-            F.expr(f"""transform(sequence(1, size(split(t, '{CANDIDATE}', -1)) - 1), k -> k)""").alias("k"),
+            F.expr(f"regexp_extract_all(t, {_SQL_GROUP}, 1)").alias("c"),
+            F.expr(f"transform(slice(split(t, {_SQL_CANDIDATE}, -1), 1, size(split(t, {_SQL_CANDIDATE}, -1)) - 1), x -> char_length(x))").alias("g"),
+            F.expr(f"""transform(sequence(1, size(split(t, {_SQL_CANDIDATE}, -1)) - 1), k -> k)""").alias("k"),
         )).alias("f"),
-        F.expr(f"transform(regexp_extract_all(t, '({CANDIDATE})', 1), x -> char_length(x))").alias("lengths"),
-        F.expr(f"transform(split(t, '{CANDIDATE}', -1), x -> char_length(x))").alias("gaps"),
+        F.expr(f"transform(regexp_extract_all(t, {_SQL_GROUP}, 1), x -> char_length(x))").alias("lengths"),
+        F.expr(f"transform(split(t, {_SQL_CANDIDATE}, -1), x -> char_length(x))").alias("gaps"),
     )
     placed = spans.select(
         "doc_id", "path", "t", F.col("f.c").alias("candidate"),
@@ -151,8 +164,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id",
 
     ``labelled``: reviewed findings with the columns of ``candidates`` and ``label``; without them, clear cases of the
     documents themselves label the sample. NULL and empty texts have no candidate, NULL ids are carried along, repeated
-    rows give repeated findings, a missing or NULL path is empty. If the forest has only one label to learn from, the
-    labelled rule stands in: what follows an assigned keyword is a secret.
+    rows give repeated findings, a missing or NULL path is empty. If the forest has only one label to learn from, the labelled rule stands in:
+    what follows an assigned keyword is a secret.
     """
     found = saved(features(candidates(docs, id, text, path), dictionary(docs, text)), "candidates")
     known = rule_labels(found) if labelled is None else features(labelled, dictionary(docs, text))
@@ -176,7 +189,12 @@ def redact(docs: DataFrame, findings: DataFrame, id: str = "doc_id", text: str =
     # a document's own findings: no longer than its text; the longest go first, as one may hold another
     secrets = secrets.withColumn("_secrets_", F.expr("array_sort(_secrets_, (a, b) -> length(b) - length(a))"))
     joined = docs.join(broadcast_if_small(saved(secrets.withColumnRenamed("doc_id", "_id_"), "secrets")), F.col(id) == F.col("_id_"), "left")
-    masked = F.expr(f"aggregate(coalesce(_secrets_, array()), {text}, (t, s) -> replace(t, s, '{MASK}'))")
+    # a short one only where it stands by itself
+    alone = r"concat('(?<![A-Za-z0-9])\\Q', replace(s, '\\E', '\\E\\\\E\\Q'), '\\E(?![A-Za-z0-9])')"
+    masked = F.expr(
+        f"aggregate(coalesce(_secrets_, array()), {text}, (t, s) -> if(char_length(s) < {LEAST},"
+        f" regexp_replace(t, {alone}, '{MASK}'), replace(t, s, '{MASK}')))"
+    )
     return joined.withColumn(text, masked).select(*docs.columns)
 
 

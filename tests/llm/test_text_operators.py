@@ -285,6 +285,31 @@ def test_secrets_are_found_and_masked_and_words_left(spark):
     assert all(masked[i] == texts[i] for i in masked if i >= 100)
 
 
+def test_values_of_env_lines_and_short_passwords_are_candidates_and_masked(spark):
+    hexes = [hashlib.sha1(f"env{i}".encode()).hexdigest() for i in range(40)]
+    secret = {i: h for i, h in enumerate(hexes)}
+    forms = ["API_KEY={}", "x api_key={} y", "https://some.host.net/a?token={}", "https://h.net/a?u=1&token={}&page=2", "VERY_LONG_SERVICE_SECRET={}"]
+    texts = {i: forms[i % len(forms)].format(h) for i, h in secret.items()}
+    short = ['password = "hunter2"', "db_pwd: Tr0ub4!or&3x", "PASSWORD=a1!b2@c3#d4$e5%f6", 'passwd="s3cr,et;9"']
+    for i, text in enumerate(short, 100):
+        texts[i] = text + " and 1hunter2x"
+        secret[i] = re.search("[:=] *[\"']?([^\\s\"']+)", text)[1]
+    texts |= {200 + i: f"call +4912345678901234{i} or see www{i}.longhostname.org now" for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "src") for i, t in texts.items()], "doc_id long, text string, source string")
+    findings = secrets.scan(docs)
+    found = findings.collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["candidate"] for r in found)
+    assert {(r["doc_id"], r["candidate"]) for r in found if r["is_secret"]} == set(secret.items())
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs, findings).collect()}
+    assert masked == {i: t.replace(secret[i], secrets.MASK, 1) if i in secret else t for i, t in texts.items()}
+
+
+def test_padding_stays_with_its_string(spark):
+    rows = [(1, "see QWxhZGRpbjpvcGVuIHNlc2FtZTE=, QWxhZGRpbjpvcGVuIHNlc2FtZTE== end", "s")]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert [r["candidate"][-2:] for r in sorted(found, key=lambda r: r["start"])] == ["E=", "=="]
+
+
 def test_a_forest_learns_from_given_findings(spark):
     rows = [(i, f'key = "{hashlib.md5(str(i).encode()).hexdigest()}" x', "src") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
