@@ -2,7 +2,7 @@
 
 Candidates are long strings without white space that hold digits or stand after an assignment, values of any form that
 a keyword is assigned, and bodies of private keys. Features are numbers that Spark computes: length, character
-transitions, dictionary coverage, the path, and neighbouring words.
+transitions, dictionary coverage, known token forms, the path, and neighbouring words.
 The forest is trained from labelled findings and removes false positives.
 """
 
@@ -35,11 +35,25 @@ CANDIDATE = (
 )
 _SQL_CANDIDATE = "'" + CANDIDATE.replace("\\", "\\\\").replace("'", "\\'") + "'"
 _SQL_GROUP = f"'({_SQL_CANDIDATE[1:-1]})'"
+# tokens that their issuers give a prefix and a length
+TOKEN_FORM = (
+    "^((AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}"
+    "|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}"
+    "|hf_[A-Za-z0-9]{30,}|SG\\.[A-Za-z0-9_-]{16,}\\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]*)$"
+)
+_KEY_BODY = "PRIVATE KEY-----(\\s|\\\\n)*$"
+# forms that are clearly no secret: numbers, hosts and addresses, files, UUIDs; and digests that are called so
+_PLAIN = (
+    "^([0-9.+/_~-]+|([a-z0-9-]+\\.)+[a-z]{2,}(/.*)?|[A-Za-z0-9_./~-]*/[A-Za-z0-9_.-]*\\.[a-z]{1,5}"
+    "|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+)
+_ADDRESS = "^//([a-z0-9-]+\\.)+[a-z]{2,}(/[a-z.-]*)*$"  # what follows the colon of a URL, without digits in its path
+_DIGEST = "(commit|revision|sha-?(1|224|256|384|512)|md5|checksum|digest|etag)[ :=]*[\"']?$"
 _EXAMPLES = "example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|lorem"
 _EXAMPLE_WORD = f"(^|[^a-z@.])({_EXAMPLES})([^a-z.]|$)"  # a word by itself, not a host's name
 FEATURES = [
     "length", "digits", "uppers", "symbols", "kinds", "transitions", "hexadecimal", "runs", "coverage", "vowels",
-    "assigned", "quoted", "keyword", "keyword_near", "example", "words_before", "words_after", "path_example", "path_depth",
+    "assigned", "quoted", "keyword", "keyword_near", "example", "form", "words_before", "words_after", "path_example", "path_depth",
 ]
 
 
@@ -117,6 +131,7 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
             "example": F.expr(
                 f"CAST(lower(candidate) RLIKE '({_EXAMPLES})' OR lower(before) RLIKE '{_EXAMPLE_WORD}' OR lower(after) RLIKE '{_EXAMPLE_WORD}' AS DOUBLE)"
             ),
+            "form": (F.col("candidate").rlike(TOKEN_FORM) | F.col("before").rlike(_KEY_BODY)).cast("double"),
             "words_before": F.expr("CAST(size(split(trim(before), '\\\\s+')) AS DOUBLE)"),
             "words_after": F.expr("CAST(size(split(trim(after), '\\\\s+')) AS DOUBLE)"),
             "path_example": F.expr(f"CAST(lower(path) RLIKE '({_EXAMPLES}|fixture|mock|docs?/)' AS DOUBLE)"),
@@ -127,18 +142,26 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where none were reviewed: clear cases only, by form and assignment together.
+    """Labelled findings where none were reviewed: clear cases only.
 
-    1: an assigned, quoted string of hexadecimal or of mixed letters and digits after a keyword, without an example
-    word. 0: a string without assignment or keyword, and one that words cover. Others stay without a label.
+    1: a token of a known form or the body of a private key, and a string of letters and digits that a keyword is
+    assigned, both without an example word. 0: the same with an example word; a keyword's unquoted value that is letters
+    alone; URLs of letters; and, without assignment, keyword near or known form, strings that words cover, numbers, addresses, files,
+    UUIDs and digests called so. Others, such as random strings without a keyword, stay without a label.
     """
-    return found.withColumn(
-        "label",
-        F.expr("""CASE
-            WHEN keyword = 1 AND example = 0 AND digits BETWEEN 0.1 AND 0.95 AND transitions > 0.2 THEN 1
-            WHEN keyword = 1 AND (example = 1 OR digits = 0) THEN 0
-            WHEN assigned = 0 AND keyword_near = 0 THEN 0 END"""),
-    ).where("label IS NOT NULL")
+    keyword, form, example, apart = F.expr("keyword = 1"), F.expr("form = 1"), F.expr("example = 1"), F.expr("assigned = 0 AND keyword_near = 0")
+    plain = (
+        F.expr("coverage >= 0.75") | F.col("candidate").rlike(_PLAIN) | F.col("before").rlike("(@|://)$")
+        | (F.lower("before").rlike(_DIGEST) & F.expr("hexadecimal = 1"))
+    )
+    label = (
+        F.when((keyword | form) & example, 0)
+        .when(form, 1)
+        .when(keyword & F.expr("digits BETWEEN 0.1 AND 0.95 AND transitions > 0.2"), 1)
+        .when(keyword & F.expr("quoted = 0") & F.col("candidate").rlike("^[A-Za-z]?[a-z]+[.:!?)]*$"), 0)
+        .when(F.col("candidate").rlike(_ADDRESS) | (apart & plain), 0)
+    )
+    return found.withColumn("label", label).where("label IS NOT NULL")
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 6) -> RandomForestClassificationModel | None:
@@ -164,7 +187,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id",
 
     ``labelled``: reviewed findings with the columns of ``candidates`` and ``label``; without them, clear cases of the
     documents themselves label the sample. NULL and empty texts have no candidate, NULL ids are carried along, repeated
-    rows give repeated findings, a missing or NULL path is empty. If the forest has only one label to learn from, the labelled rule stands in:
+    rows give repeated findings, a missing or NULL path is empty. Without reviewed findings, tokens of a known form are
+    secrets however few the forest saw. If the forest has only one label to learn from, the labelled rule stands in:
     what follows an assigned keyword is a secret.
     """
     found = saved(features(candidates(docs, id, text, path), dictionary(docs, text)), "candidates")
@@ -177,6 +201,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id: str = "doc_id",
             forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
             .withColumn("score", vector_to_array("probability")[1])
         )
+    if labelled is None:
+        scored = scored.withColumn("score", F.expr("greatest(score, form * (1 - example))"))
     return scored.select(
         "doc_id", "start", F.expr("CAST(length AS BIGINT) AS length"), "candidate", "before", "after", "score",
         (F.col("score") >= THRESHOLD).alias("is_secret"),
