@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cutline.llm import bpe, exact_dedup, line_dedup, mil_quality, ngram_join, packing, secrets, toxicity, vp_search, warc
+from cutline.llm import (
+    bpe, exact_dedup, line_dedup, mil_quality, mixing, ngram_join, packing, secrets, toxicity, vp_search, warc,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_source_mix": mixing.op11_source_mix,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_source_mix": mixing.SQL}
