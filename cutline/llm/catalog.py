@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cutline.llm import (
-    bpe, exact_dedup, line_dedup, mil_quality, mixing, ngram_join, packing, secrets, toxicity, vp_search, warc,
+    alignment, bpe, exact_dedup, line_dedup, mil_quality, mixing, ngram_join, packing, secrets, toxicity, vp_search, warc,
 )
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_source_mix": mixing.op11_source_mix,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_source_mix": mixing.SQL}

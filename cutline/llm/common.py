@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(name, min(now, rows) if now > 0 else rows)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """As ``short_batches``, for the jobs that run inside the block; the session's own setting is then put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    short_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives the loss of executors."""
     path = shared_folder(df.sparkSession, purpose)
