@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cutline.llm import (
-    alignment, bpe, exact_dedup, line_dedup, mil_quality, mixing, ngram_join, packing, secrets, toxicity, vp_search, warc,
+    alignment, bpe, exact_dedup, line_dedup, mil_quality, mixing, ngram_join, packing, secrets, spelling, toxicity, vp_search, warc,
 )
 
 QUERIES = {
@@ -19,5 +19,6 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_source_mix": mixing.op11_source_mix,
     "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_source_mix": mixing.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_source_mix": mixing.SQL, "op13_spelling_variants": spelling.SQL}
