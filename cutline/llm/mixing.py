@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts. DataFrame functions only.
 
-Every row gets a random key, the hash of its id and text. The keys of a source are cut into ranges of equal width, so
-many that one holds about ``SPAN`` rows of the whole table. Words are summed by (source, range), and a running sum over
+Every row gets a random key, the hash of its id and text. The keys of a source are cut into ranges of equal width, as
+many as a range then has rows of the whole table: neither grows beyond its square root. Words are summed by (source, range), and a running sum over
 the ranges finds the one in which the source's budget ends. Only the rows of that range are sorted by key, and a second
 running sum gives the key at which the source is cut. The plan of a mix is therefore one row per source, and applying it
 to the rows needs no further shuffle: rows below the cut are taken once more than rows above it.
@@ -20,7 +20,6 @@ from cutline.llm.common import broadcast_within, saved, table
 from cutline.plans.pooled import lookup
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
-SPAN = 1 << 16
 _SOURCE = ["_none", "_source"]  # a NULL source comes last and is no other's equal
 
 
@@ -108,7 +107,7 @@ def _plan(base: DataFrame, weights: Sequence[int], share: Fraction, most: int) -
     ``passes``: whole passes; ``_cut``: the key of the row that takes ``_words`` words of the rest, of ``_n`` equal rows.
     Sources whose budget ends with a pass have no ``_cut``.
     """
-    bits = min(max((base.count() // SPAN).bit_length(), 0), 32)
+    bits = (base.count().bit_length() + 1) // 2
     ranged = base.withColumn("_range", F.expr(f"CAST(conv(substr(_key, 1, 8), 16, 10) AS BIGINT) DIV {1 << (32 - bits)}"))
     spans = saved(ranged.groupBy(*_SOURCE, "_range").agg(F.sum("size").alias("_words")), "mix")
     sizes = saved(spans.groupBy(*_SOURCE).agg(F.sum("_words").alias("source_size")), "mix")
