@@ -12,17 +12,19 @@ word is the plain pair itself. Neighbours are therefore counted inside the group
 
 from __future__ import annotations
 
-import hashlib
+import os
+from operator import ne
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.llm.common import saved, table
-from cutline.llm.mixing import running
 from cutline.plans.pooled import lookup
 
 LETTERS = "[A-Za-z\\u00C0-\\u00FF]"
+LENGTH_BITS = 28  # of a node's number; the others hold the rank of a word
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,91 +46,109 @@ def count_words(docs: DataFrame, least_letters: int = 7, least: int = 2, id: str
     )
 
 
-def _digests(letters: str) -> list[bytes]:
-    """Digest of each prefix, the empty one first: one pass, however long the word."""
-    state = hashlib.md5(usedforsecurity=False)
-    out = [state.digest()]
-    for letter in letters:
-        state.update(letter.encode("utf-8"))
-        out.append(state.digest())
-    return out
+def _owners(words: DataFrame, key: str, size: int = 1 << 20) -> DataFrame:
+    """Rows in order of ``key`` with the trie nodes their key runs through: ``key, w, n, part, k, owners, first``.
 
-
-def _places(words: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A row per place 0 ... length of a word: digests of the prefix before and the suffix from it, of both parents."""
-    names = ["w", "n", "place", "prefix", "prefix_up", "before", "suffix", "suffix_up", "letter"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary(), pa.binary(), pa.string()] * 2]
+    ``part`` is the range the row was dealt to and ``k`` its place there. ``owners[i]`` is the place of the first row of
+    the range that shares the key's first i letters: it creates the node, the others meet it. One pass compares each key
+    with the one before; about ``size`` owners are held at once, or those of one longer key. ``first`` marks letters that
+    differ from the letter before.
+    """
+    names, kinds = ["key", "w", "n", "part"], [pa.string(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches):
-        held: list[list] = [[] for _ in names]
+        before, owners, k = "", [], 0
         for batch in batches:
-            for w, n, word in zip(*(batch.column(c).to_pylist() for c in ("w", "n", "word"))):
-                ahead, back = _digests(word), _digests(word[::-1])[::-1]
-                size = len(word) + 1
-                columns = (
-                    [w] * size, [n] * size, range(size), ahead, [None, *ahead[:-1]], [None, *word],
-                    back, [*back[1:], None], [*word, None],
+            keys = batch.column("key").to_pylist()
+            low, flat, first, sizes = 0, [], [], [0]
+            for at, key in enumerate(keys, start=1):
+                same = 0
+                for x, y in zip(key, before):
+                    if x != y:
+                        break
+                    same += 1
+                del owners[same + 1 :]
+                owners.extend([k] * (len(key) + 1 - len(owners)))
+                flat.extend(owners)
+                if key:
+                    first.append(True)
+                    first.extend(map(ne, key[1:], key))
+                sizes.append(len(flat))
+                before, k = key, k + 1
+                if at < len(keys) and len(flat) < size:
+                    continue
+                starts = np.array(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).slice(low, at - low).cast(t) for c, t in zip(names, kinds)],
+                        pa.array(np.arange(k - (at - low), k)),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(starts - np.arange(len(starts)), pa.int32()), pa.array(first, pa.bool_())),
+                    ],
+                    [*names, "k", "owners", "first"],
                 )
-                for low in range(0, size, rows):
-                    for column, more in zip(held, columns):
-                        column.extend(more[low : low + rows])
-                    if len(held[0]) >= rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds)], names)
-                        held = [[] for _ in names]
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds)], names)
-
-    return words.select("w", "n", "word").mapInArrow(
-        run,
-        "w long, n long, place int, prefix binary, prefix_up binary, before string, suffix binary, suffix_up binary, letter string",
+                low, flat, first, sizes = at, [], [], [0]
+
+    dealt = words.repartitionByRange(key).sortWithinPartitions(key)
+    return dealt.selectExpr(f"{key} AS key", "w", "n", "spark_partition_id() AS part").mapInArrow(
+        run, "key string, w long, n long, part int, k long, owners array<long>, first array<boolean>"
     )
 
 
-def _nodes(places: DataFrame, key: str, up: str, letter: str) -> DataFrame:
-    """Numbers of a trie's nodes by digest. The root has none.
+def _numbered_nodes(words: DataFrame, key: str, purpose: str) -> DataFrame:
+    """``key, w, n, rank, nodes, first``: rank of the row in order of ``key``, and the number of the node of each prefix.
 
-    Every digest must come from one parent and one letter. If so, equal digests are equal strings, by induction from
-    the root; so the numbers are exact, or the job stops.
+    A node's number is made of the rank of the first row that has the prefix, and the prefix's length. Ranges meet only
+    at their ends: what the last key of one shares with the first of the next. Those two keys of every range come to
+    the driver, which hands the numbers on from range to range.
     """
-    steps = places.where(f"{up} IS NOT NULL").groupBy(key).agg(
-        F.expr(f"min(struct({up}, {letter})) AS low"), F.expr(f"max(struct({up}, {letter})) AS high")
+    held = saved(_owners(words, key), purpose)
+    ends = (
+        held.groupBy("part").agg(F.expr("min(key) AS low"), F.expr("max(key) AS high"), F.expr("count(1) AS size"),
+                                 F.expr("max_by(owners, k) AS owners")).orderBy("part").collect()
+    )
+    rows, offset, last, nodes = [], 0, "", []
+    for end in ends:
+        shared = len(os.path.commonprefix([last, end.low]))
+        carried = nodes[: shared + 1] if rows else []
+        rows.append((end.part, offset, carried))
+        nodes = [
+            carried[i] if owner == 0 and i < len(carried) else (offset + owner) << LENGTH_BITS | i
+            for i, owner in enumerate(end.owners)
+        ]
+        offset, last = offset + end.size, end.high
+    known = words.sparkSession.createDataFrame(rows, "part int, offset long, carried array<long>")
+    number = (
+        "transform(owners, (o, i) -> CASE WHEN o = 0 AND i < size(carried) THEN carried[i] "
+        f"ELSE shiftleft(offset + o, {LENGTH_BITS}) | CAST(i AS BIGINT) END)"
+    )
+    # one row per range
+    return held.join(F.broadcast(known), "part").selectExpr(
+        "key", "w", "n", "offset + k AS rank", f"{number} AS nodes", "first"
     )
-    numbered = saved(steps.selectExpr(f"{key} AS digest", "low = high AS same", "1 + monotonically_increasing_id() AS node"), "trie")
-    if not numbered.where("NOT same").isEmpty():
-        raise ArithmeticError("two different strings share a digest of 128 bits")
-    return numbered.select("digest", "node")
 
 
-def pair_dictionary(words: DataFrame) -> DataFrame:
-    """``p, s, w, n, skips, first``: the pairs of each word (w, n, word).
+def pair_dictionary(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Words (word, n) with their numbers ``w, word, n``, and their pairs ``p, s, w, n, skips, first``.
 
-    ``skips`` tells pairs that leave a letter out; ``first`` marks the first of equal letters in a row, as skipping any
-    of them gives one result. The root's number is 0; it is not looked up, since all words share it.
+    Numbers follow the order of words by code point. ``skips`` tells pairs that leave a letter out; ``first`` marks the
+    first of equal letters in a row, as skipping any of them gives one result.
     """
-    places = saved(_places(words), "trie")
-    ahead = _nodes(places, "prefix", "prefix_up", "before")
-    back = _nodes(places, "suffix", "suffix_up", "letter")
-    entries = places.selectExpr(
-        "w", "n", "place", "prefix",
-        "inline(filter(array("
-        "named_struct('suffix', suffix, 'skips', false, 'first', false), "
-        "named_struct('suffix', suffix_up, 'skips', true, 'first', NOT before <=> letter)), x -> x.suffix IS NOT NULL))",
-    )
-    # the roots' keys are spread over the words and found nowhere
-    keyed = entries.selectExpr(
-        "w", "n", "skips", "first", "CASE WHEN place = 0 THEN unhex(hex(w)) ELSE prefix END AS prefix",
-        "CASE WHEN suffix = unhex(md5('')) THEN unhex(hex(w)) ELSE suffix END AS suffix",
-    )
-    half = lookup(keyed, ahead.selectExpr("digest AS prefix", "node AS p"), ["prefix"]).drop("prefix")
-    return lookup(half, back.selectExpr("digest AS suffix", "node AS s"), ["suffix"]).selectExpr(
-        "coalesce(p, 0L) AS p", "coalesce(s, 0L) AS s", "w", "n", "skips", "first"
+    ahead = saved(_numbered_nodes(words.selectExpr("word", "0L AS w", "n"), "word", "trie"), "trie")
+    numbered = ahead.selectExpr("rank AS w", "key AS word", "n")
+    back = _numbered_nodes(numbered.selectExpr("w", "reverse(word) AS drow", "n"), "drow", "trie").selectExpr("w", "nodes AS ends")
+    plain = "transform(nodes, (p, i) -> named_struct('p', p, 's', ends[size(ends) - 1 - i], 'skips', false, 'first', false))"
+    skips = "transform(first, (f, i) -> named_struct('p', nodes[i], 's', ends[size(ends) - 2 - i], 'skips', true, 'first', f))"
+    pairs = ahead.selectExpr("rank AS w", "n", "nodes", "first").join(back, "w").selectExpr(
+        "w", "n", f"inline(concat({plain}, {skips}))"
     )
+    return numbered, pairs
 
 
-def neighbours(words: DataFrame) -> DataFrame:
+def neighbours(pairs: DataFrame) -> DataFrame:
     """``w, n_near, best``: how many words are near each word that has any, and the most frequent as (-n, w)."""
     groups = (
-        pair_dictionary(words).groupBy("p", "s").agg(F.expr("collect_list(struct(w, n, skips, first)) AS words")).where("size(words) > 1")
+        pairs.groupBy("p", "s").agg(F.expr("collect_list(struct(w, n, skips, first)) AS words")).where("size(words) > 1")
     )
     near = "(m.skips AND x.skips) OR (m.skips AND m.first AND NOT x.skips) OR (x.skips AND x.first AND NOT m.skips)"
     found = groups.selectExpr(
@@ -160,8 +180,8 @@ def group_variants(words: DataFrame, factor: int = 10) -> DataFrame:
     no special case: each place costs the same. A word of NULL is left out; other columns are ignored; no rows give none.
     """
     given = saved(words.where("word IS NOT NULL").select("word", "n"), "spelling")
-    numbered = saved(running(given, ["word"], {"w": "1"}, "spelling"), "spelling")  # numbers follow the order of words
-    near = saved(neighbours(numbered), "spelling")
+    numbered, pairs = pair_dictionary(given)
+    near = saved(neighbours(pairs), "spelling")
     judged = saved(
         numbered.join(near, "w", "left").selectExpr(
             "word", "w", "n", "coalesce(n_near, 0L) AS n_near",
