@@ -27,11 +27,6 @@ def read_facts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def touched_years(incoming: DataFrame) -> DataFrame:
-    """The years a publish run changes; a handful, to prune the facts that are read."""
-    return incoming.select("academic_year").distinct()
-
-
 def document_report(tagged: DataFrame, outcomes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Per document: candidates, validated and rejected rows, distinct colleges, branches and categories."""
     counts = tagged.groupBy("source_version_id").agg(

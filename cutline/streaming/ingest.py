@@ -1,33 +1,50 @@
-"""Incremental ingest: new raw rows are validated, gated and published per micro-batch."""
+"""Incremental ingest: rows are logged, and the documents they belong to are judged anew from all their rows.
+
+The result after the last trigger does not depend on how the rows were dealt to triggers. Whether a document is complete
+and which of two equal rows counts can only be said of the whole document, so a trigger appends its rows to a log and
+then validates, gates and publishes every document it touched from the log. A document that gets no more rows is never
+read again.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.functions.sql import texts
 from cutline.operators import publish, quality
 from cutline.plans.pooled import lookup
 from cutline.schemas import CUTOFF_KEY
-from cutline.sources.sinks import read_facts, write_facts
+from cutline.sources.store import Snapshot, Staged, Store, bucket, with_status
 
 FACTS = (
     "college_id string, branch_id string, category_code string, round_code string, source_version_id string, "
-    "opening_rank int, closing_rank int, row_identifier string, status string, academic_year int"
+    "opening_rank int, closing_rank int, row_identifier string, status string, academic_year int, part int"
+)
+RAW = [
+    "row_idx", "college_code", "branch_code", "category_code", "round_code", "opening_rank", "closing_rank",
+    "academic_year", "row_identifier", "source_version_id",
+]
+OUTCOMES = (
+    "college_id string, branch_id string, category_code string, round_code string, academic_year int, "
+    "source_version_id string, opening_rank int, closing_rank int, row_identifier string, outcome string, batch bigint"
 )
+_PART = ["academic_year", "part"]
 
 
 @dataclass(frozen=True)
 class CutoffIngest:
-    """One ingest of cutoff rows into the facts below ``path``.
+    """One ingest of cutoff rows into the store below ``path``.
 
     ``colleges`` (college_id, college_code), ``branches`` (branch_id,
     branch_code) and ``rounds`` are the registered dimensions. ``documents`` has
     one row per source version, for the completeness gate; without it no
-    document is held back.
+    document is held back. ``parts`` is the number of parts that colleges, and
+    documents of the log, are dealt to: a batch reads and rewrites only the
+    parts its rows fall into.
     """
 
     path: str
@@ -35,49 +52,112 @@ class CutoffIngest:
     branches: DataFrame
     rounds: DataFrame
     categories: Sequence[str]
-    version_order: str  # SQL text over published rows that grows with the arrival of a version
+    version_order: str  # SQL text over facts that grows with the arrival of a version
     documents: DataFrame | None = None
+    parts: int = 16
+
+    def store(self) -> Store:
+        return Store(self.colleges.sparkSession, self.path)
 
     def facts(self) -> DataFrame:
-        """The published and superseded facts; empty before the first batch."""
-        spark = self.colleges.sparkSession
-        try:
-            return read_facts(spark, f"{self.path}/facts", FACTS)
-        except AnalysisException:  # nothing written yet
-            return spark.createDataFrame([], FACTS)
+        """The published and superseded facts of the last commit; empty before the first."""
+        store = self.store()
+        return store.read(store.snapshot(), "facts", FACTS).drop("part")
+
+    def outcomes(self) -> DataFrame:
+        """What each batch did: one row per fact it changed and per row it refused."""
+        store = self.store()
+        return store.read(store.snapshot(), "outcomes", OUTCOMES)
 
     def process(self, rows: DataFrame, batch_id: int) -> None:
-        """Publish one batch of raw rows. The same batch again changes no fact.
+        """Publish one batch of raw rows. A batch that was committed before is skipped, and keeps its outcomes.
 
-        The outcomes are written before the facts and read back, so the long
-        plan runs once and the facts are rewritten from files.
+        Nothing of the store changes before the commit at the end. A row is known by its document and ``row_idx``;
+        sent again it never replaces the first one: with the same rank it is UNCHANGED, with another one
+        FACTUAL_MUTATION_REJECTED. Rows without a version or an index cannot be told apart and are left out. Until a
+        document is complete its facts follow from the rows so far, so a later row may still change or withdraw them
+        (REVISED, WITHDRAWN).
         """
-        spark = rows.sparkSession
+        store = self.store()
+        before = store.snapshot()
+        if before.done(batch_id):
+            return
+        logged = store.stage(
+            rows.select(*RAW).where("source_version_id IS NOT NULL AND row_idx IS NOT NULL")
+            .withColumns({"batch": F.lit(batch_id).cast("bigint"), "part": F.expr(bucket("source_version_id", self.parts))}),
+            "log", ["part"],
+        )
+        if not logged.parts:
+            store.commit(before, batch_id)
+            return
+        valid = self._valid(store, before, logged)
+        touched = store.staged(logged).select("source_version_id").distinct()
+        held = store.read(before, "facts", FACTS, valid.parts)
+        of_touched = lookup(held, touched.withColumn("_touched", F.lit(True)), ["source_version_id"])
+        now = store.staged(valid).where("publishable").drop("publishable")
+        judged = publish.publish_outcomes(
+            now, of_touched.where("_touched").drop("_touched"), self.rounds, list(self.categories)
+        )
+        judged = store.stage(judged, "judged")
+        accepted = store.staged(judged).where("outcome NOT LIKE 'UNKNOWN%'")
+        columns = [c.split(" ")[0] for c in FACTS.split(", ")]
+        state = with_status(
+            of_touched.where("_touched IS NULL").drop("_touched").unionByName(accepted.select(*columns)),
+            CUTOFF_KEY, self.version_order,
+        )
+        facts = store.stage(state, "facts", _PART)
+        changes = store.stage(self._changes(store, judged, of_touched, before, logged, batch_id), "outcomes")
+        store.commit(before, batch_id, replace=[(facts, valid.parts)], append=[logged, changes])
+
+    def _valid(self, store: Store, before: Snapshot, logged: Staged) -> Staged:
+        """Valid rows of all documents of the batch, from the whole log, cut into the parts of the facts."""
+        everything = store.read(before, "log", logged.schema, logged.parts, also=logged)
+        touched = store.staged(logged).select("source_version_id").distinct()
+        rows = lookup(everything, touched.withColumn("_touched", F.lit(True)), ["source_version_id"], "inner")
+        rest = [c for c in RAW if c not in ("source_version_id", "row_idx")]
+        first = rows.groupBy("source_version_id", "row_idx").agg(
+            F.expr(f"min(struct(batch, {', '.join(rest)})) AS _first")
+        ).selectExpr("source_version_id", "row_idx", "_first.*")
         tagged = quality.validate_cutoffs(
-            rows, self.colleges, self.branches, self.categories, batch=["source_version_id"]
+            first, self.colleges, self.branches, self.categories, batch=["source_version_id"]
         )
+        keyed = lookup(quality.valid_rows(tagged), self.colleges.select("college_code", "college_id"), ["college_code"], "inner")
+        keyed = lookup(keyed, self.branches.select("branch_code", "branch_id"), ["branch_code"], "inner")
         if self.documents is None:
-            valid = quality.valid_rows(tagged)
+            keyed = keyed.withColumn("publishable", F.lit(True))
         else:
-            outcomes = quality.document_outcomes(tagged, self.documents, quality.thresholds_frame(spark))
-            valid = quality.publishable_rows(tagged, outcomes)
-        keyed = lookup(valid, self.colleges.select("college_code", "college_id"), ["college_code"], "inner")
-        keyed = lookup(keyed, self.branches.select("branch_code", "branch_id"), ["branch_code"], "inner")
-        incoming = keyed.select(
-            *CUTOFF_KEY, "source_version_id", "opening_rank", "closing_rank", "row_identifier", "status"
+            outcomes = quality.document_outcomes(tagged, self.documents, quality.thresholds_frame(store.spark))
+            passed = outcomes.where("failure_reason IS NULL").select("source_version_id").distinct()
+            keyed = lookup(keyed, passed.withColumn("_passed", F.lit(True)), ["source_version_id"]).withColumn(
+                "publishable", F.expr("_passed IS NOT NULL")
+            )
+        return store.stage(
+            keyed.select(
+                *CUTOFF_KEY, "source_version_id", "opening_rank", "closing_rank", "row_identifier", "status", "row_idx",
+                "batch", "publishable", F.expr(f"{bucket('college_id', self.parts)} AS part"),
+            ),
+            "valid", _PART,
         )
-        existing = self.facts()
-        found = publish.publish_outcomes(incoming, existing, self.rounds, list(self.categories))
-        folder = f"{self.path}/outcomes/batch={batch_id}"
-        found.write.mode("overwrite").parquet(folder)
-        written = spark.read.schema(found.schema).parquet(folder)
-        years = written.filter("outcome = 'PUBLISHED'").select("academic_year").distinct()
-        touched = existing.join(F.broadcast(years), "academic_year", "left_semi")  # a year is one row
-        write_facts(publish.publish_state(written, touched, self.version_order), f"{self.path}/facts")
 
-    def outcomes(self) -> DataFrame:
-        spark = self.colleges.sparkSession
-        return spark.read.option("basePath", f"{self.path}/outcomes").parquet(f"{self.path}/outcomes")
+    def _changes(
+        self, store: Store, judged: Staged, of_touched: DataFrame, before: Snapshot, logged: Staged, batch_id: int
+    ) -> DataFrame:
+        """Outcome rows of a batch."""
+        key = [*CUTOFF_KEY, "source_version_id"]
+        values = [*key, "opening_rank", "closing_rank", "row_identifier"]
+        rows = store.staged(judged)
+        found = rows.where(f"outcome IN {texts(['PUBLISHED', 'FACTUAL_MUTATION_REJECTED'])} OR (outcome LIKE 'UNKNOWN%' AND batch = {batch_id})")
+        found = found.selectExpr(*values, "replace(outcome, 'FACTUAL_MUTATION_REJECTED', 'REVISED') AS outcome")
+        gone = (
+            of_touched.where("_touched").join(rows.where("outcome NOT LIKE 'UNKNOWN%'").select(*key), key, "left_anti")
+            .selectExpr(*values, "'WITHDRAWN' AS outcome")
+        )
+        again = (
+            store.staged(logged).selectExpr("source_version_id", "row_idx", "closing_rank AS _rank")
+            .join(rows.where(f"batch < {batch_id}"), ["source_version_id", "row_idx"])
+            .selectExpr(*values, "CASE WHEN _rank <=> closing_rank THEN 'UNCHANGED' ELSE 'FACTUAL_MUTATION_REJECTED' END AS outcome")
+        )
+        return found.union(gone).union(again).withColumn("batch", F.lit(batch_id).cast("bigint"))
 
     def run(self, stream: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
         """Process all rows of a stream that are there, and stop; ``prepare`` makes raw rows of a batch."""

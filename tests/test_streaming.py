@@ -1,6 +1,8 @@
 import datetime
+import random
 
 from cutline.plans.calendar import ADMISSIONS
+from cutline.sources.store import Store
 from cutline.sources.workdir import shared_folder
 from cutline.streaming import arrivals
 from cutline.streaming.ingest import CutoffIngest
@@ -55,6 +57,29 @@ def test_arrivals_over_several_batches(spark, table, tmp_path):
     assert stale == {"s": "HEALTHY", "t": "HEALTHY"}
 
 
+def test_late_arrivals_count_in_any_order(spark, table, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice("st"), datetime.datetime(2026, 1, rng.randint(1, 28), 5), rng.choice("abc")) for _ in range(120)]
+    rows += [("s", None, "a")]
+    rng.shuffle(rows)
+    store, schema = Store(spark, str(tmp_path / "out")), "source_id string, ts timestamp, content string"
+    for i in range(0, len(rows), 11):
+        arrivals.count_batch(store, table(schema, rows[i : i + 11]), i // 11)
+    arrivals.count_batch(store, table(schema, rows), 3)  # a replay is skipped
+    got = {(r.source_id, r.day): (r.documents, r.arrivals) for r in arrivals.daily_arrivals(spark, str(tmp_path / "out")).collect()}
+    days = {}
+    for source, ts, content in rows:
+        days.setdefault((source, ts and f"{ts:%Y-%m-%d}"), []).append(content)
+    assert got == {k: (len(set(v)), len(v)) for k, v in days.items()}
+    late, newest = 0, None
+    for i in range(0, len(rows), 11):
+        times = [r[1] for r in rows[i : i + 11] if r[1]]
+        late += sum(newest is not None and t < newest - datetime.timedelta(days=7) for t in times)
+        newest = max(times + [newest] if newest else times)
+    assert sum(r.late for r in arrivals.late_arrivals(spark, str(tmp_path / "out")).collect()) == late > 0
+    assert max(map(len, store.snapshot().tables["arrivals"].values())) < arrivals.MERGE_FROM
+
+
 def test_shared_folder_follows_the_session(spark):
     class Conf:
         def get(self, key, default=None):
