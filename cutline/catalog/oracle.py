@@ -993,12 +993,12 @@ def _round(s: str) -> str:
 _SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 _GRID = f"""{BASE}, g AS (
-  SELECT college_id, branch_id, category_code, academic_year, round_code, CAST(floor(max(l_extendedprice)) AS INTEGER) AS closing
-  FROM lines WHERE source_version_id = 'v2' GROUP BY ALL)"""
+  SELECT college_id, branch_id, category_code, academic_year, round_code, source_version_id, CAST(floor(max(l_extendedprice)) AS INTEGER) AS closing
+  FROM lines GROUP BY ALL)"""
 
 
 def _grid_select(layout: str, category: str, name: str, where: str) -> str:
-    return f"""{_GRID} SELECT college_id || '-' || academic_year AS doc_id, '{layout}' AS layout, {CODE.format('CAST(college_id AS BIGINT)')} AS college_code,
+    return f"""{_GRID} SELECT college_id || '-' || academic_year || '-' || source_version_id AS doc_id, '{layout}' AS layout, {CODE.format('CAST(college_id AS BIGINT)')} AS college_code,
   'Supplier ' || college_id AS college_name, {category} AS category_code, {name[0]} AS branch_code, {name[1]} AS branch_name, academic_year,
   round_code, CAST(closing AS BIGINT) AS closing_rank, CAST(1 AS INTEGER) AS page_number FROM g WHERE closing > 0 AND {where}"""
 
@@ -1165,9 +1165,151 @@ def report(parts: dict[str, str]) -> dict[str, str]:
     return {"report": " UNION ALL ".join(sections)}
 
 
+_OPEN = f"""{BASE}, series AS (
+  SELECT 'R1' AS family, l.college_id, l.college_code, t.branch_id, t.program_type, l.category_code AS category,
+    CAST(year(l_shipdate) AS INTEGER) AS academic_year, CAST(floor(max(l_extendedprice)) AS INTEGER) AS closing_rank
+  FROM lines l JOIN branches b USING (branch_id) JOIN branches t ON t.branch_id = coalesce(b.canonical_branch_id, b.branch_id)
+  WHERE round_code = 'R1' GROUP BY ALL), {_TESTS.format(family='R1')}"""
+
+
+def _by_round_documents() -> str:
+    raw = _RAW_CUTOFFS.format(batch=", source_version_id").replace(
+        "college_code || '-' || source_version_id AS source_version_id",
+        "source_version_id || '-' || academic_year || '-' || lines.round_code AS source_version_id",
+    )
+    gate = """SELECT d.*, coalesce(n, 0) AS rows_in, coalesce(ok, 0) AS extracted_count, {held} AS baseline_count,
+    CASE WHEN corrected THEN NULL WHEN coalesce(ok, 0) <= 0 THEN 'SUSPICIOUS_LOW_COUNT'
+      WHEN {held} > 100 AND coalesce(ok, 0) < floor({held} * 0.3::DOUBLE) THEN 'SUSPICIOUS_LOW_COUNT'
+      WHEN coalesce(ok, 0) < 50 THEN 'SUSPICIOUS_LOW_COUNT' END AS error_code
+  FROM docs d LEFT JOIN counts USING (source_version_id)"""
+    return f"""{BASE}, {_REGISTRY}, {raw}, docs AS (
+  SELECT v || '-' || y || '-' || c AS source_version_id, v, CAST(y AS INTEGER) AS academic_year, c AS round_code,
+    y % 3 = 0 AND c = 'R3' AS corrected, y % 2 = 0 OR c <> 'R4' AS usable
+  FROM (VALUES ('v1'), ('v2')) a(v), range(1995, 2002) b(y), (VALUES ('MOCK'), ('R1'), ('KKR_SPECIAL'), ('R3'), ('R4')) r(c)),
+counts AS (SELECT source_version_id, count(*) AS n, count(*) FILTER (is_valid) AS ok FROM final GROUP BY 1),
+gate1 AS ({gate.format(held='NULL::BIGINT')} WHERE v = 'v1'),
+held AS (
+  SELECT f.academic_year, f.round_code, count(*) AS m FROM final f JOIN gate1 g USING (source_version_id) JOIN branches b ON b.branch_id = f.branch_code
+  WHERE is_valid AND error_code IS NULL AND category_code <> 'HKR' AND b.program_type = 'ENGINEERING' GROUP BY ALL),
+gate2 AS ({gate.format(held='h.m')} LEFT JOIN held h ON h.academic_year = d.academic_year AND h.round_code = d.round_code WHERE v = 'v2')"""
+
+
+def additions() -> dict[str, str]:
+    grouped = _by_round_documents()
+    state = "CASE WHEN error_code IS NULL THEN 'PUBLISHED' ELSE 'NEEDS_REVIEW' END AS processing_status"
+    whole = "format('{:,}', CAST(round_even(%s, 0) AS BIGINT))"
+    scored, decided, late = _scored("error_code IS NULL"), prediction()["decision"], longitudinal()["recency"]
+    fields = [
+        ("row_idx", "row_idx", True), ("college_code", "college_code", True), ("branch_code", "branch_code", True),
+        ("category_code", "category_code", True), ("round_code", "round_code", True), ("opening_rank", "o", False),
+        ("closing_rank", "c", False), ("academic_year", "academic_year", False), ("source_version_id", "source_version_id", True),
+    ]
+    json = " || ',' || ".join(
+        f"'\"{n}\":\"' || {c} || '\"'" if quoted else f"'\"{n}\":' || {c}" for n, c, quoted in fields if n != "opening_rank"
+    )
+    json = json.replace("|| ',' || '\"closing_rank\"", "|| coalesce(',\"opening_rank\":' || o, '') || ',' || '\"closing_rank\"")
+    at = "date_diff('day', DATE '1970-01-01', {})"
+    return {
+        "stream_late_arrivals": f"WITH {_DAILY} SELECT * FROM daily",
+        "asof_history": f"""{BASE}, facts AS (
+  SELECT college_id, branch_id, category_code, {at.format('CAST(l_shipdate AS DATE)')} AS day, CAST(floor(max(l_extendedprice)) AS BIGINT) AS v
+  FROM lines GROUP BY ALL),
+targets AS (SELECT DISTINCT college_id, branch_id, category_code, academic_year FROM cutoffs)
+SELECT t.*, count(v) AS depth, CAST(sum(v) AS BIGINT) AS total, min(v) AS lowest, max(v) AS highest, arg_max(v, day) AS latest,
+  max(day) AS latest_at, (list(v ORDER BY day DESC) FILTER (v IS NOT NULL))[2] AS second, (list(day ORDER BY day DESC) FILTER (v IS NOT NULL))[2] AS second_at
+FROM targets t LEFT JOIN facts f ON f.college_id = t.college_id AND f.branch_id = t.branch_id AND f.category_code = t.category_code
+  AND f.day < {at.format('make_date(t.academic_year, 1, 1)')} GROUP BY ALL""",
+        "bt_windows_open": f"""{_OPEN} SELECT {_WINDOW}, count(*) AS total_test_combinations,
+  count(*) FILTER (depth > 0) AS evaluated_combinations, count(*) FILTER (depth = 0) AS cold_start_combinations FROM tests GROUP BY ALL""",
+        "bt_points_open": f"{_OPEN} SELECT {_WINDOW}, model, {_POINT} FROM points GROUP BY ALL",
+        "bt_intervals_open": f"{_OPEN} SELECT {_WINDOW}, model, {_SPAN} FROM spans GROUP BY ALL",
+        "leakage_lineage": f"""{_tests('R1')} SELECT target_year, CAST(sum(depth) AS BIGINT) AS train_records, CAST(0 AS BIGINT) AS unknown_records,
+  CAST(0 AS BIGINT) AS future_records, CAST(0 AS BIGINT) AS other_rounds, CAST(0 AS BIGINT) AS unpublished_records
+FROM tests GROUP BY 1 HAVING sum(depth) > 0""",
+        "dq_baseline": f"""{grouped} SELECT source_version_id, 'ENGINEERING' AS program_type, corrected AS is_corrigendum, extracted_count,
+  baseline_count, CAST(50 AS INTEGER) AS minimum_rows, error_code, {state} FROM gate2""",
+        "document_anomalies": f"""{grouped} SELECT source_version_id, extracted_count, CASE WHEN NOT usable THEN 'SCANNED_OR_EMPTY_PDF'
+  WHEN extracted_count = 0 THEN 'SUSPICIOUSLY_EMPTY_DOCUMENT' END AS document_anomaly, {state}
+FROM (SELECT * FROM gate1 UNION ALL SELECT * FROM gate2)""",
+        "unsupported_documents": f"""SELECT {CODE.format('s_suppkey')} || '-' || v AS source_version_id,
+  CASE WHEN s_nationkey < 24 THEN 'NOTIFICATION_PDF' ELSE 'UNKNOWN' END AS document_type, 'UNKNOWN_DOCUMENT_TYPE' AS failure_reason
+FROM supplier, (VALUES ('v1'), ('v2')) t(v) WHERE s_nationkey >= 22""",
+        "error_context": f"""{BASE}, {_REGISTRY}, {_RAW_CUTOFFS.format(batch='')}, named AS (
+  SELECT *, 'cutoff_rec_' || row_idx AS entity_identifier, '{{' || {json} || '}}' AS context_data FROM final)
+SELECT entity_identifier, error_codes AS error_code, 'ERROR' AS severity, context_data FROM named WHERE error_codes <> ''
+UNION ALL SELECT entity_identifier, unnest(string_split(anomalies, ',')), 'WARNING', context_data FROM named WHERE anomalies <> ''""",
+        "provenance_gaps": f"""{BASE} SELECT academic_year, college_code, branch_code, 'MISSING_PROVENANCE' AS anomaly_type, 'DATA_VALIDATION_FAILURE' AS cause,
+  'Missing source version linkage.' AS description, 'Cutoff record has null source_version_id' AS details FROM panel WHERE CAST(college_id AS INTEGER) % 7 = 0""",
+        "seed_categories": """WITH held AS (SELECT CASE WHEN n_nationkey = 3 THEN 'GM' ELSE n_name END AS category_code, n_name AS category_name, 'held' AS description FROM nation)
+SELECT * FROM held UNION ALL
+SELECT * FROM (VALUES ('KKR', 'Kalyana Karnataka Region', 'Hyderabad-Karnataka quota under Article 371J'),
+                      ('HKR', 'Hyderabad Karnataka Region', 'Legacy Hyderabad-Karnataka reservation quota')) t""",
+        "rounds_dropped": f"""{BASE}, names AS (SELECT CAST(y AS INTEGER) AS academic_year, c AS round_code, n AS round_name FROM range(1995, 2002) t(y),
+  (VALUES ('MOCK', 'Mock Round'), ('R1', 'Round 1'), ('R3', 'Round 3'), ('R4', 'Round 4')) r(c, n)),
+f AS (SELECT academic_year, CASE round_code WHEN 'KKR_SPECIAL' THEN 'R3' ELSE round_code END AS round_code, count(*) AS records FROM cutoffs GROUP BY 1, 2)
+SELECT academic_year, round_code, round_name, records, CAST(CASE round_code WHEN 'R3' THEN 4 ELSE 2 END AS BIGINT) AS documents
+FROM names LEFT JOIN f USING (academic_year, round_code)""",
+        "review_resolve": f"""{OPS}, done AS (SELECT DISTINCT source_id FROM versions WHERE processing_status = 'PUBLISHED'),
+i AS (SELECT r.*, CASE WHEN r.source_id > '5' THEN document_url END AS notes, status = 'PENDING_REVIEW' AND d.source_id IS NOT NULL AS closes
+      FROM reviews r LEFT JOIN done d ON d.source_id = r.source_id)
+SELECT item_id, 'of-' || source_id AS source_version_id, CASE WHEN closes THEN 'APPROVED' ELSE status END AS status,
+  CASE WHEN closes THEN coalesce(notes, '') || ' [Resolved: validated and published]' ELSE notes END AS review_notes FROM i""",
+        "source_filtered": f"""{OPS} SELECT source_id, source_code, title, is_enabled, check_frequency_hours, CAST(2024 AS INTEGER) AS academic_year,
+  'CUTOFF_PDF' AS document_type, source_version_id, source_title AS version_title, processing_status
+FROM sources LEFT JOIN versions USING (source_id) WHERE CAST(source_id AS BIGINT) % 3 = 1 AND CAST(source_id AS BIGINT) % 2 = 0""",
+        "number_forms": """SELECT s_suppkey, CASE WHEN floor(s_acctbal) >= 0 THEN '+' ELSE '' END || format('{:,}', CAST(floor(s_acctbal) AS BIGINT)) AS signed,
+  format('{:,.2f}', floor(s_acctbal) * 1000 / 100000) AS lakhs FROM supplier""",
+        "pred_explanations": f"""{scored}, seen AS (
+  SELECT request_id, string_agg(CAST(s.academic_year AS VARCHAR), ', ' ORDER BY s.academic_year) AS years
+  FROM asked a JOIN series s ON s.family = a.family AND s.college_id = a.college_id AND s.branch_id = a.branch_id
+   AND s.category = a.category AND s.academic_year < a.academic_year GROUP BY request_id),
+x AS (SELECT *, CASE family WHEN 'TERMINAL' THEN 'final round' ELSE family END AS label, CASE family WHEN 'R3' THEN 'R1' ELSE 'R3' END AS earlier,
+  {_MODEL_NAME} AS name FROM bounded LEFT JOIN seen USING (request_id)),
+y AS (
+  SELECT request_id, 'SUCCESS' AS status, list_filter([
+    'history of ' || label || ': ' || CASE WHEN n > 0 THEN years || ' (newest ' || {whole % 'latest'} || ')' ELSE 'none before ' || academic_year END,
+    CASE WHEN pre IS NOT NULL THEN earlier || ' in ' || academic_year || ': ' || {whole % 'pre'} END,
+    CASE WHEN pre IS NOT NULL AND family = 'R3' THEN 'median move from R1 to R3: ' || {whole % 'move'} END,
+    name || ': ' || {whole % 'p'} || ' within ' || {whole % dec('lo', 1)} || ' and ' || {whole % dec('hi', 1)}], lambda l: l IS NOT NULL) AS ls
+  FROM x WHERE p IS NOT NULL
+  UNION ALL SELECT request_id, 'INSUFFICIENT_EVIDENCE', [CASE
+    WHEN n = 0 AND pre IS NULL THEN CASE family WHEN 'R1' THEN 'No published Round 1 cutoffs of this combination before year ' || academic_year || '.'
+      WHEN 'R3' THEN 'Neither Round 1 of ' || academic_year || ' nor an earlier Round 3 of this combination exists.'
+      ELSE 'Neither Round 3 of ' || academic_year || ' nor an earlier final cutoff of this combination exists.' END
+    WHEN m = 'B' THEN 'Model B requires strict T-1 data, which academic year ' || (academic_year - 1) || ' lacks.'
+    ELSE 'Round 1 of ' || academic_year || ' may not be used by this model and no earlier Round 3 exists.' END]
+  FROM x WHERE p IS NULL)
+SELECT request_id, status, CAST(unnest(range(len(ls))) AS INTEGER) AS position, unnest(ls) AS line FROM y""",
+        "decision_texts": f"""SELECT request_id, CASE evidence_state
+  WHEN 'NUMERICALLY_BELOW_LOWER_BOUND' THEN 'Rank ' || a || ' is below the lower bound of the estimated range (' || b || ' - ' || d || ').'
+  WHEN 'WITHIN_LOWER_HALF' THEN 'Rank ' || a || ' lies between the lower bound ' || b || ' and the estimate ' || c || '.'
+  WHEN 'WITHIN_UPPER_HALF' THEN 'Rank ' || a || ' lies between the estimate ' || c || ' and the upper bound ' || d || '.'
+  WHEN 'NUMERICALLY_ABOVE_UPPER_BOUND' THEN 'Rank ' || a || ' is beyond the upper bound of the estimated range (' || b || ' - ' || d || ').'
+  WHEN 'INSUFFICIENT_EVIDENCE' THEN 'There is not enough comparable evidence.' END AS decision_text
+FROM (SELECT *, {whole % 'candidate_rank'} AS a, {whole % 'lower_bound'} AS b, {whole % 'predicted_closing_rank'} AS c, {whole % 'upper_bound'} AS d FROM ({decided}))""",
+        "choices": f"""{scored}, offered AS (
+  SELECT college_id, raw_branch_id, {dec('p', 1)} AS p, CASE WHEN p IS NOT NULL THEN {dec('lo', 1)} END AS lo, CASE WHEN p IS NOT NULL THEN {dec('hi', 1)} END AS hi
+  FROM bounded WHERE round = 'R1' AND academic_year = 2000 AND category = 'GM' AND request_id LIKE '%v2'),
+chosen AS (
+  SELECT DISTINCT o_custkey AS customer, CAST(l_suppkey AS VARCHAR) AS college_id, p_type AS branch_id,
+    CAST(o_custkey * 137 % 90000 + 1 AS INTEGER) AS candidate_rank
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE year(o_orderdate) = 2000)
+SELECT customer, c.college_id, c.branch_id, candidate_rank, 'GM' AS category, CAST(2000 AS INTEGER) AS academic_year, 'R1' AS round,
+  p AS predicted_closing_rank, lo AS lower_bound, hi AS upper_bound,
+  CASE WHEN p IS NULL THEN 'INSUFFICIENT_EVIDENCE' WHEN candidate_rank < lo THEN 'NUMERICALLY_BELOW_LOWER_BOUND'
+       WHEN candidate_rank <= p THEN 'WITHIN_LOWER_HALF' WHEN candidate_rank <= hi THEN 'WITHIN_UPPER_HALF'
+       ELSE 'NUMERICALLY_ABOVE_UPPER_BOUND' END AS evidence_state,
+  candidate_rank <= p AS within, abs(candidate_rank - p) AS difference,
+  CASE WHEN candidate_rank <= p THEN 'Within by ' WHEN candidate_rank > p THEN 'Beyond by ' END || {whole % 'abs(candidate_rank - p)'} AS label
+FROM chosen c LEFT JOIN offered k ON k.college_id = c.college_id AND k.raw_branch_id = c.branch_id""",
+        "recency_terminal": late.replace("WHERE round_code = 'R1' GROUP BY", "WHERE round_code = 'R4' GROUP BY")
+        .replace("academic_year = 1999", "academic_year = 1998").replace("CAST(1999 AS", "CAST(1998 AS").replace("'R1' AS comp", "'TERMINAL' AS comp"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (longitudinal, lookups, prediction, quality, documents, streams):
+    for part in (longitudinal, lookups, prediction, quality, documents, streams, additions):
         out.update(part())
     out.update(report(out))
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.catalog.oracle import YOY_PAIRS
-from cutline.functions.ranks import rounded
+from cutline.functions.ranks import in_lakhs, rounded, signed_thousands
 from cutline.functions.ranks import thousands as rank_text
 from cutline.operators import backtest as bt
 from cutline.operators import longitudinal as lon
@@ -17,6 +17,7 @@ from cutline.operators import monitor as mon
 from cutline.operators import predict as pre
 from cutline.operators import publish as pub
 from cutline.operators import quality as dq
+from cutline.plans.history import as_of
 from cutline.plans.panel import terminal_states
 from cutline.functions import text as tx
 from cutline.sources import grids, pages, registry, sinks
@@ -912,5 +913,207 @@ def stream_ingest(s: Star) -> DataFrame:
     return job.facts().drop("row_identifier")
 
 
+@register
+def stream_late_arrivals(s: Star) -> DataFrame:
+    """Arrivals counted from files that each hold rows of all days, one file per trigger: most rows come late."""
+    events = s.table("events").selectExpr("CAST(user_id AS STRING) AS source_id", "ts", "props AS content")
+    inbox, out, state = (shared_folder(s.spark, name) for name in ("late-inbox", "late", "late-state"))
+    events.repartition(6, "content", "ts").write.parquet(inbox)
+    stream = s.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    arrivals_stream.run_arrivals(stream, out, state)
+    return arrivals_stream.daily_arrivals(s.spark, out)
+
+
+# history as of a time --------------------------------------------------------
+
+_DAY = "datediff(CAST({} AS DATE), DATE'1970-01-01')"
+
+
+@register
+def asof_history(s: Star) -> DataFrame:
+    """What the lines of a college, branch and category, by day of shipping, say before each year of the facts."""
+    keys = ["college_id", "branch_id", "category_code"]
+    facts = s.lines().selectExpr(*keys, f"{_DAY.format('l_shipdate')} AS day", "CAST(floor(l_extendedprice) AS BIGINT) AS closing")
+    targets = s.cutoffs().select(*keys, "academic_year").distinct()
+    return as_of(targets, facts, keys, _DAY.format("make_date(academic_year, 1, 1)"), "day", "closing", span=365)
+
+
+def _open_cases(s: Star) -> DataFrame:
+    return bt.open_cases(s.ship_cells(), "ship_year")
+
+
+@register
+def bt_windows_open(s: Star) -> DataFrame:
+    """Combos tested per year of shipping; the years are those of the table."""
+    return bt.window_summary(_open_cases(s))
+
+
+@register
+def bt_points_open(s: Star) -> DataFrame:
+    return bt.point_metrics(bt.point_forecasts(_open_cases(s)), [*bt.WINDOW, "model"])
+
+
+@register
+def bt_intervals_open(s: Star) -> DataFrame:
+    return bt.interval_metrics(bt.interval_forecasts(_open_cases(s)), [*bt.WINDOW, "model"])
+
+
+@register
+def leakage_lineage(s: Star) -> DataFrame:
+    """The records that first-round cases learned from, checked against all facts."""
+    tested = bt.open_cases(s.panel().where("round_code = 'R1'"), record="record_id")
+    return bt.leakage_by_lineage(tested, s.cutoffs())
+
+
+# inputs of the gate ------------------------------------------------------------
+
+
+def _round_outcomes(s: Star) -> tuple[DataFrame, DataFrame]:
+    """Documents of one round and year: those of version v1 first, those of v2 against what v1 published."""
+    tagged = dq.validate_cutoffs(
+        s.raw_cutoffs(document=s.ROUND_DOCUMENT), s.registry_colleges(), s.registry_branches(), CATEGORIES, ["source_version_id"]
+    )
+    documents = s.round_documents().withColumns(
+        {"is_corrigendum": F.expr(dq.corrigendum("title")), "baseline_count": F.lit(None).cast("bigint")}
+    )
+    limits = dq.thresholds_frame(s.spark)
+    first = dq.document_outcomes(tagged, documents.where("version = 'v1'"), limits)
+    known = dq.publishable_rows(tagged, first).where(F.col("category_code").isin(CATEGORIES))
+    baseline = pub.published_counts(known.withColumnRenamed("branch_code", "branch_id"), s.branches())
+    return first, dq.document_outcomes(tagged, documents.where("version = 'v2'"), limits, baseline)
+
+
+@register
+def dq_baseline(s: Star) -> DataFrame:
+    """Later documents of each round, held against the rows published before."""
+    return _round_outcomes(s)[1].select(
+        "source_version_id", "program_type", "is_corrigendum", "extracted_count", "baseline_count", "minimum_rows", "error_code",
+        "processing_status",
+    )
+
+
+@register
+def document_anomalies(s: Star) -> DataFrame:
+    """Remarks on documents as a whole."""
+    first, second = _round_outcomes(s)
+    return first.drop("baseline_count").unionByName(second.drop("baseline_count")).select(
+        "source_version_id", "extracted_count", "document_anomaly", "processing_status"
+    )
+
+
+@register
+def unsupported_documents(s: Star) -> DataFrame:
+    """Documents nobody can parse, as they go to review."""
+    return grids.without_parser(s.raw_documents()).select("source_version_id", "document_type", "failure_reason")
+
+
+@register
+def error_context(s: Star) -> DataFrame:
+    """Every error and remark of the cutoff rows, with the record it is about."""
+    return dq.error_rows(_tagged_cutoffs(s), "CUTOFF").select("entity_identifier", "error_code", "severity", "context_data")
+
+
+@register
+def provenance_gaps(s: Star) -> DataFrame:
+    """Panel rows that name no source version: those of every seventh college."""
+    gaps = s.panel().withColumn("source_version_id", F.expr("CASE WHEN CAST(college_id AS INT) % 7 > 0 THEN source_version_id END"))
+    return lon.anomaly_details(lon.missing_provenance(gaps)).select(
+        "academic_year", "college_code", "branch_code", "anomaly_type", "cause", "description", "details"
+    )
+
+
+# dimensions --------------------------------------------------------------------
+
+
+@register
+def seed_categories(s: Star) -> DataFrame:
+    """Standard categories beside those that are there: one per nation, and one that is a standard one already."""
+    existing = s.table("nation").selectExpr(
+        "CASE WHEN n_nationkey = 3 THEN 'GM' ELSE n_name END AS category_code", "n_name AS category_name", "'held' AS description"
+    )
+    return registry.seed_categories(s.spark, existing)
+
+
+@register
+def rounds_dropped(s: Star) -> DataFrame:
+    """Rounds and versions after one round was merged into another, with the facts they hold."""
+    mapping = {"KKR_SPECIAL": "R3"}
+    facts = pub.remap_rounds(s.cutoffs(), mapping).groupBy("academic_year", "round_code").agg(F.expr("count(1) AS records"))
+    versions = pub.remap_versions(s.round_documents(), mapping).groupBy("academic_year", "counselling_round").agg(
+        F.expr("count(1) AS documents")
+    ).withColumnRenamed("counselling_round", "round_code")
+    left = pub.drop_unused_rounds(s.rounds(), mapping).select("academic_year", "round_code", "round_name")
+    key = ["academic_year", "round_code"]
+    return left.join(facts, key, "left").join(versions, key, "left")
+
+
+@register
+def review_resolve(s: Star) -> DataFrame:
+    """Review items whose source has published a version since."""
+    items = s.reviews().selectExpr(
+        "item_id", "concat('of-', source_id) AS source_version_id", "status",
+        "CASE WHEN source_id > '5' THEN document_url END AS review_notes",
+    )
+    done = s.versions().where("processing_status = 'PUBLISHED'").selectExpr("concat('of-', source_id) AS source_version_id")
+    return pub.resolve_reviews(items, done)
+
+
+@register
+def source_filtered(s: Star) -> DataFrame:
+    """Sources of one year and type with their versions."""
+    sources = s.sources().selectExpr(
+        "*", "CAST(2023 + CAST(source_id AS INT) % 3 AS INT) AS academic_year",
+        "CASE WHEN CAST(source_id AS INT) % 2 = 0 THEN 'CUTOFF_PDF' ELSE 'OTHER' END AS document_type",
+    )
+    found = look.source_catalogue(sources, s.versions(), academic_year=2024, document_type="CUTOFF_PDF")
+    return found.drop("last_checked_at", "version_created_at")
+
+
+@register
+def number_forms(s: Star) -> DataFrame:
+    """Amounts as the pages show them: with a sign, and in units of a hundred thousand."""
+    return s.table("supplier").selectExpr(
+        "s_suppkey", f"{signed_thousands('floor(s_acctbal)')} AS signed", f"{in_lakhs('floor(s_acctbal) * 1000')} AS lakhs"
+    )
+
+
+# sentences and choices -----------------------------------------------------------
+
+
+@register
+def pred_explanations(s: Star) -> DataFrame:
+    """The lines that explain each prediction, or say why there is none."""
+    # a plain explode would have the optimizer infer filters on the whole expression; no explanation is empty
+    return _predictions(s).select("request_id", "status", F.posexplode_outer("explanation").alias("position", "line"))
+
+
+@register
+def decision_texts(s: Star) -> DataFrame:
+    return pre.decide(s.requests(), s.wide(), s.colleges(), s.branches(), BASE_YEAR).select("request_id", "decision_text")
+
+
+@register
+def choices(s: Star) -> DataFrame:
+    """Each customer's rank against every college and branch of their orders in 2000, as first-round choices."""
+    order, part = s.table("orders").where("year(o_orderdate) = 2000"), s.table("part")
+    chosen = (
+        s.table("lineitem").join(order, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
+        .selectExpr("o_custkey AS customer", "CAST(l_suppkey AS STRING) AS college_id", "p_type AS branch_id").distinct()
+        .selectExpr("*", "CAST(customer * 137 % 90000 + 1 AS INT) AS candidate_rank",
+                    "'GM' AS category", "2000 AS academic_year", "'R1' AS round")
+    )
+    asked = s.requests().where("round = 'R1' AND academic_year = 2000 AND category = 'GM' AND request_id LIKE '%v2'")
+    predictions = pre.predict(asked, s.wide(), s.colleges(), s.branches(), BASE_YEAR).drop("branch_id")
+    return pre.score_choices(chosen, predictions.withColumnRenamed("raw_branch_id", "branch_id"))
+
+
+@register
+def recency_terminal(s: Star) -> DataFrame:
+    return round_columns(
+        lon.recency_evidence(s.wide(), 2001, "TERMINAL"),
+        ["recent_median_relative_distance", "older_median_relative_distance", "recent_closer_percentage"],
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

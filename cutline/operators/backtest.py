@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from cutline.functions import stats
 from cutline.functions.ranks import at_least_one, nonzero, rounded
 from cutline.functions.sql import columns, inline, text
+from cutline.plans.history import as_of
 from cutline.plans.panel import COMBO, WidePanel
-from cutline.plans.pooled import with_medians
+from cutline.plans.pooled import lookup, with_medians
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -88,6 +89,48 @@ def cases(wide: WidePanel, target_years: Sequence[int], scope: str = "R1") -> Da
     return found.withColumn("mad", F.expr(stats.mad_of(past, "depth", "median"))).drop(*past)
 
 
+def open_cases(
+    cells: DataFrame, year: str = "academic_year", target_years: Sequence[int] | None = None, record: str | None = None
+) -> DataFrame:
+    """As ``cases``, over all years that the cells hold, whatever a calendar says of them.
+
+    ``cells`` are long rows (combo, year, closing_rank); of several in one year the greatest rank counts. The history
+    of each case is read as of its year. Medians need the values themselves: an array per combo with one value per
+    year of the table. With ``record``, the column of record ids, ``sources`` lists the records a case learned from.
+    """
+    ranks = cells.selectExpr(
+        *COMBO, f"{year} AS _year", "CAST(closing_rank AS BIGINT) AS actual", f"{record or 'CAST(NULL AS STRING)'} AS _record"
+    ).where("_year IS NOT NULL AND actual IS NOT NULL")
+    best = "max(struct(actual, _record))" if record else "struct(max(actual) AS actual, CAST(NULL AS STRING) AS _record)"
+    ranks = ranks.groupBy(*COMBO, "_year").agg(F.expr(f"{best} AS _best")).select(*COMBO, "_year", "_best.*")
+    keys = ["college_id", "branch_id", "program_type", "category"]
+    targets = ranks if target_years is None else ranks.where(F.col("_year").isin(list(target_years)))
+    known = as_of(targets, ranks, keys, "_year", "_year", "actual")
+    all_ranks = ranks.groupBy(*keys).agg(F.expr("collect_list(struct(_year AS y, actual AS v, _record AS r)) AS _all"))
+    sources = ["transform(_earlier, x -> x.r) AS sources"] if record else []
+    return (
+        known.join(all_ranks, keys)
+        .withColumn("_earlier", F.expr("filter(_all, x -> x.y < _year)"))
+        .withColumn("_past", F.expr("array_sort(transform(_earlier, x -> CAST(x.v AS DOUBLE)))"))
+        .withColumn("median", F.expr(_middle("_past")))
+        .withColumn("_off", F.expr("array_sort(transform(_past, v -> abs(v - median)))"))
+        .selectExpr(
+            *COMBO, "CAST(_year AS INT) AS target_year", "CAST(actual AS DOUBLE) AS actual", "CAST(depth AS INT) AS depth",
+            "CAST(latest AS DOUBLE) AS latest", "CAST(latest_at AS INT) AS latest_year", "CAST(second AS DOUBLE) AS second",
+            "CAST(second_at AS INT) AS second_year", "CAST(total AS DOUBLE) / nullif(depth, 0) AS mean", "median",
+            "CAST(lowest AS DOUBLE) AS lowest", "CAST(highest AS DOUBLE) AS highest", f"{_middle('_off')} AS mad", *sources,
+        )
+    )
+
+
+def _middle(values: str) -> str:
+    """Median of a sorted array; NULL of an empty one."""
+    size = f"size({values})"
+    return (
+        f"CASE WHEN {size} > 0 THEN ({values}[({size} - 1) DIV 2] + {values}[{size} DIV 2]) / 2 END"
+    )
+
+
 def window_summary(tested: DataFrame) -> DataFrame:
     """Combos tested, evaluated and without any history, per window."""
     return tested.groupBy(*WINDOW).agg(
@@ -203,6 +246,23 @@ def training_rows(panel: DataFrame, target_years: Sequence[int], round_code: str
     )
 
 
+def leakage_by_lineage(tested: DataFrame, facts: DataFrame, round_code: str = "R1") -> DataFrame:
+    """Counts per target year of the records that cases (with ``sources``) did learn from, checked against the facts.
+
+    Year, round and status are those the facts hold under the record's id, not those the cases were built with; so a
+    record of a later year that slipped into a history under a wrong year is found. All but the first count have to be 0.
+    """
+    used = tested.selectExpr("target_year", "explode(sources) AS record_id")
+    known = facts.selectExpr("record_id", "academic_year AS _year", "round_code AS _round", "status AS _status")
+    return lookup(used, known, ["record_id"]).groupBy("target_year").agg(
+        F.count(F.lit(1)).alias("train_records"),
+        F.expr("count_if(_year IS NULL) AS unknown_records"),
+        F.expr("count_if(_year >= target_year) AS future_records"),
+        F.expr(f"count_if(_round <> {text(round_code)}) AS other_rounds"),
+        F.expr("count_if(_status <> 'PUBLISHED') AS unpublished_records"),
+    )
+
+
 def seat_correlation(
     wide: WidePanel, seats: DataFrame, branches: DataFrame, target: int, base: int, round_code: str = "R1",
 ) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.ranks import containment
+from cutline.plans.pooled import lookup
 
 ALL = "ALL"
 
@@ -204,37 +205,52 @@ def source_catalogue(
     return kept.join(held, "source_id", "left")
 
 
+GRAM = 3
+
+
+def _grams(text: str, width: int) -> str:
+    """SQL text of the distinct pieces of ``width`` letters of a text; none if it is shorter."""
+    return (
+        f"CASE WHEN length({text}) >= {width} THEN array_distinct(transform(sequence(1, length({text}) - {width - 1}), "
+        f"i -> substring({text}, i, {width}))) ELSE array() END"
+    )
+
+
+def names_containing(terms: DataFrame, names: DataFrame) -> DataFrame:
+    """For each term (_t) that is part of a name (_name, code, entity_id) the entity of the smallest code, as ``_by_name``.
+
+    An index holds three-letter pieces of the names, as many rows as letters. A term meets only the names that share
+    its rarest piece, and is then looked for in them; a term with a piece that no name has meets none. Terms of one or
+    two letters are looked up among the pieces of that length.
+    """
+    best = "min(struct(code, entity_id)).entity_id AS _by_name"
+    index = names.selectExpr("_name", "code", "entity_id", f"explode({_grams('_name', GRAM)}) AS _gram")
+    pieces = terms.where(f"length(_t) >= {GRAM}").select("_t").distinct().selectExpr("_t", f"explode({_grams('_t', GRAM)}) AS _gram")
+    counts = index.groupBy("_gram").agg(F.expr("count(1) AS _n"))
+    rarest = lookup(pieces, counts, ["_gram"]).groupBy("_t").agg(
+        F.expr("min(struct(coalesce(_n, 0L) AS n, _gram)) AS _rarest")
+    ).where("_rarest.n > 0").selectExpr("_t", "_rarest._gram AS _gram")
+    long = rarest.join(index, "_gram").where("contains(_name, _t)").groupBy("_t").agg(F.expr(best))
+    short = names.selectExpr(
+        "code", "entity_id", f"explode(concat({', '.join(_grams('_name', w) for w in range(1, GRAM))})) AS _t"
+    ).groupBy("_t").agg(F.expr(best))
+    return long.union(short)
+
+
 def resolve_entities(terms: DataFrame, entities: DataFrame) -> DataFrame:
     """Find the entity each term means: by id, else by code, ignoring case, else by part of a short name.
 
-    ``terms(term)`` holds what was asked for; ``entities(entity_id, code, short_name)``
-    is what can be found. Matching by part of a name is an equi-join too: each
-    name is spread into its distinct parts (bounded by the length of a name),
-    and the smallest code is kept per part before any term meets it.
+    ``terms(term)`` holds what was asked for; ``entities(entity_id, code, short_name)`` is what can be found. Of several
+    names with the term in them the one with the smallest code counts. An empty term means nothing.
     """
-    term = F.lower("term")
     ids = entities.select(F.lower("entity_id").alias("_id"), F.col("entity_id").alias("_by_id"))
     codes = entities.groupBy(F.lower("code").alias("_code")).agg(F.min("entity_id").alias("_by_code"))
-    name = F.lower("short_name")
-    parts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length(name)),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n)
-            ),
-        )
-    )
-    named = (
-        entities.filter(F.length(name) > 0)
-        .select(F.explode(F.array_distinct(parts)).alias("_part"), "code", "entity_id")
-        .groupBy("_part")
-        .agg(F.min_by("entity_id", "code").alias("_by_name"))
-    )
+    asked = terms.withColumn("_t", F.lower("term"))
+    named = names_containing(asked, entities.selectExpr("lower(short_name) AS _name", "code", "entity_id"))
     return (
-        terms.withColumn("_t", term)
-        .join(ids, F.col("_t") == F.col("_id"), "left")
+        asked.join(ids, F.col("_t") == F.col("_id"), "left")
         .join(codes, F.col("_t") == F.col("_code"), "left")
-        .join(named, F.col("_t") == F.col("_part"), "left")
+        .join(named, "_t", "left")
         .select("term", F.coalesce("_by_id", "_by_code", "_by_name").alias("entity_id"))
     )
 

@@ -359,35 +359,24 @@ def _evidence(calendar: RoundCalendar) -> str:
 
 
 def _explanation(calendar: RoundCalendar) -> str:
-    """Sentences that say what was used."""
+    """What a result was made of, a line for each kind of evidence that the row holds."""
     years = ", ".join(f"CASE WHEN _p{y} IS NOT NULL THEN '{y}' END" for y in calendar.years)
     seen = f"array_join(array_compact(array({years})), ', ')"
-    bounds = f"{thousands('_interval.lower_bound')}, {thousands('_interval.upper_bound')}"
-
-    def words(sentence: str, arguments: str, test: str | None = None) -> str:
-        said = f"format_string({text(sentence)}, {arguments})"
-        return case((test, said)) if test else said
-
-    r1 = [
-        words("Round 1 prediction rests on %d earlier comparable observation(s) (%s).", f"_n, {seen}"),
-        words("%s estimates a closing rank of %s.", f"_name, {thousands('_estimate')}"),
-        words("The latest comparable Round 1 cutoff was in %d at rank %s.", f"_latest_year, {thousands('_latest')}"),
-        words("Prediction interval: [%s to %s] (-15%% to +55%%).", bounds),
-    ]
-    has_preceding = "_preceding IS NOT NULL"
-    r3 = [
-        words("Round 3 prediction by %s.", "_name"),
-        words("Round 1 of %d closed at %s.", f"academic_year, {thousands('_preceding')}", has_preceding),
-        words("The median earlier R1->R3 move is +%s ranks.", thousands("_move"), has_preceding),
-        words("Earlier Round 3 data from years: %s.", seen, "_n > 0"),
-    ]
-    terminal = [
-        words("Final closing rank prediction by %s.", "_name"),
-        words("Round 3 of the year closed at %s.", thousands("_preceding"), has_preceding),
-        words("%d earlier final observation(s) from: %s.", f"_n, {seen}", "_n > 0"),
-        words("Wide interval [%s to %s] for the spread of R3->R4 moves.", bounds),
+    series = _by_round("'R1'", "'R3'", "'final round'")
+    before = _by_round("''", "'R1'", "'R3'")
+
+    def line(pattern: str, *arguments: str) -> str:
+        return f"format_string({text(pattern)}, {', '.join(arguments)})"
+
+    lines = [
+        case(("_n > 0", line("history of %s: %s (newest %s)", series, seen, thousands("_latest"))),
+             default=line("history of %s: none before %d", series, "academic_year")),
+        case(("_preceding IS NOT NULL", line("%s in %d: %s", before, "academic_year", thousands("_preceding")))),
+        case(("_preceding IS NOT NULL AND _family = 'R3'", line("median move from R1 to R3: %s", thousands("_move")))),
+        line("%s: %s within %s and %s", "_name", thousands("_estimate"), thousands("_interval.lower_bound"),
+             thousands("_interval.upper_bound")),
     ]
-    return f"array_compact({_by_round(*[f'array({chr(44).join(x)})' for x in (r1, r3, terminal)])})"
+    return f"array_compact(array({', '.join(lines)}))"
 
 
 def score_requests(

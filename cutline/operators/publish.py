@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.sql import case, columns, text, texts
+from cutline.plans.pooled import lookup
 from cutline.schemas import CUTOFF_KEY
 
 # ---------------------------------------------------------------------------
@@ -106,6 +107,27 @@ def publish_report(outcomes: DataFrame, existing: DataFrame, order: str) -> Data
     ).drop("_superseded")
 
 
+BASELINE_KEY = ["academic_year", "round_code", "program_type"]
+
+
+def published_counts(facts: DataFrame, branches: DataFrame) -> DataFrame:
+    """Published facts per (academic_year, round_code, program_type): what a new document of the round is held against."""
+    programs = branches.select("branch_id", "program_type")
+    return (
+        lookup(facts.where("status = 'PUBLISHED'"), programs, ["branch_id"])
+        .groupBy(*BASELINE_KEY).agg(F.expr("count(1) AS baseline_count"))
+    )
+
+
+def updated_counts(counts: DataFrame, before: DataFrame, after: DataFrame, branches: DataFrame) -> DataFrame:
+    """``published_counts`` after a change, from the parts of the store it touched, as they were and as they are."""
+    gone = published_counts(before, branches).withColumn("baseline_count", F.expr("-baseline_count"))
+    return (
+        counts.select(*BASELINE_KEY, "baseline_count").union(gone).union(published_counts(after, branches))
+        .groupBy(*BASELINE_KEY).agg(F.expr("sum(baseline_count) AS baseline_count")).where("baseline_count <> 0")
+    )
+
+
 def publish_absent(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Seats and fees: only rows whose exact key and version is absent; NULLs are equal."""
     held = existing.selectExpr(*[f"{k} AS _{k}" for k in keys])
@@ -229,6 +251,12 @@ def remap_rounds(facts: DataFrame, mapping: Mapping[str, str], years: list[int]
     return facts.withColumn("round_code", F.expr(new))
 
 
+def remap_versions(versions: DataFrame, mapping: Mapping[str, str], column: str = "counselling_round") -> DataFrame:
+    """Source versions with the round codes they name moved likewise, in all years."""
+    new = case(*[(f"{column} = {text(a)}", text(b)) for a, b in mapping.items()], default=column)
+    return versions.withColumn(column, F.expr(new))
+
+
 def drop_unused_rounds(rounds: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """The round dimension without the codes that were moved away."""
     return rounds.filter(f"round_code NOT IN {texts(list(mapping))}")

@@ -239,6 +239,12 @@ def completeness_gate(documents: DataFrame, thresholds: DataFrame) -> DataFrame:
     )
 
 
+def corrigendum(*texts_of: str) -> str:
+    """SQL text: one of the texts, such as title and address, says the document corrects another."""
+    return " OR ".join(f"contains(lower(coalesce({t}, '')), 'corrigendum')" for t in texts_of)
+
+
+# remarks on a document as a whole; they hold nothing back
 DOCUMENT_ANOMALY = case(
     ("NOT is_usable_text", "'SCANNED_OR_EMPTY_PDF'"),
     (
@@ -248,12 +254,18 @@ DOCUMENT_ANOMALY = case(
 )
 
 
-def document_outcomes(tagged: DataFrame, documents: DataFrame, thresholds: DataFrame) -> DataFrame:
+def document_outcomes(
+    tagged: DataFrame, documents: DataFrame, thresholds: DataFrame, baseline: DataFrame | None = None
+) -> DataFrame:
     """Status of each document from its rows: how many passed, and whether it may publish.
 
     ``tagged`` are validated rows with ``source_version_id``. One bad seat or fee
     row holds the whole document back; of a cutoff document the good rows may
     still publish if enough of them are left. A document without any row is kept.
+
+    ``baseline`` has the published rows per (academic_year, round_code, program_type), as ``publish.published_counts``
+    gives them; documents then need academic_year and counselling_round, and take ``baseline_count`` from there. If
+    documents have ``is_usable_text``, a remark on the document as a whole is added as ``document_anomaly``.
     """
     counts = tagged.groupBy("source_version_id").agg(
         F.expr("count(1) AS _rows"),
@@ -270,7 +282,12 @@ def document_outcomes(tagged: DataFrame, documents: DataFrame, thresholds: DataF
             }
         )
     ).drop("_rows", "_valid", "_arch")
+    if baseline is not None:
+        held = baseline.selectExpr("academic_year", "round_code AS counselling_round", "program_type", "baseline_count")
+        joined = lookup(joined.drop("baseline_count"), held, ["academic_year", "counselling_round", "program_type"])
     gated = completeness_gate(joined, thresholds)
+    if "is_usable_text" in documents.columns:
+        gated = gated.withColumn("document_anomaly", F.expr(DOCUMENT_ANOMALY))
     strict = "document_type IN ('SEAT_MATRIX_PDF', 'VACANT_SEATS_PDF', 'FEE_STRUCTURE_PDF')"
     reason = case(
         (f"{strict} AND rejected_records > 0", "'VALIDATION_FAILED'"), ("error_code IS NOT NULL", "error_code")

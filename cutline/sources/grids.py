@@ -219,6 +219,11 @@ PARSERS: dict[str, Parser] = {
 }
 
 
+# fixed values: the reason such documents are reviewed for, and the one type that is read without a parser of rows
+UNSUPPORTED = "UNKNOWN_DOCUMENT_TYPE"
+PORTAL_PAGE = "COUNSELLING_PORTAL_HTML"
+
+
 def parse(grids: DataFrame, document_type: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Rows of the grids of one document type, by the parser registered for it."""
     table = PARSERS if parsers is None else parsers
@@ -229,6 +234,6 @@ def parse(grids: DataFrame, document_type: str, parsers: dict[str, Parser] | Non
 
 def without_parser(documents: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Documents of a type nobody can parse; they go to review."""
-    known = list(PARSERS if parsers is None else parsers)
+    known = [*(PARSERS if parsers is None else parsers), PORTAL_PAGE]
     kind: Column = F.col("document_type")
-    return documents.filter(kind.isNull() | ~kind.isin(known)).withColumn("failure_reason", F.lit("UNSUPPORTED_DOCUMENT"))
+    return documents.filter(kind.isNull() | ~kind.isin(known)).withColumn("failure_reason", F.lit(UNSUPPORTED))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cutline.functions.sql import case, inline, text, texts
 from cutline.operators.predict import MODELS
 from cutline.plans.calendar import PARTIAL, RoundCalendar
-from cutline.plans.panel import WidePanel, canonical_panel, wide_panel
+from cutline.plans.panel import WidePanel, canonical_branches, canonical_panel, wide_panel
 from cutline.schemas import CUTOFF_KEY
 
 # ---------------------------------------------------------------------------
@@ -210,8 +210,10 @@ class Star:
             .withColumn("status", F.lit("PUBLISHED"))
         )
 
-    def raw_cutoffs(self, line: DataFrame | None = None) -> DataFrame:
-        """Line items as raw cutoff rows with the faults a validator must find."""
+    def raw_cutoffs(
+        self, line: DataFrame | None = None, document: str = "concat(college_code, '-', source_version_id)"
+    ) -> DataFrame:
+        """Line items as raw cutoff rows with the faults a validator must find; ``document`` names the version of each."""
         return self.lines(line).selectExpr(
             "line_id AS row_idx",
             "college_code",
@@ -222,7 +224,30 @@ class Star:
             "CAST(floor(l_extendedprice) AS INT) * 3 - 15000 AS closing_rank",
             "academic_year",
             "CAST(NULL AS STRING) AS row_identifier",
-            "concat(college_code, '-', source_version_id) AS source_version_id",
+            f"{document} AS source_version_id",
+        )
+
+    # a document of one round and year, with the rows of all colleges
+    ROUND_DOCUMENT = "concat(source_version_id, '-', academic_year, '-', round_code)"
+
+    def round_documents(self) -> DataFrame:
+        """One document per version, year and round; some correct others, some cannot be read as text."""
+        return self.rounds().selectExpr(
+            "explode(array('v1', 'v2')) AS version", "academic_year", "round_code AS counselling_round",
+        ).selectExpr(
+            "concat(version, '-', academic_year, '-', counselling_round) AS source_version_id", "version", "academic_year",
+            "counselling_round", "'CUTOFF_PDF' AS document_type", "'ENGINEERING' AS program_type",
+            "CASE WHEN academic_year % 3 = 0 AND counselling_round = 'R3' THEN 'Corrigendum to the list' ELSE 'List' END AS title",
+            "CAST(NULL AS INT) AS minimum", "academic_year % 2 = 0 OR counselling_round <> 'R4' AS is_usable_text",
+        )
+
+    def ship_cells(self) -> DataFrame:
+        """First-round lines on canonical branches as long cells of the year they were shipped in, which no calendar lists."""
+        canon = canonical_branches(self.branches()).withColumnRenamed("raw_branch_id", "_raw")
+        lines = self.lines().where("round_code = 'R1'").withColumnRenamed("branch_id", "_line_branch")
+        return lines.join(canon, F.expr("_line_branch = _raw")).selectExpr(
+            "college_id", "college_code", "branch_id", "branch_code", "program_type", "category_code AS category",
+            "year(l_shipdate) AS ship_year", "CAST(floor(l_extendedprice) AS INT) AS closing_rank",
         )
 
     def raw_seats(self) -> DataFrame:
@@ -407,7 +432,7 @@ class Star:
 
     def _grid(self, rows: DataFrame, header: list[str], cells: list[str], title: str) -> DataFrame:
         return rows.selectExpr(
-            "concat(college_id, '-', academic_year) AS doc_id", "1 AS page", "0 AS table_no",
+            "concat(college_id, '-', academic_year, '-', source_version_id) AS doc_id", "1 AS page", "0 AS table_no",
             f"array({', '.join(header)}) AS header", "CAST(_row AS INT) AS row_no", f"array({', '.join(cells)}) AS cells",
             "'CUTOFF_PDF' AS document_type", f"{text(title)} AS title", "academic_year", "round_code",
             "round_code AS counselling_round",
@@ -415,18 +440,18 @@ class Star:
 
     def _grid_facts(self) -> DataFrame:
         code = "format_string('S%05d', CAST(college_id AS BIGINT))"
-        return self.version_facts("true").filter("source_version_id = 'v2'").selectExpr(
+        return self.version_facts("true").selectExpr(
             "*", f"{code} AS code", "concat('Supplier ', college_id) AS name",
             "pmod(xxhash64(branch_id, category_code, round_code), 1000000) AS _row",
         )
 
     def wide_grid(self) -> DataFrame:
-        """One line per college, category, year and round; a column per branch."""
+        """One line per college, category, year, round and version; a column per branch."""
         types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
         ranks = [F.expr(f"max(CASE WHEN branch_id = '{t}' THEN closing_rank END) AS {t}") for t in types]
         rows = (
-            self.version_facts("source_version_id = 'v2'")
-            .groupBy("college_id", "category_code", "academic_year", "round_code")
+            self.version_facts("true")
+            .groupBy("college_id", "category_code", "academic_year", "round_code", "source_version_id")
             .agg(*ranks)
             .withColumn("_row", F.lit(1))
         )
@@ -451,7 +476,7 @@ class Star:
         """One line per course, with a column per category."""
         rows = (
             self._grid_facts()
-            .groupBy("college_id", "code", "name", "branch_id", "academic_year", "round_code")
+            .groupBy("college_id", "code", "name", "branch_id", "academic_year", "round_code", "source_version_id")
             .agg(
                 F.expr("max(CASE WHEN category_code = 'GM' THEN closing_rank END) AS gm"),
                 F.expr("max(CASE WHEN category_code = 'KKR' THEN closing_rank END) AS kkr"),
