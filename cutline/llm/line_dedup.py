@@ -24,6 +24,8 @@ from cutline.plans.pooled import lookup
 EDITS = ((60, 2), (24, 1))
 MOST = max(t for _, t in EDITS)
 BLOCK = 128  # lines of a hot key that meet in one task, from either side
+ROUNDS = 3  # comparisons of each line with the leader of each of its keys
+FEW = 2  # pairs per row of a key up to which they are joined
 CHUNK = 1 << 20  # code points hashed at once
 
 
@@ -177,9 +179,9 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
-    """All index lines of a hot key's block against all probe lines; links that join something, no more."""
+    """Index lines of a key's block against its probe lines of other components; links that join two of them, no more."""
     index, probe = block[block["side"] == 0], block[block["side"] == 1]
-    up = {int(i): int(i) for i in block["id"]}
+    up = {int(c): int(c) for c in block["comp"]}
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -188,68 +190,119 @@ def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
         return i
 
     links = []
-    for i, line in zip(index["id"], index["line"]):
-        rest = probe[[root(int(p)) != root(int(i)) for p in probe["id"]]]
+    for i, comp, line in zip(index["id"], index["comp"], index["line"]):
+        rest = probe[[root(int(c)) != root(int(comp)) for c in probe["comp"]]]
         if not len(rest):
             continue
         size = np.full(len(rest), len(line))
         good = within([line] * len(rest), list(rest["line"]), _limit(size, rest["line"].str.len().to_numpy()))
-        for p in rest["id"][good]:
-            x, y = root(int(i)), root(int(p))
+        for p, other in zip(rest["id"][good], rest["comp"][good]):
+            x, y = root(int(comp)), root(int(other))
             if x != y:
                 up[max(x, y)] = min(x, y)
                 links.append((int(i), int(p)))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _meetings(distinct: DataFrame) -> DataFrame:
+    """Rows (k, side, id, n) of the keys on which two different lines meet."""
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange serves the counts of each key and the way back to its rows; both only stream over them
+    dealt = (
+        distinct.where(f"len >= {min(n for n, _ in EDITS)}").select("id", "line")
+        .mapInArrow(_key_rows, "k long, side int, id long").repartition(tasks, "k")
+    )
+    # only keys that two lines share matter; most are one line's own
+    busy = (
+        dealt.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"))
+        .where("low < high AND i > 0").select("k")
+    )
+    met = saved(dealt.join(busy, "k").select("k", "side", "id"), "met")
+    return saved(lookup(met, distinct.select("id", "n"), ["id"]), "met")
+
+
+def _led(open_: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b) of each line with the leader of each of its keys, if they lie in different components.
+
+    At most one pair per row. The first leader is the line with the most copies, as a family of near-equal lines mostly
+    comes from one that is common; later leaders are drawn by hash.
+    """
+    best = "max(struct(n, -id AS m, id, comp))" if step == 0 else f"max(struct(xxhash64(id, {step}) AS h, -id AS m, id, comp))"
+    leaders = open_.groupBy("k").agg(F.expr(f"{best} AS lead"))
+    return (
+        lookup(open_, leaders, ["k"], "inner").where("comp <> lead.comp")
+        .selectExpr("least(id, lead.id) AS a", "greatest(id, lead.id) AS b").distinct()
+    )
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return (
+        pairs.join(texts.withColumnRenamed("id", "a"), "a")
+        .join(texts.selectExpr("id AS b", "line AS other"), "b").select("a", "b", "line", "other")
+        .mapInPandas(_verify, "a long, b long")
+    )
+
+
+def _left_open(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (k, side, id, n, comp) of the keys that still see several components."""
+    known = lookup(met, joined.selectExpr("node AS id", "component"), ["id"]).selectExpr(
+        "k", "side", "id", "n", "coalesce(component, id) AS comp"
+    )
+    several = known.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
+    return saved(lookup(known, several, ["k"], "inner"), "open")
+
+
 def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, place, key) of lines that are not blank, and the class of each distinct line (key, cls).
 
     Lines are joined by edit distance: two lines are linked when it is at most what ``EDITS`` allows for the shorter
     one, and a class is a connected component. A class is named by one of its lines' numbers.
+
+    A family of near-equal lines meets on many keys, and its pairs are the square of its size. Components need no more
+    than a spanning set of links, so each line is first compared with the leader of each of its keys, ``ROUNDS`` times.
+    Only keys that see several components after that have their lines compared, and only across components.
     """
     lines = docs.select(
         F.col(id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line")
     ).where("line RLIKE '[^\\\\s]'").withColumn("key", F.unhex(F.md5("line")))
     # map-side combined: one row per distinct line, whatever the number of its copies
     distinct = saved(
-        lines.groupBy("key").agg(F.first("line").alias("line"))
-        .select("key", "line", F.char_length("line").alias("len"), F.monotonically_increasing_id().alias("id")),
+        lines.groupBy("key").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
+        .select("key", "line", "n", F.char_length("line").alias("len"), F.monotonically_increasing_id().alias("id")),
         "lines",
     )
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange serves the counts of each key and the way back to its rows; both only stream over them
-    dealt = (
-        distinct.where(f"len >= {min(n for n, _ in EDITS)}").select("id", "line")
-        .mapInArrow(_key_rows, "k long, side int, id long").repartition(tasks, "k")
-    )
-    # only keys that two lines share matter; most are one line's own
-    busy = (
-        dealt.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"), F.sum("side").alias("p"))
-        .where("low < high AND i > 0").select("k", "i", "p")
-    )
-    met = saved(dealt.join(busy, "k").select("k", "side", "id", "i", "p"), "met")
-    easy = met.where(f"i * p <= {BLOCK * BLOCK // 4}")
-    pairs = (
-        easy.where("side = 0").selectExpr("k", "id AS a").join(easy.where("side = 1").selectExpr("k", "id AS b"), "k")
-        .where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-    )
+    met = _meetings(distinct)
     involved = broadcast_if_small(saved(met.select("id").distinct(), "involved"))
     texts = saved(distinct.join(involved, "id", "left_semi").select("id", "line"), "involved")
-    checked = (
-        pairs.join(texts.withColumnRenamed("id", "a"), "a")
-        .join(texts.selectExpr("id AS b", "line AS other"), "b").select("a", "b", "line", "other")
-        .mapInPandas(_verify, "a long, b long")
+    links = saved(texts.limit(0).selectExpr("id AS a", "id AS b"), "line-links")
+    joined = components(links, "lines-joined")
+    open_ = _left_open(met, joined)
+    for step in range(ROUNDS):
+        if open_.isEmpty():
+            break
+        links = links.union(saved(_verified(_led(open_, step), texts), "line-links"))
+        joined = components(links, "lines-joined")
+        open_ = _left_open(open_.select("k", "side", "id", "n"), joined)
+    sized = lookup(
+        open_, open_.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"
+    )
+    # keys of which the pairs are about as many as the rows; the others by blocks
+    few = f"i * p <= {FEW} * (i + p)"
+    easy = sized.where(few)
+    pairs = (
+        easy.where("side = 0").selectExpr("k", "id AS a", "comp AS _a").join(easy.where("side = 1").selectExpr("k", "id AS b", "comp AS _b"), "k")
+        .where("_a <> _b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     )
     hard = (
-        lookup(met.where(f"i * p > {BLOCK * BLOCK // 4}"), texts, ["id"], "inner")
+        lookup(sized.where(f"NOT ({few})"), texts, ["id"], "inner")
         .withColumns({"bi": F.expr(f"CAST(ceil(i / {BLOCK}) AS INT)"), "bp": F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)")})
+        .where("bi > 0 AND bp > 0")
         .withColumn("own", F.expr("CAST(pmod(xxhash64(id), if(side = 0, bi, bp)) AS INT)"))
         .withColumn("other", F.explode(F.expr("sequence(0, if(side = 0, bp, bi) - 1)")))
-        .selectExpr("k", "if(side = 0, own, other) AS x", "if(side = 0, other, own) AS y", "side", "id", "line")
+        .selectExpr("k", "if(side = 0, own, other) AS x", "if(side = 0, other, own) AS y", "side", "id", "comp", "line")
         .groupBy("k", "x", "y").applyInPandas(_verify_block, "a long, b long")
     )
-    joined = components(checked.union(hard), "lines-joined")
+    joined = components(links.union(_verified(pairs, texts)).union(hard), "lines-joined")
     classes = distinct.join(joined.withColumnRenamed("node", "id"), "id", "left").selectExpr("key", "coalesce(component, id) AS cls")
     return lines.select("doc_id", "place", "key"), saved(classes, "line-classes")
 

@@ -242,9 +242,11 @@ def test_banded_distance_is_the_full_one_up_to_its_limit():
         assert found.tolist() == [min(t + 1, edits(a, b)) for a, b in zip(left, right)]
 
 
-@pytest.mark.parametrize("block", [128, 2])
-def test_line_dedup_matches_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, rounds, few", [(128, 3, 2), (2, 0, 0), (3, 1, 0)])
+def test_line_dedup_matches_all_pairs(spark, monkeypatch, block, rounds, few):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(line_dedup, "FEW", few)
     rng = random.Random(9)
     lines = []
     for size in (10, 23, 24, 25, 40, 59, 60, 61, 62, 120):
@@ -269,6 +271,25 @@ def test_line_dedup_matches_all_pairs(spark, monkeypatch, block):
     assert len(found) == len(lines)
 
 
+def test_a_family_of_lines_costs_its_rows_not_its_pairs(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    kinds = list({base} | {changed(rng, base, rng.randint(1, 2)) for _ in range(2000)})
+    apart = ["".join(rng.choice("ijklmnop ") for _ in range(80)) for _ in range(50)]
+    rows = [(i, line) for i, line in enumerate([base] * 5 + kinds + apart)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = spark.createDataFrame(
+        [(line, i, len(line), 5 if line == base else 1) for i, line in enumerate(kinds + apart)], "line string, id long, len int, n long"
+    )
+    met = line_dedup._meetings(distinct).selectExpr("*", "id AS comp")
+    assert line_dedup._led(met, 0).count() <= met.count() and line_dedup._led(met, 1).count() <= met.count()
+    nobody = spark.createDataFrame([], "node long, component long")
+    verified = line_dedup._verified(line_dedup._led(line_dedup._left_open(met, nobody), 0), distinct.select("id", "line"))
+    assert verified.count() >= len(kinds) - 1
+    kept = {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["kept"]}
+    assert kept == {0} | {i for i, line in rows if line in set(apart)}
+
+
 def test_secrets_are_found_and_masked_and_words_left(spark):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
     rows = [(i, f'some words before token = "{h}" and after, unchangeablewordsofnature{i}', "src") for i, h in enumerate(hexes)]
