@@ -54,3 +54,22 @@ def test_open_cases_see_years_of_no_calendar(spark, table):
     assert (last.median, last.lowest, last.highest, last.mad) == (10.0, 5.0, 40.0, 5.0)
     assert last.mean == pytest.approx(55 / 3)
     assert {r.target_year for r in backtest.open_cases(table(schema, rows), "year", [2050]).collect()} == {2050}
+
+
+def test_lineage_finds_a_planted_future_record(spark, table):
+    schema = ("college_id string, college_code string, branch_id string, branch_code string, program_type string, category string, "
+              "year int, closing_rank int, record_id string")
+    combo = ("1", "c", "b", "B", "ENGINEERING", "GM")
+    facts = [("r1", 2019, "R1", "PUBLISHED"), ("r2", 2020, "R1", "PUBLISHED"), ("r3", 2021, "R1", "PUBLISHED"), ("r4", 2030, "R1", "PUBLISHED"),
+             ("r5", 2018, "R3", "SUPERSEDED")]
+    held = table("record_id string, academic_year int, round_code string, status string", facts)
+    clean = [(*combo, 2019, 10, "r1"), (*combo, 2019, 8, "r0"), (*combo, 2020, 20, "r2"), (*combo, 2021, 30, "r3")]
+
+    def counts(rows):
+        tested = backtest.open_cases(table(schema, rows), "year", record="record_id")
+        return {r.target_year: tuple(r)[1:] for r in backtest.leakage_by_lineage(tested, held).collect()}
+
+    assert counts(clean) == {2020: (1, 0, 0, 0, 0), 2021: (2, 0, 0, 0, 0)}
+    # a record of 2030 that claims to be of 2018, one of another round, and one that no fact has
+    planted = clean + [(*combo, 2018, 5, "r4"), (*combo, 2017, 5, "r5"), (*combo, 2016, 5, "nowhere")]
+    assert counts(planted)[2021] == (5, 1, 1, 1, 1)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from panel_data import build
@@ -180,3 +182,24 @@ def test_sample_is_repeatable(spark):
     first = [r.id for r in look.sample_rows(df, "id", 5, 3).collect()]
     assert first == [r.id for r in look.sample_rows(df.repartition(7), "id", 5, 3).collect()]
     assert first != [r.id for r in look.sample_rows(df, "id", 5, 4).collect()]
+
+
+def test_names_are_found_through_their_rarest_letters(spark, table):
+    rng = random.Random(3)
+    names = [(f"e{i}", f"K{rng.randint(0, 40):03}", "".join(rng.choices("abcé ", k=rng.randint(0, 12)))) for i in range(80)] + [("none", "A", None)]
+    terms = {n[i : i + rng.randint(1, 6)] for _, _, n in names if n for i in range(len(n))} | {"zzz", "abz", "", "AB", "e5", "k007"}
+    terms = sorted(terms)
+    found = look.resolve_entities(
+        table("term string", [(t,) for t in terms] + [(None,)]), table("entity_id string, code string, short_name string", names)
+    ).collect()
+    got = {r.term: r.entity_id for r in found}
+
+    def want(term):
+        low = term.lower()
+        same = [i for i, _, _ in names if i.lower() == low] or sorted(i for i, c, _ in names if c.lower() == low)[:1]
+        parts = sorted((c, i) for i, c, n in names if low and n and low in n.lower())
+        return same[0] if same else parts[0][1] if parts else None
+
+    assert got == {t: want(t) for t in terms} | {None: None} and len(found) == len(terms) + 1
+    index = look.names_containing(table("_t string", [("abc",)]), table("_name string, code string, entity_id string", [("x" * 500 + "abc", "c", "1")]))
+    assert index.first()._by_name == "1"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cutline import schemas
@@ -285,3 +287,47 @@ def test_seeds_and_sources(table, spark):
 
 def test_sql_columns_helper(spark):
     assert spark.range(1).withColumns(columns({"a": "id + 1"})).first().a == 1
+
+
+def test_baseline_counts_are_kept_up(spark, table):
+    schema = "branch_id string, academic_year int, round_code string, status string"
+    branches = table("branch_id string, program_type string", [("cs", "ENGINEERING"), ("at", "ARCHITECTURE")])
+    rng = random.Random(1)
+    parts = {p: [] for p in range(4)}
+    counts = pub.published_counts(table(schema, []), branches)
+    for _ in range(4):  # each batch rewrites some parts of the store
+        touched = rng.sample(range(4), 2)
+        before = [r for p in touched for r in parts[p]]
+        for p in touched:
+            kept = [(*r[:3], rng.choice(["PUBLISHED", "SUPERSEDED"])) for r in parts[p] if rng.random() < 0.8]
+            parts[p] = kept + [(rng.choice(["cs", "at"]), rng.choice([2020, 2021]), rng.choice(["R1", "R3"]), "PUBLISHED") for _ in range(5)]
+        after = [r for p in touched for r in parts[p]]
+        counts = table("academic_year int, round_code string, program_type string, baseline_count bigint", [
+            tuple(r) for r in pub.updated_counts(counts, table(schema, before), table(schema, after), branches).collect()])
+    everything = pub.published_counts(table(schema, [r for p in parts.values() for r in p]), branches)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, everything.collect()))
+
+
+def test_documents_are_held_against_what_was_published(spark, table):
+    rows = table("source_version_id string, branch_code string, is_valid boolean", [("a", "CS", True)] * 60 + [("b", "CS", True)] * 60 + [("c", "CS", True)] * 20)
+    documents = table(
+        "source_version_id string, document_type string, program_type string, baseline_count bigint, minimum int, is_corrigendum boolean, "
+        "academic_year int, counselling_round string, is_usable_text boolean",
+        [("a", "CUTOFF_PDF", "ENGINEERING", None, None, False, 2024, "R1", True), ("b", "CUTOFF_PDF", "ENGINEERING", None, None, False, 2025, "R1", False),
+         ("c", "CUTOFF_PDF", "ENGINEERING", None, None, True, 2024, "R1", True), ("d", "SEAT_MATRIX_PDF", "ENGINEERING", None, None, False, 2024, "R1", True)],
+    )
+    baseline = table("academic_year int, round_code string, program_type string, baseline_count bigint", [(2024, "R1", "ENGINEERING", 201)])
+    got = {r.source_version_id: r for r in dq.document_outcomes(rows, documents, dq.thresholds_frame(spark), baseline).collect()}
+    assert (got["a"].error_code, got["a"].baseline_count) == (None, 201)  # 60 is 30 % of 201, rounded down
+    assert (got["b"].error_code, got["b"].baseline_count, got["b"].document_anomaly) == (None, None, "SCANNED_OR_EMPTY_PDF")
+    assert got["c"].error_code is None and got["d"].document_anomaly == "SUSPICIOUSLY_EMPTY_DOCUMENT"
+    more = baseline.selectExpr("academic_year", "round_code", "program_type", "204L AS baseline_count")
+    again = {r.source_version_id: r.error_code for r in dq.document_outcomes(rows, documents, dq.thresholds_frame(spark), more).collect()}
+    assert again["a"] == "SUSPICIOUS_LOW_COUNT" and again["c"] is None
+    one = spark.sql("SELECT 'The Corrigendum of May' AS t, CAST(NULL AS STRING) AS u").selectExpr(dq.corrigendum("t", "u")).first()
+    assert one[0] is True
+
+
+def test_versions_follow_their_round(table):
+    got = pub.remap_versions(table("counselling_round string", [("R2",), ("R3",), (None,)]), {"R2": "KKR_SPECIAL"}).collect()
+    assert [r[0] for r in got] == ["KKR_SPECIAL", "R3", None]
