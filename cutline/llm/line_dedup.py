@@ -259,8 +259,9 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     one, and a class is a connected component. A class is named by one of its lines' numbers.
 
     A family of near-equal lines meets on many keys, and its pairs are the square of its size. Components need no more
-    than a spanning set of links, so each line is first compared with the leader of each of its keys, ``ROUNDS`` times.
-    Only keys that see several components after that have their lines compared, and only across components.
+    than a spanning set of links. Keys with few lines have all their pairs compared; on the others each line is first
+    compared with the leader of each of its keys, ``ROUNDS`` times. Only keys that see several components after that
+    have their lines compared, and only across components.
     """
     lines = docs.select(
         F.col(id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line")
@@ -274,27 +275,30 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     met = _meetings(distinct)
     involved = broadcast_if_small(saved(met.select("id").distinct(), "involved"))
     texts = saved(distinct.join(involved, "id", "left_semi").select("id", "line"), "involved")
-    links = saved(texts.limit(0).selectExpr("id AS a", "id AS b"), "line-links")
+    sized = saved(
+        lookup(met, met.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"), "met"
+    )
+    # keys of which the pairs are about as many as the rows; the others by leaders
+    few = f"i * p <= {FEW} * (i + p)"
+    easy = sized.where(few)
+    pairs = (
+        easy.where("side = 0").selectExpr("k", "id AS a").join(easy.where("side = 1").selectExpr("k", "id AS b"), "k")
+        .where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    )
+    links = saved(_verified(pairs, texts), "line-links")
     joined = components(links, "lines-joined")
-    open_ = _left_open(met, joined)
+    open_ = _left_open(sized.where(f"NOT ({few})").drop("i", "p"), joined)
     for step in range(ROUNDS):
         if open_.isEmpty():
             break
         links = links.union(saved(_verified(_led(open_, step), texts), "line-links"))
         joined = components(links, "lines-joined")
-        open_ = _left_open(open_.select("k", "side", "id", "n"), joined)
+        open_ = _left_open(open_.drop("comp"), joined)
     sized = lookup(
         open_, open_.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"
     )
-    # keys of which the pairs are about as many as the rows; the others by blocks
-    few = f"i * p <= {FEW} * (i + p)"
-    easy = sized.where(few)
-    pairs = (
-        easy.where("side = 0").selectExpr("k", "id AS a", "comp AS _a").join(easy.where("side = 1").selectExpr("k", "id AS b", "comp AS _b"), "k")
-        .where("_a <> _b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-    )
     hard = (
-        lookup(sized.where(f"NOT ({few})"), texts, ["id"], "inner")
+        lookup(sized, texts, ["id"], "inner")
         .withColumns({"bi": F.expr(f"CAST(ceil(i / {BLOCK}) AS INT)"), "bp": F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)")})
         .where("bi > 0 AND bp > 0")
         .withColumn("own", F.expr("CAST(pmod(xxhash64(id), if(side = 0, bi, bp)) AS INT)"))
@@ -302,7 +306,8 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
         .selectExpr("k", "if(side = 0, own, other) AS x", "if(side = 0, other, own) AS y", "side", "id", "comp", "line")
         .groupBy("k", "x", "y").applyInPandas(_verify_block, "a long, b long")
     )
-    joined = components(links.union(_verified(pairs, texts)).union(hard), "lines-joined")
+    if not open_.isEmpty():
+        joined = components(links.union(hard), "lines-joined")
     classes = distinct.join(joined.withColumnRenamed("node", "id"), "id", "left").selectExpr("key", "coalesce(component, id) AS cls")
     return lines.select("doc_id", "place", "key"), saved(classes, "line-classes")
 
