@@ -27,6 +27,7 @@ BLOCK = 128  # lines of a hot key that meet in one task, from either side
 ROUNDS = 3  # comparisons of each line with the leader of each of its keys
 FEW = 2  # pairs per row of a key up to which they are joined
 CHUNK = 1 << 20  # code points hashed at once
+CELLS = 1 << 23  # code points of pairs that are compared together
 
 
 def _segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +116,9 @@ def banded_distances(left: list[np.ndarray], right: list[np.ndarray], t: int) ->
     alive = np.abs(a - b) <= t
     ends = int(b[alive].max(initial=0))
     for j in range(ends):
+        # rows of a column differ by one at most: beyond this score none of the band can come back to t
+        if j % 16 == 0 and not (alive & (b > j) & (score <= 3 * t)).any():
+            break
         equal = np.zeros(count, dtype=np.uint64)
         sign = columns[:, j]
         for d in range(band):
@@ -146,19 +150,29 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
 
 
+def _middles(left: str, right: str) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of two lines without their common start and end; their edit distance is the same."""
+    a, b = _points(left), _points(right)
+    shorter = min(len(a), len(b))
+    differs = np.flatnonzero(a[:shorter] != b[:shorter])
+    start = int(differs[0]) if len(differs) else shorter
+    rest = shorter - start
+    differs = np.flatnonzero(a[len(a) - rest :] != b[len(b) - rest :])
+    end = rest - 1 - int(differs[-1]) if len(differs) else rest
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
 def within(left: list[str], right: list[str], allowed: np.ndarray) -> np.ndarray:
-    """Whether each pair is within its allowed edits; pairs of like length are compared together."""
+    """Whether each pair is within its allowed edits; pairs that differ over like lengths are compared together."""
     out = np.zeros(len(left), dtype=bool)
-    sizes = np.array([len(x) for x in left])
+    middles = [_middles(a, b) for a, b in zip(left, right)]
+    sizes = np.array([max(len(a), len(b)) for a, b in middles])
     order = np.argsort(sizes, kind="stable")
     for at in range(0, len(order), 2048):
         some = order[at : at + 2048]
-        if sizes[some[-1]] > 20_000:  # bounded memory for very long lines
-            parts = [some[k : k + 16] for k in range(0, len(some), 16)]
-        else:
-            parts = [some]
-        for part in parts:
-            distance = banded_distances([_points(left[k]) for k in part], [_points(right[k]) for k in part], MOST)
+        step = max(16, CELLS // max(int(sizes[some[-1]]), 1))  # bounded memory for very long lines
+        for part in (some[k : k + step] for k in range(0, len(some), step)):
+            distance = banded_distances([middles[k][0] for k in part], [middles[k][1] for k in part], MOST)
             out[part] = distance <= allowed[part]
     return out
 
@@ -239,6 +253,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         pairs.join(texts.withColumnRenamed("id", "a"), "a")
         .join(texts.selectExpr("id AS b", "line AS other"), "b").select("a", "b", "line", "other")
+        # few bytes but much work: not to be gathered into few tasks
+        .repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
         .mapInPandas(_verify, "a long, b long")
     )
 
