@@ -313,8 +313,15 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     sized = lookup(
         open_, open_.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"
     )
+    # what is left: across components, pairs of keys of middling size at once, those of large keys by blocks
+    middling = f"i * p <= {BLOCK // 2} * (i + p)"
+    some = sized.where(middling)
+    across = (
+        some.where("side = 0").selectExpr("k", "id AS a", "comp AS _a").join(some.where("side = 1").selectExpr("k", "id AS b", "comp AS _b"), "k")
+        .where("_a <> _b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    )
     hard = (
-        lookup(sized, texts, ["id"], "inner")
+        lookup(sized.where(f"NOT ({middling})"), texts, ["id"], "inner")
         .withColumns({"bi": F.expr(f"CAST(ceil(i / {BLOCK}) AS INT)"), "bp": F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)")})
         .where("bi > 0 AND bp > 0")
         .withColumn("own", F.expr("CAST(pmod(xxhash64(id), if(side = 0, bi, bp)) AS INT)"))
@@ -323,7 +330,7 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
         .groupBy("k", "x", "y").applyInPandas(_verify_block, "a long, b long")
     )
     if not open_.isEmpty():
-        joined = components(links.union(hard), "lines-joined")
+        joined = components(links.union(_verified(across, texts)).union(hard), "lines-joined")
     classes = distinct.join(joined.withColumnRenamed("node", "id"), "id", "left").selectExpr("key", "coalesce(component, id) AS cls")
     return lines.select("doc_id", "place", "key"), saved(classes, "line-classes")
 
