@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm.common import broadcast_if_small, saved, table
+from cutline.llm.common import broadcast_if_small, broadcast_within, saved, table
 from cutline.plans.pooled import lookup
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -98,19 +98,22 @@ def _split_collisions(marked: DataFrame, odd: DataFrame, docs: DataFrame, id: st
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that stay, with the columns of ``docs``. Repeated rows of one id and text become one row."""
-    dropped = exact_dedup(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rest = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = rest.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest
-    many = broadcast_if_small(saved(repeated, "repeated"))
-    twice = rest.where("doc_id IS NULL").union(rest.join(many, "doc_id", "left_semi").select(*docs.columns))
-    once = rest.where("doc_id IS NOT NULL").join(many, "doc_id", "left_anti").select(*docs.columns)
-    merged = (
-        twice.withColumn("_digest", F.md5(_normalised("text"))).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    )
-    return once.union(merged)
+    """Documents that stay, with the columns of ``docs``. Repeated rows of one id and text become one row.
+
+    Rows that share an id but differ in text are judged one by one; rows without an id stay, once each text, if no
+    equal text has an id.
+    """
+    dropped = exact_dedup(docs).where("NOT kept").selectExpr("doc_id AS _dropped_id_", "text_sha256 AS _dropped_sha_").distinct()
+    known = docs.withColumn("_sha_", F.sha2(_normalised("text"), 256))
+    same = F.expr("CAST(doc_id AS BIGINT) <=> _dropped_id_ AND _sha_ = _dropped_sha_")
+    rest = known.join(broadcast_within(saved(dropped, "dropped")), same, "left_anti")
+    repeated = rest.groupBy("doc_id", "_sha_").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    many = saved(repeated.selectExpr("CAST(doc_id AS BIGINT) AS _dropped_id_", "_sha_ AS _dropped_sha_"), "repeated")
+    if many.isEmpty():
+        return rest.select(*docs.columns)
+    many = broadcast_within(many)
+    twice = rest.join(many, same, "left_semi").dropDuplicates(["doc_id", "_sha_"])
+    return rest.join(many, same, "left_anti").select(*docs.columns).union(twice.select(*docs.columns))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

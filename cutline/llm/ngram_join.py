@@ -253,8 +253,14 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest id; NULL ids stay."""
-    dropped = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    """One document of each component stays, the one with the smallest id.
+
+    Rows without an id, and rows that share an id with another row, stay: the join tells documents apart by their ids.
+    """
+    found = jaccard_components(docs).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.expr("component_id <> doc_id")).alias("copy")
+    )
+    dropped = found.where("rows = 1 AND copy").select("doc_id")
     return docs.join(broadcast_if_small(saved(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
 
 

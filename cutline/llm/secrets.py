@@ -25,12 +25,13 @@ MASK = "[SECRET]"
 
 _KEYWORDS = "token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private"
 _SIGN = "[:=] {0,4}[\"']?"
-# a key's body line by line; then what a keyword is assigned, up to a quote, white space or the next parameter; then
-# long strings, where "=" only pads the end, so that the key of KEY=value stands before its value
+# a key's body line by line, to its end; then what a keyword is assigned, up to a quote, white space or the next
+# parameter; then long strings, where "=" only pads the end, so that the key of KEY=value stands before its value.
+# Possessive repeats run in a loop, so that neither lines nor groups have a bound
 CANDIDATE = (
-    "(?<=PRIVATE KEY-----(?:\\r?\\n|\\\\n| ))[A-Za-z0-9+/]{16,}(?:(?:\\r?\\n|\\\\n)[A-Za-z0-9+/]{1,80}(?=[=\\s\\\\-])){0,400}={0,2}"
+    "(?<=PRIVATE KEY-----(?:\\r?\\n|\\\\n| ))[A-Za-z0-9+/]{16,}(?:(?:\\r?\\n|\\\\n)[A-Za-z0-9+/]++(?=[=\\s\\\\-]|$))*+={0,2}"
     f"|(?<={_SIGN})(?<=(?i:{_KEYWORDS})(?i:[a-z_ -]{{0,24}})[\"']? {{0,4}}{_SIGN})(?=[^\\s\"'<>]{{{LEAST_ASSIGNED}}})"
-    "[^\\s\"'<>,;&]++(?:[,;&]++(?!\\s|$|[\\w.-]{1,40}=)[^\\s\"'<>,;&]*+){0,64}"
+    "[^\\s\"'<>,;&]++(?:[,;&]++(?!\\s|$|[\\w.-]{1,40}=)[^\\s\"'<>,;&]*+)*+"
     f"|[A-Za-z0-9+/_.~-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9+/_=.~-]))?"
 )
 _SQL_CANDIDATE = "'" + CANDIDATE.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -103,8 +104,15 @@ def dictionary(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame
 
 def features(found: DataFrame, triples: DataFrame) -> DataFrame:
     """Add the columns of ``FEATURES``."""
-    known = triples.agg(F.collect_set("triple").alias("known"))  # at most 26 ** 3 strings
-    lower = "lower(candidate)"
+    # one row: for each of the 26 ** 3 triples, whether it is there
+    place = "(ascii(triple) - 97) * 676 + (ascii(substr(triple, 2, 1)) - 97) * 26 + ascii(substr(triple, 3, 1)) - 97"
+    known = triples.agg(F.collect_set(F.expr(place)).alias("seen")).selectExpr(
+        f"transform(sequence(0, {26**3 - 1}), i -> array_contains(seen, i)) AS known"
+    )
+    # each letter's number, then that of each triple: zipped, as letters are far to find by place in a long string
+    letters = "transform(split(lower(candidate), ''), c -> if(c BETWEEN 'a' AND 'z', ascii(c) - 97, CAST(NULL AS INT)))"
+    after = lambda k: f"slice({letters}, {k}, length(candidate))"
+    numbers = f"zip_with(zip_with({letters}, {after(2)}, (a, b) -> a * 26 + b), {after(3)}, (ab, c) -> ab * 26 + c)"
     kinds = "translate(candidate, 'bcdefghijklmnopqrstuvwxyzBCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'aaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAAAAAAAAAAAAAAAAAAA000000000')"
     count = lambda what: f"length(candidate) - length(regexp_replace(candidate, '{what}', ''))"
     return (
@@ -120,8 +128,7 @@ def features(found: DataFrame, triples: DataFrame) -> DataFrame:
             "hexadecimal": F.expr("CAST(candidate RLIKE '^([0-9a-f]+|[0-9A-F]+)$' AS DOUBLE)"),
             "runs": F.expr("length(regexp_replace(candidate, '(.)\\\\1+', '$1')) / length"),
             "coverage": F.expr(
-                f"size(filter(transform(sequence(1, length(candidate) - 2), k -> substr({lower}, k, 3)),"
-                " x -> array_contains(known, x))) / (length - 2)"
+                f"size(filter({numbers}, x -> x IS NOT NULL AND known[x])) / (length - 2)"
             ),
             "vowels": F.expr(f"({count('[aeiouAEIOU]')}) / length"),
             "assigned": F.expr("CAST(before RLIKE '[:=] *[\"\\']?$' AS DOUBLE)"),
@@ -225,8 +232,13 @@ def redact(docs: DataFrame, findings: DataFrame, id: str = "doc_id", text: str =
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with confirmed secrets masked."""
-    return redact(docs, scan(docs))
+    """All documents, with confirmed secrets masked; rows without an id, or that share one, like all others.
+
+    Findings are tied to the text they were found in, by a number of its own, as an id need not tell texts apart.
+    """
+    own = "xxhash64(text)"  # a shared number only adds the other text's secrets, which are masked where they occur
+    numbered = docs.withColumn("_text_", F.expr(own))
+    return redact(numbered, scan(numbered, id="_text_"), id="_text_").select(*docs.columns)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from cutline.sources.workdir import shared_folder
 
 RECORDS = 2000  # in an archive, at most
 EPOCH = 1_600_000_000  # captures without a time of their own are dated a second apart from here
+SECONDS = 1_000_000_000  # and start again after so many, so that any id gives a year of four digits
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -52,7 +53,9 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """One record per page: responses with their payload, revisits with a reference; gzip, ``RECORDS`` each at most."""
     clean = "regexp_replace(url, '[\\\\x00-\\\\x20\\\\x7F]', '%20')"
-    stamp = f"date_format(timestamp_seconds({EPOCH} + coalesce(page_id, 0)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    # a time without a zone, so that the session's zone does not matter; the id counts seconds within some thirty years
+    after = f"make_dt_interval(0, 0, 0, CAST({EPOCH} + pmod(coalesce(page_id, 0), {SECONDS}) AS DECIMAL(18, 6)))"
+    stamp = f"date_format(TIMESTAMP_NTZ'1970-01-01 00:00:00' + {after}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
     rows = decide(pages, least).withColumn("revisit", F.expr("NOT (page_id <=> best)"))
     http = "concat('HTTP/1.1 200 OK\\r\\nContent-Type: text/html; charset=utf-8\\r\\nContent-Length: ', size, '\\r\\n\\r\\n')"
     rows = rows.withColumn("http", F.expr(http)).withColumn("digest", F.expr(_base32("sha")))

@@ -382,3 +382,35 @@ def test_stages_return_the_columns_of_documents(spark, awkward):
     assert {r["doc_id"] for r in kept.collect()} >= {2, 5, 8, None}
     assert ngram_join.stage(spark, kept, SF).columns == awkward.columns
     assert secrets.stage(spark, kept, SF).count() == kept.count()
+
+
+def test_long_keys_and_long_values_are_masked_to_their_end(spark):
+    body = "\n".join("MIIEvQ" + hashlib.sha256(str(i).encode()).hexdigest()[:58] for i in range(5000))
+    value = ";".join(hashlib.md5(str(i).encode()).hexdigest()[:9] for i in range(1000))
+    hexes = [hashlib.sha1(f"x{i}".encode()).hexdigest() for i in range(60)]
+    texts = [f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----", f"-----BEGIN PRIVATE KEY-----\n{body}", f'password = "{value}" end']
+    texts += [f'token = "{h}" x' for h in hexes] + [f"antidisestablishmentarian{i} unchangeablewordsofnature{i}" for i in range(40)]
+    rows = [(i, t, "src") for i, t in enumerate(texts)]
+    # no id, and one id on different texts
+    rows += [(None, f'token = "{h[::-1]}" y', "src") for h in hexes[:5]] + [(7, f'api_key = "{h[::-1]}" z', "src") for h in hexes[5:10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = secrets.stage(spark, docs, "").collect()
+    assert len(out) == len(rows)
+    left = "\n".join(r["text"] for r in out)
+    for piece in body.split("\n")[::97] + value.split(";")[::31] + hexes + [h[::-1] for h in hexes[:10]]:
+        assert piece not in left
+    assert "unchangeablewordsofnature3" in left
+
+
+def test_stages_judge_rows_that_share_an_id_one_by_one(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "alpha beta"), (2, "alphabeta"), (2, "only here"), (3, words), (4, words + " more"), (4, "quite another text of many words " * 3),
+            (None, "alpha  beta"), (None, "no id"), (None, "no id"), (5, "twice"), (5, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _d", "1 AS kept")
+    exact = exact_dedup.stage(spark, docs, "")
+    assert exact.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr)
+    assert got == sorted([(1, "alpha  beta"), (2, "only here"), *rows[3:6], (None, "no id"), (5, "twice")], key=repr) or got == sorted(
+        [(1, "alpha beta"), (2, "only here"), *rows[3:6], (None, "no id"), (5, "twice")], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.stage(spark, docs, "").collect()), key=repr)
+    assert (4, rows[5][1]) in kept and (2, "only here") in kept and (3, words) in kept
