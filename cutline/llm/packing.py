@@ -19,79 +19,145 @@ CAPACITY = 2048
 Filling = tuple[int, ...]
 
 
-def fillings(room: int, counts: Counter, lengths: list[int], most: int, nodes: int) -> list[Filling]:
+def fillings(
+    room: int, counts: Counter, lengths: list[int], most: int, nodes: int, spare: int | None = None
+) -> tuple[list[Filling], int, bool]:
     """Up to ``most`` undominated ways to fill ``room`` from the lengths left (descending), least waste first.
 
     A filling is dominated if another piece still fits, or if one of its pieces could give way to a longer one. Long
     pieces are tried first, and one step takes as many of a length as fit and are left, so the first filling found is
-    the best-fit one. It is always reached, in as many steps as it has different lengths; after it, the search ends at
-    ``most`` fillings without waste, or after ``nodes`` steps.
+    the best-fit one. Without ``spare`` it is always reached, in as many steps as it has different lengths; with it,
+    fillings that waste more are passed over, and partial ones that all pieces left could not mend are cut. The search
+    ends at ``most`` fillings without waste, or after ``nodes`` steps.
+    Returns the fillings, the steps, and whether these are all undominated ones.
     """
     found: dict[tuple[tuple[int, int], ...], int] = {}  # (length, times) of a filling, and its waste
     exact, steps = 0, 0
+    rest = [0] * (len(lengths) + 1)  # sum of all pieces from a length on
+    if spare is not None:
+        for i in range(len(lengths) - 1, -1, -1):
+            rest[i] = rest[i + 1] + lengths[i] * counts[lengths[i]]
     stack: list[tuple[int, int, int, tuple[tuple[int, int], ...]]] = [(0, room, room, ())]
-    while stack and exact < most and (not found or steps < nodes):
+    while stack and exact < most and (steps < nodes or (spare is None and not found)):
         i, top, left, chosen = stack.pop()
         steps += 1
         lo, hi = i, len(lengths)
         while lo < hi:  # first length that fits
             mid = (lo + hi) // 2
             lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
+        if spare is not None and left - rest[lo] > spare:
+            continue
         if lo == len(lengths):
             found[chosen] = left
             exact += left == 0
             continue
         n = lengths[lo]
         times = min(left // n, counts[n], top if lo == i else room)
-        if lo + 1 < len(lengths):  # later: with one less of this length
+        if lo + 1 < len(lengths) or times > 1:  # later: with one less of this length
             stack.append((lo, times - 1, left, chosen) if times > 1 else (lo + 1, room, left, chosen))
         stack.append((lo + 1, room, left - n * times, (*chosen, (n, times))))
     kept = []
     for filling, waste in found.items():
         used = Counter(dict(filling))
+        # 0 stands for no piece: it could give way to any that still fits
         longer = any(
-            used[n] < counts[n] for piece in used for n in range(piece + 1, piece + waste + 1) if n in counts
+            used[n] < counts[n] for piece in (0, *used) for n in range(piece + 1, piece + waste + 1) if n in counts
         )
         if not longer or waste == 0:
             kept.append((waste, filling))
-    if not kept:
+    if not kept and spare is None:
         kept = [(w, f) for f, w in found.items()]
     flat = [(w, sum(k for _, k in f), tuple(n for n, k in f for _ in range(k))) for w, f in kept]
-    return [f for _, _, f in sorted(flat)[:most]]
+    return [f for _, _, f in sorted(flat)[:most]], steps, not stack and len(flat) <= most
 
 
 def best_fit(counts: Counter, capacity: int) -> list[tuple[Filling, int]]:
     """Best-fit decreasing on counts: the first incumbent."""
-    return _dive(counts, capacity, lambda *_: 0, 1, 64, None)[0]
-
-
-def _dive(counts, capacity, choose, most, nodes, limit):
-    """Complete bins around the largest piece until none is left, or until more than ``limit`` is wasted."""
     counts = Counter({n: c for n, c in counts.items() if c > 0})
     lengths = sorted(counts, reverse=True)
     bins: list[tuple[Filling, int]] = []
-    waste, depth = 0, 0
     while lengths:
         first = lengths[0]
         counts[first] -= 1
-        usable = lengths if counts[first] else lengths[1:]
-        options = fillings(capacity - first, counts, usable, most, nodes) or [()]
+        options, _, _ = fillings(capacity - first, counts, lengths if counts[first] else lengths[1:], 1, 64)
         counts[first] += 1
-        filling = (first, *options[min(choose(depth), len(options) - 1)])
-        used = Counter(filling)
-        times = min(counts[n] // k for n, k in used.items())
-        for n, k in used.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
-        lengths = [n for n in lengths if n in counts]
+        filling = (first, *(options[0] if options else ()))
+        times = _times(counts, filling)
+        _take(counts, filling, times)
+        lengths = [n for n in lengths if counts[n]]
         bins.append((filling, times))
-        depth += 1
-        if lengths:
-            waste += (capacity - sum(filling)) * times
-        if limit is not None and waste > limit:
-            return None, depth
-    return bins, depth
+    return bins
+
+
+def _times(counts: Counter, filling: Filling) -> int:
+    return min(counts[n] // k for n, k in Counter(filling).items())
+
+
+def _take(counts: Counter, filling: Filling, times: int) -> None:
+    for n in filling:
+        counts[n] -= times
+
+
+def _completions(counts: Counter, capacity: int, tried: set[Filling], spare: int, meter: list[int]):
+    """Ways to go on: (filling around the largest piece, times), those of least waste and most times first.
+
+    Undominated fillings are enumerated a few at a time, ever more of them as those before fail, until none is left.
+    ``tried`` holds the fillings of this largest piece that are done with: all packings that use them once more have
+    been searched. Between two results ``counts`` may change, but is put back.
+    """
+    lengths = sorted((n for n, c in counts.items() if c), reverse=True)
+    first, most, nodes, complete = lengths[0], 4, 500, False
+    while not complete:
+        counts[first] -= 1
+        usable = lengths if counts[first] else lengths[1:]
+        options, steps, complete = fillings(capacity - first, counts, usable, most + len(tried), nodes, spare)
+        counts[first] += 1
+        meter[0] += steps
+        for rest in options:
+            filling = (first, *rest)
+            if filling not in tried:
+                tried.add(filling)
+                for times in range(_times(counts, filling), 0, -1):
+                    yield filling, times
+        most, nodes = most * 4, nodes * 4
+
+
+def _branch(counts: Counter, capacity: int, best: list, bound: int, budget: int) -> tuple[list, bool]:
+    """Depth-first branch and bound from the incumbent ``best``: the best packing found, and whether nothing beats it."""
+    counts, total = Counter(counts), sum(n * c for n, c in counts.items())
+    size = sum(times for _, times in best)
+    meter = [0]
+    bins: list[tuple[Filling, int]] = []
+    waste = 0
+    # one entry per open decision: its ways to go on, and the fillings done with
+    tried: set[Filling] = set()
+    open_: list = [(_completions(counts, capacity, tried, (size - 1) * capacity - total, meter), tried)]
+    while open_ and size > bound and meter[0] < budget:
+        ways, tried = open_[-1]
+        if len(bins) == len(open_):  # back from what followed this decision
+            filling, times = bins.pop()
+            _take(counts, filling, -times)
+            waste -= (capacity - sum(filling)) * times
+        way = next(ways, None)
+        meter[0] += 1
+        if way is None:
+            open_.pop()
+            continue
+        filling, times = way
+        more = (capacity - sum(filling)) * times
+        # fewer bins than the incumbent leave this much waste in all
+        spare = (size - 1) * capacity - total - waste - more
+        if spare < 0:
+            continue
+        bins.append(way)
+        waste += more
+        _take(counts, filling, times)
+        if not any(counts.values()):
+            size, best = sum(t for _, t in bins), list(bins)
+            continue
+        onward = set(tried) if counts[filling[0]] else set()
+        open_.append((_completions(counts, capacity, onward, spare, meter), onward))
+    return best, size <= bound or not open_
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -104,37 +170,29 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def pack_lengths(
-    counts: dict[int, int], capacity: int = CAPACITY, most: int = 4, nodes: int = 2000, dives: int = 12
-) -> list[tuple[Filling, int]]:
-    """Pack ``counts[length]`` pieces into few bins: a list of (lengths in a bin, number of such bins).
+def pack_proven(
+    counts: dict[int, int], capacity: int = CAPACITY, budget: int = 2_000_000
+) -> tuple[list[tuple[Filling, int]], bool]:
+    """Pack ``counts[length]`` pieces into few bins: (lengths in a bin, number of such bins), and whether that is proven.
 
-    Bin completion: take the largest piece left, enumerate undominated fillings of the rest of its bin, and go on with
-    the one that wastes least. Best-fit decreasing gives the first incumbent. A dive is cut as soon as its waste rules
-    out fewer bins than the incumbent has; each further dive departs from the first choice at one more place. The
-    search ends at the lower bound. Equal bins are taken as often as the counts allow, so its size depends on the
-    number of different lengths and not on the number of pieces.
+    Bin completion: around the largest piece left, try all undominated fillings of the rest of its bin, those that
+    waste least first, and each as often as the counts allow, then less often. A branch is cut as soon as its waste
+    rules out fewer bins than the incumbent has. Best-fit decreasing gives the first incumbent. The search ends at the
+    lower bound, when no branch is left (both proven), or after ``budget`` steps of the search and of the enumeration of
+    fillings; then the best packing so far stands. Its cost depends on the different lengths, not on the pieces.
     """
     counts = Counter({int(n): int(c) for n, c in counts.items() if c > 0})
     if not counts:
-        return []
-    total = sum(n * c for n, c in counts.items())
-    bound = lower_bound(counts, capacity)
-    size = lambda bins: sum(times for _, times in bins)
-    best = best_fit(counts, capacity)
-    depth = len(best)
-    for dive in range(dives):
-        if size(best) <= bound:
-            break
-        at = depth - dive  # late choices matter most, as early ones waste nothing
-        choose = (lambda d: 0) if dive == 0 else (lambda d, at=at: 1 if d >= at else 0)
-        # fewer bins than the incumbent leave this much waste before the last one
-        limit = (size(best) - 1) * capacity - total
-        bins, deep = _dive(counts, capacity, choose, most, nodes, limit)
-        depth = deep if dive == 0 else depth
-        if bins is not None and size(bins) < size(best):
-            best = bins
-    return best
+        return [], True
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    if sum(times for _, times in best) <= bound:
+        return best, True
+    return _branch(counts, capacity, best, bound, budget)
+
+
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY, budget: int = 2_000_000) -> list[tuple[Filling, int]]:
+    """The packing of ``pack_proven``."""
+    return pack_proven(counts, capacity, budget)[0]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
