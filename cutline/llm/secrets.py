@@ -20,6 +20,7 @@ LEAST = 16  # characters of a candidate
 LEAST_ASSIGNED = 4  # characters of a value that a keyword is assigned
 SAMPLE = 20_000  # labelled findings the forest is grown from, at most, those of smallest hash
 CONTEXT = 48  # characters looked at on either side
+_BLOCK = 256  # pieces of a text whose lengths are summed at once
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
@@ -62,32 +63,48 @@ def candidates(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
     """Every candidate of every whole text: doc_id, start, candidate, before, after, path.
 
     Candidates have ``LEAST`` characters, or ``LEAST_ASSIGNED`` and any form but white space and quotes where a keyword
-    is assigned; the body of a private key is one. Texts are cut once at the candidates; starts (in code points, from 0) are running lengths of what was cut.
+    is assigned; the body of a private key is one. A text is cut once into candidates and what stands between them.
+    Starts (in code points, from 0) are the lengths of the pieces before, summed by blocks of ``_BLOCK`` pieces first;
+    context comes from neighbouring pieces. So a text costs in proportion to its candidates, and only they leave it.
     """
     source = F.col(path).cast("string") if path in docs.columns else F.lit("")
     cut = docs.select(
         F.col(id).cast("long").alias("doc_id"), F.coalesce(source, F.lit("")).alias("path"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     ).where(F.col("t").rlike(CANDIDATE))
-    spans = cut.select(
-        "doc_id", "path", "t",
-        F.explode(F.arrays_zip(
-            F.expr(f"regexp_extract_all(t, {_SQL_GROUP}, 1)").alias("c"),
-            F.expr(f"transform(slice(split(t, {_SQL_CANDIDATE}, -1), 1, size(split(t, {_SQL_CANDIDATE}, -1)) - 1), x -> char_length(x))").alias("g"),
-            F.expr(f"""transform(sequence(1, size(split(t, {_SQL_CANDIDATE}, -1)) - 1), k -> k)""").alias("k"),
-        )).alias("f"),
-        F.expr(f"transform(regexp_extract_all(t, {_SQL_GROUP}, 1), x -> char_length(x))").alias("lengths"),
-        F.expr(f"transform(split(t, {_SQL_CANDIDATE}, -1), x -> char_length(x))").alias("gaps"),
+
+    def let(value: str, name: str, body: str) -> str:
+        # a variable of a lambda function is computed once, whatever the optimizer does with columns
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    cuts = f"named_struct('g', split(t, {_SQL_CANDIDATE}, -1), 'c', regexp_extract_all(t, {_SQL_GROUP}, 1))"
+    # gap, candidate, gap, ..., gap: candidate k is piece 2k
+    pieces = "concat(flatten(zip_with(slice(x.g, 1, size(x.c)), x.c, (g, c) -> array(g, c))), slice(x.g, -1, 1))"
+    measured = (
+        "named_struct('c', x.c, 'l', transform(p, y -> char_length(y)),"
+        f" 'tails', transform(p, y -> right(y, {CONTEXT})), 'heads', transform(p, y -> left(y, {CONTEXT})))"
+    )
+    summed = (
+        f"transform(sequence(0, (size(m.l) - 1) DIV {_BLOCK}), b ->"
+        f" aggregate(slice(m.l, b * {_BLOCK} + 1, {_BLOCK}), 0L, (a, y) -> a + y))"
+    )
+    bases = "transform(sequence(0, size(s) - 1), b -> aggregate(slice(s, 1, b), 0L, (a, y) -> a + y))"
+    block = f"((2 * k - 1) DIV {_BLOCK})"
+    # no piece but a gap is empty, so 2 * CONTEXT + 1 pieces hold CONTEXT characters
+    reach = 2 * CONTEXT + 1
+    found = (
+        "transform(m.c, (c, i) -> " + let("CAST(i + 1 AS INT)", "k", "named_struct("
+        "'candidate', c,"
+        f" 'start', o[CAST({block} AS INT)] + aggregate(slice(m.l, CAST({block} * {_BLOCK} + 1 AS INT), CAST((2 * k - 1) % {_BLOCK} AS INT)), 0L, (a, y) -> a + y),"
+        f" 'before', right(array_join(slice(m.tails, greatest(1, 2 * k - {reach}), least({reach}, 2 * k - 1)), ''), {CONTEXT}),"
+        f" 'after', left(array_join(slice(m.heads, 2 * k + 1, {reach}), ''), {CONTEXT}))") + ")"
     )
-    placed = spans.select(
-        "doc_id", "path", "t", F.col("f.c").alias("candidate"),
-        F.expr("aggregate(slice(gaps, 1, f.k), 0, (a, x) -> a + x) + aggregate(slice(lengths, 1, f.k - 1), 0, (a, x) -> a + x)").alias("start"),
+    every = let(cuts, "x", let(pieces, "p", let(measured, "m", let(summed, "s", let(bases, "o", found)))))
+    # outer: an inner explode would be guarded by a filter that computes the same array once more
+    placed = cut.select("doc_id", "path", F.explode_outer(F.expr(every)).alias("f")).select(
+        "doc_id", "path", "f.start", "f.candidate", "f.before", "f.after"
     )
-    return placed.select(
-        "doc_id", "path", F.col("start").cast("long"), "candidate",
-        F.expr(f"substring(t, greatest(1, start + 1 - {CONTEXT}), least(start, {CONTEXT}))").alias("before"),
-        F.expr(f"substring(t, start + 1 + char_length(candidate), {CONTEXT})").alias("after"),
-    ).where("candidate RLIKE '[0-9]' OR before RLIKE '[:=] *[\"\\']?$'")
+    return placed.where("candidate RLIKE '[0-9]' OR before RLIKE '[:=] *[\"\\']?$'")
 
 
 def dictionary(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
