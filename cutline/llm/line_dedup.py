@@ -8,7 +8,7 @@ shorter can have moved. Lines that meet on a key are verified by a banded bit-pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -192,9 +192,15 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[good, ["a", "b"]]
 
 
+def _letter_counts(lines: Iterable[str]) -> np.ndarray:
+    """A row per line: how many of its code points leave each remainder by 64."""
+    return np.array([np.bincount(_points(line) % 64, minlength=64) for line in lines], dtype=np.int64).reshape(-1, 64)
+
+
 def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
     """Index lines of a key's block against its probe lines of other components; links that join two of them, no more."""
     index, probe = block[block["side"] == 0], block[block["side"] == 1]
+    counts, sizes = _letter_counts(probe["line"]), probe["line"].str.len().to_numpy()
     up = {int(c): int(c) for c in block["comp"]}
 
     def root(i: int) -> int:
@@ -204,12 +210,15 @@ def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
         return i
 
     links = []
-    for i, comp, line in zip(index["id"], index["comp"], index["line"]):
-        rest = probe[[root(int(c)) != root(int(comp)) for c in probe["comp"]]]
-        if not len(rest):
+    for i, comp, line, own in zip(index["id"], index["comp"], index["line"], _letter_counts(index["line"])):
+        allowed = _limit(np.full(len(probe), len(line)), sizes)
+        # an edit changes the counts by two at most
+        close = np.flatnonzero(np.abs(counts - own).sum(axis=1) <= 2 * allowed)
+        close = close[[root(int(c)) != root(int(comp)) for c in probe["comp"].iloc[close]]] if len(close) else close
+        if not len(close):
             continue
-        size = np.full(len(rest), len(line))
-        good = within([line] * len(rest), list(rest["line"]), _limit(size, rest["line"].str.len().to_numpy()))
+        rest = probe.iloc[close]
+        good = within([line] * len(rest), list(rest["line"]), allowed[close])
         for p, other in zip(rest["id"][good], rest["comp"][good]):
             x, y = root(int(comp)), root(int(other))
             if x != y:
@@ -277,7 +286,7 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     A family of near-equal lines meets on many keys, and its pairs are the square of its size. Components need no more
     than a spanning set of links. Keys with few lines have all their pairs compared; on the others each line is first
     compared with the leader of each of its keys, ``ROUNDS`` times. Only keys that see several components after that
-    have their lines compared, and only across components.
+    have their lines compared, and only across components, in blocks that return the links that join some.
     """
     lines = docs.select(
         F.col(id).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("place", "line")
@@ -313,15 +322,9 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     sized = lookup(
         open_, open_.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"
     )
-    # what is left: across components, pairs of keys of middling size at once, those of large keys by blocks
-    middling = f"i * p <= {BLOCK // 2} * (i + p)"
-    some = sized.where(middling)
+    # what is left: the lines of a key across components, block by block, without a row per pair
     across = (
-        some.where("side = 0").selectExpr("k", "id AS a", "comp AS _a").join(some.where("side = 1").selectExpr("k", "id AS b", "comp AS _b"), "k")
-        .where("_a <> _b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-    )
-    hard = (
-        lookup(sized.where(f"NOT ({middling})"), texts, ["id"], "inner")
+        lookup(sized, texts, ["id"], "inner")
         .withColumns({"bi": F.expr(f"CAST(ceil(i / {BLOCK}) AS INT)"), "bp": F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)")})
         .where("bi > 0 AND bp > 0")
         .withColumn("own", F.expr("CAST(pmod(xxhash64(id), if(side = 0, bi, bp)) AS INT)"))
@@ -330,7 +333,7 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
         .groupBy("k", "x", "y").applyInPandas(_verify_block, "a long, b long")
     )
     if not open_.isEmpty():
-        joined = components(links.union(_verified(across, texts)).union(hard), "lines-joined")
+        joined = components(links.union(across), "lines-joined")
     classes = distinct.join(joined.withColumnRenamed("node", "id"), "id", "left").selectExpr("key", "coalesce(component, id) AS cls")
     return lines.select("doc_id", "place", "key"), saved(classes, "line-classes")
 

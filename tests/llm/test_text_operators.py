@@ -306,6 +306,21 @@ def test_secrets_are_found_and_masked_and_words_left(spark):
     assert all(masked[i] == texts[i] for i in masked if i >= 100)
 
 
+def test_lines_that_share_a_segment_make_no_row_per_pair(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(30))
+    texts = ["".join(rng.choice("ijklmnop ") for _ in range(30)) + shared + "".join(rng.choice("qrstuvwx ") for _ in range(30))
+             for _ in range(100)]
+    near = texts[7][:5] + "Z" + texts[7][6:]
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, lines: compared.append(pairs.count()) or verified(pairs, lines))
+    rows = list(enumerate([*texts, near]))
+    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == {100}
+    # each line has nine keys of its length at most on which it is probed, and three under which it is found
+    assert max(compared) <= 12 * len(rows)
+
+
 def test_values_of_env_lines_and_short_passwords_are_candidates_and_masked(spark):
     hexes = [hashlib.sha1(f"env{i}".encode()).hexdigest() for i in range(40)]
     secret = {i: h for i, h in enumerate(hexes)}
