@@ -195,7 +195,9 @@ def branches_from_pages(
                             row_no += 1
             yield _frame(rows, BRANCH_ROWS)
 
-    found = pages.select("page_id", "html").mapInPandas(branch_rows, BRANCH_ROWS).select(
+    # a page costs much time for its few bytes, so pages of one file are dealt to all tasks
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pages.select("page_id", "html").repartition(tasks).mapInPandas(branch_rows, BRANCH_ROWS).select(
         "page_id", "row_no", F.upper(F.get("cells", 2)).alias("_raw"),
         tx.branch_code(F.get("cells", 2)).alias("branch_code"),
         tx.branch_name(F.get("cells", 1)).alias("branch_name"),
