@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,13 @@ def expr(sql: str, name: str | None = None) -> Column:
 def columns(named: Mapping[str, str]) -> dict[str, Column]:
     """For ``withColumns``."""
     return {n: F.expr(v) for n, v in named.items()}
+
+
+def once(df: DataFrame, named: Mapping[str, str | Column]) -> DataFrame:
+    """Add columns that are worked out once per row, whatever refers to them.
+
+    The optimizer copies a plain column's expression into every filter and column that refers to it, which multiplies
+    the work of chained text rules. The values of a generator it leaves alone.
+    """
+    values = F.struct(*[(F.expr(v) if isinstance(v, str) else v).alias(n) for n, v in named.items()])
+    return df.select("*", F.inline_outer(F.array(values)))

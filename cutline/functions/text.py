@@ -8,7 +8,7 @@ is not ASCII.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +82,11 @@ def _whole_word(body: str) -> str:
     return f"(?:^|{NOT_WORD})(?:{body})(?:{NOT_WORD}|$)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(text: Column) -> Column:
     """Any run of (Unicode) whitespace becomes one space; trimmed; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -94,8 +99,7 @@ def code_only(text: Column) -> Column:
 
 def college_code(text: Column) -> Column:
     """Normal form of a college code; words of a repeated header row become ''."""
-    code = code_only(text)
-    return F.when(code.isin(HEADER_WORDS), F.lit("")).otherwise(code)
+    return _let(code_only(text), lambda code: F.when(code.isin(HEADER_WORDS), F.lit("")).otherwise(code))
 
 
 def branch_code(text: Column) -> Column:
@@ -112,13 +116,9 @@ def _rest(word: Column) -> Column:
 
 def college_name(text: Column) -> Column:
     """Word-by-word casing: acronyms stay upper, small words lower, the rest capitalised."""
-    known = F.array(*[F.lit(a) for a in ACRONYMS])
-
     def cased(word: Column) -> Column:
         bare = F.upper(F.regexp_replace(word, "[^A-Za-z0-9.]", ""))
-        acronym = F.array_contains(known, bare) | F.array_contains(
-            known, F.replace(bare, F.lit("."), F.lit(""))
-        )
+        acronym = bare.isin(ACRONYMS) | F.replace(bare, F.lit("."), F.lit("")).isin(ACRONYMS)
         return (
             F.when(acronym, F.upper(word))
             .when(F.lower(word).isin(SMALL_WORDS), F.lower(word))
@@ -126,7 +126,7 @@ def college_name(text: Column) -> Column:
         )
 
     name = F.array_join(F.transform(F.split(clean_text(text), " "), cased), " ")
-    return F.concat(F.upper(F.substring(name, 1, 1)), _rest(name))
+    return _let(name, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), _rest(n)))
 
 
 def location(text: Column) -> Column:
@@ -146,8 +146,9 @@ def branch_name(text: Column) -> Column:
 
 
 def category_code(text: Column) -> Column:
-    code = F.upper(clean_text(text))
-    return F.when(code.isin(GENERAL_CATEGORY_WORDS), F.lit("GM")).otherwise(code)
+    return _let(
+        F.upper(clean_text(text)), lambda code: F.when(code.isin(GENERAL_CATEGORY_WORDS), F.lit("GM")).otherwise(code)
+    )
 
 
 def round_of(text: Column) -> Column:
@@ -251,11 +252,16 @@ def amount(text: Column) -> Column:
 
 def split_course(text: Column) -> Column:
     """struct(code, name) of a cell such as ``AE-Aeronautical Engineering``."""
-    course = clean_text(text)
+    code, name = course_parts(clean_text(text))
+    return F.struct(code.alias("code"), name.alias("name"))
+
+
+def course_parts(course: Column) -> tuple[Column, Column]:
+    """Code and name of a cleaned course cell."""
     dashed = course.contains("-")
     head = F.when(dashed, F.substring_index(course, "-", 1)).otherwise(F.substring(course, 1, 4))
     tail = F.when(dashed, F.regexp_replace(course, "^[^-]*-", "")).otherwise(course)
-    return F.struct(branch_code(head).alias("code"), branch_name(tail).alias("name"))
+    return branch_code(head), branch_name(tail)
 
 
 def sha256_hex(content: Column) -> Column:

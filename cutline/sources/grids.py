@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import text as tx
+from cutline.functions.sql import once
 
 # Fixed values
 CUTOFF_HEADINGS = ["cutoff", "cut-off", "cut off"]
@@ -32,53 +33,65 @@ def cutoff_rows(grids: DataFrame) -> DataFrame:
     column per category. WIDE: one column per branch (heading ``CODE-Name``),
     category in the third column. ``grids`` also has round_code.
     """
-    lowered = F.transform("header", lambda h: F.lower(tx.clean_text(h)))
+    # white space matters to the headings of cutoffs alone: no other word that is looked for holds a space
+    lowered = F.transform(F.coalesce("header", F.expr("array()")), lambda h: F.lower(F.coalesce(h, F.lit(""))))
+    cleaned = r"regexp_replace(h, r'(?U)\s+', ' ')"
+    cutoff = f"exists(transform(slice(_h, 3, 2), h -> {cleaned}), h -> " + " OR ".join(
+        f"contains(h, '{w}')" for w in CUTOFF_HEADINGS
+    ) + ")"
     layout = (
-        f"CASE WHEN size(_h) = 4 AND {_some('slice(_h, 3, 2)', CUTOFF_HEADINGS)} "
-        f"AND {_some('slice(_h, 2, 2)', ['course', 'branch'])} THEN 'VERTICAL' "
+        f"CASE WHEN size(_h) = 4 AND {_some('slice(_h, 2, 2)', ['course', 'branch'])} AND {cutoff} THEN 'VERTICAL' "
         f"WHEN size(_h) >= 4 AND {_some('slice(_h, 2, 2)', ['course'])} "
         f"AND {_some('slice(_h, 4, size(_h))', CATEGORY_HEADINGS)} THEN 'CATEGORIES' ELSE 'WIDE' END"
     )
+    # what belongs to the line is worked out before its cells are unfolded
+    lines = once(once(grids, {"_h": lowered}), {"layout": layout}).filter(
+        "size(cells) >= CASE WHEN layout = 'WIDE' THEN 3 ELSE 4 END AND nullif(get(cells, 0), '') IS NOT NULL"
+    )
+    own = tx.category_code(F.expr("coalesce(nullif(get(cells, 2), ''), 'GM')"))
+    lines = once(
+        lines,
+        {
+            "college_code": tx.college_code(F.expr("get(cells, 0)")),
+            "college_name": tx.college_name(F.expr("coalesce(get(cells, 1), '')")),
+            "_own": F.when(F.col("layout") == "WIDE", own),
+        },
+    ).filter("college_code <> ''")
+    # arrays of the line are put beside each other, so that a cell does not carry them along
     cells = (
-        grids.withColumn("_h", lowered)
-        .withColumn("layout", F.expr(layout))
-        .filter("size(cells) >= CASE WHEN layout = 'WIDE' THEN 3 ELSE 4 END AND nullif(get(cells, 0), '') IS NOT NULL")
-        .select("*", F.posexplode("cells").alias("_i", "_cell"))
-        .filter("_i >= 3 AND nullif(_cell, '') IS NOT NULL AND (layout <> 'VERTICAL' OR _i = 3)")
-        .withColumns(
-            {
-                "_heading": F.expr("get(_h, _i)"),
-                "_branch": F.expr("CASE WHEN layout = 'WIDE' THEN get(header, _i) ELSE get(cells, 2) END"),
-            }
+        lines.select(
+            "doc_id", "page", "row_no", "layout", "academic_year", "round_code", "college_code", "college_name", "_own",
+            F.expr("get(cells, 2) AS _course"),
+            F.posexplode(F.arrays_zip(
+                F.expr("slice(cells, 4, size(cells))").alias("cell"),
+                F.expr("slice(coalesce(header, array()), 4, size(_h))").alias("head"),
+                F.expr("slice(_h, 4, size(_h))").alias("low"),
+            )).alias("_i", "_at"),
         )
+        .selectExpr("*", "_at.cell AS _cell", "_at.low AS _heading", "CASE WHEN layout = 'WIDE' THEN _at.head ELSE _course END AS _branch")
+        .filter("nullif(_cell, '') IS NOT NULL AND (layout <> 'VERTICAL' OR _i = 0)")
+        .filter("nullif(_branch, '') IS NOT NULL AND (layout <> 'WIDE' OR contains(_branch, '-'))")
     )
     by_heading = F.expr(
         "CASE WHEN contains(_heading, 'gm') OR contains(_heading, 'general') THEN 'GM' "
         "WHEN contains(_heading, 'kkr') OR contains(_heading, 'hkr') THEN 'KKR' END"
     )
-    own = tx.category_code(F.expr("coalesce(nullif(get(cells, 2), ''), 'GM')"))
     category = (
-        F.when(F.col("layout") == "VERTICAL", "GM").when(F.col("layout") == "CATEGORIES", by_heading).otherwise(own)
+        F.when(F.col("layout") == "VERTICAL", "GM").when(F.col("layout") == "CATEGORIES", by_heading)
+        .otherwise(F.col("_own"))
     )
-    course = tx.split_course(F.col("_branch"))
-    rows = (
-        cells.filter("nullif(_branch, '') IS NOT NULL AND (layout <> 'WIDE' OR contains(_branch, '-'))")
-        .withColumns(
-            {
-                "college_code": tx.college_code(F.expr("get(cells, 0)")),
-                "college_name": tx.college_name(F.expr("coalesce(get(cells, 1), '')")),
-                "category_code": category,
-                "_course": course,
-                "closing_rank": tx.digits_int(F.col("_cell")),
-            }
-        )
-        .filter("college_code <> '' AND category_code IS NOT NULL AND _course.code <> '' AND closing_rank > 0")
+    ranked = once(cells, {"closing_rank": tx.digits_int(F.col("_cell")), "category_code": category}).filter(
+        "category_code IS NOT NULL AND closing_rank > 0"
     )
+    code, name = tx.course_parts(F.col("_clean"))
+    rows = once(
+        once(ranked, {"_clean": tx.clean_text(F.col("_branch"))}), {"_course_code": code, "_course_name": name}
+    ).filter("_course_code <> ''")
     return rows.selectExpr(
         "doc_id", "layout", "college_code", "college_name", "category_code",
-        "_course.code AS branch_code", "_course.name AS branch_name", "academic_year", "round_code",
+        "_course_code AS branch_code", "_course_name AS branch_name", "academic_year", "round_code",
         "CAST(NULL AS INT) AS opening_rank", "closing_rank", "page AS page_number",
-        "concat('p', page, '_r', row_no, '_', college_code, '_', category_code, '_', _course.code) AS row_identifier",
+        "concat('p', page, '_r', row_no, '_', college_code, '_', category_code, '_', _course_code) AS row_identifier",
     )
 
 

@@ -181,3 +181,19 @@ def test_freshness(table):
     assert [rows[k].status for k in "12345"] == ["DISABLED", "NEVER_CHECKED", "HAS_REVIEW_ITEMS", "STALE", "HEALTHY"]
     assert rows["1"].source_code == "off" and rows["5"].latest_document_title == "second"
     assert rows["5"].latest_published_at == now - 9 * hour and rows["5"].total_versions == 2
+
+
+def test_cutoff_rows_work_out_each_text_rule_once(table):
+    df = grid(table, ["Category", "CS-Computer Science"], ["E001", "X", "general", "1,420"])
+    plan = grids.cutoff_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    digits, spaces = plan.count("[^0-9]"), plan.count("(?U)")
+    assert digits == 1 and spaces <= 12, (digits, spaces)
+
+
+def test_pages_of_one_partition_are_read_by_many_tasks(spark):
+    html = "<div class='txt-content'><h2>Branches offered for B.E.</h2><table><tr><td>1</td><td>N</td><td>c{}</td></tr></table></div>"
+    few = spark.createDataFrame([(i, html.format(i)) for i in range(64)], "page_id long, html string").coalesce(1)
+    found = pages.branches_from_pages(few)
+    assert found.count() == 64
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan[plan.index("MapInPandas"):]
