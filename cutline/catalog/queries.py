@@ -407,8 +407,9 @@ def reconcile(s: Star) -> DataFrame:
 
 
 def _predictions(s: Star, *rounds: str) -> DataFrame:
-    asked = s.requests().filter(F.upper("round").isin(*rounds)) if rounds else s.requests()
-    return pre.predict(asked, s.wide(), s.colleges(), s.branches(), BASE_YEAR)
+    facts, wide = s.kept()
+    asked = s.requests(facts).filter(F.upper("round").isin(*rounds)) if rounds else s.requests(facts)
+    return pre.predict(asked, wide, s.colleges(), s.branches(), BASE_YEAR)
 
 
 def _flat(predictions: DataFrame) -> DataFrame:
@@ -461,7 +462,8 @@ def intervals(s: Star) -> DataFrame:
 
 @register
 def decision(s: Star) -> DataFrame:
-    return pre.decide(s.requests(), s.wide(), s.colleges(), s.branches(), BASE_YEAR).drop(
+    facts, wide = s.kept()
+    return pre.decide(s.requests(facts), wide, s.colleges(), s.branches(), BASE_YEAR).drop(
         "explanation", "decision_text", "model_name"
     )
 
@@ -878,7 +880,8 @@ def run_report(s: Star) -> DataFrame:
 @register
 def report(s: Star) -> DataFrame:
     """Every analysis of the panel in one long table."""
-    out = lon.report(s.panel(status=None), s.wide(), [(1995, 1996), (1998, 1999), (1995, 2001)], 2001)
+    facts, wide = s.kept()
+    out = lon.report(s.panel(facts, status=None), wide, [(1995, 1996), (1998, 1999), (1995, 2001)], 2001)
     return round_columns(out, ["value"])
 
 
@@ -1089,7 +1092,8 @@ def pred_explanations(s: Star) -> DataFrame:
 
 @register
 def decision_texts(s: Star) -> DataFrame:
-    return pre.decide(s.requests(), s.wide(), s.colleges(), s.branches(), BASE_YEAR).select("request_id", "decision_text")
+    facts, wide = s.kept()
+    return pre.decide(s.requests(facts), wide, s.colleges(), s.branches(), BASE_YEAR).select("request_id", "decision_text")
 
 
 @register

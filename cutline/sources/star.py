@@ -21,6 +21,7 @@ from cutline.operators.predict import MODELS
 from cutline.plans.calendar import PARTIAL, RoundCalendar
 from cutline.plans.panel import WidePanel, canonical_branches, canonical_panel, wide_panel
 from cutline.schemas import CUTOFF_KEY
+from cutline.sources.workdir import kept
 
 # ---------------------------------------------------------------------------
 # The calendar of this binding
@@ -350,7 +351,7 @@ class Star:
             )
         )
 
-    def requests(self) -> DataFrame:
+    def requests(self, cutoffs: DataFrame | None = None) -> DataFrame:
         """One prediction request per cutoff record, asked as if its round had not closed yet.
 
         Some requests name unknown entities, a program that does not fit or a
@@ -360,7 +361,7 @@ class Star:
         supplier = "CAST(college_id AS INT)"
         asked = "CASE WHEN round_code = 'MOCK' THEN 'TERMINAL' ELSE round_code END"
         models = f"array(CAST(NULL AS STRING), {', '.join(text(m) for m in MODELS)})"
-        return self.cutoffs().selectExpr(
+        return (self.cutoffs() if cutoffs is None else cutoffs).selectExpr(
             "record_id AS request_id",
             f"CASE WHEN {first} AND {supplier} % 29 = 0 THEN concat('X', college_id) ELSE college_id END AS college_id",
             f"CASE WHEN {first} AND branch_id = 'SMALL' AND academic_year = 1997 THEN 'TINY' ELSE branch_id END "
@@ -612,8 +613,18 @@ class Star:
 
     # the panel ------------------------------------------------------------
 
-    def panel(self, **filters) -> DataFrame:
-        return canonical_panel(self.cutoffs(), self.colleges(), self.branches(), self.rounds(), **filters)
+    def panel(self, cutoffs: DataFrame | None = None, **filters) -> DataFrame:
+        facts = self.cutoffs() if cutoffs is None else cutoffs
+        return canonical_panel(facts, self.colleges(), self.branches(), self.rounds(), **filters)
 
     def wide(self) -> WidePanel:
         return wide_panel(self.panel(), self.calendar)
+
+    def kept(self) -> tuple[DataFrame, WidePanel]:
+        """The facts and their wide panel, written once for queries that read them several times.
+
+        Readers of either take different columns, so Spark would join and group all lines anew for each of them.
+        """
+        facts = kept(self.cutoffs(), "facts")
+        wide = wide_panel(self.panel(facts), self.calendar)
+        return facts, WidePanel(kept(wide.frame, "wide"), self.calendar)
