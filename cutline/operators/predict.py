@@ -26,7 +26,7 @@ from cutline.functions.ranks import (
     rounded,
     thousands,
 )
-from cutline.functions.sql import case, columns, struct, text, texts
+from cutline.functions.sql import case, columns, once, struct, text, texts
 from cutline.plans.calendar import RoundCalendar
 from cutline.plans.panel import NO_RANK, WidePanel, canonical_branches
 from cutline.plans.pooled import lookup, pooled_medians
@@ -186,25 +186,23 @@ def _add_history(requests: DataFrame, wide: WidePanel) -> DataFrame:
     }
     preceding = f"CAST({_by_round('NULL', at_target('R1'), at_target('R3'))} AS DOUBLE)"
     slots = [c for c in wide.frame.columns if c not in (*keys, "college_code", "branch_code")]
-    held = held.withColumns(columns({**series, "_preceding": preceding})).drop(*slots)
-    held = held.withColumns(
-        columns(
-            {
-                "_n": stats.count_of(past),
-                "_latest": stats.latest_of(past),
-                "_latest_year": stats.latest_of([f"CASE WHEN _p{y} IS NOT NULL THEN {y} END" for y in years]),
-            }
-        )
+    held = once(held, {**series, "_preceding": preceding}).drop(*slots)
+    held = once(
+        held,
+        {
+            "_n": stats.count_of(past),
+            "_latest": stats.latest_of(past),
+            "_latest_year": stats.latest_of([f"CASE WHEN _p{y} IS NOT NULL THEN {y} END" for y in years]),
+        },
     )
-    return held.withColumns(
-        columns(
-            {
-                "_second": stats.latest_of([f"CASE WHEN _latest_year > {y} THEN _p{y} END" for y in years]),
-                "_previous": case(*[(f"academic_year - 1 = {y}", f"_p{y}") for y in years]),
-                "_mean": stats.mean_of(past, "_n"),
-                "_median": stats.median_of(past, "_n"),
-            }
-        )
+    return once(
+        held,
+        {
+            "_second": stats.latest_of([f"CASE WHEN _latest_year > {y} THEN _p{y} END" for y in years]),
+            "_previous": case(*[(f"academic_year - 1 = {y}", f"_p{y}") for y in years]),
+            "_mean": stats.mean_of(past, "_n"),
+            "_median": stats.median_of(past, "_n"),
+        },
     )
 
 
@@ -395,42 +393,32 @@ def score_requests(
     targets = list(target_years or [*cal.years, cal.years[-1] + 1])
     # bounded by (target years x programs x categories), a few dozen rows
     moves = F.broadcast(learned_movement(wide, targets))
-    rows = (
-        _add_history(valid, wide)
-        .join(moves, ["academic_year", "program_type", "category"], "left")
-        .withColumns(
-            columns(
-                {
-                    "_move": "coalesce(median_move, 0D)",
-                    "_relative_move": "coalesce(median_relative_move, 0D)",
-                    "_model": _model(),
-                }
-            )
-        )
-        .withColumn("_failure", F.expr(_failure()))
-        .withColumn("_estimate", F.expr(f"CASE WHEN _failure IS NULL THEN {_estimate()} END"))
+    rows = _add_history(valid, wide).join(moves, ["academic_year", "program_type", "category"], "left")
+    rows = once(
+        rows,
+        {
+            "_move": "coalesce(median_move, 0D)",
+            "_relative_move": "coalesce(median_relative_move, 0D)",
+            "_model": _model(),
+        },
     )
+    rows = once(rows, {"_failure": _failure()})
+    rows = once(rows, {"_estimate": f"CASE WHEN _failure IS NULL THEN {_estimate()} END"})
     wide_type, narrow_type = "VOLATILITY_ADAPTIVE_WIDE", "ASYMMETRIC_RELATIVE_EMPIRICAL"
     (wide_low, wide_high), (low, high) = (interval_bounds("_estimate", t) for t in (wide_type, narrow_type))
     terminal = "_family = 'TERMINAL'"
-    rows = rows.withColumns(
-        columns(
-            {
-                "_lower": case((terminal, wide_low), default=low),
-                "_upper": case((terminal, wide_high), default=high),
-                "_name": case(("_failure IS NULL", _model_name()), default=text(FAIL_CLOSED)),
-            }
-        )
+    rows = once(
+        rows, {"_lower": case((terminal, wide_low), default=low), "_upper": case((terminal, wide_high), default=high)}
     )
-    rows = rows.withColumn(
-        "_interval",
-        F.expr(
-            case(
+    rows = once(
+        rows,
+        {
+            "_interval": case(
                 (terminal, interval("_lower", "_upper", "_estimate", wide_type)),
                 default=interval("_lower", "_upper", "_estimate", narrow_type),
             )
-        ),
-    )
+        },
+    ).withColumn("_name", F.expr(case(("_failure IS NULL", _model_name()), default=text(FAIL_CLOSED))))
 
     def if_ok(value: str, otherwise: str = "NULL") -> str:
         return case(("_failure IS NULL", value), default=otherwise)
