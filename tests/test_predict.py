@@ -175,3 +175,21 @@ def test_seat_correlation_needs_ten_pairs(data, table):
 
 def test_calendar_years():
     assert ADMISSIONS.years == [2023, 2024, 2025, 2026]
+
+
+def test_each_column_of_a_prediction_is_worked_out_once(data, table):
+    requests = table(schemas.REQUESTS, [("0", "c1", "cs", 2025, "R1", "GM", "ENGINEERING", None, 900)])
+    out = pre.decide(requests, data["wide"], data["colleges"], data["branches"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # low and high place of one median
+    assert plan.count("sort_array(") == 2
+
+
+def test_kept_rows_are_read_back_from_files(spark):
+    from cutline.sources.workdir import kept
+
+    rows = spark.createDataFrame([(1, "a"), (1, None), (None, "b")], "k int, v string")
+    counted = rows.groupBy("k").count()
+    read = kept(counted, "test")
+    assert sorted(map(str, read.collect())) == sorted(map(str, counted.collect()))
+    assert "Aggregate" not in read._jdf.queryExecution().optimizedPlan().toString()
