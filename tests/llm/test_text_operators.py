@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import pandas as pd
 from cutline.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, secrets, tokens
 from cutline.llm.common import components
 from cutline.llm.shingles import Powers, batch_shingles
@@ -306,19 +307,14 @@ def test_secrets_are_found_and_masked_and_words_left(spark):
     assert all(masked[i] == texts[i] for i in masked if i >= 100)
 
 
-def test_lines_that_share_a_segment_make_no_row_per_pair(spark, monkeypatch):
-    rng = random.Random(9)
-    shared = "".join(rng.choice("abcdefgh ") for _ in range(30))
-    texts = ["".join(rng.choice("ijklmnop ") for _ in range(30)) + shared + "".join(rng.choice("qrstuvwx ") for _ in range(30))
-             for _ in range(100)]
-    near = texts[7][:5] + "Z" + texts[7][6:]
-    compared, verified = [], line_dedup._verified
-    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, lines: compared.append(pairs.count()) or verified(pairs, lines))
-    rows = list(enumerate([*texts, near]))
-    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in found if not r["kept"]} == {100}
-    # each line has nine keys of its length at most on which it is probed, and three under which it is found
-    assert max(compared) <= 12 * len(rows)
+def test_a_block_measures_only_lines_with_like_letters(monkeypatch):
+    texts = [chr(97 + i % 20) * 30 + "shared segment of the lines" + chr(97 + i // 20) * 30 for i in range(40)]
+    near = "Z" + texts[7][1:]
+    rows = [(0, i, i, t) for i, t in enumerate(texts)] + [(1, i, i, t) for i, t in enumerate([*texts, near])]
+    measured, within = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda left, *rest: measured.append(len(left)) or within(left, *rest))
+    found = line_dedup._verify_block(pd.DataFrame(rows, columns=["side", "id", "comp", "line"]))
+    assert found.values.tolist() == [[7, 40]] and sum(measured) == 1
 
 
 def test_values_of_env_lines_and_short_passwords_are_candidates_and_masked(spark):
