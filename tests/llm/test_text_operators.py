@@ -314,7 +314,8 @@ def test_a_block_measures_only_lines_with_like_letters(monkeypatch):
     measured, within = [], line_dedup.within
     monkeypatch.setattr(line_dedup, "within", lambda left, *rest: measured.append(len(left)) or within(left, *rest))
     found = line_dedup._verify_block(pd.DataFrame(rows, columns=["side", "id", "comp", "line"]))
-    assert found.values.tolist() == [[7, 40]] and sum(measured) == 1
+    # lines 1 and 20 hold the same letters in another order, so they are measured from either side
+    assert found.values.tolist() == [[7, 40]] and sum(measured) == 3
 
 
 def test_values_of_env_lines_and_short_passwords_are_candidates_and_masked(spark):
