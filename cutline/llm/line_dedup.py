@@ -25,6 +25,7 @@ EDITS = ((60, 2), (24, 1))
 MOST = max(t for _, t in EDITS)
 BLOCK = 128  # lines of a hot key that meet in one task, from either side
 ROUNDS = 3  # comparisons of each line with the leader of each of its keys
+WORTH = 100  # rows per link found up to which another such round is made
 FEW = 2  # pairs per row of a key up to which they are joined
 CHUNK = 1 << 20  # code points hashed at once
 CELLS = 1 << 23  # code points of pairs that are compared together
@@ -228,7 +229,7 @@ def _verify_block(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def _meetings(distinct: DataFrame) -> DataFrame:
-    """Rows (k, side, id, n) of the keys on which two different lines meet."""
+    """Rows (k, side, id, i, p, n) of the keys on which two different lines meet, with the key's index and probe rows."""
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange serves the counts of each key and the way back to its rows; both only stream over them
     dealt = (
@@ -237,10 +238,12 @@ def _meetings(distinct: DataFrame) -> DataFrame:
     )
     # only keys that two lines share matter; most are one line's own
     busy = (
-        dealt.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"))
-        .where("low < high AND i > 0").select("k")
+        dealt.groupBy("k").agg(
+            F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.expr("1 - side")).alias("i"), F.sum("side").alias("p")
+        )
+        .where("low < high AND i > 0").select("k", "i", "p")
     )
-    met = saved(dealt.join(busy, "k").select("k", "side", "id"), "met")
+    met = saved(dealt.join(busy, "k").select("k", "side", "id", "i", "p"), "met")
     return saved(lookup(met, distinct.select("id", "n"), ["id"]), "met")
 
 
@@ -269,11 +272,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _left_open(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows (k, side, id, n, comp) of the keys that still see several components."""
+    """Rows (k, side, id, n, comp, i, p) of the keys that still see several components; i and p as in ``_meetings``."""
     known = lookup(met, joined.selectExpr("node AS id", "component"), ["id"]).selectExpr(
         "k", "side", "id", "n", "coalesce(component, id) AS comp"
     )
-    several = known.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("k")
+    several = (
+        known.groupBy("k")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.expr("1 - side")).alias("i"), F.sum("side").alias("p"))
+        .where("low < high").select("k", "i", "p")
+    )
     return saved(lookup(known, several, ["k"], "inner"), "open")
 
 
@@ -285,7 +292,7 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
 
     A family of near-equal lines meets on many keys, and its pairs are the square of its size. Components need no more
     than a spanning set of links. Keys with few lines have all their pairs compared; on the others each line is first
-    compared with the leader of each of its keys, ``ROUNDS`` times. Only keys that see several components after that
+    compared with the leader of each of its keys, at most ``ROUNDS`` times. Only keys that see several components after that
     have their lines compared, and only across components, in blocks that return the links that join some.
     """
     lines = docs.select(
@@ -297,12 +304,9 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
         .select("key", "line", "n", F.char_length("line").alias("len"), F.monotonically_increasing_id().alias("id")),
         "lines",
     )
-    met = _meetings(distinct)
-    involved = broadcast_if_small(saved(met.select("id").distinct(), "involved"))
+    sized = _meetings(distinct)
+    involved = broadcast_if_small(saved(sized.select("id").distinct(), "involved"))
     texts = saved(distinct.join(involved, "id", "left_semi").select("id", "line"), "involved")
-    sized = saved(
-        lookup(met, met.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"), "met"
-    )
     # keys of which the pairs are about as many as the rows; the others by leaders
     few = f"i * p <= {FEW} * (i + p)"
     easy = sized.where(few)
@@ -312,19 +316,20 @@ def line_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tup
     )
     links = saved(_verified(pairs, texts), "line-links")
     joined = components(links, "lines-joined")
-    open_ = _left_open(sized.where(f"NOT ({few})").drop("i", "p"), joined)
+    open_ = _left_open(sized.where(f"NOT ({few})"), joined)
     for step in range(ROUNDS):
-        if open_.isEmpty():
+        rows = open_.count()
+        if not rows:
             break
-        links = links.union(saved(_verified(_led(open_, step), texts), "line-links"))
+        found = saved(_verified(_led(open_, step), texts), "line-links")
+        links = links.union(found)
         joined = components(links, "lines-joined")
         open_ = _left_open(open_.drop("comp"), joined)
-    sized = lookup(
-        open_, open_.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")), ["k"], "inner"
-    )
+        if found.count() * WORTH < rows:
+            break  # leaders are no use to what is left
     # what is left: the lines of a key across components, block by block, without a row per pair
     across = (
-        lookup(sized, texts, ["id"], "inner")
+        lookup(open_, texts, ["id"], "inner")
         .withColumns({"bi": F.expr(f"CAST(ceil(i / {BLOCK}) AS INT)"), "bp": F.expr(f"CAST(ceil(p / {BLOCK}) AS INT)")})
         .where("bi > 0 AND bp > 0")
         .withColumn("own", F.expr("CAST(pmod(xxhash64(id), if(side = 0, bi, bp)) AS INT)"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import pandas as pd
+from pyspark.sql import functions as F
 from cutline.llm import bpe, exact_dedup, line_dedup, ngram_join, packing, secrets, tokens
 from cutline.llm.common import components
 from cutline.llm.shingles import Powers, batch_shingles
@@ -291,6 +292,21 @@ def test_a_family_of_lines_costs_its_rows_not_its_pairs(spark):
     assert kept == {0} | {i for i, line in rows if line in set(apart)}
 
 
+def test_lines_of_a_key_that_leaders_do_not_join_go_to_blocks_after_one_round(spark, monkeypatch):
+    rng = random.Random(6)
+    # all share their first third, and no two are near
+    kinds = ["".join("abcdefgh"[k % 8] for k in range(30)) + "".join(rng.choice("ijklmnopqrst ") for _ in range(60)) for _ in range(300)]
+    rounds, led = [], line_dedup._led
+    monkeypatch.setattr(line_dedup, "_led", lambda open_, step: rounds.append(step) or led(open_, step))
+    docs = spark.createDataFrame(list(enumerate(kinds + [kinds[7][:50] + "X" + kinds[7][51:]])), "doc_id long, text string")
+    assert [r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if not r["kept"]] == [len(kinds)]
+    assert rounds == [0]
+    met = line_dedup._meetings(spark.createDataFrame([(x, i, len(x), 1) for i, x in enumerate(kinds)], "line string, id long, len int, n long"))
+    sizes = {r.k: (r.i, r.p) for r in met.collect()}
+    counted = met.groupBy("k").agg(F.expr("count_if(side = 0) AS i"), F.expr("count_if(side = 1) AS p")).collect()
+    assert sizes == {r.k: (r.i, r.p) for r in counted} and sizes
+
+
 def test_secrets_are_found_and_masked_and_words_left(spark):
     hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
     rows = [(i, f'some words before token = "{h}" and after, unchangeablewordsofnature{i}', "src") for i, h in enumerate(hexes)]
