@@ -35,6 +35,11 @@ OUTCOMES = (
 _PART = ["academic_year", "part"]
 
 
+def _has_earlier(before: Snapshot, logged: Staged) -> bool:
+    """Whether the log may hold earlier rows of the documents of a batch; if not, none need to be looked for."""
+    return any(p in before.tables.get("log", {}) for p in logged.parts)
+
+
 @dataclass(frozen=True)
 class CutoffIngest:
     """One ingest of cutoff rows into the store below ``path``.
@@ -111,16 +116,20 @@ class CutoffIngest:
 
     def _valid(self, store: Store, before: Snapshot, logged: Staged) -> Staged:
         """Valid rows of all documents of the batch, from the whole log, cut into the parts of the facts."""
-        everything = store.read(before, "log", logged.schema, logged.parts, also=logged)
-        touched = store.staged(logged).select("source_version_id").distinct()
-        rows = lookup(everything, touched.withColumn("_touched", F.lit(True)), ["source_version_id"], "inner")
+        if _has_earlier(before, logged):
+            everything = store.read(before, "log", logged.schema, logged.parts, also=logged)
+            touched = store.staged(logged).select("source_version_id").distinct()
+            rows = lookup(everything, touched.withColumn("_touched", F.lit(True)), ["source_version_id"], "inner")
+        else:
+            rows = store.staged(logged)  # nothing else was logged for these documents
         rest = [c for c in RAW if c not in ("source_version_id", "row_idx")]
         first = rows.groupBy("source_version_id", "row_idx").agg(
             F.expr(f"min(struct(batch, {', '.join(rest)})) AS _first")
         ).selectExpr("source_version_id", "row_idx", "_first.*")
-        tagged = quality.validate_cutoffs(
+        # read twice, by different columns: Spark would validate all rows anew for the gate
+        tagged = store.staged(store.stage(quality.validate_cutoffs(
             first, self.colleges, self.branches, self.categories, batch=["source_version_id"]
-        )
+        ), "tagged"))
         keyed = lookup(quality.valid_rows(tagged), self.colleges.select("college_code", "college_id"), ["college_code"], "inner")
         keyed = lookup(keyed, self.branches.select("branch_code", "branch_id"), ["branch_code"], "inner")
         if self.documents is None:
@@ -157,7 +166,8 @@ class CutoffIngest:
             .join(rows.where(f"batch < {batch_id}"), ["source_version_id", "row_idx"])
             .selectExpr(*values, "CASE WHEN _rank <=> closing_rank THEN 'UNCHANGED' ELSE 'FACTUAL_MUTATION_REJECTED' END AS outcome")
         )
-        return found.union(gone).union(again).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        out = found.union(gone)
+        return (out.union(again) if _has_earlier(before, logged) else out).withColumn("batch", F.lit(batch_id).cast("bigint"))
 
     def run(self, stream: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
         """Process all rows of a stream that are there, and stop; ``prepare`` makes raw rows of a batch."""

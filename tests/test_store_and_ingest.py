@@ -143,3 +143,18 @@ def test_rows_without_version_or_index_and_empty_batches(spark, table, tmp_path)
     job.process(table(RAW, []), 0)
     job.process(table(RAW, [(None, "E001", "CS", "GM", "R1", None, 5, 2026, None, "a-v1"), row(1, 1, 5, None)]), 1)
     assert job.facts().isEmpty() and job.store().snapshot().batches == ((0, 1),)
+
+
+def test_a_first_batch_joins_nothing_that_is_not_there(spark, table, tmp_path, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    staged, stage = {}, Store.stage
+    monkeypatch.setattr(Store, "stage", lambda self, rows, name, by=(): staged.setdefault(name, []).append(plan(rows)) or stage(self, rows, name, by))
+    job = ingest(spark, table, tmp_path / "s", [("a-v1", "CUTOFF_PDF", "ENGINEERING", None, 1, False)])
+    job.process(table(RAW, [row(i, i, 100 + i, "a-v1") for i in (1, 2, 3)]), 0)
+    assert len(facts_of(job)) == 3 and len(staged["tagged"]) == 1
+    # rows are validated once, and joined neither to facts nor to a log that are empty
+    assert "FullOuter" not in staged["judged"][0] and staged["judged"][0].count("Join ") == 1  # the rounds
+    assert "Join " not in staged["facts"][0] and "Join " not in staged["outcomes"][0]
+    job.process(table(RAW, [row(1, 1, 101, "a-v1"), row(4, 4, 104, "a-v1")]), 1)
+    assert len(facts_of(job)) == 4 and "Join " in staged["outcomes"][1]
+    assert {r.outcome for r in job.outcomes().where("batch = 1").collect()} >= {"UNCHANGED", "PUBLISHED"}
