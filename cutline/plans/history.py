@@ -3,7 +3,8 @@
 ``wide_panel`` has a column per slot of a calendar, which suits known years. Here the times are whatever the facts hold:
 targets and facts are put together, sorted by key and time, and a running state of the facts so far is read off at each
 target. A key's times are cut into spans, each of which starts from the state at the end of those before it, so that a
-key with most of the facts is spread over many tasks.
+key with most of the facts is spread over many tasks. Facts go through two exchanges, one that leaves a fact per time and
+one that sorts the spans; what is left, a row per target and per span, is written down, as it is read twice.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.sources.workdir import kept
+
 HISTORY = ["depth", "total", "lowest", "highest", "latest", "latest_at", "second", "second_at"]
 
 
@@ -33,45 +36,46 @@ def as_of(
         facts.selectExpr(*keys, f"CAST({when} AS BIGINT) AS _t", f"{value} AS _v")
         .where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, "_t", "_v"]))
         .groupBy(*keys, "_t").agg(F.max("_v").alias("_v"))
-        .withColumn("_span", F.expr(f"floor(_t / {span})"))
-        .withColumn("_prev", F.expr(f"lag(struct(_t, _v)) OVER (PARTITION BY {by}, _span ORDER BY _t)"))
-    )
-    spans = (
-        held.groupBy(*keys, "_span")
-        .agg(
-            F.expr("count(1) AS _c"), F.expr("sum(_v) AS _s"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"),
-            F.expr("max(struct(_t, _v, _prev)) AS _last"),
-        )
-        # the only fact of a span follows the last one of the span before
-        .withColumn("_before", F.expr(f"lag(_last) OVER (PARTITION BY {by} ORDER BY _span)"))
-        .withColumn("_last", F.expr("struct(_last._t, _last._v, coalesce(_last._prev, struct(_before._t, _before._v)) AS _prev)"))
-        .drop("_before")
     )
     asked = targets.withColumn("_t", F.expr(f"CAST({at} AS BIGINT)")).select(
-        *keys, "_t", F.expr(f"floor(_t / {span}) AS _span"), F.struct(*targets.columns).alias("_row")
+        *keys, "_t", F.struct(*targets.columns).alias("_row")
+    )
+    # targets come before facts of their own time
+    order = f"OVER (PARTITION BY {by}, _span ORDER BY _t, _row IS NULL"
+    inside, before = f"{order} ROWS UNBOUNDED PRECEDING)", f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    rows = (
+        held.unionByName(asked, allowMissingColumns=True)
+        .withColumn("_span", F.expr(f"floor(_t / {span})"))
+        .withColumn("_prev", F.expr(f"last(CASE WHEN _row IS NULL THEN struct(_t, _v) END, true) {before}"))
+    )
+    # the state within a span, at each target and at the end; facts are in no exchange after this one
+    states = kept(
+        rows.selectExpr(
+            *keys, "_span", "_row", f"lead(1) {order}) IS NULL AS _end", f"count(_row) {inside} AS _n", f"count(_v) {inside} AS _c",
+            f"sum(_v) {inside} AS _s", f"min(_v) {inside} AS _lo", f"max(_v) {inside} AS _hi",
+            f"last(CASE WHEN _row IS NULL THEN struct(_t, _v, _prev) END, true) {inside} AS _in",
+        ).where("_row IS NOT NULL OR _end"),
+        "states",
     )
-    # spans that hold targets alone need a state as well
-    places = spans.unionByName(
-        asked.where("_t IS NOT NULL").select(*keys, "_span").distinct(), allowMissingColumns=True
-    ).groupBy(*keys, "_span").agg(*[F.max(c).alias(c) for c in ("_c", "_s", "_lo", "_hi", "_last")])
     earlier = f"OVER (PARTITION BY {by} ORDER BY _span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    starts = places.selectExpr(
-        *[f"{k} AS _k{i}" for i, k in enumerate(keys)], "_span AS _at",
-        f"sum(_c) {earlier} AS _c0", f"sum(_s) {earlier} AS _s0", f"min(_lo) {earlier} AS _lo0", f"max(_hi) {earlier} AS _hi0",
-        f"max(_last) {earlier} AS _last0",
+    starts = (
+        states.where(" AND ".join(["_end", *[f"{c} IS NOT NULL" for c in [*keys, "_span"]]]))
+        # the only fact of a span follows the last one of the spans before
+        .withColumn("_before", F.expr(f"last(CASE WHEN _c > 0 THEN struct(_in._t, _in._v) END, true) {earlier}"))
+        .withColumn("_last", F.expr("CASE WHEN _c > 0 THEN struct(_in._t, _in._v, coalesce(_in._prev, _before) AS _prev) END"))
+        .selectExpr(
+            *[f"{k} AS _k{i}" for i, k in enumerate(keys)], "_span AS _at", "_n AS _asked",
+            f"sum(_c) {earlier} AS _c0", f"sum(_s) {earlier} AS _s0", f"min(_lo) {earlier} AS _lo0", f"max(_hi) {earlier} AS _hi0",
+            f"last(_last, true) {earlier} AS _last0",
+        )
+        .where("_asked > 0 AND _c0 > 0")
     )
-    rows = held.selectExpr(*keys, "_t", "_span", "_v", "_prev").unionByName(asked, allowMissingColumns=True)
     on = " AND ".join([f"{k} = _k{i}" for i, k in enumerate(keys)] + ["_span = _at"])
-    # targets come before facts of their own time
-    inside = f"OVER (PARTITION BY {by}, _span ORDER BY _t, _row IS NULL ROWS UNBOUNDED PRECEDING)"
-    state = rows.join(starts, F.expr(on), "left").selectExpr(
-        "_row",
-        f"count(_v) {inside} + coalesce(_c0, 0L) AS depth",
-        f"sum(_v) {inside} AS _s1", "_s0",
-        f"least(min(_v) {inside}, _lo0) AS lowest", f"greatest(max(_v) {inside}, _hi0) AS highest",
-        f"max(CASE WHEN _row IS NULL THEN struct(_t, _v, coalesce(_prev, struct(_last0._t, _last0._v)) AS _prev) END) {inside} AS _in", "_last0",
-    ).where("_row IS NOT NULL")
-    return state.withColumn("_l", F.expr("coalesce(_in, _last0)")).selectExpr(
-        "_row.*", "depth", "CASE WHEN depth > 0 THEN coalesce(_s1, 0) + coalesce(_s0, 0) END AS total", "lowest", "highest",
+    latest = "struct(_in._t, _in._v, coalesce(_in._prev, struct(_last0._t, _last0._v)) AS _prev)"
+    return states.where("_row IS NOT NULL").join(starts, F.expr(on), "left").selectExpr(
+        "_row", "_c + coalesce(_c0, 0L) AS depth", "_s", "_s0", "least(_lo, _lo0) AS lowest", "greatest(_hi, _hi0) AS highest",
+        f"CASE WHEN _in IS NULL THEN _last0 ELSE {latest} END AS _l",
+    ).selectExpr(
+        "_row.*", "depth", "CASE WHEN depth > 0 THEN coalesce(_s, 0) + coalesce(_s0, 0) END AS total", "lowest", "highest",
         "_l._v AS latest", "_l._t AS latest_at", "_l._prev._v AS second", "_l._prev._t AS second_at",
     )
