@@ -18,6 +18,7 @@ from cutline.functions.sql import columns, inline, text
 from cutline.plans.history import as_of
 from cutline.plans.panel import COMBO, WidePanel
 from cutline.plans.pooled import lookup, with_medians
+from cutline.sources.workdir import kept
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -102,7 +103,8 @@ def open_cases(
         *COMBO, f"{year} AS _year", "CAST(closing_rank AS BIGINT) AS actual", f"{record or 'CAST(NULL AS STRING)'} AS _record"
     ).where("_year IS NOT NULL AND actual IS NOT NULL")
     best = "max(struct(actual, _record))" if record else "struct(max(actual) AS actual, CAST(NULL AS STRING) AS _record)"
-    ranks = ranks.groupBy(*COMBO, "_year").agg(F.expr(f"{best} AS _best")).select(*COMBO, "_year", "_best.*")
+    # read three times, by different columns: Spark would join and group all lines anew for each of them
+    ranks = kept(ranks.groupBy(*COMBO, "_year").agg(F.expr(f"{best} AS _best")).select(*COMBO, "_year", "_best.*"), "ranks")
     keys = ["college_id", "branch_id", "program_type", "category"]
     targets = ranks if target_years is None else ranks.where(F.col("_year").isin(list(target_years)))
     known = as_of(targets, ranks, keys, "_year", "_year", "actual")

@@ -73,3 +73,27 @@ def test_lineage_finds_a_planted_future_record(spark, table):
     # a record of 2030 that claims to be of 2018, one of another round, and one that no fact has
     planted = clean + [(*combo, 2018, 5, "r4"), (*combo, 2017, 5, "r5"), (*combo, 2016, 5, "nowhere")]
     assert counts(planted)[2021] == (5, 1, 1, 1, 1)
+
+
+def _exchanges_of_rows(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_facts_are_read_once(spark, table, tmp_path, monkeypatch):
+    """Cases and histories are written down before they are read again by other columns."""
+    from cutline.plans import history
+
+    written, kept = [], history.kept
+    keep = lambda df, purpose: written.append((purpose, _exchanges_of_rows(df))) or kept(df, purpose)
+    monkeypatch.setattr(history, "kept", keep)
+    monkeypatch.setattr(backtest, "kept", keep)
+    facts = table("k string, t int, v int", [("a", t, t * t) for t in range(40)])
+    got = as_of(table("k string, at int", [("a", 7), ("a", 33)]), facts, ["k"], "at", "t", "v", 10)
+    assert sorted((r.at, r.depth, r.latest, r.second) for r in got.collect()) == [(7, 7, 36, 25), (33, 33, 1024, 961)]
+    assert [p for p, _ in written] == ["states"] and written[0][1] <= 2
+    schema = ("college_id string, college_code string, branch_id string, branch_code string, program_type string, category string, "
+              "year int, closing_rank int")
+    rows = [("1", "c", "b", "B", "ENGINEERING", "GM", y, y) for y in (2001, 2002, 2003)]
+    cases = backtest.open_cases(table(schema, rows), "year")
+    assert {r.target_year: r.depth for r in cases.collect()} == {2001: 0, 2002: 1, 2003: 2}
+    assert [p for p, _ in written] == ["states", "ranks", "states"]
