@@ -71,7 +71,7 @@ def targets(sources: DataFrame, weights: Sequence[int], share: Fraction, most: i
         return sources.withColumn("target", F.lit(0.0))
     top, bottom = share.numerator, share.denominator
 
-    def big(sql: str) -> str:
+    def big(sql: str | int) -> str:
         return f"CAST({sql} AS DECIMAL(19, 0))"
 
     full = (
@@ -83,7 +83,8 @@ def targets(sources: DataFrame, weights: Sequence[int], share: Fraction, most: i
         F.expr("coalesce(sum(CASE WHEN _full THEN source_size END), 0)"),
         F.expr("coalesce(sum(CASE WHEN _full THEN _weight END), 0)"),
     ).first()
-    rest = f"CAST(_weight * {top * total - bottom * most * held} AS DOUBLE) / {max(bottom * (weight - gone), 1)}"
+    # a literal below 2^31 is an INT, and so would be its product with a weight
+    rest = f"CAST({big('_weight')} * {big(top * total - bottom * most * held)} AS DOUBLE) / {max(bottom * (weight - gone), 1)}"
     return marked.select(
         *_SOURCE, "source_size",
         F.expr(f"CASE WHEN _full THEN CAST({most} * source_size AS DOUBLE) ELSE {rest} END AS target"),

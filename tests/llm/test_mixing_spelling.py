@@ -199,3 +199,12 @@ def test_nodes_are_numbered_across_ranges(spark):
             for i, node in enumerate(r.nodes):
                 assert number.setdefault(r.key[:i], node) == node
         assert len(set(number.values())) == len(number)
+
+
+@pytest.mark.parametrize("words", [10**8, 7 * 10**8, 3 * 10**9, 10**15])
+def test_targets_of_many_words(spark, words):
+    # of 7 * 10^8 words, what is left is below 2^31, and its product with a weight is not
+    sizes = {"a": 4 * words // 10, "b": words // 20, "c": words // 20, "d": words // 2}
+    rows = spark.createDataFrame([(False, s, n) for s, n in sizes.items()], "_none boolean, _source string, source_size long")
+    got = {r["_source"]: r["target"] for r in mixing.targets(rows, (5, 2, 1), Fraction(3, 2), 2).collect()}
+    assert got == pytest.approx(shares(sizes, (5, 2, 1), Fraction(3, 2), 2), rel=1e-12)
