@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.plans.pooled import broadcast_within  # noqa: F401
 from cutline.sources.workdir import shared_folder
 
 
@@ -45,17 +46,6 @@ def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def broadcast_within(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Broadcast a written table of at most ``limit`` bytes as rows; else return it as it is, for a shuffle join.
-
-    A row is taken at its widths of fixed types plus the longest texts of the table, so the bound holds for any table.
-    """
-    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    longest = " + ".join([f"coalesce(max(octet_length(`{c}`)), 0)" for c in wide] or ["0"])
-    rows, text = df.agg(F.count(F.lit(1)), F.expr(longest)).first()
-    return F.broadcast(df) if rows * (16 * len(df.columns) + text) <= limit else df
-
-
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """Connected components of edges (a, b): a row (node, component) per node of an edge, with the smallest node.
 

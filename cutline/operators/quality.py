@@ -62,7 +62,8 @@ def _registered(rows: DataFrame, registry: DataFrame, column: str, flag: str) ->
 
 
 def _finish(
-    rows: DataFrame, single: str, several: Sequence[str], late: str, key: Sequence[str], batch: Sequence[str]
+    rows: DataFrame, single: str, several: Sequence[str], late: str, key: Sequence[str], batch: Sequence[str],
+    dealt: bool = False,
 ) -> DataFrame:
     """Collect the errors of each row, then find duplicates among the clean ones."""
     each = f"array_compact(array({', '.join(several)}))" if several else "array()"
@@ -75,7 +76,7 @@ def _finish(
             f"ELSE array_compact(array({late})) END"
         ),
     ).drop("_first", "_each")
-    marked = first_per_key(clean, key, "row_idx", "size(error_codes) = 0", "_kept", scope=batch)
+    marked = first_per_key(clean, key, "row_idx", "size(error_codes) = 0", "_kept", scope=batch, dealt=dealt)
     return marked.withColumns(
         columns(
             {
@@ -89,9 +90,12 @@ def _finish(
 
 def validate_cutoffs(
     rows: DataFrame, colleges: DataFrame, branches: DataFrame, categories: Sequence[str],
-    batch: Sequence[str] = (),
+    batch: Sequence[str] = (), dealt: bool = False,
 ) -> DataFrame:
-    """Rules for cutoff rows. ``batch`` names columns that separate batches, if there are several."""
+    """Rules for cutoff rows. ``batch`` names columns that separate batches, if there are several.
+
+    ``dealt`` says that these are never NULL, and spares rows dealt by them and ``row_idx`` another shuffle.
+    """
     rows = _registered(rows, colleges, "college_code", "_college")
     rows = _registered(rows, branches, "branch_code", "_branch")
     before_category = case(
@@ -113,7 +117,7 @@ def validate_cutoffs(
     )
     rows = rows.withColumn("anomalies", F.expr(anomalies))
     key = [*batch, "college_code", "branch_code", "category_code", "round_code", "academic_year"]
-    return _finish(rows, "coalesce(_early, _ranks)", [], "NULL", key, batch).drop("_college", "_branch", "_early", "_ranks")
+    return _finish(rows, "coalesce(_early, _ranks)", [], "NULL", key, batch, dealt).drop("_college", "_branch", "_early", "_ranks")
 
 
 def validate_seats(

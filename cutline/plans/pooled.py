@@ -4,6 +4,7 @@
 * ``first_per_key``: mark the first row of each key without a window over the key.
 * ``numbered``: row numbers within groups of any size.
 * ``lookup``: many-to-one join whose hot keys adaptive execution can split.
+* ``broadcast_within``: a broadcast hint for tables that were measured first.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def first_per_key(
     eligible: str = "true",
     flag: str = "is_first",
     scope: Sequence[str] = (),
+    dealt: bool = False,
 ) -> DataFrame:
     """Add a flag: this row has the smallest ``row_id`` of its key among eligible rows.
 
@@ -95,7 +97,8 @@ def first_per_key(
     within the columns of ``scope``, which then separate the keys as well. The
     smallest id per key is a combined aggregate, and the way back is a join on
     the id itself, so a key shared by a third of all rows loads no single task.
-    NULLs in keys are equal.
+    NULLs in keys are equal. ``dealt`` says that no column of ``scope`` is NULL:
+    rows that lie dealt by ``scope`` and id then stay where they are.
     """
     grouped = [*scope, *[k for k in keys if k not in scope]]
     firsts = (
@@ -104,7 +107,7 @@ def first_per_key(
         .agg(F.expr(f"min({row_id}) AS _first"))
         .select(*[f"_k{i}" for i in range(len(scope))], "_first")
     )
-    on = " AND ".join([f"{row_id} = _first"] + [f"{c} <=> _k{i}" for i, c in enumerate(scope)])
+    on = " AND ".join([f"{row_id} = _first"] + [f"{c} {'=' if dealt else '<=>'} _k{i}" for i, c in enumerate(scope)])
     return (
         df.join(firsts, F.expr(on), "left")
         .withColumn(flag, F.expr("_first IS NOT NULL"))
@@ -164,3 +167,14 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "l
         .join(right, F.expr(on), how)
         .drop("_lh", "_rh", *[f"_r{i}" for i in range(len(keys))])
     )
+
+
+def broadcast_within(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Broadcast a written table of at most ``limit`` bytes as rows; else return it as it is, for a shuffle join.
+
+    A row is taken at its widths of fixed types plus the longest texts of the table, so the bound holds for any table.
+    """
+    wide = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    longest = " + ".join([f"coalesce(max(octet_length(`{c}`)), 0)" for c in wide] or ["0"])
+    rows, text = df.agg(F.count(F.lit(1)), F.expr(longest)).first()
+    return F.broadcast(df) if rows * (16 * len(df.columns) + text) <= limit else df

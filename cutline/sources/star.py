@@ -132,15 +132,19 @@ class Star:
     def lines(self, line: DataFrame | None = None) -> DataFrame:
         """Line items with the order's year, round and status, and the part's type."""
         line = self.table("lineitem") if line is None else line
-        order, part = self.table("orders"), self.table("part")
+        # short forms and the narrower join first: on large tables, lines go through a shuffle for each join
+        order = self.table("orders").selectExpr(
+            "o_orderkey", "year(o_orderdate) AS _year", "substring(o_orderpriority, 1, 1) AS o_orderpriority", "o_orderstatus"
+        )
+        part = self.table("part")
         return (
-            line.join(order, F.expr("l_orderkey = o_orderkey"))
-            .join(part, F.expr("l_partkey = p_partkey"))
+            line.join(part, F.expr("l_partkey = p_partkey"))
+            .join(order, F.expr("l_orderkey = o_orderkey"))
             .selectExpr(
                 "CAST(l_suppkey AS STRING) AS college_id",
                 "format_string('S%05d', l_suppkey) AS college_code",
                 "p_type AS branch_id",
-                "year(o_orderdate) AS academic_year",
+                "_year AS academic_year",
                 f"{ROUND_OF_PRIORITY} AS round_code",
                 f"{CATEGORY_OF_FLAG} AS category_code",
                 f"{VERSION_OF_STATUS} AS source_version_id",
@@ -215,14 +219,18 @@ class Star:
         self, line: DataFrame | None = None, document: str = "concat(college_code, '-', source_version_id)"
     ) -> DataFrame:
         """Line items as raw cutoff rows with the faults a validator must find; ``document`` names the version of each."""
+        line = (self.table("lineitem") if line is None else line).selectExpr(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus",
+            "CASE WHEN l_discount > 0.02 THEN l_quantity END AS l_quantity", "floor(l_extendedprice) AS l_extendedprice",
+        )
         return self.lines(line).selectExpr(
             "line_id AS row_idx",
             "college_code",
             "branch_id AS branch_code",
             "category_code",
             "CASE WHEN round_code = 'KKR_SPECIAL' AND o_orderstatus = 'P' THEN 'R2' ELSE round_code END AS round_code",
-            "CASE WHEN l_discount > 0.02 THEN CAST(l_quantity AS INT) * 2000 - 2000 END AS opening_rank",
-            "CAST(floor(l_extendedprice) AS INT) * 3 - 15000 AS closing_rank",
+            "CAST(l_quantity AS INT) * 2000 - 2000 AS opening_rank",
+            "CAST(l_extendedprice AS INT) * 3 - 15000 AS closing_rank",
             "academic_year",
             "CAST(NULL AS STRING) AS row_identifier",
             f"{document} AS source_version_id",

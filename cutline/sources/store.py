@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,18 @@ def _with_batch(ranges: Sequence[tuple[int, int]], batch: int) -> tuple[tuple[in
     return tuple(out)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffles of the jobs inside the block are deleted as each job ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Store:
     """Tables below ``path``, for one writer at a time and any number of readers."""
 
@@ -111,17 +124,29 @@ class Store:
 
     def stage(self, rows: DataFrame, table: str, by: Sequence[str] = ()) -> Staged:
         """Write rows aside, cut by the columns of ``by``; a part that holds most of the rows is split over tasks."""
+        return self._write(rows.hint("rebalance", *by) if by else rows, table, by)
+
+    def stage_in_place(self, rows: DataFrame, table: str, by: Sequence[str]) -> Staged:
+        """As ``stage``, but each task writes its own rows: no shuffle, and a file per task and part."""
+        return self._write(rows, table, by)
+
+    def _write(self, rows: DataFrame, table: str, by: Sequence[str]) -> Staged:
         commit = uuid.uuid4().hex
         folder = f"{self.path}/{table}/commit={commit}"
+        writer = rows.write.option("compression", "zstd")
+        with shuffles_dropped(rows.sparkSession):
+            (writer.partitionBy(*by) if by else writer).parquet(folder)
         if by:
-            rows.hint("rebalance", *by).write.partitionBy(*by).parquet(folder)
             found = self._files.globStatus(self._at(f"{table}/commit={commit}" + "".join(f"/{c}=*" for c in by)))
             names = [s.getPath().toUri().getPath().split(f"/commit={commit}/")[1] for s in found]
         else:
-            rows.write.parquet(folder)
             names = [""]
         return Staged(table, commit, tuple(sorted(names)), rows.schema)
 
+    def discard(self, staged: Staged) -> None:
+        """Delete files that were written aside, are read no more and are named by no commit."""
+        self._files.delete(self._at(f"{staged.table}/commit={staged.commit}"), True)
+
     def commit(
         self, before: Snapshot, batch: int | None = None, replace: Sequence[tuple[Staged, Iterable[str]]] = (),
         append: Sequence[Staged] = (), notes: Mapping[str, str] | None = None,

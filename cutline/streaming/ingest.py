@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cutline.functions.sql import texts
 from cutline.operators import publish, quality
-from cutline.plans.pooled import lookup
+from cutline.plans.pooled import broadcast_within, lookup
 from cutline.schemas import CUTOFF_KEY
 from cutline.sources.store import Snapshot, Staged, Store, bucket, with_status
 
@@ -35,6 +35,14 @@ OUTCOMES = (
 _PART = ["academic_year", "part"]
 
 
+def _parts(rows: DataFrame) -> list[str]:
+    """The parts of the facts that rows fall into, by the names that the store gives them."""
+    return sorted(
+        "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in _PART)
+        for r in rows.select(*_PART).distinct().collect()
+    )
+
+
 def _has_earlier(before: Snapshot, logged: Staged) -> bool:
     """Whether the log may hold earlier rows of the documents of a batch; if not, none need to be looked for."""
     return any(p in before.tables.get("log", {}) for p in logged.parts)
@@ -87,7 +95,8 @@ class CutoffIngest:
         before = store.snapshot()
         if before.done(batch_id):
             return
-        logged = store.stage(
+        # dealt to parts by the tasks that read them, as what follows deals them anew by other columns
+        logged = store.stage_in_place(
             rows.select(*RAW).where("source_version_id IS NOT NULL AND row_idx IS NOT NULL")
             .withColumns({"batch": F.lit(batch_id).cast("bigint"), "part": F.expr(bucket("source_version_id", self.parts))}),
             "log", ["part"],
@@ -95,13 +104,12 @@ class CutoffIngest:
         if not logged.parts:
             store.commit(before, batch_id)
             return
-        valid = self._valid(store, before, logged)
+        valid, parts = self._valid(store, before, logged)
         touched = store.staged(logged).select("source_version_id").distinct()
-        held = store.read(before, "facts", FACTS, valid.parts)
+        held = store.read(before, "facts", FACTS, parts)
         of_touched = lookup(held, touched.withColumn("_touched", F.lit(True)), ["source_version_id"])
-        now = store.staged(valid).where("publishable").drop("publishable")
         judged = publish.publish_outcomes(
-            now, of_touched.where("_touched").drop("_touched"), self.rounds, list(self.categories)
+            store.staged(valid), of_touched.where("_touched").drop("_touched"), self.rounds, list(self.categories)
         )
         judged = store.stage(judged, "judged")
         accepted = store.staged(judged).where("outcome NOT LIKE 'UNKNOWN%'")
@@ -112,10 +120,16 @@ class CutoffIngest:
         )
         facts = store.stage(state, "facts", _PART)
         changes = store.stage(self._changes(store, judged, of_touched, before, logged, batch_id), "outcomes")
-        store.commit(before, batch_id, replace=[(facts, valid.parts)], append=[logged, changes])
+        store.commit(before, batch_id, replace=[(facts, parts)], append=[logged, changes])
+        for done in (valid, judged):
+            store.discard(done)
 
-    def _valid(self, store: Store, before: Snapshot, logged: Staged) -> Staged:
-        """Valid rows of all documents of the batch, from the whole log, cut into the parts of the facts."""
+    def _valid(self, store: Store, before: Snapshot, logged: Staged) -> tuple[Staged, list[str]]:
+        """Rows to publish of all documents of the batch, from the whole log, and the parts of the facts of all valid rows.
+
+        Rows are dealt once, by document and ``row_idx``, and stay there until they are written; of a row that is
+        refused only its document is. The registries and the documents that pass go to the rows, if they are small.
+        """
         if _has_earlier(before, logged):
             everything = store.read(before, "log", logged.schema, logged.parts, also=logged)
             touched = store.staged(logged).select("source_version_id").distinct()
@@ -123,30 +137,36 @@ class CutoffIngest:
         else:
             rows = store.staged(logged)  # nothing else was logged for these documents
         rest = [c for c in RAW if c not in ("source_version_id", "row_idx")]
-        first = rows.groupBy("source_version_id", "row_idx").agg(
+        row = ["source_version_id", "row_idx"]
+        # the condition holds for all rows; a join adds it to one side, and the sides would not share their shuffle
+        rows = rows.where("source_version_id IS NOT NULL AND row_idx IS NOT NULL")
+        first = rows.select(*row, "batch", *rest).repartition(*row).groupBy(*row).agg(
             F.expr(f"min(struct(batch, {', '.join(rest)})) AS _first")
-        ).selectExpr("source_version_id", "row_idx", "_first.*")
-        # read twice, by different columns: Spark would validate all rows anew for the gate
-        tagged = store.staged(store.stage(quality.validate_cutoffs(
-            first, self.colleges, self.branches, self.categories, batch=["source_version_id"]
-        ), "tagged"))
-        keyed = lookup(quality.valid_rows(tagged), self.colleges.select("college_code", "college_id"), ["college_code"], "inner")
-        keyed = lookup(keyed, self.branches.select("branch_code", "branch_id"), ["branch_code"], "inner")
-        if self.documents is None:
-            keyed = keyed.withColumn("publishable", F.lit(True))
-        else:
+        ).selectExpr(*row, "_first.*")
+        colleges = broadcast_within(self.colleges.select("college_code", "college_id"))
+        branches = broadcast_within(self.branches.select("branch_code", "branch_id"))
+        tagged = quality.validate_cutoffs(
+            first, colleges, branches, self.categories, batch=["source_version_id"], dealt=True
+        )
+        # read by the gate and by what passes it: Spark would validate all rows anew for each
+        of_valid = [f"CASE WHEN is_valid THEN {c} END AS {c}" for c in ("row_idx", "batch", *rest)]
+        aside = [store.stage(tagged.selectExpr("source_version_id", "is_valid", *of_valid), "tagged")]
+        tagged = store.staged(aside[0])
+        keyed = lookup(quality.valid_rows(tagged), colleges, ["college_code"], "inner")
+        keyed = lookup(keyed, branches, ["branch_code"], "inner").select(
+            *CUTOFF_KEY, "source_version_id", "opening_rank", "closing_rank", "row_identifier", "status", "row_idx",
+            "batch", F.expr(f"{bucket('college_id', self.parts)} AS part"),
+        )
+        parts = _parts(keyed)
+        if self.documents is not None:
             outcomes = quality.document_outcomes(tagged, self.documents, quality.thresholds_frame(store.spark))
             passed = outcomes.where("failure_reason IS NULL").select("source_version_id").distinct()
-            keyed = lookup(keyed, passed.withColumn("_passed", F.lit(True)), ["source_version_id"]).withColumn(
-                "publishable", F.expr("_passed IS NOT NULL")
-            )
-        return store.stage(
-            keyed.select(
-                *CUTOFF_KEY, "source_version_id", "opening_rank", "closing_rank", "row_identifier", "status", "row_idx",
-                "batch", "publishable", F.expr(f"{bucket('college_id', self.parts)} AS part"),
-            ),
-            "valid", _PART,
-        )
+            aside.append(store.stage(passed, "passed"))
+            keyed = lookup(keyed, broadcast_within(store.staged(aside[1])), ["source_version_id"], "inner")
+        valid = store.stage(keyed, "valid")
+        for done in aside:
+            store.discard(done)
+        return valid, parts
 
     def _changes(
         self, store: Store, judged: Staged, of_touched: DataFrame, before: Snapshot, logged: Staged, batch_id: int

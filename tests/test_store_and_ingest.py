@@ -6,6 +6,7 @@ import pytest
 
 from cutline.plans.calendar import ADMISSIONS
 from cutline.sources.store import Store, bucket, with_status
+from cutline.streaming import ingest as ingest_module
 from cutline.streaming.ingest import CutoffIngest
 
 RAW = ("row_idx bigint, college_code string, branch_code string, category_code string, round_code string, opening_rank int, "
@@ -158,3 +159,49 @@ def test_a_first_batch_joins_nothing_that_is_not_there(spark, table, tmp_path, m
     job.process(table(RAW, [row(1, 1, 101, "a-v1"), row(4, 4, 104, "a-v1")]), 1)
     assert len(facts_of(job)) == 4 and "Join " in staged["outcomes"][1]
     assert {r.outcome for r in job.outcomes().where("batch = 1").collect()} >= {"UNCHANGED", "PUBLISHED"}
+
+
+def test_rows_are_shuffled_once(spark, table, tmp_path, monkeypatch):
+    plans, write = {}, Store._write
+
+    def seen(self, rows, name, by):
+        if name in ("log", "tagged"):
+            rows.collect()
+            plans[name] = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return write(self, rows, name, by)
+
+    monkeypatch.setattr(Store, "_write", seen)
+    job = ingest(spark, table, tmp_path / "s", [("a-v1", "CUTOFF_PDF", "ENGINEERING", None, 1, False)])
+    job.process(table(RAW, [row(i, i % 8 + 1, 100 + i, "a-v1") for i in range(40)]), 0)
+    assert len(facts_of(job)) == 8
+    # the log is written where its rows are; of the rows to judge, both sides of the join that finds copies share one shuffle
+    assert "Exchange" not in plans["log"]
+    dealt = [line.lstrip(" :+-") for line in plans["tagged"].split("\n") if "REPARTITION_BY_COL" in line]
+    assert len(dealt) == 2 and sum(line.startswith("ReusedExchange") for line in dealt) == 1
+    assert "isnull(source_version_id" not in plans["tagged"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_only_what_is_committed_stays_on_disk(spark, table, tmp_path):
+    job = ingest(spark, table, tmp_path / "s", [("a-v1", "CUTOFF_PDF", "ENGINEERING", None, 1, False)])
+    for batch in range(2):
+        job.process(table(RAW, [row(i, i, 100 + i, "a-v1") for i in range(1 + batch, 8)]), batch)
+    left = {f.relative_to(tmp_path / "s").parts[0] for f in (tmp_path / "s").rglob("*.parquet")}
+    assert left == {"log", "facts", "outcomes"} and len(facts_of(job)) == 7
+
+
+def test_parts_of_rows_have_the_names_of_their_folders(spark, table, tmp_path):
+    rows = table("v int, academic_year int, part int", [(1, 2025, 3), (2, 2025, 3), (3, None, 0), (4, 1999, 11)])
+    staged = Store(spark, str(tmp_path / "t")).stage(rows, "x", ["academic_year", "part"])
+    assert ingest_module._parts(rows) == list(staged.parts) and len(staged.parts) == 3
+
+
+def test_refused_rows_count_for_their_document_only(spark, table, tmp_path):
+    # one copy, one rank of 0 and one unknown college among 6 rows; 3 rows pass, so that a-v1 is complete and b-v1 is not
+    bad = lambda v: [row(4, 1, 99, v), row(5, 2, 0, v), row(6, 99, 10, v)]
+    good = lambda v: [row(i, i, 100 + i, v) for i in (1, 2, 3)]
+    job = ingest(spark, table, tmp_path / "s", [
+        ("a-v1", "CUTOFF_PDF", "ENGINEERING", None, 3, False), ("b-v1", "CUTOFF_PDF", "ENGINEERING", None, 4, False),
+        ("c-v1", "SEAT_MATRIX_PDF", "ENGINEERING", None, 1, False)])
+    job.process(table(RAW, [r for v in ("a-v1", "b-v1", "c-v1") for r in good(v) + bad(v)]), 0)
+    assert [(r[0], r[4], r[6]) for r in facts_of(job)] == [("c1", "a-v1", 101), ("c2", "a-v1", 102), ("c3", "a-v1", 103)]
