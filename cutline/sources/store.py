@@ -13,13 +13,17 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cutline.session import settings
+
+# shuffles are deleted as their job ends, not when the driver collects its garbage
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -54,18 +58,6 @@ def _with_batch(ranges: Sequence[tuple[int, int]], batch: int) -> tuple[tuple[in
     return tuple(out)
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Shuffles of the jobs inside the block are deleted as each job ends, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 class Store:
     """Tables below ``path``, for one writer at a time and any number of readers."""
 
@@ -134,7 +126,7 @@ class Store:
         commit = uuid.uuid4().hex
         folder = f"{self.path}/{table}/commit={commit}"
         writer = rows.write.option("compression", "zstd")
-        with shuffles_dropped(rows.sparkSession):
+        with settings(rows.sparkSession, DROP_SHUFFLES):
             (writer.partitionBy(*by) if by else writer).parquet(folder)
         if by:
             found = self._files.globStatus(self._at(f"{table}/commit={commit}" + "".join(f"/{c}=*" for c in by)))

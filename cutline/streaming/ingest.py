@@ -18,6 +18,7 @@ from cutline.functions.sql import texts
 from cutline.operators import publish, quality
 from cutline.plans.pooled import broadcast_within, lookup
 from cutline.schemas import CUTOFF_KEY
+from cutline.session import settings, smaller_partitions
 from cutline.sources.store import Snapshot, Staged, Store, bucket, with_status
 
 FACTS = (
@@ -95,6 +96,12 @@ class CutoffIngest:
         before = store.snapshot()
         if before.done(batch_id):
             return
+        # the rows of a stream belong to a session of their own
+        with settings(rows.sparkSession, smaller_partitions(rows.sparkSession)):
+            with settings(store.spark, smaller_partitions(store.spark)):
+                self._process(store, before, rows, batch_id)
+
+    def _process(self, store: Store, before: Snapshot, rows: DataFrame, batch_id: int) -> None:
         # dealt to parts by the tasks that read them, as what follows deals them anew by other columns
         logged = store.stage_in_place(
             rows.select(*RAW).where("source_version_id IS NOT NULL AND row_idx IS NOT NULL")

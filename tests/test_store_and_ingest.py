@@ -179,7 +179,9 @@ def test_rows_are_shuffled_once(spark, table, tmp_path, monkeypatch):
     dealt = [line.lstrip(" :+-") for line in plans["tagged"].split("\n") if "REPARTITION_BY_COL" in line]
     assert len(dealt) == 2 and sum(line.startswith("ReusedExchange") for line in dealt) == 1
     assert "isnull(source_version_id" not in plans["tagged"]
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    assert "32), REPARTITION" in dealt[0]  # four times the session's 8, so that sorts stay in memory
+    names = ("classic.shuffleDependency.fileCleanup.enabled", "adaptive.coalescePartitions.initialPartitionNum", "adaptive.advisoryPartitionSizeInBytes")
+    assert [spark.conf.get(f"spark.sql.{n}", None) for n in names] == [None] * 3
 
 
 def test_only_what_is_committed_stays_on_disk(spark, table, tmp_path):
