@@ -163,6 +163,9 @@ def test_a_first_batch_joins_nothing_that_is_not_there(spark, table, tmp_path, m
 
 def test_rows_are_shuffled_once(spark, table, tmp_path, monkeypatch):
     plans, write = {}, Store._write
+    names = ("classic.shuffleDependency.fileCleanup.enabled", "adaptive.coalescePartitions.initialPartitionNum", "adaptive.advisoryPartitionSizeInBytes")
+    settings = lambda: [spark.conf.get(f"spark.sql.{n}", None) for n in names]
+    before = settings()
 
     def seen(self, rows, name, by):
         if name in ("log", "tagged"):
@@ -180,8 +183,7 @@ def test_rows_are_shuffled_once(spark, table, tmp_path, monkeypatch):
     assert len(dealt) == 2 and sum(line.startswith("ReusedExchange") for line in dealt) == 1
     assert "isnull(source_version_id" not in plans["tagged"]
     assert "32), REPARTITION" in dealt[0]  # four times the session's 8, so that sorts stay in memory
-    names = ("classic.shuffleDependency.fileCleanup.enabled", "adaptive.coalescePartitions.initialPartitionNum", "adaptive.advisoryPartitionSizeInBytes")
-    assert [spark.conf.get(f"spark.sql.{n}", None) for n in names] == [None] * 3
+    assert settings() == before
 
 
 def test_only_what_is_committed_stays_on_disk(spark, table, tmp_path):
